@@ -10,10 +10,14 @@ the documents is a run-length compressed keep bitmap each, no text.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvine.llm.common import cut
 
-#: [\x20\x09-\x0D] at both ends of a line.
-_BLANKS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+
+#: Blanks at both ends of a line: [\x20\x09-\x0D].
+_BLANKS = " \t\n\v\f\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Characters besides A-Z that lower() would change.
+_OTHER_CASED = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
 SALTS = 16
 
 
@@ -23,7 +27,10 @@ def lines_of(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.regexp_replace(line, _BLANKS, ""), _UPPER, _LOWER)
+    """The line without blanks at its ends and with A-Z, only these, in lower case; lower() does that much
+    faster than translate() where no other letter changes."""
+    bare = F.btrim(line, F.lit(_BLANKS))
+    return F.when(bare.rlike(_OTHER_CASED), F.translate(bare, _UPPER, _LOWER)).otherwise(F.lower(bare))
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -31,9 +38,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     (kept first, maybe 0), and n_dropped. text_hash is xxhash64(text): rows with one doc_id but different
     texts have bitmaps of their own, repeated rows share one."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-    # Surplus blanks only lengthen a line, so that the cheap test comes first.
-    keyed = rows.where(F.length("line") >= min_chars).withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
-    hashed = keyed.select(F.xxhash64("key").alias("h"), F.hash("key").alias("h2"), F.pmod(F.hash("doc_id"), F.lit(SALTS)).cast("byte").alias("salt"), "doc_id", "text_hash", "pos")
+    keyed = rows.where(F.length(F.btrim("line", F.lit(_BLANKS))) >= min_chars).withColumn("key", line_key(F.col("line")))
+    # Written once: the range sample, the ranges and the way back to the documents all read it.
+    hashed = cut(keyed.select(F.xxhash64("key").alias("h"), F.hash("key").alias("h2"), F.pmod(F.hash("doc_id"), F.lit(SALTS)).cast("byte").alias("salt"), "doc_id", "text_hash", "pos"))
     stream = Window.partitionBy("h", "h2", "salt").orderBy("doc_id", "pos")
     before = F.lag(F.struct("doc_id")).over(stream)  # a struct: null only before the first row
     ranged = hashed.repartitionByRange(F.col("h"), F.col("h2"), F.col("salt"))
