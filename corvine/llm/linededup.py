@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from corvine.llm.common import cut
 
-
 #: Blanks at both ends of a line: [\x20\x09-\x0D].
 _BLANKS = " \t\n\v\f\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import decontam, linededup, sentencepiece, simhash, toxicity
+from corvine.llm import decontam, langid, linededup, sentencepiece, simhash, toxicity
 from corvine.sources.tables import table
 
 #: Folder of the public tokenizers' files.
@@ -26,6 +26,10 @@ def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.languages(table(spark, folder, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.digest(table(spark, folder, "documents"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_language": op6_language,
     "op9_line_dedup": op9_line_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
