@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import decontam, langid, linededup, sentencepiece, simhash, toxicity
+from corvine.llm import ann, decontam, langid, licenses, linededup, quotes, sentencepiece, simhash, toxicity, warc
 from corvine.sources.tables import table
 
 #: Folder of the public tokenizers' files.
@@ -18,6 +18,14 @@ def op1_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.licenses(table(spark, folder, "documents"))
+
+
+def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -30,19 +38,37 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.languages(table(spark, folder, "documents"))
 
 
+def op7_quotation_links(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.conversations(table(spark, folder, "conversations"))
+
+
+def op8_warc_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages as archives, against a replica that is damaged by rule: of some pages the last byte of the
+    record is another one, some others are lost."""
+    records = warc.archived(table(spark, folder, "pages"))
+    changed, lost = F.col("page_id") % 97 == 13, F.coalesce(F.col("page_id") % 193 == 57, F.lit(False))
+    replica = records.withColumn("record", F.when(changed, F.concat(F.expr("left(record, length(record) - 1)"), F.lit("?"))).otherwise(F.col("record"))).where(~lost)
+    return warc.audit(warc.hashed(records), warc.hashed(replica))
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.digest(table(spark, folder, "documents"))
 
 
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)  # rows are whole texts with their pieces
     return sentencepiece.round_trip(table(spark, folder, "documents"), sentencepiece.read_model(f"{TOKENIZERS}/piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_license_scan": op2_license_scan,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_toxicity": op4_toxicity,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_language": op6_language,
+    "op7_quotation_links": op7_quotation_links,
+    "op8_warc_fixity": op8_warc_fixity,
     "op9_line_dedup": op9_line_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
@@ -50,6 +76,56 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE: dict[str, str] = {
+    "op7_quotation_links": r"""
+WITH m AS (
+  SELECT conv_id, turn, role, text,
+         row_number() OVER w AS place, lag(turn) OVER w AS before
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+raw AS (
+  SELECT conv_id, place, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM m),
+lines AS (
+  SELECT *, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
+         trim(lower(regexp_replace(regexp_replace(line, '^(?:[ \t]*>)+', ''), '\s+', ' ', 'g'))) AS words FROM raw),
+filled AS (SELECT * FROM lines WHERE words <> ''),
+broken AS (
+  SELECT *, CASE WHEN lag(pos) OVER w = pos - 1 AND lag(level) OVER w = level THEN 0 ELSE 1 END AS new
+  FROM filled WINDOW w AS (PARTITION BY conv_id, place ORDER BY pos)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, place ORDER BY pos) AS run FROM broken),
+units AS (
+  SELECT conv_id, place, level, words FROM filled
+  UNION SELECT conv_id, place, level, string_agg(words, ' ' ORDER BY pos) FROM runs GROUP BY conv_id, place, level, run),
+firsts AS (SELECT conv_id, words, min(place) AS source FROM units WHERE level = 0 GROUP BY conv_id, words),
+weighed AS (
+  SELECT u.conv_id, u.place, f.source, sum(length(u.words)) AS weight, count(*) AS n
+  FROM units u JOIN firsts f ON f.conv_id IS NOT DISTINCT FROM u.conv_id AND f.words = u.words
+  WHERE u.level = 1 AND f.source < u.place GROUP BY ALL),
+best AS (
+  SELECT conv_id, place, source, sum(n) OVER (PARTITION BY conv_id, place) AS n_linked FROM weighed
+  QUALIFY row_number() OVER (PARTITION BY conv_id, place ORDER BY weight DESC, source DESC) = 1),
+shown AS (
+  SELECT l.conv_id, l.place, count(*) FILTER (level > 0) AS n_quoted, max(level) AS max_level,
+         string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0 AND NOT introduces) AS own
+  FROM (SELECT *, regexp_matches(line, '(?i)^\s*(on|am|le|el)\s.*(wrote|schrieb|écrit|escribió).*:\s*$')
+               AND coalesce(lead(level) OVER (PARTITION BY conv_id, place ORDER BY pos) > 0, false) AS introduces FROM lines) l GROUP BY l.conv_id, l.place)
+SELECT m.conv_id, m.turn, m.role, m.place, CASE WHEN b.place IS NULL THEN m.before ELSE p.turn END AS reply_to,
+       CASE WHEN m.text IS NOT NULL THEN trim(coalesce(s.own, ''), chr(10)) END AS own_text,
+       coalesce(s.n_quoted, 0) AS n_quoted, coalesce(s.max_level, 0) AS max_level, coalesce(b.n_linked, 0)::BIGINT AS n_linked
+FROM m LEFT JOIN shown s ON s.conv_id IS NOT DISTINCT FROM m.conv_id AND s.place = m.place
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM m.conv_id AND b.place = m.place
+LEFT JOIN m p ON p.conv_id IS NOT DISTINCT FROM b.conv_id AND p.place = b.source""",
+    "op8_warc_fixity": """
+WITH r AS (
+  SELECT page_id, url, html, page_id // 1000 AS archive,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+         || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages),
+o AS (
+  SELECT *, strlen(record) AS length, coalesce(sum(strlen(record)) OVER (PARTITION BY archive ORDER BY page_id, url, html ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+  FROM r)
+SELECT archive, "offset", length AS length_left, CASE WHEN page_id % 193 = 57 THEN NULL ELSE length END AS length_right, sha256(record) AS digest_left,
+       CASE WHEN page_id % 193 = 57 THEN NULL ELSE sha256(record[:-2] || '?') END AS digest_right,
+       CASE WHEN page_id % 193 = 57 THEN 'missing' ELSE 'changed' END AS status
+FROM o WHERE page_id % 97 = 13 OR page_id % 193 = 57""",
     "op9_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
