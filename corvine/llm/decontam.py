@@ -18,6 +18,7 @@ against all documents; documents are never shuffled or collected.
 
 import re
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -72,7 +73,6 @@ class Index:
     masks: list[dict[int, int]]
     classes: list[list[_Walk]]
     ratio: float
-    pad: int
 
     @staticmethod
     def build(items: list[tuple[int, str | None]], ratio: float = 0.2, repetitions: int = 8, samples: int = 4, seed: int = 7) -> "Index":
@@ -85,7 +85,7 @@ class Index:
             for p, t in enumerate(tokens):
                 own[t] = own.get(t, 0) | 1 << p
             masks.append(own)
-        index = Index(vocabulary, [i for i, _ in rows], [len(t) for _, t in rows], masks, [], ratio, max([len(t) for _, t in rows], default=0))
+        index = Index(vocabulary, [i for i, _ in rows], [len(t) for _, t in rows], masks, [], ratio)
         random = np.random.default_rng(seed)
         for least, most in ((1, 1), (2, 3), (4, 7), (8, 14), (15, None)):
             own = [n for n, (_, t) in enumerate(rows) if least <= len(t) <= (most or len(t))]
@@ -133,26 +133,39 @@ class Index:
                 best, end = score, p
         return best, end
 
-    def leaks(self, text: str | None) -> list[dict]:
-        """Items found in the text, each once at its least distance (earliest end): item_id, distance, n_words (of the item),
-        start and end (words of the text)."""
-        get = self.vocabulary.get
-        tokens = np.array([get(w, 0) for w in words(text)], dtype=np.int32)
-        if not tokens.any():
-            return []
+    def leaks(self, texts: list[str | None], batch: int = 1 << 18) -> list[list[dict]]:
+        """For each text the items found in it, each once at its least distance (earliest end): item_id, distance,
+        n_words (of the item), start and end (words of the text). About `batch` words are walked at a time."""
+        get, out, held, size = self.vocabulary.get, [], [], 0
+        for text in texts:
+            found = words(text)
+            held.append(np.fromiter(map(get, found, repeat(0)), dtype=np.int32, count=len(found)))
+            size += len(found)
+            if size >= batch:
+                out += self._found(held)
+                held, size = [], 0
+        return out + self._found(held)
+
+    def _found(self, texts: list[np.ndarray]) -> list[list[dict]]:
         pad = np.full(32, len(self.vocabulary) + 1, dtype=np.int32)
-        padded = {False: np.concatenate([tokens, pad]), True: np.concatenate([tokens[::-1], pad])}
-        places = np.arange(len(tokens), dtype=np.int32)
-        candidates: set[tuple[int, int]] = set()
+        joined = np.concatenate([pad, *(part for t in texts for part in (t, pad))])
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        begins = np.cumsum(np.concatenate([[0], lengths + len(pad)])) + len(pad)
+        places = np.flatnonzero(joined <= len(self.vocabulary)).astype(np.int32)
+        ends = (len(joined) - 1 - places[::-1]).astype(np.int32)
+        turned = np.ascontiguousarray(joined[::-1])
+        candidates: set[tuple[int, int, int]] = set()  # number of the text, item, place of its first word
         for walks in self.classes:
             for walk in walks:
-                at, keys = walk.keys(places, padded[walk.back], walk.prefixes)
-                for place, key in zip(at.tolist(), keys.tolist(), strict=True):
+                at, keys = walk.keys(ends if walk.back else places, turned if walk.back else joined, walk.prefixes)
+                where = len(joined) - 1 - at if walk.back else at
+                own = np.searchsorted(begins, where, side="right") - 1
+                for n, place, key in zip(own.tolist(), (where - begins[own]).tolist(), keys.tolist(), strict=True):
                     for item in walk.items.get(key, ()):
-                        candidates.add((item, len(tokens) - place - self.lengths[item] if walk.back else place))
-        best: dict[int, dict] = {}
-        for item, place in sorted(candidates):
-            m = self.lengths[item]
+                        candidates.add((n, item, place - self.lengths[item] + 1 if walk.back else place))
+        best: list[dict[int, dict]] = [{} for _ in texts]
+        for n, item, place in sorted(candidates):
+            m, tokens = self.lengths[item], texts[n]
             most = int(self.ratio * m)
             low, high = max(0, place - most), min(len(tokens), place + m + most)
             part = tokens[low:high]
@@ -162,9 +175,10 @@ class Index:
             distance, end = self.distance(item, part)
             if distance <= most:
                 found = {"item_id": self.item_ids[item], "distance": distance, "n_words": m, "start": max(low, low + end - m), "end": low + end}
-                if item not in best or (distance, found["end"]) < (best[item]["distance"], best[item]["end"]):
-                    best[item] = found
-        return [best[i] for i in sorted(best)]
+                old = best[n].get(item)
+                if old is None or (distance, found["end"]) < (old["distance"], old["end"]):
+                    best[n][item] = found
+        return [[b[i] for i in sorted(b)] for b in best]
 
 
 def blocks(benchmark: DataFrame, size: int = 20000) -> list[Index]:
@@ -189,7 +203,7 @@ def _finder(shared: Broadcast):
     @F.pandas_udf(LEAKS)
     def found(texts: pd.Series) -> pd.Series:
         own = shared.value
-        return pd.Series([own.leaks(t) for t in texts], dtype=object)
+        return pd.Series(own.leaks(texts.tolist()), dtype=object)
 
     return found
 

@@ -33,20 +33,27 @@ CHUNK, GIANT, REACH = 32768, 65536, 64
 NEVER = float("-inf")
 
 
-class Pieces:
-    """A model read on an executor, with what the lattice needs."""
+class Model:
+    """A model read on an executor: the library's processor for it."""
 
     def __init__(self, content: bytes) -> None:
-        model = proto.ModelProto()
-        model.ParseFromString(content)
-        spec = model.normalizer_spec
-        if spec.name != "identity" or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or model.trainer_spec.model_type != 2 or not model.trainer_spec.byte_fallback:
+        self.proto = proto.ModelProto()
+        self.proto.ParseFromString(content)
+        spec = self.proto.normalizer_spec
+        if spec.name != "identity" or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or self.proto.trainer_spec.model_type != 2 or not self.proto.trainer_spec.byte_fallback:
             raise ValueError("needs a BPE model with byte fallback that keeps texts as they are")
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=content)
-        spec.add_dummy_prefix = False
-        self.bare = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-        self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == 1}
-        self.names = [p.piece for p in model.pieces]
+
+
+class Pieces(Model):
+    """A model with what the lattice needs."""
+
+    def __init__(self, content: bytes) -> None:
+        super().__init__(content)
+        self.proto.normalizer_spec.add_dummy_prefix = False
+        self.bare = sentencepiece.SentencePieceProcessor(model_proto=self.proto.SerializeToString())
+        self.ids = {p.piece: i for i, p in enumerate(self.proto.pieces) if p.type == 1}
+        self.names = [p.piece for p in self.proto.pieces]
         self.characters = {c for p in self.ids for c in p}
         self.longest = max(map(len, self.ids))
         if any(BLANK in p.lstrip(BLANK) for p in self.ids):
@@ -175,13 +182,14 @@ def path_states(matrices: list[np.ndarray]) -> list[int]:
     return [int(np.argmax(t)) for t in total]
 
 
-_loaded: dict[int, Pieces] = {}
+_loaded: dict[tuple, Model] = {}
 
 
-def _pieces(content: bytes) -> Pieces:
-    key = hash(content)
+def _load(content: bytes, kind: type = Model):
+    """A model is read once by each Python worker."""
+    key = (kind, content)
     if key not in _loaded:
-        _loaded[key] = Pieces(content)
+        _loaded[key] = kind(content)
     return _loaded[key]
 
 
@@ -201,7 +209,7 @@ def encode(docs: DataFrame, model: bytes, chunk: int = CHUNK, giant: int = GIANT
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def whole(batches):
-        own = _pieces(shared.value)
+        own = _load(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):  # lists of Python numbers stay small
                 rows = batch.slice(at, 64)
@@ -216,7 +224,7 @@ def encode(docs: DataFrame, model: bytes, chunk: int = CHUNK, giant: int = GIANT
     pieces_of = pa.schema([("key", pa.string()), ("n", pa.int32()), ("left", pa.string()), ("body", pa.string()), ("right", pa.string())])
 
     def cut_up(batches):
-        own = _pieces(shared.value)
+        own = _load(shared.value, Pieces)
         for batch in batches:
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text = BLANK + text.replace(" ", BLANK)
@@ -229,7 +237,7 @@ def encode(docs: DataFrame, model: bytes, chunk: int = CHUNK, giant: int = GIANT
     chunks = texts.mapInArrow(cut_up, "key string, n int, left string, body string, right string").repartition(F.col("key"), F.col("n"))
 
     def matrices(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = _pieces(shared.value)
+        own = _load(shared.value, Pieces)
         for part in parts:
             found = [own.matrix(*x) for x in zip(part["left"], part["body"], part["right"], strict=True)]
             yield pd.DataFrame({"key": part["key"], "n": part["n"], "rows": [len(m) for m in found], "weights": [m.ravel().tolist() for m in found]})
@@ -242,7 +250,7 @@ def encode(docs: DataFrame, model: bytes, chunk: int = CHUNK, giant: int = GIANT
     states = chunks.mapInPandas(matrices, "key string, n int, rows int, weights array<double>").groupBy("key").applyInPandas(scan, "key string, n int, entry int, leave int")
 
     def traced(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = _pieces(shared.value)
+        own = _load(shared.value, Pieces)
         for part in parts:
             for i in range(len(part)):
                 row = part.iloc[i]
@@ -255,15 +263,20 @@ def encode(docs: DataFrame, model: bytes, chunk: int = CHUNK, giant: int = GIANT
 
 
 def decode(rows: DataFrame, model: bytes) -> DataFrame:
-    """rows (with a column ids) with a column decoded: their text; null for null ids."""
+    """rows (with a column ids) with a column decoded (replaces one of that name): their text; null for null ids."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    rows = rows.drop("decoded")
+    columns = rows.columns
 
-    @F.pandas_udf("string")
-    def text(ids: pd.Series) -> pd.Series:
-        own = _pieces(shared.value)
-        return pd.Series([None if i is None else own.processor.decode(i.tolist()) for i in ids], dtype=object)
+    def run(batches):
+        own = _load(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = [None if i is None else own.processor.decode(i) for i in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*columns, "decoded"])
 
-    return rows.withColumn("decoded", text("ids"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def round_trip(docs: DataFrame, model: bytes, **options) -> DataFrame:

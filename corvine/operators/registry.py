@@ -1,4 +1,38 @@
-"""All queries of the library with DuckDB SQL for the same rows."""
+"""All queries of the library with DuckDB SQL for the same rows.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+A module of operators registers the queries that apply them to the tables of a data folder:
+
+    @query("SELECT ...")
+    def name(t): return some_operator(t("orders"))
+
+`t` reads a table by its name. Without SQL the query is one that SQL can't express.
+"""
+
+from collections.abc import Callable
+from importlib import import_module
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corvine.sources.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(function):
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            return function(lambda name: table(spark, folder, name))
+
+        QUERIES[function.__name__] = run
+        if sql is not None:
+            ORACLE[function.__name__] = sql
+        return function
+
+    return register
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    for module in ("relational", "access", "text", "chunks", "retrieval", "evaluation", "graph", "context", "streams"):
+        import_module(f"corvine.plans.{module}")
