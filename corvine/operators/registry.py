@@ -34,5 +34,5 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    for module in ("relational", "access", "text", "chunks", "retrieval", "evaluation", "graph", "context", "streams"):
+    for module in ("relational", "text", "retrieval", "chunks", "evaluation"):
         import_module(f"corvine.plans.{module}")

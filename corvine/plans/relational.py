@@ -1,5 +1,6 @@
 """Queries of the relational operators. Organizations are region / nation / customer, members are orders."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvine.operators import relational as r
@@ -130,8 +131,6 @@ def page_with_total(t):
 def priority_sort(t):
     shown = t("part").orderBy(F.desc("p_size"), "p_partkey").limit(100).select("p_partkey", "p_size", "p_name")
     # the hundred rows of the limit, not the table, are numbered in one place
-    from pyspark.sql import Window
-
     return shown.withColumn("place", F.row_number().over(Window.orderBy(F.desc("p_size"), "p_partkey")).cast("long"))
 
 
@@ -192,14 +191,12 @@ def space_listing_agg(t):
     return met.select("n_nationkey", "n_name", F.coalesce("n_members", F.lit(0).cast("long")).alias("n_members"), F.coalesce("n", F.lit(0).cast("long")).alias("n_resources"), F.round(F.coalesce(F.col("s") / F.col("n"), F.lit(0.0)), 4).alias("avg_price"))
 
 
-@query("""SELECT 'Supplier-' || lpad((max(s_suppkey) + 1)::VARCHAR, greatest(3, length((max(s_suppkey) + 1)::VARCHAR)), '0') AS next_code FROM supplier""")
+@query("""SELECT 'Supplier-' || lpad((max(s_suppkey) + 1)::VARCHAR, greatest(3, length((max(s_suppkey) + 1)::VARCHAR))::INTEGER, '0') AS next_code FROM supplier""")
 def next_sequence_code(t):
     return r.next_code(t("supplier").select(F.concat(F.lit("Supplier-"), F.lpad(F.col("s_suppkey").cast("string"), 3, "0")).alias("code")).where("length(code) > 0"), "code", "Supplier")
 
 
 @query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER AS place FROM documents QUALIFY place <= 5")
 def folders_first_sort(t):
-    from pyspark.sql import Window
-
     ranked = t("documents").select("doc_id", "source").withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
     return ranked.where("place <= 5")
