@@ -111,7 +111,7 @@ def last_window(rows: DataFrame, group: str, order: list[Column], n: int, means:
     `total`. order is newest first; the cut to n rows comes before any aggregate."""
     kept = rows.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("__n") <= n)
     p95 = F.when(F.count("*") >= 20, F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {total})")).otherwise(F.max(total))
-    return kept.groupBy(group).agg(F.count("*").alias("count"), *[F.round(F.avg(c), 4).alias(f"avg_{c}") for c in means], *[F.round(F.avg(F.col(c).cast("int")), 4).alias(f"{c}_rate") for c in flags], F.round(p95, 4).alias(f"p95_{total}"))
+    return kept.groupBy(group).agg(F.count("*").alias("count"), *[F.round(F.avg(c), 6).alias(f"avg_{c}") for c in means], *[F.round(F.avg(F.col(c).cast("int")), 4).alias(f"{c}_rate") for c in flags], F.round(p95, 4).alias(f"p95_{total}"))
 
 
 # Upper bounds of the histograms' buckets.

@@ -9,6 +9,7 @@ A module of operators registers the queries that apply them to the tables of a d
 """
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+@dataclass(frozen=True)
+class Tables:
+    """Reads the tables of a folder."""
+
+    spark: SparkSession
+    folder: str
+
+    def __call__(self, name: str) -> DataFrame:
+        return table(self.spark, self.folder, name)
+
+    def stream(self, name: str) -> DataFrame:
+        """The table as a stream of its files. (The path is a pattern: a stream of a plain path must be a folder's.)"""
+        return self.spark.readStream.schema(self(name).schema).parquet(f"{self.folder}/{name}.parque[t]")
+
+
 def query(sql: str | None = None):
     def register(function):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return function(lambda name: table(spark, folder, name))
+            return function(Tables(spark, folder))
 
         QUERIES[function.__name__] = run
         if sql is not None:
@@ -34,5 +50,5 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    for module in ("relational", "text", "retrieval", "chunks", "evaluation", "access", "graph", "context"):
+    for module in ("relational", "text", "retrieval", "chunks", "evaluation", "access", "graph", "context", "streams"):
         import_module(f"corvine.plans.{module}")

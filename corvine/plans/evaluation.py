@@ -39,7 +39,7 @@ def _sweep_sql():
 def alpha_sweep(t):
     """Fusion weights, each measured against the documents that hold a piece of the item."""
     relevant = texts.contents(t("documents"), t("benchmark"), "doc_id", "item_id").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
-    weights = t("benchmark").sparkSession.createDataFrame([(a,) for a in ALPHAS], "alpha double")
+    weights = t.spark.createDataFrame([(a,) for a in ALPHAS], "alpha double")
     # the pools are searched once; a question with a weight is a query of its own
     lexical, vector = (p.crossJoin(F.broadcast(weights)).withColumn("query_id", F.struct("query_id", "alpha")).drop("alpha") for p in pools(t, 10))
     ranked = r.best(r.fuse(lexical, vector, "doc_id", 5, F.col("query_id.alpha")), 5, key="doc_id", rank="place").select("query_id", F.col("doc_id").alias("id"), "place")
@@ -62,7 +62,7 @@ def classification_prf(t):
 
 
 @query("""WITH kept AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 200)
-    SELECT event_type, count(*) AS count, round(avg(value), 4) AS avg_value, round(avg((value < 5)::INTEGER), 4) AS low_rate, round(CASE WHEN count(*) >= 20 THEN quantile_disc(value, 0.95) ELSE max(value) END, 4) AS p95_value FROM kept GROUP BY event_type""")
+    SELECT event_type, count(*) AS count, round(avg(value), 6) AS avg_value, round(avg((value < 5)::INTEGER), 4) AS low_rate, round(CASE WHEN count(*) >= 20 THEN quantile_disc(value, 0.95) ELSE max(value) END, 4) AS p95_value FROM kept GROUP BY event_type""")
 def monitor_last200(t):
     rows = t("events").withColumn("low", F.col("value") < 5)
     return e.last_window(rows, "event_type", [F.desc("ts"), F.desc("event_id")], 200, ["value"], ["low"], "value")

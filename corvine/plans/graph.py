@@ -22,7 +22,7 @@ def edges(t):
 
 
 def asked(t):
-    return t("nation").sparkSession.createDataFrame(ASKED, "query_id int, entity string, kb_id string")
+    return t.spark.createDataFrame(ASKED, "query_id int, entity string, kb_id string")
 
 
 def _around_sql(scoped):

@@ -181,14 +181,14 @@ def member_merge(t):
     return r.merge(rows, changes, ["k"])
 
 
-@query("""SELECT n_nationkey, n_name, count(DISTINCT c_custkey) AS n_members, count(o_orderkey) AS n_resources, round(coalesce(avg(o_totalprice), 0), 4) AS avg_price
+@query("""SELECT n_nationkey, n_name, count(DISTINCT c_custkey) AS n_members, count(o_orderkey) AS n_resources, round(coalesce(avg(o_totalprice), 0), 8) AS avg_price
     FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'O' GROUP BY ALL""")
 def space_listing_agg(t):
     """Listing with counts: each side is aggregated before it is joined."""
     orders = t("orders").where("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("s"))
     members = t("customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_nationkey").agg(F.count("c_custkey").alias("n_members"), F.sum("n").alias("n"), F.sum("s").alias("s"))
     met = t("nation").join(members, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    return met.select("n_nationkey", "n_name", F.coalesce("n_members", F.lit(0).cast("long")).alias("n_members"), F.coalesce("n", F.lit(0).cast("long")).alias("n_resources"), F.round(F.coalesce(F.col("s") / F.col("n"), F.lit(0.0)), 4).alias("avg_price"))
+    return met.select("n_nationkey", "n_name", F.coalesce("n_members", F.lit(0).cast("long")).alias("n_members"), F.coalesce("n", F.lit(0).cast("long")).alias("n_resources"), F.round(F.coalesce(F.col("s") / F.col("n"), F.lit(0.0)), 8).alias("avg_price"))
 
 
 @query("""SELECT 'Supplier-' || lpad((max(s_suppkey) + 1)::VARCHAR, greatest(3, length((max(s_suppkey) + 1)::VARCHAR))::INTEGER, '0') AS next_code FROM supplier""")

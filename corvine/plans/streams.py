@@ -1 +1,88 @@
-"""Queries."""
+"""Queries of the streaming jobs and of the folds over ordered rows. Streams read a table's files and end with them."""
+
+from pyspark.sql import functions as F
+
+from corvine.operators import folds
+from corvine.operators.registry import query
+from corvine.plans.chunks import fixed_sql
+from corvine.sources import logs
+from corvine.sources.folders import shared_folder
+from corvine.streaming import jobs
+
+
+def finished(job):
+    job.awaitTermination()
+    if job.exception() is not None:
+        raise job.exception()
+
+
+@query(f"WITH RECURSIVE {fixed_sql(1000, 100)} SELECT doc_id, chunk_index, content FROM fixed JOIN documents USING (doc_id) WHERE n_chars >= 200")
+def stream_ingest_chunks(t):
+    spark = t.spark
+    out = shared_folder(spark, "ingest")
+    finished(jobs.ingest(t.stream("documents"), f"{out}/chunks", f"{out}/state", keep=F.col("n_chars") >= 200, strategy="fixed", size=1000, overlap=100))
+    return jobs.latest(spark.read.parquet(f"{out}/chunks"), ["doc_id"]).select("doc_id", "chunk_index", "content")
+
+
+@query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 8) AS avg_value, max(value) AS max_value, count(*) FILTER (value > 50) AS n_flagged FROM events GROUP BY ALL")
+def stream_monitor_window(t):
+    spark = t.spark
+    out = shared_folder(spark, "monitor")
+    finished(jobs.monitor(t.stream("events"), f"{out}/windows", f"{out}/state", "ts", "event_type", "value", flag=F.col("value") > 50))
+    return jobs.latest(spark.read.parquet(f"{out}/windows"), ["window_start", "event_type"])
+
+
+ADMITTED = """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    f AS (SELECT user_id, event_id, n, sec, [sec] AS log, true AS admitted FROM o WHERE n = 1 UNION ALL
+      SELECT user_id, event_id, n, sec, CASE WHEN len(live) < 2 THEN list_append(live, sec) ELSE live END, len(live) < 2 FROM (SELECT o.*, list_filter(f.log, lambda x: x > o.sec - 86400) AS live FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1))
+    SELECT user_id, event_id, admitted FROM f"""
+
+
+def seconds(column="ts"):
+    return (F.unix_micros(F.col(column).cast("timestamp")) / 1000000.0).alias("at")
+
+
+@query(ADMITTED)
+def stream_admission(t):
+    spark = t.spark
+    out = shared_folder(spark, "admission")
+    requests = t.stream("events").select("user_id", F.col("event_id").alias("request_id"), "ts")
+    admitted = jobs.admit(requests, "user_id", "ts", 2, 86400)
+    finished(admitted.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start())
+    return spark.read.parquet(f"{out}/rows").select("user_id", F.col("request_id").alias("event_id"), "admitted")
+
+
+@query(ADMITTED)
+def rate_limit_admission(t):
+    rows = t("events").select("user_id", "event_id", seconds())
+    return folds.fold(rows, "user_id", ["at", "event_id"], ["at"], "admitted boolean, remaining int, retry_after long", folds.sliding_log(2, 86400)).select("user_id", "event_id", "admitted")
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    f AS (SELECT user_id, event_id, n, sec, 2.0::DOUBLE AS tokens, true AS admitted FROM o WHERE n = 1 UNION ALL
+      SELECT user_id, event_id, n, sec, have - (have >= 1)::INTEGER, have >= 1 FROM (SELECT o.*, least(3.0::DOUBLE, f.tokens + (o.sec - f.sec) * 0.00002::DOUBLE) AS have FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1))
+    SELECT user_id, event_id, admitted FROM f""")
+def token_bucket_admission(t):
+    rows = t("events").select("user_id", "event_id", seconds())
+    return folds.fold(rows, "user_id", ["at", "event_id"], ["at"], "admitted boolean, tokens double", folds.token_bucket(0.00002, 3)).select("user_id", "event_id", "admitted")
+
+
+@query()
+def circuit_breaker_states(t):
+    rows = t("events").select("event_type", "event_id", seconds(), (F.col("value") > 30).alias("failed"))
+    return folds.fold(rows, "event_type", ["at", "event_id"], ["at", "failed"], "called boolean, state string", folds.circuit_breaker(recovery=3600.0))
+
+
+@query()
+def concurrency_admission(t):
+    rows = t("events").select("user_id", "event_id", seconds(), (F.col("value") * 3600).alias("duration"))
+    return folds.fold(rows, "user_id", ["at", "event_id"], ["at", "duration"], "admitted boolean, running int", folds.concurrency(2, 86400.0))
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def metrics_history(t):
+    """Events appended as JSON lines by day, and the last seven days read again."""
+    spark = t.spark
+    out = shared_folder(spark, "metrics")
+    finished(jobs.append_log(t.stream("events"), f"{out}/log", f"{out}/state", "ts"))
+    return logs.history(spark, f"{out}/log", "event_id long, ts timestamp, user_id long, event_type string, value double, props string", "ts", 7).select("event_id", "event_type", "value")
