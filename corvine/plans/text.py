@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corvine.functions import text as f
 from corvine.operators import texts as o
 from corvine.operators.registry import query
+from corvine.sources import files
 
 #: White space for DuckDB's patterns.
 SPACE = r"\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}"
@@ -163,3 +164,10 @@ def document_dates(t):
 @query("""SELECT doc_id, CASE WHEN s >= 0.75 THEN '高' WHEN s >= 0.55 THEN '中' WHEN s > 0 THEN '低' ELSE '不足' END AS label, n_tokens FROM (SELECT doc_id, (n_chars % 100) / 100.0::DOUBLE AS s, length(text) // 2 AS n_tokens FROM documents)""")
 def relevance_labels(t):
     return t("documents").select("doc_id", f.relevance_label((F.col("n_chars") % 100) / F.lit(100.0)).alias("label"), f.token_count(F.col("text")).alias("n_tokens"))
+
+
+@query("""WITH p AS (SELECT page_id, list_filter(string_split(host || path, '/'), lambda x: x <> '') AS p FROM (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages)),
+    n AS (SELECT p, unnest(range(1, len(p) + 1)) AS d FROM p) SELECT array_to_string(p[1:d], '/') AS node, array_to_string(p[1:d - 1], '/') AS parent, d::INTEGER AS depth, bool_or(d < len(p)) AS is_folder FROM n GROUP BY ALL""")
+def path_tree(t):
+    parts = f.url_parts(F.col("url"))
+    return files.folders(t("pages").select(F.concat(parts["host"], parts["path"]).alias("path")))
