@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.llm import ann, decontam, langid, licenses, linededup, quotes, sentencepiece, simhash, toxicity, warc
+from corvine.llm.common import cut
 from corvine.sources.tables import table
 
 #: Folder of the public tokenizers' files.
@@ -45,10 +46,10 @@ def op7_quotation_links(spark: SparkSession, folder: str) -> DataFrame:
 def op8_warc_fixity(spark: SparkSession, folder: str) -> DataFrame:
     """All pages as archives, against a replica that is damaged by rule: of some pages the last byte of the
     record is another one, some others are lost."""
-    records = warc.archived(table(spark, folder, "pages"))
+    damaged = F.sha2(F.concat(F.expr("left(record, length(record) - 1)"), F.lit("?")), 256)
     changed, lost = F.col("page_id") % 97 == 13, F.coalesce(F.col("page_id") % 193 == 57, F.lit(False))
-    replica = records.withColumn("record", F.when(changed, F.concat(F.expr("left(record, length(record) - 1)"), F.lit("?"))).otherwise(F.col("record"))).where(~lost)
-    return warc.audit(warc.hashed(records), warc.hashed(replica))
+    records = cut(warc.catalogued(table(spark, folder, "pages"), replica=F.when(changed, damaged).otherwise(F.col("digest"))))
+    return warc.audit(records, records.where(~lost).withColumn("digest", F.col("replica")))
 
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:

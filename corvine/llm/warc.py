@@ -27,13 +27,27 @@ def record(url: Column, body: Column, kind: str = "resource") -> Column:
     return F.concat(F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(text), F.lit("\r\n\r\n"), text, F.lit("\r\n\r\n"))
 
 
+def _records(pages: DataFrame, per_archive: int) -> DataFrame:
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.floor(F.col("page_id") / per_archive), F.lit(-1)).alias("archive"), record(F.col("url"), F.col("html")).alias("record"))
+    return rows.withColumns({"length": F.octet_length("record").cast("long"), "digest": F.sha2("record", 256)})
+
+
+def _offset() -> Column:
+    before = Window.partitionBy("archive").orderBy("page_id", "url", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")
+
+
 def archived(pages: DataFrame, per_archive: int = 1000) -> DataFrame:
     """page_id, archive, offset, length, record: pages as records of archives of per_archive page_ids each, in the
-    order of page_id, url and html. A null page_id is in archive -1."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.coalesce(F.floor(F.col("page_id") / per_archive), F.lit(-1)).alias("archive"), record(F.col("url"), F.col("html")).alias("record"))
-    rows = rows.withColumn("length", F.octet_length("record").cast("long"))
-    before = Window.partitionBy("archive").orderBy("page_id", "url", "html").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("page_id", "archive", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "record")
+    order of page_id, url and digest. A null page_id is in archive -1."""
+    return _records(pages, per_archive).select("page_id", "archive", _offset(), "length", "record")
+
+
+def catalogued(pages: DataFrame, per_archive: int = 1000, **more: Column) -> DataFrame:
+    """page_id, archive, offset, length, digest of the records that archived() makes, and further columns made of `record`. Records are
+    hashed where they are read: only these few columns are shuffled to number them."""
+    rows = _records(pages, per_archive).select("page_id", "url", "archive", "length", "digest", *[c.alias(n) for n, c in more.items()])
+    return rows.select("page_id", "archive", _offset(), "length", "digest", *more)
 
 
 def hashed(records: DataFrame) -> DataFrame:

@@ -41,3 +41,5 @@ def test_records_round_trip(spark, folder, tmp_path):
     read = warc.read_warc(spark, str(tmp_path)).collect()
     assert sorted(x.body.decode() for x in read) == sorted(r.html or "" for r in pages.collect())
     assert sorted((x.offset, x.length) for x in read) == sorted((x.offset, x.length) for x in rows.collect())
+    listed = warc.catalogued(pages, per_archive=20).drop("page_id")
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, warc.hashed(rows).collect()))
