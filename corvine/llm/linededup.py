@@ -44,8 +44,11 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     before = F.lag(F.struct("doc_id")).over(stream)  # a struct: null only before the first row
     ranged = hashed.repartitionByRange(F.col("h"), F.col("h2"), F.col("salt"))
     firsts = ranged.withColumn("before", before).where(F.col("before").isNull() | ~F.col("before.doc_id").eqNullSafe(F.col("doc_id")))
-    held = firsts.groupBy("h", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    dropped = hashed.join(held, ["h", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    # Counted by salt first; the way back to the lines keeps the salt, so that no task meets all lines of a frequent key.
+    parts = firsts.groupBy("h", "h2", "salt").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+    of_key = Window.partitionBy("h", "h2")
+    held = parts.select("h", "h2", "salt", F.sum("n").over(of_key).alias("n"), F.max("keeper").over(of_key).alias("keeper")).where(F.col("n") >= min_docs)
+    dropped = hashed.join(held, ["h", "h2", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     by_doc = dropped.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     # Dropped positions p0 < p1 < ... as runs: kept up to p0, one dropped, kept up to p1, ...; a kept run of 0 joins its neighbours on expansion.
     step = F.transform("gone", lambda p, i: F.array(p - F.when(i == 0, F.lit(0)).otherwise(F.element_at("gone", F.greatest(i, F.lit(1))) + 1), F.lit(1)))
