@@ -121,7 +121,7 @@ def fuse(lexical: DataFrame, vector: DataFrame, key: str, n: int, alpha: float |
     met = met.withColumn("__behind", behind)
     score = alpha / (k + F.coalesce("rank_v", "__behind")) + (1 - alpha) / (k + F.coalesce("rank_b", "__behind"))
     similarity = alpha * F.coalesce("vector_score", F.lit(0.0)) + (1 - alpha) * F.coalesce("bm25_score", F.lit(0.0))
-    fused = met.select("query_id", key, F.round(score, 9).alias("score"), F.round(similarity, 6).alias("similarity"), F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"), F.round(F.coalesce("bm25_score", F.lit(0.0)), 6).alias("bm25_score"))
+    fused = met.select("query_id", key, F.round(score, 9).alias("score"), F.round(similarity, 9).alias("similarity"), F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"), F.round(F.coalesce("bm25_score", F.lit(0.0)), 6).alias("bm25_score"))
     return passing_or_first(fused, (F.col("bm25_score") > 0.5) | (F.col("vector_score") >= gate), n, F.desc("score"), F.asc(key))
 
 
@@ -154,7 +154,7 @@ def boost(rows: DataFrame, first: Column, second: Column, by_first: float = 1.3,
     """score times 1.3 where the first constraint (department) holds and 1.15 where the second (year) does; similarity
     likewise, 1 at most."""
     factor = F.when(F.coalesce(first, F.lit(False)), by_first).otherwise(1.0) * F.when(F.coalesce(second, F.lit(False)), by_second).otherwise(1.0)
-    return rows.withColumn("__f", factor).withColumn("score", F.round(F.col("score") * F.col("__f"), 6)).withColumn("similarity", F.round(F.least(F.lit(1.0), F.col("similarity") * F.col("__f")), 6)).drop("__f")
+    return rows.withColumn("__f", factor).withColumn("score", F.round(F.col("score") * F.col("__f"), 10)).withColumn("similarity", F.round(F.least(F.lit(1.0), F.col("similarity") * F.col("__f")), 10)).drop("__f")
 
 
 def union_of_rewrites(results: DataFrame, key: str, n: int) -> DataFrame:

@@ -110,7 +110,7 @@ def fused_sql(n=10, alpha=0.7):
     b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, doc_id) - 1 AS rb, count(*) OVER (PARTITION BY query_id) AS nb FROM lexical),
     met AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.score AS vs, bm25_score AS bs, rv, rb, nv, nb FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
     far AS (SELECT *, greatest(coalesce(max(nv) OVER w, 0), coalesce(max(nb) OVER w, 0), {n}) AS behind FROM met WINDOW w AS (PARTITION BY query_id)),
-    scored AS (SELECT query_id, doc_id, round({alpha}::DOUBLE / (60 + coalesce(rv, behind)) + (1 - {alpha}::DOUBLE) / (60 + coalesce(rb, behind)), 9) AS score, round({alpha}::DOUBLE * coalesce(vs, 0) + (1 - {alpha}::DOUBLE) * coalesce(bs, 0), 6) AS similarity,
+    scored AS (SELECT query_id, doc_id, round({alpha}::DOUBLE / (60 + coalesce(rv, behind)) + (1 - {alpha}::DOUBLE) / (60 + coalesce(rb, behind)), 9) AS score, round({alpha}::DOUBLE * coalesce(vs, 0) + (1 - {alpha}::DOUBLE) * coalesce(bs, 0), 9) AS similarity,
       coalesce(vs, 0) AS vector_score, round(coalesce(bs, 0), 6) AS bm25_score FROM far),
     gated AS (SELECT *, bm25_score > 0.5 OR vector_score >= 0.35 AS ok FROM scored), numbered AS (SELECT *, sum(ok::INTEGER) OVER (PARTITION BY query_id) AS passing, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS n_all, row_number() OVER (PARTITION BY query_id ORDER BY ok DESC, score DESC, doc_id) AS n FROM gated),
     fused AS (SELECT query_id, doc_id, score, similarity, vector_score, bm25_score FROM numbered WHERE CASE WHEN passing < 1 THEN n_all <= 1 ELSE ok AND n <= {n} END)"""
@@ -128,7 +128,7 @@ def rrf_fusion(t):
 
 @query(f"""WITH {COSINES}, near AS (SELECT * FROM cosines QUALIFY {TOP.format('vec_id', 30)}),
     factors AS (SELECT query_id, vec_id, score, CASE WHEN label = query_id THEN 1.3::DOUBLE ELSE 1.0 END * CASE WHEN vec_id % 4 = 0 THEN 1.15::DOUBLE ELSE 1.0 END AS f FROM near)
-    SELECT query_id, vec_id, round(score * f, 6) AS score, round(least(1, score * f), 6) AS similarity FROM factors""")
+    SELECT query_id, vec_id, round(score * f, 10) AS score, round(least(1, score * f), 10) AS similarity FROM factors""")
 def constraint_boost(t):
     near = cosines(t, 30).join(t("embeddings").select("vec_id", "label"), "vec_id").withColumn("similarity", F.col("score"))
     return r.boost(near, F.col("label") == F.col("query_id"), F.col("vec_id") % 4 == 0).select("query_id", "vec_id", "score", "similarity")

@@ -31,7 +31,7 @@ def test_fusion_prefers_double_hits_and_bounds(spark):
     assert len(found) == 3 and len({x.chunk_id for x in found}) == 3
     by_id = {x.chunk_id: x for x in found}
     assert round(0.7 / 61 + 0.3 / 60, 9) == by_id["b"].score and found[0].chunk_id == "b"
-    assert by_id["b"].similarity == round(0.7 * 0.8 + 0.3 / (1 + math.exp(-0.9)), 6)
+    assert by_id["b"].similarity == round(0.7 * 0.8 + 0.3 / (1 + math.exp(-0.9)), 9)
     weak = r.fuse(results(spark, []), results(spark, [(2, "x", 0.1), (2, "y", 0.2)]), "chunk_id", 3).collect()
     assert [x.chunk_id for x in weak] == ["y"]
     assert r.fuse(results(spark, []), results(spark, []), "chunk_id", 3).count() == 0
