@@ -272,3 +272,25 @@ def enrollment_year(number: Column, latest: int) -> Column:
     """The first four characters of a student number, if they are a year from 2000 to latest."""
     year = F.when(F.substring(number, 1, 4).rlike(r"^\d{4}$"), F.substring(number, 1, 4).try_cast("int"))
     return F.when(year.between(2000, latest), year)
+
+
+def highlights(question: Column, content: Column) -> Column:
+    """The question's words that are in the content."""
+    return F.filter(F.array_distinct(words(question)), lambda w: F.contains(F.lower(content), w))
+
+
+def ending(path: Column) -> Column:
+    """The file name's ending with its dot, in lower case; of a packed archive both (.tar.gz)."""
+    return F.lower(F.regexp_extract(path, r"(?i)(\.tar\.[a-z0-9]+|\.[^./\\\\]+)$", 1))
+
+
+def path_labels(path: Column, below: str = "output") -> dict[str, Column]:
+    """department and category: the two folders under the first folder `below` of a path, if a file is in them."""
+    found = [F.regexp_extract(path, rf"(?:^|/){below}/([^/]+)/([^/]+)(?:/|$)", g) for g in (1, 2)]
+    return {"department": F.when(found[0] != "", found[0]), "category": F.when(found[1] != "", found[1])}
+
+
+def citation(label: Column, source: Column, similarity: Column) -> Column:
+    """A citation as a struct: label, source, score (0 to 1, four digits) and how relevant that is in a word."""
+    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(similarity, F.lit(0.0)))), 4)
+    return F.struct(label.alias("label"), F.coalesce(source, F.lit("未知")).alias("source"), score.alias("score"), relevance_label(score).alias("relevance"))

@@ -116,3 +116,41 @@ def next_code(rows: DataFrame, code: str, prefix: str, width: int = 3) -> DataFr
     largest = rows.where(number != "").agg(F.coalesce(F.max(number.cast("int")), F.lit(0)).alias("n"))
     digits = (F.col("n") + 1).cast("string")
     return largest.select(F.concat(F.lit(f"{prefix}-"), F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)).alias("next_code"))
+
+
+def descendants(rows: DataFrame, start: DataFrame, key: str, parent: str, most: int = 16) -> DataFrame:
+    """The ids at and below the nodes of start (its first column) in an adjacency list of at most `most` levels: one join a level."""
+    edges = rows.select(F.col(key).alias("k"), F.col(parent).alias("p"))
+    level = start.select(F.col(start.columns[0]).alias(key))
+    found = level
+    for _ in range(most):
+        level = level.join(edges, F.col(key) == F.col("p")).select(F.col("k").alias(key))
+        found = found.union(level)
+    return found.distinct()
+
+
+def without_subtree(rows: DataFrame, start: DataFrame, key: str, parent: str, dependents: dict[str, DataFrame] | None = None, most: int = 16) -> dict[str, DataFrame]:
+    """A cascading delete: what is left of rows ("rows") and of each dependent table, by its name, whose column of the name `key` refers to a
+    removed row."""
+    gone = descendants(rows, start, key, parent, most)
+    tables = {"rows": rows} | (dependents or {})
+    return {name: t.join(gone, key, "left_anti") for name, t in tables.items()}
+
+
+def sample_n(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows chosen by a hash of their key: the same ones at every run."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+
+
+def forward_filled(rows: DataFrame, group: str, order: str, *columns: str) -> DataFrame:
+    """Blank and null cells take the last value above them (merged cells of a table)."""
+    above = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumns({c: F.last(F.when(F.trim(F.col(c).cast("string")) != "", F.col(c)), ignorenulls=True).over(above) for c in columns})
+
+
+def reading_order(blocks: DataFrame, page: str, x: str = "x", y: str = "y", text: str = "text") -> DataFrame:
+    """page, text: recognised blocks joined by lines from top to bottom and left to right, without one that repeats the one before."""
+    order = Window.partitionBy(page).orderBy(y, x, text)
+    kept = blocks.withColumn("__b", F.lag(text).over(order)).where(F.col("__b").isNull() | (F.col("__b") != F.col(text)))
+    lines = kept.groupBy(page).agg(F.array_sort(F.collect_list(F.struct(y, x, text))).alias("__l"))
+    return lines.select(page, F.array_join(F.transform("__l", lambda l: l[text]), "\n").alias(text))

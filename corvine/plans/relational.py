@@ -200,3 +200,19 @@ def next_sequence_code(t):
 def folders_first_sort(t):
     ranked = t("documents").select("doc_id", "source").withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
     return ranked.where("place <= 5")
+
+
+@query("""SELECT event_id, last_value(CASE WHEN value >= 10 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM events""")
+def forward_fill(t):
+    rows = t("events").select("event_id", "user_id", F.when(F.col("value") >= 10, F.col("value")).alias("value"))
+    return r.forward_filled(rows, "user_id", "event_id", "value").select("event_id", "value")
+
+
+@query(f"""WITH RECURSIVE {ORGANIZATIONS}, gone AS (SELECT node FROM org WHERE node IN ('r1', 'n3') UNION ALL SELECT org.node FROM gone JOIN org ON org.parent = gone.node)
+    SELECT 'organizations' AS of_table, count(*) AS n FROM org WHERE node NOT IN (SELECT node FROM gone) UNION ALL SELECT 'orders', count(*) FROM orders WHERE 'c' || o_custkey NOT IN (SELECT node FROM gone)""")
+def cascading_delete(t):
+    org = organizations(t)
+    orders = t("orders").select(F.concat(F.lit("c"), "o_custkey").alias("node"), "o_orderkey")
+    left = r.without_subtree(org, org.where("node IN ('r1', 'n3')").select("node"), "node", "parent", {"orders": orders}, most=3)
+    counted = lambda name, rows: rows.agg(F.lit(name).alias("of_table"), F.count("*").alias("n"))
+    return counted("organizations", left["rows"]).union(counted("orders", left["orders"]))

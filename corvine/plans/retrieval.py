@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corvine.functions import text as f
 from corvine.functions import vectors as v
+from corvine.operators import chunks, hooks
 from corvine.operators import retrieval as r
 from corvine.operators.registry import query
 
@@ -169,3 +170,20 @@ def mmr_topk(t):
     pool = r.bm25(t("documents"), questions(t), "doc_id", 20).withColumn("score", v.squash(F.col("score")))
     texts = t("documents").select("doc_id", F.col("text").alias("content"))
     return r.mmr(pool.join(texts, "doc_id"), "doc_id", 10)
+
+
+@query()
+def rerank_topk(t):
+    """Lexical results judged again by the stand-in for a cross-encoder."""
+    pool = r.bm25(t("documents"), questions(t), "doc_id", 20).join(t("documents").select("doc_id", F.col("text").alias("content")), "doc_id")
+    return hooks.reranked(pool, questions(t), "doc_id", 5).select("query_id", "doc_id", F.round("rerank_score", 6).alias("rerank_score"), F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def ingest_and_search(t):
+    """From texts to evidence: cleaned, gated, cut into chunks, the chunks gated and embedded (by the stand-in), and searched."""
+    clean = t("documents").select("doc_id", f.clean_document(F.col("text")).alias("text")).where(f.worth_indexing(F.col("text")))
+    found = chunks.chunk(clean, "doc_id", strategy="sentence", size=800, overlap=100).where(f.quality_chunk(F.col("content")))
+    indexed = found.select("chunk_id", "doc_id", hooks.embedded(F.col("content")).alias("embedding"))
+    asked = questions(t).select("query_id", hooks.embedded(F.col("text")).alias("embedding"))
+    return r.cosine_topk(indexed, asked, "chunk_id", 5)

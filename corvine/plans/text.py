@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corvine.functions import constraints
 from corvine.functions import text as f
 from corvine.operators import texts as o
 from corvine.operators.registry import query
@@ -171,3 +172,26 @@ def relevance_labels(t):
 def path_tree(t):
     parts = f.url_parts(F.col("url"))
     return files.folders(t("pages").select(F.concat(parts["host"], parts["path"]).alias("path")))
+
+
+NAMES = {"the": "short name", "thele": "longer name", "des": "another", "und": "fourth"}
+
+
+@query("SELECT doc_id, CASE WHEN contains(text, 'thele') THEN 'longer name' WHEN contains(text, 'the') THEN 'short name' WHEN contains(text, 'des') THEN 'another' WHEN contains(text, 'und') THEN 'fourth' END AS name FROM documents")
+def constraint_names(t):
+    """Names in a text, the longest first."""
+    return t("documents").select("doc_id", constraints.named_in(F.col("text"), NAMES).alias("name"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice >= 100000 AND (o_orderpriority = '1-URGENT' OR o_custkey < 100)")
+def metadata_where(t):
+    where = {"$and": [{"o_orderstatus": {"$in": ["F", "P"]}}, {"o_totalprice": {"$gte": 100000}}, {"$or": [{"o_orderpriority": "1-URGENT"}, {"o_custkey": {"$lt": 100}}]}]}
+    return t("orders").where(constraints.predicate(where)).select("o_orderkey")
+
+
+@query(rf"""WITH RECURSIVE lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE length({strip('text')}) >= 20),
+    bare AS (SELECT doc_id, pos, {strip('line')} AS line FROM lines) SELECT doc_id, count(DISTINCT line) FILTER (line <> '') AS n_lines FROM bare GROUP BY doc_id HAVING count(DISTINCT line) FILTER (line <> '') > 3""")
+def distinct_lines(t):
+    """Documents of more than three distinct lines."""
+    lines = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), f.strip), lambda x: x != ""))
+    return t("documents").where(F.length(f.strip(F.col("text"))) >= 20).select("doc_id", F.size(lines).cast("long").alias("n_lines")).where("n_lines > 3")
