@@ -5,6 +5,7 @@ run. Ranks are row numbers over a query, which Spark cuts before its shuffle (wi
 a query's candidates never meet in one task in full.
 """
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -41,41 +42,57 @@ def query_terms(queries: DataFrame, tokens=text_functions.words) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, k: int | None = None, text: str = "text", k1: float = 1.5, b: float = 0.75, delta: float = 0.5, tokens=text_functions.words) -> DataFrame:
+def in_blocks(queries: DataFrame, answer: Callable[[DataFrame], DataFrame], block: int = BROADCAST_ROWS) -> DataFrame:
+    """The answers to all queries, taken in blocks of about `block` (by a hash of query_id): what is made of a block is small
+    enough to be sent to all tasks."""
+    parts = max(1, -(-queries.count() // block))
+    return reduce(DataFrame.union, [answer(queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)) for part in range(parts)])
+
+
+def bm25(docs: DataFrame, queries: DataFrame, key: str, k: int | None = None, text: str = "text", k1: float = 1.5, b: float = 0.75, delta: float = 0.5, tokens=text_functions.words, block: int = BROADCAST_ROWS) -> DataFrame:
     """query_id, key, score of the k best documents of each query by BM25L (Lv and Zhai 2011); all that share a term if k is None.
 
-    Terms that no query has are dropped where they are read: the index is counted for the queries' terms
-    only, and the corpus's length and size come with the same pass over it.
+    Texts are read and cut into words once for a block of queries. Words that no query has are dropped where they are read;
+    what is shuffled is one row for each document and term of a query, and one for each document, of the term "", by which
+    the corpus is counted.
     """
-    terms = query_terms(queries, tokens)
-    sized = docs.select(F.col(key), tokens(F.col(text)).alias("__w")).withColumn("len", F.size("__w"))
-    corpus = sized.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    wanted = terms.select("term").distinct()
-    found = sized.select(key, "len", F.explode("__w").alias("term")).join(wanted, "term", "left_semi")
-    index = found.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
-    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
-    scored_terms = terms.join(frequency, "term").crossJoin(F.broadcast(corpus)).select("query_id", "term", "qtf", "avg_len", F.log((F.col("n_docs") + 1) / (F.col("df") + 0.5)).alias("idf"))
-    c = F.col("tf") / (1 - b + b * F.col("len") / F.col("avg_len"))
-    weight = F.col("qtf") * F.col("idf") * (k1 + 1) * (c + delta) / (k1 + c + delta)
-    scores = index.join(scored_terms, "term").groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("score")).where("score > 0")
-    return scores if k is None else best(scores, k, key=key)
-
-
-def boolean_phrase(docs: DataFrame, queries: DataFrame, key: str, k: int, text: str = "text", all_words: float = 3.0, phrase: float = 5.0, some_word: float = 1.0, tokens=text_functions.words) -> DataFrame:
+    sized = docs.select(F.col(key), tokens(F.col(text)).alias("__w")).select(key, F.size("__w").alias("len"), F.explode(F.concat(F.array(F.lit("")), "__w")).alias("term"))
+
+    def answer(asked: DataFrame) -> DataFrame:
+        terms = query_terms(asked, tokens)
+        wanted = F.broadcast(terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct())
+        index = sized.join(wanted, "term", "left_semi").groupBy("term", key, "len").agg(F.count("*").alias("tf"))
+        counts = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("total"))
+        corpus = counts.where("term = ''").select(F.col("df").alias("n_docs"), (F.col("total") / F.col("df")).alias("avg_len"))
+        weighed = terms.join(counts, "term").crossJoin(F.broadcast(corpus)).select("query_id", "term", "qtf", "avg_len", F.log((F.col("n_docs") + 1) / (F.col("df") + 0.5)).alias("idf"))
+        c = F.col("tf") / (1 - b + b * F.col("len") / F.col("avg_len"))
+        weight = F.col("qtf") * F.col("idf") * (k1 + 1) * (c + delta) / (k1 + c + delta)
+        scores = index.join(F.broadcast(weighed), "term").groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("score")).where("score > 0")
+        return scores if k is None else best(scores, k, key=key)
+
+    return in_blocks(queries, answer, block)
+
+
+def boolean_phrase(docs: DataFrame, queries: DataFrame, key: str, k: int, text: str = "text", all_words: float = 3.0, phrase: float = 5.0, some_word: float = 1.0, tokens=text_functions.words, block: int = BROADCAST_ROWS) -> DataFrame:
     """query_id, key, score, the k best by the sum of: some_word times the share of the query's words that the document
     has, all_words if it has all, phrase if they follow each other in it. Documents without a word of the query are none."""
-    terms = query_terms(queries, tokens).select("query_id", "term")
-    asked = queries.select("query_id", tokens(F.col("text")).alias("q")).where(F.size("q") > 0)
     words = docs.select(F.col(key), tokens(F.col(text)).alias("w"))
-    held = words.select(key, F.explode(F.array_distinct("w")).alias("term")).join(terms, "term").groupBy("query_id", key).agg(F.count("*").alias("n"))
-    complete = held.join(asked, "query_id").withColumn("share", F.col("n") / F.size(F.array_distinct("q")))
-    # a phrase can only be in a document that has all words: only those are read again
-    full = complete.where("share = 1").select("query_id", key, "q").join(words, key)
-    follows = F.contains(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("q", " "), F.lit(" ")))
-    phrases = full.where(follows).select("query_id", key, F.lit(phrase).alias("bonus"))
-    scored = complete.join(phrases, ["query_id", key], "left")
-    score = some_word * F.col("share") + F.when(F.col("share") == 1, F.lit(all_words)).otherwise(0.0) + F.coalesce("bonus", F.lit(0.0))
-    return best(scored.select("query_id", key, F.round(score, 6).alias("score")), k, key=key)
+    own = words.select(key, F.explode(F.array_distinct("w")).alias("term"))
+
+    def answer(asked: DataFrame) -> DataFrame:
+        terms = F.broadcast(query_terms(asked, tokens).select("query_id", "term"))
+        asked = asked.select("query_id", tokens(F.col("text")).alias("q")).where(F.size("q") > 0)
+        held = own.join(terms, "term").groupBy("query_id", key).agg(F.count("*").alias("n"))
+        complete = held.join(F.broadcast(asked), "query_id").withColumn("share", F.col("n") / F.size(F.array_distinct("q")))
+        # a phrase can only be in a document that has all words: only those are read again
+        full = complete.where("share = 1").select("query_id", key, "q").join(words, key)
+        follows = F.contains(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("q", " "), F.lit(" ")))
+        phrases = full.where(follows).select("query_id", key, F.lit(phrase).alias("bonus"))
+        scored = complete.select("query_id", key, "share").join(phrases, ["query_id", key], "left")
+        score = some_word * F.col("share") + F.when(F.col("share") == 1, F.lit(all_words)).otherwise(0.0) + F.coalesce("bonus", F.lit(0.0))
+        return best(scored.select("query_id", key, F.round(score, 6).alias("score")), k, key=key)
+
+    return in_blocks(queries, answer, block)
 
 
 # ---- vectors
@@ -88,15 +105,14 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, key: str, k: int, within
     meets, a task hands on its k best of each query only.
     """
     dims = within or []
-    asked = queries.select("query_id", *dims, v.unit(F.col("embedding")).alias("__q"))
     rows = vectors.select(key, *dims, v.unit(F.col("embedding")).alias("__v"))
-    parts = max(1, -(-asked.count() // block))
-    found = []
-    for part in range(parts):
-        own = F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part))
+
+    def answer(asked: DataFrame) -> DataFrame:
+        own = F.broadcast(asked.select("query_id", *dims, v.unit(F.col("embedding")).alias("__q")))
         met = rows.join(own, dims) if dims else rows.crossJoin(own)
-        found.append(best(met.select("query_id", key, F.round(v.dot(F.col("__q"), F.col("__v")), 6).alias("score")), k, key=key))
-    return reduce(DataFrame.union, found)
+        return best(met.select("query_id", key, F.round(v.dot(F.col("__q"), F.col("__v")), 6).alias("score")), k, key=key)
+
+    return in_blocks(queries, answer, block)
 
 
 # ---- fusion and cuts
