@@ -41,15 +41,16 @@ def memory_window(t):
     return c.memory(t("conversations"), budget=600, recent=3)
 
 
-@query(f"""WITH {COSINES}, first AS (SELECT query_id, vec_id % 40 AS content, score FROM cosines WHERE kb_id = 0 QUALIFY {TOP.format('vec_id', 3)}), second AS (SELECT query_id, vec_id % 40 AS content, score FROM cosines QUALIFY {TOP.format('vec_id', 5)}),
+@query(f"""WITH {COSINES}, first AS (SELECT query_id, vec_id % 40 AS content, score FROM cosines WHERE label = CASE WHEN query_id % 2 = 0 THEN query_id ELSE (query_id + 1) % 10 END QUALIFY {TOP.format('vec_id', 3)}), second AS (SELECT query_id, vec_id % 40 AS content, score FROM cosines QUALIFY {TOP.format('vec_id', 5)}),
     good AS (SELECT query_id FROM first GROUP BY query_id HAVING max(score) >= 0.6), rows AS (SELECT *, 1 AS round FROM first UNION ALL SELECT *, 2 FROM second WHERE query_id NOT IN (SELECT query_id FROM good)),
     once AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY query_id, content ORDER BY round, score DESC) = 1)
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round, score DESC, content) AS place, content, score AS similarity, round FROM once""")
 def crag_two_round(t):
-    """The first round looks into one collection, the second into all."""
-    one = r.best(r.cosine_topk(t("embeddings").where("vec_id % 7 = 0"), vector_questions(t), "vec_id", 3), 3, key="vec_id")
-    named = lambda rows: rows.select("query_id", (F.col("vec_id") % 40).alias("content"), F.col("score").alias("similarity"))
-    return c.corrective(named(one), named(cosines(t, 5)), least=0.6)
+    """The first round looks into the collection that a question names, for half of them the wrong one; the second into all."""
+    named = F.when(F.col("query_id") % 2 == 0, F.col("query_id")).otherwise((F.col("query_id") + 1) % 10)
+    one = r.cosine_topk(t("embeddings"), vector_questions(t).withColumn("label", named), "vec_id", 3, within=["label"])
+    shown = lambda rows: rows.select("query_id", (F.col("vec_id") % 40).alias("content"), F.col("score").alias("similarity"))
+    return c.corrective(shown(one), shown(cosines(t, 5)), least=0.6)
 
 
 @query("""WITH claims AS (SELECT item_id AS answer_id, unnest([text[1:40], text[41:80], 'never said']) AS claim FROM benchmark), j AS (SELECT answer_id, contains(lower(text), lower(claim)) AS ok FROM claims JOIN benchmark ON item_id = answer_id)

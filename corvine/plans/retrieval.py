@@ -145,12 +145,12 @@ def kb_routing(t):
     return r.route(collections, vector_questions(t), 3)
 
 
-@query(f"""WITH {COSINES}, layers AS (SELECT query_id, CASE WHEN kb_id < 3 THEN 0 ELSE 1 END AS layer, kb_id, vec_id, score FROM cosines WHERE kb_id < 5 QUALIFY row_number() OVER (PARTITION BY query_id, kb_id ORDER BY score DESC, vec_id) <= 4)
+@query(f"""WITH {COSINES}, layers AS (SELECT query_id, CASE WHEN kb_id < 3 THEN 0 ELSE 1 END AS layer, kb_id, vec_id, score FROM cosines QUALIFY row_number() OVER (PARTITION BY query_id, kb_id ORDER BY score DESC, vec_id) <= 4)
     SELECT query_id, kb_id, vec_id AS chunk_id, score AS similarity, row_number() OVER w AS place, count(*) OVER (PARTITION BY query_id) AS total_found FROM layers WINDOW w AS (PARTITION BY query_id ORDER BY greatest(score, 0) DESC, kb_id, vec_id) QUALIFY place <= 5""")
 def layered_merge_top5(t):
     """Layers of collections; the second layer finds the first's results again, which count once."""
-    rows = t("embeddings").withColumn("kb_id", F.col("vec_id") % 7).where("kb_id < 5")
-    kbs = t("embeddings").select((F.col("vec_id") % 7).alias("kb_id")).distinct().where("kb_id < 5")
+    rows = t("embeddings").withColumn("kb_id", F.col("vec_id") % 7)
+    kbs = t("embeddings").select((F.col("vec_id") % 7).alias("kb_id")).distinct()
     near = r.cosine_topk(rows, vector_questions(t).crossJoin(kbs).select(F.struct("query_id", "kb_id").alias("query_id"), "kb_id", "embedding"), "vec_id", 4, within=["kb_id"])
     found = near.select("query_id.*", F.col("vec_id").alias("chunk_id"), F.col("score").alias("similarity"), F.lit(None).cast("double").alias("final_score"), F.col("vec_id").cast("string").alias("content"))
     layers = found.where("kb_id < 3").withColumn("layer", F.lit(0)).unionByName(found.withColumn("layer", F.lit(1)))

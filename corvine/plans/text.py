@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corvine.functions import constraints
+from corvine.functions import constraints, tools
 from corvine.functions import text as f
 from corvine.operators import texts as o
 from corvine.operators.registry import query
@@ -195,3 +195,25 @@ def distinct_lines(t):
     """Documents of more than three distinct lines."""
     lines = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), f.strip), lambda x: x != ""))
     return t("documents").where(F.length(f.strip(F.col("text"))) >= 20).select("doc_id", F.size(lines).cast("long").alias("n_lines")).where("n_lines > 3")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M:%S') AS time, isodow(ts)::INTEGER AS weekday, date_diff('day', DATE '2023-12-25', ts::DATE)::INTEGER AS days FROM events")
+def date_tool(t):
+    at = F.col("ts").cast("timestamp")
+    return t("events").select("event_id", *[c.alias(n) for n, c in tools.date_parts(at).items()], tools.days_between(F.lit("2023-12-25"), F.to_date(at)).alias("days"))
+
+
+@query("SELECT event_id, round((event_id % 7 + 2) * 3.5::DOUBLE - sqrt((event_id % 9)::DOUBLE), 6) AS value FROM events")
+def calculator(t):
+    expression = F.format_string("(%d + 2) * 3.5 - sqrt(%d)", F.col("event_id") % 7, F.col("event_id") % 9)
+    return t("events").select("event_id", F.round(tools.calculated(expression), 6).alias("value"))
+
+
+@query("""WITH c AS (SELECT conv_id, list(coalesce(text, '') ORDER BY turn) AS a FROM conversations GROUP BY conv_id), n AS (SELECT conv_id, a, list_sum(list_transform(a, lambda x: length(x))) AS s,
+      list_sum(list_transform(a, lambda x: least(600, length(x)))) AS s1, list_sum(list_transform(a, lambda x: least(300, length(x)))) AS s2, list_sum(list_transform(a, lambda x: least(150, length(x)))) AS s3, list_sum(list_transform(a, lambda x: least(60, length(x)))) AS s4,
+      len(list_filter(range(1, len(a) + 1), lambda i: list_sum(list_transform(a[1:i], lambda x: least(60, length(x)))) <= 700)) AS fit FROM c)
+    SELECT conv_id, array_to_string(CASE WHEN s <= 700 THEN a WHEN s1 <= 700 THEN list_transform(a, lambda x: x[1:600]) WHEN s2 <= 700 THEN list_transform(a, lambda x: x[1:300]) WHEN s3 <= 700 THEN list_transform(a, lambda x: x[1:150])
+      WHEN s4 <= 700 THEN list_transform(a, lambda x: x[1:60]) ELSE list_transform(a, lambda x: x[1:60])[1:greatest(1, fit)] END, '|') AS evidence FROM n""")
+def evidence_shortened(t):
+    texts = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("a"))
+    return texts.select("conv_id", F.array_join(tools.shortened(F.transform("a", lambda x: x["text"]), 700), "|").alias("evidence"))

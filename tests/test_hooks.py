@@ -78,3 +78,14 @@ def test_collections(spark, tmp_path):
     store.delete(1, spark.createDataFrame([("d1",)], "document_id string"), ["document_id"], str(tmp_path / "s3"))
     store.drop(7)
     assert store.read(1).count() == 0 and store.read().count() == 1
+
+
+def test_tools(spark):
+    from corvine.functions import tools
+
+    texts = ["1 + 2*3", "2^10", "-sqrt(16) // 3", "max(1, pi)", "__import__('os')", "1/0", "9**9**9", "a", "", None, "True"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    found = [x[0] for x in rows.orderBy("i").select(tools.calculated(F.col("t"))).collect()]
+    assert found[:3] == [7.0, 1024.0, -2.0] and abs(found[3] - np.pi) < 1e-12 and found[4:] == [None] * 7
+    row = spark.range(1).select(tools.days_between(F.lit("2024-02-28"), F.lit("2024-03-01")), tools.days_between(F.lit("x"), F.lit("2024-03-01")), tools.shortened(F.array(F.lit("a" * 500), F.lit("b" * 500)), 650), tools.shortened(F.array(F.lit("a" * 500), F.lit("b" * 500)), 70)).first()
+    assert row[0] == 2 and row[1] is None and [len(x) for x in row[2]] == [300, 300] and [len(x) for x in row[3]] == [60]
