@@ -82,6 +82,9 @@ def links(distinct: DataFrame, bits: int = 3, cell: int = 2000) -> DataFrame:
     the result does not depend on it."""
     if not 0 <= bits <= 3:
         raise ValueError("two segments hold up to three differing bits")
+    # dealt by number: a fingerprint becomes 66 index entries, so few bytes here are many behind the next step
+    # (by a hash of its own, as the optimizer leaves out a dealing that rows already have, and joins small partitions)
+    distinct = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     halves = distinct.select("fp", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("part"), low.alias("own"), high.alias("other")), F.struct(F.lit(1).cast("long").alias("part"), high.alias("own"), low.alias("other")))).alias("s")).select("fp", "s.*")
     full = cut(halves.groupBy("part", "own").count().where(F.col("count") > cell).select("part", "own"))
