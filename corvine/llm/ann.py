@@ -10,8 +10,9 @@ The measure is the inner product, so vectors of different length are first lifte
 candidate v becomes (v, sqrt(M² - |v|²)), a query (q, 0), which keeps the order of inner products.
 
 Equal vectors are searched once: of each, the k + 1 least ids are candidates (more can't be among the k
-nearest, ties going to the smaller id), and equal queries share one search. Candidates of a partition
-lie in blocks of bounded size, as do the queries that meet them, however many vectors fall into it.
+nearest, ties going to the smaller id), and equal queries share one search. Candidates of neighbouring
+partitions lie in groups of bounded size, a large partition in several blocks, and the queries that meet
+them in sets of bounded size, however many vectors fall into a partition.
 """
 
 from dataclasses import dataclass
@@ -145,7 +146,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(dimension), F.size("v") == F.col("d"), "left_semi")
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, max_sample: int = 8192, rows_per_partition: int = 1024, max_depth: int = 8, block: int = 4096, recall: float = 0.95) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, max_sample: int = 8192, rows_per_partition: int = 1024, max_depth: int = 8, block: int = 16384, recall: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id, score: for each usable row for which the column is_query holds, its k nearest
     found among all other usable rows by inner product in double precision, ties to the smaller vec_id.
 
@@ -174,34 +175,48 @@ def search(vectors: DataFrame, is_query, k: int = 20, max_sample: int = 8192, ro
         return found
 
     placed = cut(candidates.withColumn("part", places(False)("v")[0]))
+    # Neighbouring partitions share a group of `block` candidates at most, in which a query finds its k best at once; a
+    # larger one is a group of its own, dealt over several blocks. There are 2**max_depth partitions at most.
+    groups, blocks, held = [0] * 2**max_depth, [1], 0
+    for part, n in sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect()):
+        if held and held + n > block:
+            blocks.append(1)
+            held = 0
+        groups[part], blocks[-1], held = len(blocks) - 1, max(1, -(-(held + n) // block)), held + n
+    group_of, blocks_of = (F.array(*map(F.lit, x)) for x in (groups, blocks))
     # One search for equal queries, named by a hash of the vector and its least id.
     questions = cut(rows.where("asked").groupBy("v").agg(F.min("vec_id").alias("least")).select("v", F.xxhash64("least", "v").alias("asker")))
-    routed = cut(questions.withColumn("part", F.explode(places(True)("v"))))
-    # Blocks: partition sizes (2**max_depth rows at most) decide over how many a partition is dealt.
-    sizes = placed.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    asked = routed.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias("sets"))
-    plan = F.broadcast(cut(sizes.join(asked, "part")))
-    left = placed.join(plan, "part").select("part", F.pmod(F.xxhash64("vec_id", "v"), "blocks").alias("b"), F.explode(F.sequence(F.lit(0), F.col("sets") - 1)).alias("s"), "vec_id", "v")
-    right = routed.join(plan, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.pmod("asker", "sets").alias("s"), "asker", F.col("v").alias("q"))
+    sets = max(1, -(-questions.count() // block))
+    routed = questions.withColumn("parts", places(True)("v")).withColumn("group", F.explode(F.array_distinct(F.transform("parts", lambda p: group_of[p]))))
+    # Both sides' keys are of one type: rows are dealt by a hash that differs between int and long.
+    left = placed.withColumn("group", group_of[F.col("part")]).select("group", F.pmod(F.xxhash64("vec_id", "v"), blocks_of[F.col("group")]).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("s"), "part", "vec_id", "v")
+    right = routed.select("group", F.explode(F.sequence(F.lit(0), blocks_of[F.col("group")] - 1)).alias("b"), F.pmod("asker", F.lit(sets)).cast("int").alias("s"), "asker", "parts", F.col("v").alias("q"))
 
     def compare(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        if not len(here) or not len(there):
-            return pd.DataFrame({"asker": [], "vec_id": [], "score": []})
-        points, ids = np.stack(here["v"].to_numpy()), here["vec_id"].to_numpy()
-        m, out = min(k + 1, len(ids)), []
-        for at in range(0, len(there), 256):
-            part = there.iloc[at : at + 256]
-            queries = np.stack(part["q"].to_numpy())
-            scores = queries @ points.T
-            edge = np.partition(scores, len(ids) - m, axis=1)[:, len(ids) - m]
-            for i, asker in enumerate(part["asker"]):
-                near = np.flatnonzero(scores[i] >= edge[i] - 1e-9 * max(1.0, abs(edge[i])))
-                exact = (points[near] * queries[i]).sum(1)  # the same sum for equal vectors
-                best = np.lexsort((ids[near], -exact))[:m]
-                out.append((asker, ids[near][best], exact[best]))
-        return pd.DataFrame({"asker": np.repeat([o[0] for o in out], [len(o[1]) for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
-
-    met = left.groupBy("part", "b", "s").cogroup(right.groupBy("part", "b", "s")).applyInPandas(compare, "asker long, vec_id long, score double")
+        near: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(len(there))]
+        routes: dict[int, list[int]] = {}
+        for i, parts in enumerate(there["parts"]):
+            for p in parts:
+                routes.setdefault(int(p), []).append(i)
+        for p, own in here.groupby("part") if len(there) else ():
+            points, ids = np.stack(own["v"].to_numpy()), own["vec_id"].to_numpy()
+            m, asked = min(k + 1, len(ids)), routes.get(int(p), [])
+            for at in range(0, len(asked), 256):
+                queries = np.stack(there["q"].iloc[asked[at : at + 256]].to_numpy())
+                scores = queries @ points.T
+                edge = np.partition(scores, len(ids) - m, axis=1)[:, len(ids) - m]
+                for i, n in enumerate(asked[at : at + 256]):
+                    found = np.flatnonzero(scores[i] >= edge[i] - 1e-9 * max(1.0, abs(edge[i])))
+                    near[n].append((ids[found], (points[found] * queries[i]).sum(1)))  # the same sum for equal vectors
+        out = []
+        for asker, found in zip(there["asker"], near, strict=True):
+            if found:
+                ids, exact = (np.concatenate(x) for x in zip(*found, strict=True))
+                best = np.lexsort((ids, -exact))[: k + 1]
+                out.append(pd.DataFrame({"asker": asker, "vec_id": ids[best], "score": exact[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"asker": [], "vec_id": [], "score": []})
+
+    met = left.groupBy("group", "b", "s").cogroup(right.groupBy("group", "b", "s")).applyInPandas(compare, "asker long, vec_id long, score double")
     best = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
     found = met.distinct().withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).select("asker", "vec_id", "score")
     who = rows.where("asked").join(questions, "v").select(F.col("vec_id").alias("query_id"), "asker")

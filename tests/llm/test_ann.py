@@ -44,6 +44,19 @@ def test_recall(spark):
     assert all(abs(s - np.dot(np.array(vectors[q], float), np.array(vectors[i], float))) < 1e-9 for q, x in got.items() for i, s in x)
 
 
+def test_recall_over_many_tasks(spark):
+    """Partitions of the index and their queries meet however many tasks they are dealt to."""
+    g = np.random.default_rng(2)
+    data = [(i, np.float32(x).tolist()) for i, x in enumerate(g.standard_normal((3000, 16)))]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = results(ann.search(spark.createDataFrame(data, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=10, rows_per_partition=100, block=64))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = brute(data, lambda q: q % 20 == 0, 10)
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
 def test_exact_with_one_partition_and_many_copies(spark):
     g = np.random.default_rng(4)
     same = [0.5, -0.25, 2.0]
