@@ -91,3 +91,9 @@ def test_relational(spark):
     assert [(x.id, x.total, x.has_more) for x in shown] == [(3, 3, False)]
     codes = spark.createDataFrame([("X-24-998",), ("X-24-1000",), ("Y-1",)], "code string")
     assert r.next_code(codes, "code", "X-24").first()[0] == "X-24-1001" and r.next_code(codes, "code", "Z").first()[0] == "Z-001"
+
+
+def test_concurrency(spark):
+    rows = spark.createDataFrame([("a", 0.0, 10.0), ("a", 1.0, 100.0), ("a", 2.0, 1.0), ("a", 11.0, 5.0), ("a", 40.0, 1.0)], "k string, t double, d double")
+    found = {x.t: (x.admitted, x.running) for x in folds.fold(rows, "k", ["t"], ["t", "d"], "admitted boolean, running int", folds.concurrency(2, 30.0)).collect()}
+    assert found == {0.0: (True, 1), 1.0: (True, 2), 2.0: (False, 2), 11.0: (True, 2), 40.0: (True, 1)}
