@@ -141,6 +141,8 @@ def fit(docs: DataFrame, per_language: int = 1000) -> Model:
         at = np.flatnonzero(found)
         return Vectors.sparse(PLACES, at, found[at])
 
+    # not said to be deterministic: else the test for null would be pushed below the sampling and run on every text
+    vector = vector.asNondeterministic()
     rows = cut(sample.select("lang", family("lang").alias("family"), vector("text").alias("features")).where("features IS NOT NULL"))
     known = sorted((r["family"], r["lang"]) for r in rows.select("family", "lang").distinct().collect())
     families = sorted({f for f, _ in known})
