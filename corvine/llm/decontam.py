@@ -6,7 +6,12 @@ function of step and word; after the walk, a small edit distance is a small Hamm
 LSH on top: a repetition draws a walk and a few of its steps; the words written there are the key of an
 item and of the window at each word of a document. Equal keys make a candidate. Repetitions alternate
 between walks from an item's first word on and from its last word back, so that edits at either end harm
-half of them only. Each candidate is verified by the exact edit distance of the item to the best part of
+half of them only.
+
+The walks see a part of a long item only, so pieces make the search whole: an item of m words that may
+differ in k is cut into k + 1 pieces, of which k edits leave one as it is (pigeonhole). A text that holds
+a piece is a candidate there, so no passage within the limit is lost, wherever it is cut or reworded, and
+no recall has to be estimated. Each candidate is verified by the exact edit distance of the item to the best part of
 the text around it (Myers' bit-vectors).
 
 Keys are compared step by step: a window whose words differ from all items' at one sampled step can't
@@ -17,6 +22,7 @@ against all documents; documents are never shuffled or collected.
 """
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -27,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
+_FACTOR, _LOW = 0x9E3779B97F4A7C15, (1 << 64) - 1
 LEAKS = "array<struct<item_id: long, distance: int, n_words: int, start: int, end: int>>"
 
 
@@ -50,7 +57,7 @@ class _Walk:
         for step in range(self.steps[-1] + 1):
             word = text[here]
             if step == self.steps[k]:
-                key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ (word.astype(np.uint64) + np.uint64(1))
+                key = (key * np.uint64(_FACTOR)) ^ (word.astype(np.uint64) + np.uint64(1))
                 if keep is not None:
                     known = keep[k]
                     if k == 0:
@@ -63,9 +70,47 @@ class _Walk:
         return at, key
 
 
+@dataclass
+class _Pieces:
+    """The pieces of a block of items by their hash: prefixes[n] are the sorted hashes of the first n + 1 words of all pieces of
+    more than n words, items[n] the (item, first word of the piece) of pieces of n + 1 words."""
+
+    prefixes: list[np.ndarray]
+    items: list[dict[int, list[tuple[int, int]]]]
+
+    @staticmethod
+    def build(rows: list[list[int]], ratio: float) -> "_Pieces":
+        known: list[set[int]] = []
+        items: list[dict[int, list[tuple[int, int]]]] = []
+        for n, tokens in enumerate(rows):
+            m, parts = len(tokens), int(ratio * len(tokens)) + 1
+            for i in range(parts):
+                key, first, last = 0, i * m // parts, (i + 1) * m // parts
+                for k, word in enumerate(tokens[first:last]):
+                    key = (key * _FACTOR & _LOW) ^ (word + 1)
+                    if k == len(known):
+                        known.append(set())
+                        items.append({})
+                    known[k].add(key)
+                if last > first:  # a ratio of one and more allows more edits than words
+                    items[last - first - 1].setdefault(key, []).append((n, first))
+        return _Pieces([np.array(sorted(k), dtype=np.uint64) for k in known], items)
+
+    def met(self, text: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, dict[int, list[tuple[int, int]]]]]:
+        """For each length of pieces the places among `at` of the padded text where one may begin, their hashes, and its items."""
+        key = np.zeros(len(at), dtype=np.uint64)
+        for n, (known, items) in enumerate(zip(self.prefixes, self.items, strict=True)):
+            key = (key * np.uint64(_FACTOR)) ^ (text[at + n].astype(np.uint64) + np.uint64(1))
+            good = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
+            at, key = at[good], key[good]
+            if items:
+                yield at, key, items
+            at, key = at[at + n + 1 < len(text)], key[at + n + 1 < len(text)]
+
+
 @dataclass
 class Index:
-    """LSH tables of a block of benchmark items. Words that no item has are word 0: they equal none."""
+    """LSH tables and pieces of a block of benchmark items. Words that no item has are word 0: they equal none."""
 
     vocabulary: dict[str, int]
     item_ids: list[int]
@@ -73,6 +118,7 @@ class Index:
     masks: list[dict[int, int]]
     classes: list[list[_Walk]]
     ratio: float
+    pieces: _Pieces
 
     @staticmethod
     def build(items: list[tuple[int, str | None]], ratio: float = 0.2, repetitions: int = 8, samples: int = 4, seed: int = 7) -> "Index":
@@ -85,7 +131,7 @@ class Index:
             for p, t in enumerate(tokens):
                 own[t] = own.get(t, 0) | 1 << p
             masks.append(own)
-        index = Index(vocabulary, [i for i, _ in rows], [len(t) for _, t in rows], masks, [], ratio)
+        index = Index(vocabulary, [i for i, _ in rows], [len(t) for _, t in rows], masks, [], ratio, _Pieces.build([t for _, t in rows], ratio))
         random = np.random.default_rng(seed)
         for least, most in ((1, 1), (2, 3), (4, 7), (8, 14), (15, None)):
             own = [n for n, (_, t) in enumerate(rows) if least <= len(t) <= (most or len(t))]
@@ -163,11 +209,22 @@ class Index:
                 for n, place, key in zip(own.tolist(), (where - begins[own]).tolist(), keys.tolist(), strict=True):
                     for item in walk.items.get(key, ()):
                         candidates.add((n, item, place - self.lengths[item] + 1 if walk.back else place))
+        for at, keys, items in self.pieces.met(joined, places):
+            own = np.searchsorted(begins, at, side="right") - 1
+            for n, place, key in zip(own.tolist(), (at - begins[own]).tolist(), keys.tolist(), strict=True):
+                for item, first in items.get(key, ()):
+                    candidates.add((n, item, place - first))
         best: list[dict[int, dict]] = [{} for _ in texts]
+        parts: list[tuple[int, int, int, int]] = []  # text, item, and where they may meet: parts that overlap are one
         for n, item, place in sorted(candidates):
+            most = int(self.ratio * self.lengths[item])
+            low, high = max(0, place - most), min(len(texts[n]), place + self.lengths[item] + most)
+            if parts and parts[-1][:2] == (n, item) and low < parts[-1][3]:
+                low, high = parts[-1][2], max(high, parts.pop()[3])
+            parts.append((n, item, low, high))
+        for n, item, low, high in parts:
             m, tokens = self.lengths[item], texts[n]
             most = int(self.ratio * m)
-            low, high = max(0, place - most), min(len(tokens), place + m + most)
             part = tokens[low:high]
             known = self.masks[item]
             if sum(t in known for t in part.tolist()) < m - most:

@@ -61,6 +61,25 @@ def test_recall_and_no_false_reports():
     assert recall[0] == 1 and recall[1] >= 0.98 and recall[0.05] >= 0.95 and recall[0.1] >= 0.95
 
 
+def test_whole_limit_is_found():
+    """All of 20 % spent anywhere: both ends of long items cut, edits spread over items of all lengths."""
+    r = random.Random(11)
+    pool = [f"w{i}" for i in range(2000)]
+    items = [(i, r.choices(pool, k=n)) for i, n in enumerate([1, 4, 5, 9, 14, 15, 16, 40, 99, 100, 150, 200, 300, 500] * 3)]
+    index = decontam.Index.build([(i, " ".join(t)) for i, t in items])
+    hit = {"ends": [], "first": [], "spread": []}
+    for i, tokens in items:
+        n = int(0.2 * len(tokens))
+        cut = {"ends": tokens[n // 2 : len(tokens) - (n - n // 2)], "first": tokens[n:], "spread": garble(r, tokens, n, pool)}
+        texts = [r.choices(pool, k=30) + c + r.choices(pool, k=30) for c in cut.values()]
+        for kind, text, found in zip(cut, texts, index.leaks([" ".join(t) for t in texts]), strict=True):
+            distance = edit(tokens, text)
+            assert distance <= n
+            hit[kind].append([x["distance"] for x in found if x["item_id"] == i] == [distance])
+    print({k: sum(h) / len(h) for k, h in hit.items()})
+    assert all(map(all, hit.values()))
+
+
 def test_odd_rows(spark):
     item = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
     benchmark = spark.createDataFrame([(1, item, "x"), (1, item, "x"), (2, None, "x"), (None, item, "x"), (3, " .,", "x"), (4, "short one", "x")], "item_id long, text string, leaks string")
