@@ -7,7 +7,7 @@ words that are matched is its coverage.
 
 Parts are found without loss for the wanted coverage: a text must hold one of a template's words that
 make up more than the share that may be missing, and a part's words must, counted without their order,
-cover the template that far.
+cover the template that far. Each such window is aligned until one holds a part.
 """
 
 import math
@@ -95,6 +95,7 @@ class Template:
 
     def __post_init__(self) -> None:
         self.needed = math.ceil(self.least * len(self.tokens) - 1e-9)
+        self.width = len(self.tokens) + max(2, len(self.tokens) // 4)
         self.counts = Counter(self.tokens)
         self.must: list[str] = []
         missing = 0
@@ -104,34 +105,50 @@ class Template:
             if missing > len(self.tokens) - self.needed:
                 break
 
-    def starts(self, tokens: list[str]) -> list[int]:
-        """Where windows begin whose words may cover the template far enough: of each stretch of such places as
-        long as the template, the first of those whose window may cover most."""
-        width, have, covered, best = len(self.tokens) + max(2, len(self.tokens) // 4), Counter(), 0, []
-        for i, w in enumerate(tokens):
-            if w in self.counts:
+    def begins(self, tokens: list[str]) -> list[tuple[int, int]]:
+        """Where windows begin whose words may cover the template far enough, and how many they may cover. Windows begin at
+        words of the template and are shorter at the text's end."""
+        have, covered, out = Counter(), 0, []
+        for i in range(len(tokens) + self.width - self.needed):
+            if i < len(tokens) and (w := tokens[i]) in self.counts:
                 have[w] += 1
                 covered += have[w] <= self.counts[w]
-            if i >= width and (old := tokens[i - width]) in self.counts:
+            begin = i - self.width + 1
+            if begin >= 1 and (old := tokens[begin - 1]) in self.counts:
                 covered -= have[old] <= self.counts[old]
                 have[old] -= 1
-            if covered >= self.needed:
-                begin = max(0, i - width + 1)
-                if not best or begin >= best[-1][2] + len(self.tokens):
-                    best.append((covered, begin, begin))
-                elif covered > best[-1][0]:
-                    best[-1] = (covered, begin, best[-1][2])
-        return [b[1] for b in best]
+            if covered >= self.needed and begin >= 0 and tokens[begin] in self.counts:
+                out.append((begin, covered))
+        return out
 
     def found(self, tokens: list[str]) -> list[tuple]:
-        out, width = [], len(self.tokens) + max(2, len(self.tokens) // 4)
-        for begin in self.starts(tokens):
-            pairs = align(self.tokens, tokens[begin : begin + width])
-            if len(pairs) >= self.needed:
-                start, end = begin + pairs[0][1], begin + pairs[-1][1] + 1
-                if not out or start >= out[-1][2]:
-                    out.append((self.name, start, end, len(pairs), len(self.tokens), len(pairs) / len(self.tokens)))
-        return out
+        """Parts from the first on: the first window that covers the template far enough and those that begin within what the
+        template may miss are one part, of which the best (most words, then the shortest) stays; the next begins after it. A last word that lies far behind the others may be
+        the next part's: it is left to that part, if there is one."""
+        parts: list[list[tuple[int, int]]] = []
+        begins, n, short = self.begins(tokens), 0, 0
+        while n < len(begins):
+            begin = begins[n][0]
+            best = align(self.tokens, tokens[begin : begin + self.width])
+            n += 1
+            if len(best) < self.needed:
+                continue
+            best = [(i, begin + j) for i, j in best]
+            last = best[min(len(self.tokens) - self.needed, len(best) - 1)][1]
+            near = begins[n : bisect_left(begins, (last + 1,), n)]
+            for other, most in sorted(near, key=lambda x: (-x[1], x[0])):
+                if most < len(best):
+                    break
+                pairs = [(i, other + j) for i, j in align(self.tokens, tokens[other : other + self.width])]
+                if (len(pairs), best[-1][1] - best[0][1]) > (len(best), pairs[-1][1] - pairs[0][1] if pairs else 0):
+                    best = pairs
+            if parts and best[0][1] <= parts[-1][-1][1]:
+                del parts[-1][short:]
+            parts.append(best)
+            # of the beginnings with enough words that with the most matched words beyond those between them
+            short = max(range(self.needed, len(best) + 1), key=lambda k: (2 * k - best[k - 1][1], k))
+            n = bisect_left(begins, (best[short - 1][1] + 1,))
+        return [(self.name, p[0][1], p[-1][1] + 1, len(p), len(self.tokens), len(p) / len(self.tokens)) for p in parts]
 
 
 def scan_text(text: str | None, templates: list[Template]) -> list[tuple]:

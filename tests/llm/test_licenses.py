@@ -43,6 +43,33 @@ def test_planted_licenses_are_found():
     assert not any(lic.scan_text(c, templates) for c in clean)
 
 
+def test_adjacent_copies_are_found_each():
+    """Copies one after the other, as in NOTICE files, whole, with words put in or taken out; parts equal those of all windows."""
+    r = random.Random(6)
+    for name, text in lic.TEMPLATES.items():
+        t = lic.Template(name, lic.words(text), 0.8)
+        for copies in (1, 2, 3, 4):
+            for edits in (0, len(t.tokens) // 12):
+                tokens, planted = ["before", "it"], []
+                for n in range(copies):
+                    own = list(t.tokens)
+                    for k in range(edits):
+                        at = r.randrange(1, len(own) - 1)
+                        own[at:at] = [f"put{k}"]
+                        del own[r.randrange(1, len(own) - 1)]
+                    tokens += ["copyright", f"200{n}", "someone"]
+                    planted.append((len(tokens), len(tokens) + len(own)))
+                    tokens += own
+                got = [f[1:3] for f in t.found([*tokens, "after"])]
+                if edits == 0:
+                    assert got == planted, (name, copies)
+                assert len(got) == copies and all(min(x[1], y[1]) - max(x[0], y[0]) > 0.7 * len(t.tokens) for x, y in zip(got, planted, strict=True)), (name, copies, got, planted)
+                windows = [(b, lic.align(t.tokens, tokens[b : b + t.width])) for b in range(len(tokens))]
+                for b, pairs in windows:  # what any window holds meets a part that was found
+                    if len(pairs) >= t.needed:
+                        assert any(b + pairs[0][1] < y and x < b + pairs[-1][1] + 1 for x, y in got)
+
+
 def test_odd_rows(spark):
     notice = "Released under the MIT License."
     rows = [(1, None), (2, ""), (3, f"a {notice} b\n{notice}"), (4, "... !!"), (5, "word " * 20000 + notice), (5, "word " * 20000 + notice), (None, lic.TEMPLATES["ISC"].upper())]
