@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 Learning. Labelled examples are a bounded sample of the labelled rows it may learn from (max_examples).
-Copies and near copies of an example count once. The index terms are the words that are surely more
+Examples of one label with the same set of words count once. The index terms are the words that are surely more
 frequent in toxic examples than in others; their document frequencies come from all documents.
 Examples with equal vectors are one entry of the index with counts of both labels, so that neither
 copies nor the many examples without any index term lengthen it.
@@ -38,7 +38,7 @@ def words(text: str | None) -> Counter:
 
 
 def hash_word(word: str) -> int:
-    """A stable 64-bit hash of a word."""
+    """A stable 64-bit hash of a word or words."""
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
 
@@ -165,13 +165,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20000, max_terms
     def counted(batches):
         for batch in batches:
             found = [words(t) for t in batch.column("text").to_pylist()]
-            # Near copies share the two least hashes of their word sets.
-            sketch = [tuple(sorted({hash_word(w) for w in f})[:2]) for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__toxic"), pa.array([xxhash.xxh64_intdigest(repr(s)) - 2**63 for s in sketch], pa.int64()), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "sketch", "word", "n"])
+            # Copies share their word set; words hold no blank.
+            sets = [hash_word(" ".join(sorted(f))) - 2**63 for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__toxic"), pa.array(sets, pa.int64()), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "words", "word", "n"])
 
-    rows = cut(examples.select("__id", "__toxic", "text").mapInArrow(counted, "doc_id long, toxic int, sketch long, word array<string>, n array<int>"))
-    firsts = rows.groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    once = cut(rows.join(firsts, ["sketch", "toxic", "doc_id"]).dropDuplicates(["doc_id"]))
+    rows = cut(examples.select("__id", "__toxic", "text").mapInArrow(counted, "doc_id long, toxic int, words long, word array<string>, n array<int>"))
+    firsts = rows.groupBy("words", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    once = cut(rows.join(firsts, ["words", "toxic", "doc_id"]).dropDuplicates(["doc_id"]))
     size, toxic = once.agg(F.count("*"), F.sum("toxic")).first()
     rate = (toxic or 0) / max(size, 1)
     by_word = once.select("toxic", F.explode("word").alias("word")).groupBy("word").agg(F.count("*").alias("all"), F.sum("toxic").alias("toxic"))

@@ -54,6 +54,18 @@ def test_held_out_accuracy(spark):
     assert precision > 0.9 and recall > 0.7 and brier < 0.04
 
 
+def test_only_copies_count_once(spark):
+    """Texts that share most words are examples of their own; texts of one word set and label are one."""
+    rows = [(i, "common words of a language that all texts share " + f"own{i} mark{i} " + ("fool" if i % 3 == 0 else "nice")) for i in range(300)]
+    rows += [(1000 + i, rows[i][1].upper() + "!") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 1000 % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = tx.fit(docs, labels)
+    learnt = {(frozenset(tx.words(t)), i % 1000 % 3 == 0) for i, t in rows if not out(i)}
+    total = model.counts.sum(0) + model.plain
+    assert total.tolist() == [sum(not toxic for _, toxic in learnt), sum(toxic for _, toxic in learnt)]
+
+
 def test_odd_rows(spark):
     rows = [(i, f"plain words number {i} " + ("you awful fool" if i % 4 == 0 else "nice day")) for i in range(80)]
     rows += [(200, None), (201, ""), (None, "awful fool"), (202, "fool " * 20000), (3, rows[3][1])]
