@@ -146,6 +146,14 @@ def hierarchy_recursive_up(t):
     return r.ancestors(org, org.where("node LIKE 'c%' AND name LIKE '%7'").select("node"), "node", "parent", 3)
 
 
+@query(f"""WITH RECURSIVE {ORGANIZATIONS}, up AS (SELECT node, node AS ancestor, 0 AS distance FROM org
+    UNION ALL SELECT up.node, org.parent, distance + 1 FROM up JOIN org ON org.node = up.ancestor WHERE org.parent IS NOT NULL) SELECT * FROM up""")
+def hierarchy_recursive_up_all(t):
+    """Ancestors of every node."""
+    org = organizations(t)
+    return r.ancestors(org, org.select("node"), "node", "parent", 3)
+
+
 @query(f"WITH {ORGANIZATIONS} SELECT a.node AS ancestor, count(*) AS n_nodes FROM org a JOIN org d ON d.path = a.path OR d.path LIKE a.path || '/%' GROUP BY a.node")
 def hierarchy_closure_down(t):
     """Nodes at or under each node: the prefixes of a path are its ancestors, so the closure is an equality join."""

@@ -41,3 +41,13 @@ def test_without_optional_part(tmp_path, spark):
     shutil.copy(here / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25_topk' in q and not any(n.startswith('op1_') or n == 'pipeline' for n in q), list(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"})
+
+
+def test_every_node_has_its_ancestors(spark, folder):
+    from corvine.plans.relational import organizations
+    from corvine.sources.tables import table
+
+    nodes = {r.node for r in organizations(lambda name: table(spark, folder, name)).collect()}
+    got = registry.QUERIES["hierarchy_recursive_up_all"](spark, folder).collect()
+    print("rows", len(got), "before", registry.QUERIES["hierarchy_recursive_up"](spark, folder).count())
+    assert {r.node for r in got if r.distance == 0} == nodes
