@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder. The cluster's spark.checkpoint.dir is used as it is; only where none is
-    set (tests on one machine) a temporary folder takes its place."""
+    set and all tasks run on this machine (tests) a temporary folder takes its place. Checkpoints that nothing
+    refers to any more are removed where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvine-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corvine-"))
     return context.getCheckpointDir()
 
 
@@ -22,6 +26,14 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def fresh(frame: DataFrame, name: str) -> str:
+    """The name, or one made of it, that no column of the frame has in any case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and small-star steps
     (Kiveris et al. 2014), which need O(log² n) rounds and no group in one place: each step is an

@@ -1,22 +1,25 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Learning. Labelled examples are a bounded sample of the labelled rows it may learn from (max_examples).
-Examples of one label with the same set of words count once. The index terms are the words that are surely more
-frequent in toxic examples than in others; their document frequencies come from all documents.
-Examples with equal vectors are one entry of the index with counts of both labels, so that neither
-copies nor the many examples without any index term lengthen it.
-
-Searching. Entries are numbered by their strongest term and cut into blocks. An inverted index holds,
-for each term, the largest weight in each block. For a text, the bounds of all blocks are the products
-of its weights with these; blocks are scored exactly in order of their bounds until the k-th similarity
-found is above the next bound. The result is the exact k nearest examples. Their votes, weighted by
-similarity and joined by a few votes of the base rate, are the score; the nearest are the evidence.
+Learning. Labelled examples are a bounded sample of the labelled rows it may learn from (max_examples,
+max_words). Examples of one label with the same set of words count once. The vectors hold all words of
+the examples' vocabulary: TF-IDF, with document frequencies from all documents, times one more factor for
+words that are surely more frequent in toxic examples than in others (1 + their evidence in nats, where it is beyond
+what the best of all tested words reaches by chance), so that a few such words tell in a long text, too.
+
+Searching. Examples are ordered by their strongest frequent word and cut into blocks. Posting lists of rare
+words are short and read whole. For a frequent word the index holds its largest weight in each block: the products
+of a text's weights with these, and what the rare words give the best example of the block, bound the
+cosines in it. The blocks with the largest bounds are scored first; then only those whose bound is
+above the k-th cosine that is surely reached. The result is the exact k nearest examples.
+
+Their votes, weighted by similarity and joined by some of the base rate, are made a probability by isotonic
+regression over the votes for the examples themselves, each left out of its own search.
 """
 
-import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -25,11 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvine.llm.common import cut
+from corvine.llm.common import cut, fresh
 
 _WORD = re.compile(r"\w+")
-#: Blocks that are scored first, and searches that a worker remembers.
-SEEDS, KNOWN = 2, 100_000
+SLACK = 1e-9  # of cosines: sums in another order
 
 
 def words(text: str | None) -> Counter:
@@ -44,122 +46,176 @@ def hash_word(word: str) -> int:
 
 @dataclass
 class Model:
-    """Bounded by max_terms and max_examples: it is broadcast to the executors."""
+    """Bounded by max_examples and max_words: it is broadcast to the executors."""
 
     terms: dict[str, int]
-    idf: np.ndarray
-    entries: list[np.ndarray]  # of each example vector: its terms ...
-    weights: list[np.ndarray]  # ... and their weights, of length one together
-    counts: np.ndarray  # examples of each entry: other, toxic
-    example: np.ndarray  # the smallest doc_id of each entry's examples
-    plain: np.ndarray  # examples without any index term: other, toxic
+    weight_of: np.ndarray  # of each term: its inverse document frequency times its factor
+    starts: np.ndarray  # example e has the terms cols[starts[e]:starts[e + 1]], rising, ...
+    cols: np.ndarray
+    weights: np.ndarray  # ... with these weights, of length one together
+    toxic: np.ndarray
+    ids: np.ndarray  # doc_ids of the examples
     k: int = 25
-    prior: float = 3.0
+    prior: float = 1.0
     block: int = 64
-
-    def __post_init__(self) -> None:
-        order = sorted(range(len(self.entries)), key=lambda e: (int(self.entries[e][np.argmax(self.weights[e])]), int(self.example[e])))
-        self.entries, self.weights = [self.entries[e] for e in order], [self.weights[e] for e in order]
-        self.counts, self.example = self.counts[order], self.example[order]
-        blocks = -(-len(order) // self.block)
-        self.bounds = np.zeros((len(self.terms), max(blocks, 1)))
-        postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        for e, (ts, ws) in enumerate(zip(self.entries, self.weights, strict=True)):
-            for t, w in zip(ts, ws, strict=True):
-                self.bounds[t, e // self.block] = max(self.bounds[t, e // self.block], w)
-                postings[t].append((e, w))
-        self.ids = [np.array([e for e, _ in p], dtype=np.int64) for p in postings]
-        self.values = [np.array([w for _, w in p]) for p in postings]
-        self.home = [i // self.block for i in self.ids]
-        self.sizes, self.names = self.counts.sum(1), list(self.terms)
-        self.found: dict[tuple, list[tuple[int, float]]] = {}  # of texts seen by this worker
-        # Where each block's part of a posting list begins.
-        self.starts = [np.searchsorted(i, np.arange(blocks + 1) * self.block) for i in self.ids]
-        total = self.counts.sum(0) + self.plain
-        self.base = float((total[1] + 0.5) / (total.sum() + 1))
-        self.plain_score = float((self.plain[1] + self.base) / (self.plain.sum() + 1))
+    rare: int = 256  # examples that hold a rare term at most
+    curve: tuple[np.ndarray, np.ndarray] | None = None  # votes and the probabilities they stand for
+
+    def __getstate__(self) -> dict:
+        return {n: v for n, v in self.__dict__.items() if n != "index"}  # made anew where it is needed
+
+    @property
+    def base(self) -> float:
+        return float((self.toxic.sum() + 0.5) / (len(self.toxic) + 1))
+
+    @cached_property
+    def index(self) -> dict:
+        n, lengths = len(self.ids), np.diff(self.starts)
+        held = np.bincount(self.cols, minlength=len(self.terms))
+        frequent = np.flatnonzero(held > self.rare)
+        place = np.full(len(self.terms), -1)
+        place[frequent] = np.arange(len(frequent))
+        entry, at = np.repeat(np.arange(n), lengths), place[self.cols]
+        strong = np.lexsort((-self.weights, entry, at < 0))
+        strongest = np.full(n, -1)
+        strongest[entry[strong][::-1]] = at[strong][::-1]
+        order = np.lexsort((self.ids, strongest))
+        number = np.empty(n, dtype=np.int64)
+        number[order] = np.arange(n)
+        blocks = max(1, -(-n // self.block))
+        dense = np.zeros((len(frequent), blocks * self.block))
+        dense[at[at >= 0], number[entry[at >= 0]]] = self.weights[at >= 0]
+        rows, numbers, values = self.cols[at < 0], number[entry[at < 0]], self.weights[at < 0]
+        by_term = np.lexsort((numbers, rows))
+        return {
+            "order": order, "place": place, "dense": dense, "blocks": blocks, "bounds": dense.reshape(len(frequent), blocks, self.block).max(2),
+            "lists": np.searchsorted(rows[by_term], np.arange(len(self.terms) + 1)), "numbers": numbers[by_term], "values": values[by_term],
+        }
 
     def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Index terms of a text, rising, and their TF-IDF weights of length one."""
-        own = sorted((self.terms[w], n) for w, n in found.items() if w in self.terms)
+        """Terms of a text, rising, and their weights, of length one. Words that no example has are left out: they change
+        all cosines of the text in one proportion."""
+        terms = self.terms
+        own = sorted((terms[w], n) for w, n in found.items() if w in terms)
         if not own:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
-        at = np.array([t for t, _ in own])
-        weight = (1 + np.log([n for _, n in own])) * self.idf[at]
+        at, n = np.array(own).T
+        weight = (1 + np.log(n)) * self.weight_of[at]
         return at, weight / np.sqrt(weight @ weight)
 
-    def _similar(self, at: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Cosines of all entries of these blocks; 0 for others."""
-        sims = np.zeros(len(self.entries))
-        wanted = np.zeros(self.bounds.shape[1], dtype=bool)
-        wanted[blocks] = True
-        for t, w in zip(at, weight, strict=True):
-            if len(blocks) <= SEEDS:
-                for b in blocks:
-                    part = slice(self.starts[t][b], self.starts[t][b + 1])
-                    sims[self.ids[t][part]] += w * self.values[t][part]
-            else:
-                keep = wanted[self.home[t]]
-                sims[self.ids[t][keep]] += w * self.values[t][keep]
-        return sims
-
-    def nearest(self, at: np.ndarray, weight: np.ndarray) -> list[tuple[int, float]]:
-        """The exact nearest entries with at least k examples together, by falling similarity, then number. The blocks with the
-        largest bounds give a similarity that is surely reached; blocks whose bound is below it are left out."""
-        key = (at.tobytes(), weight.tobytes())
-        if (known := self.found.get(key)) is not None:
-            return known
-        bound = weight @ self.bounds[at]
-        order = np.argsort(-bound, kind="stable")
-        sims = self._similar(at, weight, order[:SEEDS])
-        near, reached = self._first(sims)
-        rest = order[SEEDS:][bound[order[SEEDS:]] > (sims[near[-1]] - 1e-9 if reached else 0.0)]
-        if len(rest):
-            sims = sims + self._similar(at, weight, rest)
-            near, _ = self._first(sims)
-        out = [(int(e), float(sims[e])) for e in near]
-        if len(self.found) < KNOWN:
-            self.found[key] = out
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector the exact k examples of largest positive cosine (ties to the smaller doc_id), and these."""
+        k, ix = k or self.k, self.index
+        blocks, size = ix["blocks"], self.block
+        sums = np.zeros((len(vectors), blocks * size))
+        asked = np.zeros((len(vectors), len(ix["dense"])))
+        for i, (at, weight) in enumerate(vectors):
+            place = ix["place"][at]
+            asked[i, place[place >= 0]] = weight[place >= 0]
+            few, w = at[place < 0], weight[place < 0]
+            first = ix["lists"][few]
+            lengths = ix["lists"][few + 1] - first
+            reads = np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+            sums[i] = np.bincount(ix["numbers"][reads], np.repeat(w, lengths) * ix["values"][reads], minlength=blocks * size)
+        bound = asked @ ix["bounds"] + sums.reshape(len(vectors), blocks, size).max(2)
+        seeds = min(blocks, -(-k // size) + 1)
+        wanted = np.zeros((len(vectors), blocks), dtype=bool)
+        np.put_along_axis(wanted, np.argpartition(-bound, seeds - 1, axis=1)[:, :seeds], True, axis=1)
+        self._score(sums, asked, wanted)
+        seen = np.where(np.repeat(wanted, size, axis=1), sums, 0.0)
+        reached = np.partition(seen, -min(k, seen.shape[1]), axis=1)[:, -min(k, seen.shape[1])] if seen.size else np.zeros(len(vectors))
+        more = ~wanted & (bound > reached[:, None] - SLACK) & (bound > 0)
+        self._score(sums, asked, more)
+        sums[~np.repeat(wanted | more, size, axis=1)] = 0.0
+        out = []
+        for row in sums:
+            row = np.round(row, 10)
+            some = np.flatnonzero(row > 0)
+            if len(some) > k:
+                some = np.flatnonzero(row >= max(np.partition(row, -k)[-k], 1e-10))
+            e = ix["order"][some]
+            best = np.lexsort((self.ids[e], -row[some]))[:k]
+            out.append((e[best], row[some][best]))
+        return out
+
+    def _score(self, sums: np.ndarray, asked: np.ndarray, wanted: np.ndarray) -> None:
+        """Adds what the frequent terms give to the examples of the wanted blocks."""
+        for b in np.flatnonzero(wanted.any(0)):
+            who, part = np.flatnonzero(wanted[:, b]), slice(b * self.block, (b + 1) * self.block)
+            sums[who, part] += asked[who] @ self.index["dense"][:, part]
+
+    def votes(self, near: np.ndarray, sims: np.ndarray) -> float:
+        return float((sims @ self.toxic[near] + self.prior * self.base) / (sims.sum() + self.prior))
+
+    def probability(self, votes: np.ndarray) -> np.ndarray:
+        return votes if self.curve is None else np.interp(votes, *self.curve)
+
+    def evidence(self, at: np.ndarray, weight: np.ndarray, near: np.ndarray, names: list[str], most: int = 5) -> list[str]:
+        """The text's words that add most to the cosines of these examples."""
+        total = np.zeros(len(at))
+        for e in near:
+            cols, values = self.cols[self.starts[e] : self.starts[e + 1]], self.weights[self.starts[e] : self.starts[e + 1]]
+            there = np.minimum(np.searchsorted(cols, at), len(cols) - 1)
+            total += np.where(cols[there] == at, values[there] * weight, 0.0)
+        return [names[at[i]] for i in np.lexsort((at, -np.round(total, 10)))[:most] if total[i] > 0]
+
+    def scores(self, texts: list[str | None], batch: int = 64) -> list[tuple[float, list[int], list[str]]]:
+        """Score, doc_ids of the nearest examples and the words that led to them, of each text."""
+        out, names = [], self.names
+        for first in range(0, len(texts), batch):
+            vectors = [self.vector(words(t)) for t in texts[first : first + batch]]
+            found = self.nearest(vectors) if len(self.ids) else [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(vectors)
+            chances = self.probability(np.array([self.votes(*f) for f in found]))
+            for (at, weight), (near, _), chance in zip(vectors, found, chances.tolist(), strict=True):
+                out.append((chance, self.ids[near[:3]].tolist(), self.evidence(at, weight, near[:3], names)))
         return out
 
-    def _first(self, sims: np.ndarray) -> tuple[np.ndarray, bool]:
-        """Entries of positive similarity in order, up to the one with which k examples are reached; whether they are."""
-        some = np.flatnonzero(sims)
-        some = some[np.lexsort((some, -sims[some]))]
-        filled = np.cumsum(self.sizes[some])
-        last = int(np.searchsorted(filled, self.k))
-        return some[: last + 1], last < len(some)
-
-    def score(self, text: str | None) -> tuple[float, list[int], list[str]]:
-        """Score, doc_ids of the nearest examples and the index terms of the text that led there."""
-        at, weight = self.vector(words(text))
-        near = self.nearest(at, weight) if len(at) else []
-        if not near:
-            return self.plain_score, [], []
-        votes, left = self.prior * np.array([1 - self.base, self.base]), float(self.k)
-        for e, s in near:
-            n = self.counts[e].sum()
-            votes = votes + s * self.counts[e] * (min(n, left) / n)  # of an entry that overfills k, its share
-            left -= n
-        return float(votes[1] / votes.sum()), [int(self.example[e]) for e, _ in near[:3]], [self.names[t] for t in at]
+    @cached_property
+    def names(self) -> list[str]:
+        return list(self.terms)
 
 
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20000, max_terms: int = 4096, min_toxic: int = 3, sure: float = 4.0) -> Model:
+def factors(cols: np.ndarray, entry: np.ndarray, toxic: np.ndarray, terms: int, sure: float = 4.0) -> np.ndarray:
+    """1 + evidence of each term for toxic, n KL(its toxic share | rate) in nats, where it is beyond ln(tested terms) + sure;
+    1 elsewhere. Terms of three toxic examples and more are tested."""
+    held, bad = np.bincount(cols, minlength=terms), np.bincount(cols, toxic[entry], minlength=terms)
+    rate = toxic.mean() if len(toxic) else 0.0
+    if not 0 < rate < 1:
+        return np.ones(terms)
+    part = lambda n, of: np.where(n > 0, n * np.log(np.maximum(n, 1) / np.maximum(of, 1e-300)), 0.0)
+    tested = (bad > held * rate) & (bad >= 3)
+    evidence = np.where(tested, part(bad, held * rate) + part(held - bad, held * (1 - rate)), 0.0)
+    return 1 + np.where(evidence > np.log(max(tested.sum(), 1)) + sure, evidence, 0.0)
+
+
+def isotonic(votes: np.ndarray, toxic: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rising steps of probability over votes (pool adjacent violators), each with half a vote of the base rate."""
+    order = np.argsort(votes, kind="stable")
+    steps: list[list[float]] = []  # votes, toxic, number
+    for v, y in zip(votes[order].tolist(), toxic[order].tolist(), strict=True):
+        steps.append([v, y, 1.0])
+        while len(steps) > 1 and steps[-2][1] * steps[-1][2] >= steps[-1][1] * steps[-2][2]:
+            v, y, n = steps.pop()
+            steps[-1] = [steps[-1][0] + v, steps[-1][1] + y, steps[-1][2] + n]
+    v, y, n = np.array(steps).T
+    return v / n, np.maximum.accumulate((y + base / 2) / (n + 0.5))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 8192, max_words: int = 8_000_000) -> Model:
     """Learns from rows of labels whose crc32(doc_id) mod 5 is not 0 and whose toxic is 0 or 1.
 
-    max_examples bounds the sample of labelled rows (about; chosen by a hash of doc_id, the same at every
-    run), max_terms the index terms. min_toxic: examples that a term needs; sure: its evidence, in nats, beyond what
-    the best of all tested words reaches by chance.
+    max_examples bounds the sample of labelled rows, max_words the distinct words of its texts together (both
+    about; chosen by a hash of doc_id, the same at every run). Document frequencies are of all documents.
     """
     usable = labels.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     # Rows of one doc_id with both labels count as toxic.
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").cast("int").alias("__toxic"))
-    share = max(1, usable.count())
-    sample = usable.where(F.pmod(F.xxhash64("__id"), F.lit(share)) < max_examples)
+    number = max(1, usable.count())
+    sample = usable.where(F.pmod(F.xxhash64("__id"), F.lit(number)) < max_examples)
     examples = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id").cast("long") == F.col("__id"))
 
     def counted(batches):
@@ -171,58 +227,66 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 20000, max_terms
 
     rows = cut(examples.select("__id", "__toxic", "text").mapInArrow(counted, "doc_id long, toxic int, words long, word array<string>, n array<int>"))
     firsts = rows.groupBy("words", "toxic").agg(F.min("doc_id").alias("doc_id"))
-    once = cut(rows.join(firsts, ["words", "toxic", "doc_id"]).dropDuplicates(["doc_id"]))
-    size, toxic = once.agg(F.count("*"), F.sum("toxic")).first()
-    rate = (toxic or 0) / max(size, 1)
-    by_word = once.select("toxic", F.explode("word").alias("word")).groupBy("word").agg(F.count("*").alias("all"), F.sum("toxic").alias("toxic"))
-    # n KL(share of toxic | rate): evidence in nats; ln of the number of words tested is what chance reaches.
-    part = lambda n, of: F.when(n > 0, n * F.log(n / of)).otherwise(0.0)
-    toxic_n, other_n = F.col("toxic"), F.col("all") - F.col("toxic")
-    evidence = part(toxic_n, F.col("all") * max(rate, 1e-9)) + part(other_n, F.col("all") * max(1 - rate, 1e-9))
-    tested = cut(by_word.where((toxic_n >= min_toxic) & (toxic_n > F.col("all") * rate)).withColumn("evidence", F.round(evidence, 9)))
-    chosen = tested.where(F.col("evidence") >= math.log(max(tested.count(), 1)) + sure).orderBy(F.desc("evidence"), "word").limit(max_terms)
-    terms = {r["word"]: t for t, r in enumerate(chosen.collect())}
+    once = rows.join(firsts, ["words", "toxic", "doc_id"]).dropDuplicates(["doc_id"])
+    held = rows.agg(F.sum(F.size("word"))).first()[0] or 0
+    if held > max_words:
+        once = once.where(F.pmod(F.xxhash64(F.lit("words"), "doc_id"), F.lit(held)) < max_words)
+    # The sample comes to the driver as columns: this many words at most.
+    local = once.select("doc_id", "toxic", "word", "n").toArrow().sort_by("doc_id")
+    lists = local.column("word").combine_chunks() if local.num_rows else pa.array([], pa.list_(pa.string()))
+    coded = lists.flatten().dictionary_encode()
+    term, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), local.column("n").combine_chunks().flatten().to_numpy(zero_copy_only=False) if local.num_rows else np.zeros(0, dtype=np.int32)
+    terms = {w: t for t, w in enumerate(coded.dictionary.to_pylist())}
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if local.num_rows else np.zeros(0, dtype=np.int64)
+    entry, toxic = np.repeat(np.arange(len(lengths)), lengths), local.column("toxic").to_numpy().astype(np.int64)
+
+    known = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
 
     def holding(batches):  # partial counts of each task
         total, number = Counter(), 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 number += 1
-                total.update(terms.keys() & set(_WORD.findall((text or "").lower())))
-        yield pa.RecordBatch.from_arrays([pa.array([*total, ""]), pa.array([*total.values(), number])], names=["word", "n"])
-
-    df = {r["word"]: r["n"] for r in docs.select("text").mapInArrow(holding, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([np.log((df.get("", 0) + 1) / (df.get(w, 0) + 1)) + 1 for w in terms])
-    model = Model(terms, idf, [], [], np.zeros((0, 2)), np.zeros(0, dtype=np.int64), np.zeros(2))
-    if not terms:
-        model.plain = np.array([size - (toxic or 0), toxic or 0], dtype=float)
-        return Model(terms, idf, [], [], np.zeros((0, 2)), np.zeros(0, dtype=np.int64), model.plain)
-    # Of each example, only its index terms come to the driver: max_examples rows at most.
-    known = F.broadcast(docs.sparkSession.createDataFrame(list(terms.items()), "word string, term int"))
-    short = once.select("doc_id", "toxic", F.explode(F.arrays_zip("word", "n")).alias("x")).select("doc_id", "toxic", "x.*").join(known, "word")
-    vectors = short.groupBy("doc_id", "toxic").agg(F.array_sort(F.collect_list(F.struct("term", "n"))).alias("own"))
-    groups: dict[tuple, list] = {}
-    for r in vectors.groupBy("own").agg(F.min("doc_id").alias("least"), F.count("*").alias("all"), F.sum("toxic").alias("toxic")).collect():
-        groups[tuple((x["term"], x["n"]) for x in r["own"])] = [r["all"] - r["toxic"], r["toxic"], r["least"]]
-    names = list(terms)
-    keys = sorted(groups)
-    found = [model.vector(Counter({names[t]: n for t, n in key})) for key in keys]
-    counts = np.array([groups[key][:2] for key in keys], dtype=float).reshape(-1, 2)
-    plain = np.array([size - (toxic or 0), toxic or 0], dtype=float) - counts.sum(0)
-    return Model(terms, idf, [f[0] for f in found], [f[1] for f in found], counts, np.array([groups[key][2] for key in keys], dtype=np.int64), plain)
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column toxicity added: score, nearest (doc_ids of up to three examples) and evidence
-    (index terms of the text). Null and empty texts score as examples without any index term do."""
+                total.update(known.value.intersection(_WORD.findall((text or "").lower())))
+        yield pa.RecordBatch.from_arrays([pa.array([*total, ""], pa.string()), pa.array([*total.values(), number], pa.int64())], names=["word", "n"])
+
+    df = docs.select("text").mapInArrow(holding, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    df = dict(zip(df.column("word").to_pylist(), df.column("n").to_pylist(), strict=True))
+    known.unpersist()
+    idf = np.array([np.log((df.get("", 0) + 1) / (df.get(w, 0) + 1)) for w in terms]) + 0.1
+    weight_of = idf * factors(term, entry, toxic, len(terms))
+    weight = (1 + np.log(n)) * weight_of[term]
+    order = np.lexsort((term, entry))
+    weight = weight / np.sqrt(np.bincount(entry, weight * weight, minlength=len(lengths)))[entry]
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    model = Model(terms, weight_of, starts, term[order], weight[order], toxic, local.column("doc_id").to_numpy().astype(np.int64))
+    if not 0 < toxic.sum() < len(toxic):
+        return model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def left_out(parts):  # the examples' votes without themselves
+        own = shared.value
+        for part in parts:
+            found = own.nearest([(own.cols[own.starts[e] : own.starts[e + 1]], own.weights[own.starts[e] : own.starts[e + 1]]) for e in part["id"]], own.k + 1)
+            yield pd.DataFrame({"id": part["id"], "votes": [own.votes(near[near != e][: own.k], sims[near != e][: own.k]) for e, (near, sims) in zip(part["id"], found, strict=True)]})
+
+    tasks = max(1, len(toxic) // 256)
+    own = docs.sparkSession.range(0, len(toxic), 1, tasks).mapInPandas(left_out, "id long, votes double").toPandas().sort_values("id")
+    shared.unpersist()
+    model.curve = isotonic(own["votes"].to_numpy(), toxic, model.base)
+    return model
+
+
+def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
+    """docs with a struct column added (replacing one of its name): score, nearest (doc_ids of up to three examples) and evidence
+    (words of the text that led there). Null and empty texts have no neighbours; the base rate scores them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, nearest array<long>, evidence array<string>")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        own = shared.value
-        return pd.DataFrame([own.score(t) for t in texts], columns=["score", "nearest", "evidence"])
+        return pd.DataFrame(shared.value.scores(texts.tolist()), columns=["score", "nearest", "evidence"])
 
-    return docs.withColumn("toxicity", scored("text"))
+    return docs.withColumn(column, scored("text"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -237,4 +301,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that are not predicted toxic; columns stay as they are."""
-    return score(docs, fit(docs, labels, **options)).where("toxicity.score < 0.5").select(*docs.columns)
+    own = fresh(docs, "toxicity")
+    return score(docs, fit(docs, labels, **options), own).where(F.col(own)["score"] < 0.5).select(*docs.columns)

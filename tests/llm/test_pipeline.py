@@ -1,37 +1,18 @@
 """The pipeline's stages against plain versions, and the registered queries against their SQL."""
 
 import corpus_pipeline
-import numpy as np
 import pytest
 import sentencepiece
 from compare import duck, rows
 from test_decontam import edit
 from test_linededup import brute as brute_lines
 from test_simhash import brute_components, brute_fingerprint
+from test_toxicity import brute as brute_toxic
 
-from corvine.llm import decontam, queries, toxicity
+from corvine.llm import decontam, queries
 from corvine.sources.tables import table
 
 
-def plain_toxic(model, text):
-    """Score by the cosines with all entries."""
-    at, weight = model.vector(toxicity.words(text))
-    dense = np.zeros(len(model.terms))
-    dense[at] = weight
-    sims = np.array([dense[e] @ w for e, w in zip(model.entries, model.weights, strict=True)])
-    order = [e for e in np.lexsort((np.arange(len(sims)), -np.round(sims, 12))) if sims[e] > 0]
-    if not order:
-        return model.plain_score
-    votes, left = model.prior * np.array([1 - model.base, model.base]), float(model.k)
-    for e in order:
-        if left <= 0:
-            break
-        n = model.counts[e].sum()
-        votes = votes + sims[e] * model.counts[e] * (min(n, left) / n)
-        left -= n
-    return votes[1] / votes.sum()
-
-
 def kept_lines(docs):
     """Texts without their repeated lines."""
     strip = " \t\n\v\f\r"
@@ -54,8 +35,8 @@ def near_groups(docs):
 def test_stages_against_plain_versions(spark, folder):
     documents = {r.doc_id: r.text for r in table(spark, folder, "documents").collect()}
     items = {r.item_id: decontam.words(r.text) for r in table(spark, folder, "benchmark").collect()}
-    model = toxicity.fit(table(spark, folder, "documents"), table(spark, folder, "labels"))
-    docs = {i: t for i, t in documents.items() if plain_toxic(model, t) < 0.5}
+    scores = brute_toxic(list(documents.items()), [(r.doc_id, r.toxic) for r in table(spark, folder, "labels").collect()])
+    docs = {i: t for (i, t), score in zip(documents.items(), scores, strict=True) if score < 0.5}
     docs = kept_lines(docs)
     assert len(brute_lines(list(docs.items()))) == len(docs)
     groups = near_groups(docs)
