@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -62,7 +63,7 @@ class Model:
     curve: tuple[np.ndarray, np.ndarray] | None = None  # votes and the probabilities they stand for
 
     def __getstate__(self) -> dict:
-        return {n: v for n, v in self.__dict__.items() if n != "index"}  # made anew where it is needed
+        return {n: v for n, v in self.__dict__.items() if n not in ("index", "names")}  # made anew where it is needed
 
     @property
     def base(self) -> float:
@@ -92,57 +93,57 @@ class Model:
             "lists": np.searchsorted(rows[by_term], np.arange(len(self.terms) + 1)), "numbers": numbers[by_term], "values": values[by_term],
         }
 
-    def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of a text, rising, and their weights, of length one. Words that no example has are left out: they change
-        all cosines of the text in one proportion."""
-        terms = self.terms
-        own = sorted((terms[w], n) for w, n in found.items() if w in terms)
-        if not own:
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        at, n = np.array(own).T
+    def vectors(self, found: list[Counter]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts the terms, their weights (of length one together in a text), and where each text's begin. Words that no
+        example has are left out: they change all cosines of the text in one proportion."""
+        get, parts = self.terms.get, []
+        for own in found:
+            at = np.fromiter(map(get, own, repeat(-1)), dtype=np.int64, count=len(own))
+            n = np.fromiter(own.values(), dtype=np.int64, count=len(own))
+            parts.append((at[at >= 0], n[at >= 0]))
+        starts = np.concatenate([[0], np.cumsum([len(at) for at, _ in parts])]).astype(np.int64)
+        at, n = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in zip(*parts, strict=True))
         weight = (1 + np.log(n)) * self.weight_of[at]
-        return at, weight / np.sqrt(weight @ weight)
+        text = np.repeat(np.arange(len(parts)), np.diff(starts))
+        return at, weight / np.sqrt(np.bincount(text, weight * weight, minlength=len(parts)))[text], starts
 
-    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each vector the exact k examples of largest positive cosine (ties to the smaller doc_id), and these."""
-        k, ix = k or self.k, self.index
+    def nearest(self, at: np.ndarray, weight: np.ndarray, starts: np.ndarray, k: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each text (vectors as `vectors` gives them) the exact k examples of largest positive cosine (ties to the smaller doc_id), and these."""
+        k, ix, number = k or self.k, self.index, len(starts) - 1
         blocks, size = ix["blocks"], self.block
-        sums = np.zeros((len(vectors), blocks * size))
-        asked = np.zeros((len(vectors), len(ix["dense"])))
-        for i, (at, weight) in enumerate(vectors):
-            place = ix["place"][at]
-            asked[i, place[place >= 0]] = weight[place >= 0]
-            few, w = at[place < 0], weight[place < 0]
-            first = ix["lists"][few]
-            lengths = ix["lists"][few + 1] - first
-            reads = np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-            sums[i] = np.bincount(ix["numbers"][reads], np.repeat(w, lengths) * ix["values"][reads], minlength=blocks * size)
-        bound = asked @ ix["bounds"] + sums.reshape(len(vectors), blocks, size).max(2)
+        text, place = np.repeat(np.arange(number), np.diff(starts)), ix["place"][at]
+        asked = np.zeros((number, len(ix["dense"])))
+        asked[text[place >= 0], place[place >= 0]] = weight[place >= 0]
+        few, w = at[place < 0], weight[place < 0]
+        first = ix["lists"][few]
+        lengths = ix["lists"][few + 1] - first
+        reads = np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        where = np.repeat(text[place < 0] * (blocks * size), lengths) + ix["numbers"][reads]
+        sums = np.bincount(where, np.repeat(w, lengths) * ix["values"][reads], minlength=number * blocks * size).reshape(number, blocks, size)
+        bound = asked @ ix["bounds"] + sums.max(2)
         seeds = min(blocks, -(-k // size) + 1)
-        wanted = np.zeros((len(vectors), blocks), dtype=bool)
+        wanted = np.zeros((number, blocks), dtype=bool)
         np.put_along_axis(wanted, np.argpartition(-bound, seeds - 1, axis=1)[:, :seeds], True, axis=1)
         self._score(sums, asked, wanted)
-        seen = np.where(np.repeat(wanted, size, axis=1), sums, 0.0)
-        reached = np.partition(seen, -min(k, seen.shape[1]), axis=1)[:, -min(k, seen.shape[1])] if seen.size else np.zeros(len(vectors))
-        more = ~wanted & (bound > reached[:, None] - SLACK) & (bound > 0)
+        seen = sums[wanted].reshape(number, seeds * size)
+        reached = np.partition(seen, -k, axis=1)[:, -k] if k <= seeds * size else np.zeros(number)
+        more = ~wanted & (bound > np.maximum(reached[:, None] - SLACK, 0.0))
         self._score(sums, asked, more)
-        sums[~np.repeat(wanted | more, size, axis=1)] = 0.0
-        out = []
-        for row in sums:
-            row = np.round(row, 10)
-            some = np.flatnonzero(row > 0)
-            if len(some) > k:
-                some = np.flatnonzero(row >= max(np.partition(row, -k)[-k], 1e-10))
-            e = ix["order"][some]
-            best = np.lexsort((self.ids[e], -row[some]))[:k]
-            out.append((e[best], row[some][best]))
+        out, wanted = [], wanted | more
+        for row, some in zip(sums, wanted, strict=True):
+            own = np.flatnonzero(some)
+            row = np.round(row[own].ravel(), 10)
+            best = np.flatnonzero(row >= max(np.partition(row, -k)[-k] if len(row) > k else 0.0, 1e-10))
+            e = ix["order"][own[best // size] * size + best % size]
+            first = np.lexsort((self.ids[e], -row[best]))[:k]
+            out.append((e[first], row[best][first]))
         return out
 
     def _score(self, sums: np.ndarray, asked: np.ndarray, wanted: np.ndarray) -> None:
         """Adds what the frequent terms give to the examples of the wanted blocks."""
         for b in np.flatnonzero(wanted.any(0)):
-            who, part = np.flatnonzero(wanted[:, b]), slice(b * self.block, (b + 1) * self.block)
-            sums[who, part] += asked[who] @ self.index["dense"][:, part]
+            who = np.flatnonzero(wanted[:, b])
+            sums[who, b] += asked[who] @ self.index["dense"][:, b * self.block : (b + 1) * self.block]
 
     def votes(self, near: np.ndarray, sims: np.ndarray) -> float:
         return float((sims @ self.toxic[near] + self.prior * self.base) / (sims.sum() + self.prior))
@@ -150,24 +151,24 @@ class Model:
     def probability(self, votes: np.ndarray) -> np.ndarray:
         return votes if self.curve is None else np.interp(votes, *self.curve)
 
-    def evidence(self, at: np.ndarray, weight: np.ndarray, near: np.ndarray, names: list[str], most: int = 5) -> list[str]:
-        """The text's words that add most to the cosines of these examples."""
-        total = np.zeros(len(at))
-        for e in near:
-            cols, values = self.cols[self.starts[e] : self.starts[e + 1]], self.weights[self.starts[e] : self.starts[e + 1]]
-            there = np.minimum(np.searchsorted(cols, at), len(cols) - 1)
-            total += np.where(cols[there] == at, values[there] * weight, 0.0)
-        return [names[at[i]] for i in np.lexsort((at, -np.round(total, 10)))[:most] if total[i] > 0]
+    def evidence(self, at: np.ndarray, weight: np.ndarray, e: int, most: int = 5) -> list[str]:
+        """The text's words that add most to the cosine of this example."""
+        cols, values = self.cols[self.starts[e] : self.starts[e + 1]], self.weights[self.starts[e] : self.starts[e + 1]]
+        there = np.minimum(np.searchsorted(cols, at), len(cols) - 1)
+        share = np.where(cols[there] == at, values[there] * weight, 0.0)
+        best = np.flatnonzero(share >= max(np.partition(share, -most)[-most] if len(share) > most else 0.0, 1e-10))
+        return [self.names[at[i]] for i in best[np.lexsort((at[best], -np.round(share[best], 10)))][:most]]
 
     def scores(self, texts: list[str | None], batch: int = 64) -> list[tuple[float, list[int], list[str]]]:
-        """Score, doc_ids of the nearest examples and the words that led to them, of each text."""
-        out, names = [], self.names
+        """Score, doc_ids of the nearest examples and the words that led to the nearest, of each text."""
+        out = []
         for first in range(0, len(texts), batch):
-            vectors = [self.vector(words(t)) for t in texts[first : first + batch]]
-            found = self.nearest(vectors) if len(self.ids) else [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(vectors)
-            chances = self.probability(np.array([self.votes(*f) for f in found]))
-            for (at, weight), (near, _), chance in zip(vectors, found, chances.tolist(), strict=True):
-                out.append((chance, self.ids[near[:3]].tolist(), self.evidence(at, weight, near[:3], names)))
+            found = [words(t) for t in texts[first : first + batch]]
+            at, weight, starts = self.vectors(found)
+            near = self.nearest(at, weight, starts) if len(self.ids) else [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(found)
+            chances = self.probability(np.array([self.votes(*f) for f in near]))
+            for chance, (e, _), a, b in zip(chances.tolist(), near, starts, starts[1:], strict=False):
+                out.append((chance, self.ids[e[:3]].tolist(), self.evidence(at[a:b], weight[a:b], e[0]) if len(e) else []))
         return out
 
     @cached_property
@@ -205,7 +206,7 @@ def isotonic(votes: np.ndarray, toxic: np.ndarray, base: float) -> tuple[np.ndar
     return v / n, np.maximum.accumulate((y + base / 2) / (n + 0.5))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 8192, max_words: int = 8_000_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_words: int = 4_000_000) -> Model:
     """Learns from rows of labels whose crc32(doc_id) mod 5 is not 0 and whose toxic is 0 or 1.
 
     max_examples bounds the sample of labelled rows, max_words the distinct words of its texts together (both
@@ -267,10 +268,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 8192, max_words:
     def left_out(parts):  # the examples' votes without themselves
         own = shared.value
         for part in parts:
-            found = own.nearest([(own.cols[own.starts[e] : own.starts[e + 1]], own.weights[own.starts[e] : own.starts[e + 1]]) for e in part["id"]], own.k + 1)
-            yield pd.DataFrame({"id": part["id"], "votes": [own.votes(near[near != e][: own.k], sims[near != e][: own.k]) for e, (near, sims) in zip(part["id"], found, strict=True)]})
+            e = part["id"].to_numpy()
+            reads = np.concatenate([np.arange(own.starts[n], own.starts[n + 1]) for n in e])
+            found = own.nearest(own.cols[reads], own.weights[reads], np.concatenate([[0], np.cumsum(np.diff(own.starts)[e])]), own.k + 1)
+            yield pd.DataFrame({"id": e, "votes": [own.votes(near[near != n][: own.k], sims[near != n][: own.k]) for n, (near, sims) in zip(e, found, strict=True)]})
 
-    tasks = max(1, len(toxic) // 256)
+    tasks = max(1, len(toxic) // 128)
     own = docs.sparkSession.range(0, len(toxic), 1, tasks).mapInPandas(left_out, "id long, votes double").toPandas().sort_values("id")
     shared.unpersist()
     model.curve = isotonic(own["votes"].to_numpy(), toxic, model.base)

@@ -79,10 +79,15 @@ def test_nearest_is_exact():
     starts, cols = np.concatenate([[0], np.cumsum([len(r) for r in rows])]), np.concatenate(rows)
     for rare, block in ((20, 16), (0, 64), (1000, 8)):
         model = tx.Model({f"t{i}": i for i in range(terms)}, g.random(terms) + 1, starts, cols, np.concatenate([dense[e, at] for e, at in enumerate(rows)]), (np.arange(n) % 3 == 0).astype(int), np.arange(n)[::-1].copy(), k=10, block=block, rare=rare)
-        queries = [model.vector(Counter({f"t{i}": int(g.integers(1, 4)) for i in g.choice(terms, size=g.integers(1, 20), replace=False)})) for _ in range(100)] + [(rows[4], dense[4, rows[4]]), model.vector(Counter())]
-        for (at, weight), (near, sims) in zip(queries, model.nearest(queries), strict=True):
+        found = [Counter({f"t{i}": int(g.integers(1, 4)) for i in g.choice(terms, size=g.integers(1, 20), replace=False)} | {"other": 3}) for _ in range(100)] + [Counter(f"t{i}" for i in rows[4]), Counter()]
+        at, weight, begins = model.vectors(found)
+        for own, a, b, (near, sims) in zip(found, begins, begins[1:], model.nearest(at, weight, begins)):
             query = np.zeros(terms)
-            query[at] = weight
+            for w, n in own.items():
+                if w != "other":
+                    query[int(w[1:])] = (1 + np.log(n)) * model.weight_of[int(w[1:])]
+            query /= max(np.sqrt(query @ query), 1e-300)
+            assert np.allclose(query[at[a:b]], weight[a:b]) and (query > 0).sum() == b - a
             all_sims = np.round(dense @ query, 10)
             want = [e for e in np.lexsort((model.ids, -all_sims)) if all_sims[e] > 0][:10]
             assert near.tolist() == want and np.allclose(sims, all_sims[want])
