@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from corvine.llm import ann
+from corvine.llm import ann, queries
 
 
 def brute(rows, asked, k):
@@ -35,7 +35,7 @@ def test_recall(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     data = [(r.vec_id, r.embedding) for r in rows.collect()]
     want = brute(data, lambda q: q % 20 == 0, 20)
-    got = results(ann.search(rows, F.col("vec_id") % 20 == 0, rows_per_partition=250))
+    got = results(queries.op3_nearest_neighbours(spark, "/root/testdata/sf0.1"))
     assert set(got) == set(want) and all(len(x) == 20 for x in got.values())
     recall = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want])
     print("recall", recall)
@@ -50,7 +50,7 @@ def test_recall_over_many_tasks(spark):
     data = [(i, np.float32(x).tolist()) for i, x in enumerate(g.standard_normal((3000, 16)))]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = results(ann.search(spark.createDataFrame(data, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=10, rows_per_partition=100, block=64))
+        got = results(ann.search(spark.createDataFrame(data, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=10, rows_per_partition=100, least=4, block=64))
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = brute(data, lambda q: q % 20 == 0, 10)
@@ -63,7 +63,7 @@ def test_exact_with_one_partition_and_many_copies(spark):
     data = [(i, same if i % 3 == 0 else (g.standard_normal(3) * 3).round(3).tolist()) for i in range(300)]
     frame = spark.createDataFrame([(i, [float(x) for x in v], "a") for i, v in data], "vec_id long, embedding array<float>, v string")
     data = [(i, np.float32(v).tolist()) for i, v in data]
-    got = results(ann.search(frame, F.col("vec_id") % 20 == 0, k=5, block=64))
+    got = results(ann.search(frame, F.col("vec_id") % 20 == 0, k=5, least=1, block=64))
     want = brute(data, lambda q: q % 20 == 0, 5)
     assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
 

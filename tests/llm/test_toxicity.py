@@ -83,9 +83,9 @@ def test_nearest_is_exact():
         at, weight, begins = model.vectors(found)
         for own, a, b, (near, sims) in zip(found, begins, begins[1:], model.nearest(at, weight, begins)):
             query = np.zeros(terms)
-            for w, n in own.items():
+            for w, many in own.items():
                 if w != "other":
-                    query[int(w[1:])] = (1 + np.log(n)) * model.weight_of[int(w[1:])]
+                    query[int(w[1:])] = (1 + np.log(many)) * model.weight_of[int(w[1:])]
             query /= max(np.sqrt(query @ query), 1e-300)
             assert np.allclose(query[at[a:b]], weight[a:b]) and (query > 0).sum() == b - a
             all_sims = np.round(dense @ query, 10)
