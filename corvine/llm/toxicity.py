@@ -119,7 +119,7 @@ class Model:
         lengths = ix["lists"][few + 1] - first
         reads = np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
         where = np.repeat(text[place < 0] * (blocks * size), lengths) + ix["numbers"][reads]
-        sums = np.bincount(where, np.repeat(w, lengths) * ix["values"][reads], minlength=number * blocks * size).reshape(number, blocks, size)
+        sums = np.bincount(where, np.repeat(w, lengths) * ix["values"][reads], minlength=number * blocks * size).astype(float).reshape(number, blocks, size)
         bound = asked @ ix["bounds"] + sums.max(2)
         seeds = min(blocks, -(-k // size) + 1)
         wanted = np.zeros((number, blocks), dtype=bool)
