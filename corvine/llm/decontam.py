@@ -3,37 +3,44 @@
 Texts are sequences of words (letters and digits, lower case). The CGK random-walk embedding (Chakraborty,
 Goldenberg, Koucky 2016) writes a word at each step and moves on to the next word or stays, by a random
 function of step and word; after the walk, a small edit distance is a small Hamming distance. Bit-sampling
-LSH on top: a repetition draws a walk and a few of its steps; the words written there are the key of an
-item and of the window at each word of a document. Equal keys make a candidate. Repetitions alternate
-between walks from an item's first word on and from its last word back, so that edits at either end harm
-half of them only.
-
-The walks see a part of a long item only, so pieces make the search whole: an item of m words that may
+LSH on top: a repetition draws a walk and a few of its steps; the words written there are a key. Items are
+taken in classes of length. The walks of a class see windows as long as its shortest item; they start at
+each word of a document, and in an item so often, one after the other up to its end, that they see all of it:
+equal keys make a candidate of the item's size there. Repetitions start at different words of the window and
+alternate between forward and backward. There are as many as reach the target recall on
+random items with all the edits that the limit allows, anywhere or in one third of the item (counted).
+
+What the walks miss, pieces find: an item of m words that may
 differ in k is cut into k + 1 pieces, of which k edits leave one as it is (pigeonhole). A text that holds
-a piece is a candidate there, so no passage within the limit is lost, wherever it is cut or reworded, and
-no recall has to be estimated. Each candidate is verified by the exact edit distance of the item to the best part of
+a piece is a candidate there, so no passage within the limit is lost, wherever it is cut or reworded.
+Each candidate is verified by the exact edit distance of the item to the best part of
 the text around it (Myers' bit-vectors).
 
 Keys are compared step by step: a window whose words differ from all items' at one sampled step can't
 have an item's key and isn't walked further, which changes no key and drops no candidate.
 
-The benchmark is the stated query set: it is taken in blocks of bounded size, each broadcast and run
-against all documents; documents are never shuffled or collected.
+The benchmark is the stated query set: it is taken in blocks of bounded size, each broadcast, run against all
+documents and let go; documents are never shuffled or collected.
 """
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvine.llm.common import cut
+
 _WORD = re.compile(r"[^\W_]+")
 _FACTOR, _LOW = 0x9E3779B97F4A7C15, (1 << 64) - 1
+#: Items by length in words; the last class is open.
+CLASSES = ((1, 1), (2, 3), (4, 7), (8, 14), (15, None))
 LEAKS = "array<struct<item_id: long, distance: int, n_words: int, start: int, end: int>>"
 
 
@@ -43,13 +50,23 @@ def words(text: str | None) -> list[str]:
 
 @dataclass
 class _Walk:
-    """A repetition: steps that are sampled, moves[step, word] of the walk, and the items' keys."""
+    """A repetition: the word of a window that it starts at, the steps that are sampled, moves[step, word], and the items' keys."""
 
     back: bool
+    start: int
     steps: list[int]
     moves: np.ndarray
     prefixes: list[np.ndarray] = field(default_factory=list)
-    items: dict[int, list[int]] = field(default_factory=dict)
+    items: dict[int, list[tuple[int, int]]] = field(default_factory=dict)  # by key: items, and the word that the walk starts at
+
+    @staticmethod
+    def drawn(random: np.random.Generator, least: int, samples: int, words: int, back: bool) -> "_Walk":
+        """A walk from a word of the first three quarters of a window of `least` words on, of two steps a word, over words up to this number
+        and one that pads. Its first step is always sampled: most places of a text are left behind there."""
+        start = int(random.integers(0, 3 * least // 4)) if least > 1 else 0
+        length = 2 * (least - start)
+        steps = [0, *sorted(1 + random.choice(length - 1, size=min(samples, length) - 1, replace=False))]
+        return _Walk(back, start, [int(x) for x in steps], random.integers(0, 2, (length, words + 2), dtype=np.int32))
 
     def keys(self, at: np.ndarray, text: np.ndarray, keep: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
         """Of the windows at the positions `at` of the padded text those that may have an item's key, and their keys."""
@@ -70,6 +87,44 @@ class _Walk:
         return at, key
 
 
+def _starts(walk: _Walk, least: int, m: int) -> list[int]:
+    """Where walks start in an item of m words; the last ends with it."""
+    return sorted({walk.start + n for n in (*range(0, m - least + 1, least), m - least)})
+
+
+@lru_cache
+def repetitions(least: int, most: int, ratio: float, recall: float, samples: int, tries: int = 400, limit: int = 64) -> int:
+    """How many walks find this share of items of `least` to `most` words in which all words that may be are changed, lost or
+    added: counted on random items of the hardest lengths. At most `limit`."""
+    needed, size = 1, 2000
+    for m in [m for m in range(least, most + 1) if m == least or int(ratio * m) > int(ratio * (m - 1))]:
+        random, n_edits, room = np.random.default_rng(5), int(ratio * m), 3 * most + 4 * least
+        pad = lambda n: random.integers(1, size, n).tolist()  # noqa: B023, E731
+        items, texts = [], []
+        for n in range(tries):
+            item = pad(m)
+            edited = list(item)
+            low, high = (0, m) if n % 2 else (n // 2 % 3 * m // 3, (n // 2 % 3 + 1) * m // 3)  # anywhere, or in one third
+            for kind in random.integers(0, 3, n_edits).tolist():  # another word, none, one more
+                p = min(len(edited), int(random.integers(low, max(low + 1, high))))
+                edited[p : p + (kind != 2)] = pad(int(kind != 1))
+            items.append(item + [size] * (room - m))
+            texts.append((pad(least) + edited + pad(room))[:room])
+        found, joined, other = np.zeros(tries, dtype=bool), np.concatenate(items), np.concatenate(texts)
+        begins = np.arange(tries) * room
+        for n in range(limit):
+            walk = _Walk.drawn(random, least, samples, size, False)
+            for start in _starts(walk, least, m):
+                _, wanted = walk.keys(begins + start, joined, None)
+                for shift in range(-n_edits, n_edits + 1):
+                    _, got = walk.keys(begins + least + start + shift, other, None)
+                    found |= got == wanted
+            if found.mean() >= recall:
+                break
+        needed = max(needed, n + 1)
+    return needed
+
+
 @dataclass
 class _Pieces:
     """The pieces of a block of items by their hash: prefixes[n] are the sorted hashes of the first n + 1 words of all pieces of
@@ -121,7 +176,8 @@ class Index:
     pieces: _Pieces
 
     @staticmethod
-    def build(items: list[tuple[int, str | None]], ratio: float = 0.2, repetitions: int = 8, samples: int = 4, seed: int = 7) -> "Index":
+    def build(items: list[tuple[int, str | None]], ratio: float = 0.2, recall: float = 0.95, samples: int = 3, seed: int = 7, whole: bool = True) -> "Index":
+        """whole: with the pieces; without them the walks alone reach about the wanted recall at the limit."""
         vocabulary: dict[str, int] = {}
         rows = [(i, [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(t)]) for i, t in items if i is not None]
         rows = [r for r in rows if r[1]]
@@ -131,32 +187,33 @@ class Index:
             for p, t in enumerate(tokens):
                 own[t] = own.get(t, 0) | 1 << p
             masks.append(own)
-        index = Index(vocabulary, [i for i, _ in rows], [len(t) for _, t in rows], masks, [], ratio, _Pieces.build([t for _, t in rows], ratio))
+        index = Index(vocabulary, [i for i, _ in rows], [len(t) for _, t in rows], masks, [], ratio, _Pieces.build([t for _, t in rows] if whole else [], ratio))
         random = np.random.default_rng(seed)
-        for least, most in ((1, 1), (2, 3), (4, 7), (8, 14), (15, None)):
+        for least, most in CLASSES:
             own = [n for n, (_, t) in enumerate(rows) if least <= len(t) <= (most or len(t))]
             if not own:
                 continue
-            length = min(30, 2 * least)  # steps within the shortest item of the class
             walks = []
-            for r in range(repetitions):
-                steps = sorted(random.choice(length, size=min(samples, length), replace=False).tolist())
-                walk = _Walk(bool(r % 2), steps, random.integers(0, 2, (length, len(vocabulary) + 2), dtype=np.int32))
-                for n in own:
-                    tokens = rows[n][1][::-1] if walk.back else rows[n][1]
-                    text = np.concatenate([np.array(tokens, dtype=np.int32), np.full(length + 1, len(vocabulary) + 1, dtype=np.int32)])
-                    _, key = walk.keys(np.zeros(1, dtype=np.int32), text, None)
-                    walk.items.setdefault(int(key[0]), []).append(n)
-                    walk.prefixes.append(text)
-                texts, walk.prefixes = walk.prefixes, []
-                for k in range(len(steps)):
-                    part = _Walk(walk.back, steps[: k + 1], walk.moves)
-                    found = [int(part.keys(np.zeros(1, dtype=np.int32), t, None)[1][0]) for t in texts]
+            for r in range(repetitions(least, most or 2 * least - 1, ratio, recall, samples)):
+                walk = _Walk.drawn(random, least, samples, len(vocabulary), bool(r % 2))
+                tokens = [rows[n][1][::-1] if walk.back else rows[n][1] for n in own]
+                # The last walk in an item ends with it.
+                starts = [_starts(walk, least, len(t)) for t in tokens]
+                gap = np.full(2 * least + 1, len(vocabulary) + 1, dtype=np.int32)
+                joined = np.concatenate([part for t in tokens for part in (np.array(t, dtype=np.int32), gap)])
+                begins = np.cumsum([0] + [len(t) + len(gap) for t in tokens[:-1]])
+                at = np.array([b + s for b, own_starts in zip(begins.tolist(), starts, strict=True) for s in own_starts], dtype=np.int32)
+                _, keys = walk.keys(at, joined, None)
+                names = [(n, s) for n, own_starts in zip(own, starts, strict=True) for s in own_starts]
+                for name, key in zip(names, keys.tolist(), strict=True):
+                    walk.items.setdefault(key, []).append(name)
+                for k in range(len(walk.steps)):
+                    _, found = _Walk(walk.back, walk.start, walk.steps[: k + 1], walk.moves).keys(at, joined, None)
                     if k == 0:
                         known = np.zeros(len(vocabulary) + 2, dtype=bool)
-                        known[[f - 1 for f in found]] = True
+                        known[found.astype(np.int64) - 1] = True
                     else:
-                        known = np.unique(np.array(found, dtype=np.uint64))
+                        known = np.unique(found)
                     walk.prefixes.append(known)
                 walks.append(walk)
             index.classes.append(walks)
@@ -207,8 +264,8 @@ class Index:
                 where = len(joined) - 1 - at if walk.back else at
                 own = np.searchsorted(begins, where, side="right") - 1
                 for n, place, key in zip(own.tolist(), (where - begins[own]).tolist(), keys.tolist(), strict=True):
-                    for item in walk.items.get(key, ()):
-                        candidates.add((n, item, place - self.lengths[item] + 1 if walk.back else place))
+                    for item, start in walk.items.get(key, ()):
+                        candidates.add((n, item, place + start - self.lengths[item] + 1 if walk.back else place - start))
         for at, keys, items in self.pieces.met(joined, places):
             own = np.searchsorted(begins, at, side="right") - 1
             for n, place, key in zip(own.tolist(), (at - begins[own]).tolist(), keys.tolist(), strict=True):
@@ -238,49 +295,53 @@ class Index:
         return [[b[i] for i in sorted(b)] for b in best]
 
 
-def blocks(benchmark: DataFrame, size: int = 20000) -> list[Index]:
-    """The benchmark's items in blocks of at most `size`, ranked by item_id and text; a block at a time is read.
+def blocks(benchmark: DataFrame, size: int = 20000) -> Iterator[Index]:
+    """The benchmark's items in blocks of at most `size` (by ranges of item_id: more where one id has more), read one at a time.
     Items without an id or a word take no part; rows that repeat one take part once."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    number = items.count()
-    parts = -(-number // size)
-    if parts <= 1:
-        return [Index.build([(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()])] if number else []
-    cuts = items.stat.approxQuantile("item_id", [i / (2 * parts) for i in range(2 * parts + 1)], 0.0)
-    edges = sorted({int(c) for c in cuts[1:-1]})
-    ranges = [(None, edges[0]), *zip(edges, edges[1:]), (edges[-1], None)]
-    found = []
-    for low, high in ranges:
+    parts = -(-items.count() // size)
+    cuts = items.stat.approxQuantile("item_id", [i / (2 * parts) for i in range(1, 2 * parts)], 0.0) if parts > 1 else []
+    edges = [None, *sorted({int(c) for c in cuts}), None]
+    for low, high in zip(edges, edges[1:], strict=False) if parts else ():
         part = items.where((F.lit(True) if low is None else F.col("item_id") >= low) & (F.lit(True) if high is None else F.col("item_id") < high))
-        found.append(Index.build([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]))
-    return found
+        if rows := part.orderBy("item_id", "text").collect():
+            yield Index.build([(r.item_id, r.text) for r in rows])
+
 
+def _found(docs: DataFrame, shared: Broadcast) -> Column:
+    """The items of one block that are found in the whole text; null, empty and wordless texts have none."""
 
-def _finder(shared: Broadcast):
     @F.pandas_udf(LEAKS)
     def found(texts: pd.Series) -> pd.Series:
-        own = shared.value
-        return pd.Series(own.leaks(texts.tolist()), dtype=object)
+        return pd.Series(shared.value.leaks(texts.tolist()), dtype=object)
 
-    return found
+    return found("text")
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with a column leaks added: the items found in the whole text. Null, empty and wordless texts have none."""
-    out = docs.withColumn("leaks", F.array().cast(LEAKS))
-    for index in blocks(benchmark):
-        found = _finder(docs.sparkSession.sparkContext.broadcast(index))
-        out = out.withColumn("leaks", F.concat("leaks", found("text")))
-    return out
+def _each(benchmark: DataFrame, size: int, use: Callable[[Broadcast], DataFrame]) -> Iterator[DataFrame]:
+    """What `use` makes of each block; of several, each result is written, and the block let go, before the next is built."""
+    held, context = None, benchmark.sparkSession.sparkContext
+    for index in blocks(benchmark, size):
+        if held is not None:
+            yield cut(use(held))
+            held.destroy()
+        held = context.broadcast(index)
+    if held is not None:
+        yield use(held)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 20000) -> DataFrame:
     """doc_id, item_id, distance, n_words, start, end of each benchmark item found in each row of docs. Repeated
     rows are reported each. Empty tables give an empty result; other columns of both tables are ignored."""
-    rows = with_leaks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark)
-    return rows.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no benchmark item is found; columns stay as they are."""
-    return with_leaks(docs, benchmark).where(F.size("leaks") == 0).select(*docs.columns)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = lambda shared: rows.select("doc_id", F.explode(_found(rows, shared)).alias("leak")).select("doc_id", "leak.*")
+    none = rows.select("doc_id", F.explode(F.array().cast(LEAKS)).alias("leak")).select("doc_id", "leak.*")
+    return reduce(DataFrame.union, _each(benchmark, size, found), none.limit(0))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 20000) -> DataFrame:
+    """The rows of docs in which no benchmark item is found; columns stay as they are. A block of items after the other, on what is left."""
+    left = [docs]
+    for kept in _each(benchmark, size, lambda shared: left[0].where(F.size(_found(left[0], shared)) == 0)):
+        left[0] = kept
+    return left[0]

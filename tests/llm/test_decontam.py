@@ -80,6 +80,28 @@ def test_whole_limit_is_found():
     assert all(map(all, hit.values()))
 
 
+def test_walks_reach_the_target():
+    """Walks alone, at the limit itself: edits spread over the item, all in its ends, or in its middle."""
+    r = random.Random(12)
+    pool = [f"w{i}" for i in range(2000)]
+    recall = {}
+    for m in (5, 10, 15, 40, 300, 1000):
+        items = [(i, r.choices(pool, k=m)) for i in range(60 if m < 300 else 15)]
+        index = decontam.Index.build([(i, " ".join(t)) for i, t in items], whole=False)
+        n = int(0.2 * m)
+        kinds = {
+            "spread": lambda t: garble(r, t, n, pool),
+            "cut": lambda t: t[n // 2 : m - (n - n // 2)],
+            "ends": lambda t: garble(r, t[: m // 4], n // 2, pool) + t[m // 4 : m - m // 4] + garble(r, t[m - m // 4 :], n - n // 2, pool),
+            "middle": lambda t: t[: m // 3] + garble(r, t[m // 3 : m - m // 3], n, pool) + t[m - m // 3 :],
+        }
+        for kind, change in kinds.items():
+            texts = [" ".join(r.choices(pool, k=40) + change(t) + r.choices(pool, k=40)) for _, t in items]
+            recall[m, kind] = sum(any(x["item_id"] == i for x in found) for (i, _), found in zip(items, index.leaks(texts), strict=True)) / len(items)
+    print(recall)
+    assert all(x >= 0.9 for x in recall.values()) and sum(recall.values()) / len(recall) >= 0.95
+
+
 def test_odd_rows(spark):
     item = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
     benchmark = spark.createDataFrame([(1, item, "x"), (1, item, "x"), (2, None, "x"), (None, item, "x"), (3, " .,", "x"), (4, "short one", "x")], "item_id long, text string, leaks string")
@@ -94,12 +116,13 @@ def test_odd_rows(spark):
 
 def test_blocks_give_the_same(spark, folder):
     docs, benchmark = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
-    parts = decontam.blocks(benchmark, 7)
+    parts = list(decontam.blocks(benchmark, 7))
     assert len(parts) > 5 and sorted(i for p in parts for i in p.item_ids) == sorted(r.item_id for r in benchmark.collect())
-    want = {(r.doc_id, r.item_id) for r in decontam.leaks(docs, benchmark).collect()}
+    want = sorted(decontam.leaks(docs, benchmark).collect())
     brute = {(d.doc_id, b.item_id) for d in docs.collect() for b in benchmark.collect() if f" {' '.join(decontam.words(b.text))} " in f" {' '.join(decontam.words(d.text))} "}
-    assert brute and brute <= want
-    found = set()
-    for part in parts:
-        found |= {(d.doc_id, x["item_id"]) for d in docs.collect() for x in part.leaks([d.text])[0]}
-    assert brute <= found
+    assert brute and brute <= {(r.doc_id, r.item_id) for r in want}
+    assert sorted(decontam.leaks(docs, benchmark, size=12).collect()) == want
+    left = {r.doc_id for r in docs.collect()} - {r.doc_id for r in want}
+    for size in (12, 20000):
+        kept = decontam.without_leaks(docs.withColumn("leaks", docs.doc_id), benchmark, size)
+        assert kept.columns == [*docs.columns, "leaks"] and {r.doc_id for r in kept.collect()} == left
