@@ -5,41 +5,80 @@ longest increasing subsequence is kept; the gaps between anchors are aligned in
 be unique in a gap), and equal words next to an end of a gap are matched. The share of the template's
 words that are matched is its coverage.
 
-Parts are found without loss for the wanted coverage: a text must hold one of a template's words that
-make up more than the share that may be missing, and a part's words must, counted without their order,
-cover the template that far. Each such window is aligned until one holds a part.
+Parts are found without loss for the wanted coverage: the text's words, and then a window's, must, counted
+without their order, cover the template that far. Each such window is aligned until one holds a part.
+
+Notices are short, so a license's name, version and conditions decide: the telling words in a part must be
+those of the template, in their order. Of parts of several templates that overlap, the one with the most matched words
+stays (then that of the larger coverage, the shorter, the earlier, the first by name).
 """
 
 import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from importlib.resources import files
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
+#: Spellings of a version: 3.0 and v3 are 3.
+_VERSION = re.compile(r"(?:\b|(?<=gpl))v\.?\s?(?=\d)|(?<=\d)\.0\b(?!\.\d)")
 
-#: Texts of public licenses and notices that name them, without names and years.
-TEMPLATES = {
+#: Texts of public licenses, without names and years. Fixed values.
+TEXTS = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     "Apache-2.0 header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "GPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
-    "MIT notice": "Released under the MIT License.",
-    "GPL-3.0 notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0 notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
+#: Whole texts that lie beside this module.
+FILES = "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"
+#: Words that tell one license from another where its notice is short, besides numbers.
+TELLING = frozenset("mit isc bsd apache mozilla mpl gnu gpl lgpl agpl lesser library affero creative cc cc0 nc sa nd noncommercial sharealike noderivatives noderivs".split())
+#: Words from which on a template is long.
+LONG = 512
 FOUND = "array<struct<license: string, start: int, end: int, n_matched: int, n_words: int, coverage: double>>"
 
 
+def notices() -> Iterator[tuple[str, str]]:
+    """Names and texts of the short notices, made by rule from names, versions and conditions."""
+    for code, name, versions in (("GPL", "GNU General Public License", "2 3"), ("LGPL", "GNU Lesser General Public License", "2.1 3"), ("AGPL", "GNU Affero General Public License", "3"), ("MPL", "Mozilla Public License", "2"), ("Apache", "Apache License", "2")):
+        for version in versions.split():
+            for text in (f"This work is licensed under the {name}, version {version}.", f"Licensed under the {name}, version {version}.", f"Licensed under the {code} {version}."):
+                yield f"{code}-{float(version)} notice", text
+    for code, name in (("MIT", "MIT"), ("ISC", "ISC"), ("BSD-2-Clause", "BSD 2-Clause"), ("BSD-3-Clause", "BSD 3-Clause")):
+        yield f"{code} notice", f"Released under the {name} License."
+        yield f"{code} notice", f"Licensed under the {name} License."
+    spelled = {"": "", "NC": "-NonCommercial", "SA": "-ShareAlike", "ND": "-NoDerivatives"}
+    for conditions in (("",), ("NC",), ("SA",), ("ND",), ("NC", "SA"), ("NC", "ND")):
+        code, name = "-".join(["CC-BY", *filter(None, conditions)]), "".join(spelled[c] for c in conditions)
+        for version in ("3.0", "4.0"):
+            yield f"{code}-{version} notice", f"Licensed under CC {code[3:]} {version}."
+            yield f"{code}-{version} notice", f"This work is licensed under a Creative Commons Attribution{name} {version} International License."
+    yield "CC0-1.0 notice", "Released under CC0 1.0 Universal."
+
+
+def known_templates() -> list[tuple[str, str]]:
+    """Name and text of all templates of this module; a name may have several texts."""
+    whole = [(name, files(__package__).joinpath("license_texts", f"{name}.txt").read_text("utf-8")) for name in FILES]
+    return [*TEXTS.items(), *whole, *notices()]
+
+
 def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Words in lower case; a version's v and .0 are left out."""
+    return _WORD.findall(_VERSION.sub(" ", (text or "").lower()))
+
+
+def telling(tokens: list[str]) -> set[str]:
+    return {w for w in tokens if w in TELLING or w.isdecimal()}
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -97,6 +136,8 @@ class Template:
         self.needed = math.ceil(self.least * len(self.tokens) - 1e-9)
         self.width = len(self.tokens) + max(2, len(self.tokens) // 4)
         self.counts = Counter(self.tokens)
+        self.long = len(self.tokens) > LONG
+        self.tells = telling(self.tokens) if self.name.endswith((" notice", " header")) else None
         self.must: list[str] = []
         missing = 0
         for w in sorted(self.counts, key=lambda w: (-len(w), w)):
@@ -121,27 +162,46 @@ class Template:
                 out.append((begin, covered))
         return out
 
+    def aligned(self, tokens: list[str], begin: int) -> list[tuple[int, int]]:
+        """Matched positions of the template and of the text, in the window that begins here."""
+        return [(i, begin + j) for i, j in align(self.tokens, tokens[begin : begin + self.width])]
+
+    def holds(self, tokens: list[str], pairs: list[tuple[int, int]]) -> bool:
+        """Whether these are enough and the telling words are right: those between the first and the last, and no number behind."""
+        if len(pairs) < self.needed or self.tells is None:
+            return len(pairs) >= self.needed
+        first, end = pairs[0][1], pairs[-1][1] + 1
+        return telling(tokens[first:end]) == self.tells and not (end < len(tokens) and tokens[end].isdecimal())
+
     def found(self, tokens: list[str]) -> list[tuple]:
-        """Parts from the first on: the first window that covers the template far enough and those that begin within what the
+        """Parts from the first on: the first window that holds one and those that begin within what the
         template may miss are one part, of which the best (most words, then the shortest) stays; the next begins after it. A last word that lies far behind the others may be
-        the next part's: it is left to that part, if there is one."""
+        the next part's: it is left to that part, if there is one.
+
+        Of a long template windows that can't hold enough are passed over: one that begins d words later has at most d more matched words;
+        and the first window that holds a part is aligned once more from its first matched word on."""
         parts: list[list[tuple[int, int]]] = []
         begins, n, short = self.begins(tokens), 0, 0
         while n < len(begins):
             begin = begins[n][0]
-            best = align(self.tokens, tokens[begin : begin + self.width])
+            best = self.aligned(tokens, begin)
             n += 1
-            if len(best) < self.needed:
+            if not self.holds(tokens, best):
+                if self.long:
+                    n = bisect_left(begins, (begin + max(1, self.needed - len(best)),), n)
                 continue
-            best = [(i, begin + j) for i, j in best]
-            last = best[min(len(self.tokens) - self.needed, len(best) - 1)][1]
-            near = begins[n : bisect_left(begins, (last + 1,), n)]
-            for other, most in sorted(near, key=lambda x: (-x[1], x[0])):
-                if most < len(best):
-                    break
-                pairs = [(i, other + j) for i, j in align(self.tokens, tokens[other : other + self.width])]
-                if (len(pairs), best[-1][1] - best[0][1]) > (len(best), pairs[-1][1] - pairs[0][1] if pairs else 0):
-                    best = pairs
+            if self.long:
+                if len(again := self.aligned(tokens, best[0][1])) >= len(best):
+                    best = again
+            else:
+                last = best[min(len(self.tokens) - self.needed, len(best) - 1)][1]
+                near = begins[n : bisect_left(begins, (last + 1,), n)]
+                for other, most in sorted(near, key=lambda x: (-x[1], x[0])):
+                    if most < len(best):
+                        break
+                    pairs = self.aligned(tokens, other)
+                    if (len(pairs), best[-1][1] - best[0][1]) > (len(best), pairs[-1][1] - pairs[0][1] if pairs else 0) and self.holds(tokens, pairs):
+                        best = pairs
             if parts and best[0][1] <= parts[-1][-1][1]:
                 del parts[-1][short:]
             parts.append(best)
@@ -151,6 +211,16 @@ class Template:
         return [(self.name, p[0][1], p[-1][1] + 1, len(p), len(self.tokens), len(p) / len(self.tokens)) for p in parts]
 
 
+def best_of(found: list[tuple]) -> list[tuple]:
+    """Of parts that overlap the best, in the order of their starts."""
+    kept: list[tuple] = []  # by start; they don't overlap
+    for f in sorted(found, key=lambda f: (-f[3], -f[5], f[2] - f[1], f[1], f[0])):
+        at = bisect_left(kept, f[1], key=lambda k: k[1])
+        if (at == 0 or kept[at - 1][2] <= f[1]) and (at == len(kept) or f[2] <= kept[at][1]):
+            kept.insert(at, f)
+    return kept
+
+
 def scan_text(text: str | None, templates: list[Template]) -> list[tuple]:
     """(license, start, end, n_matched, n_words, coverage) of what the whole text holds; start and end count words."""
     lowered = (text or "").lower()
@@ -158,24 +228,26 @@ def scan_text(text: str | None, templates: list[Template]) -> list[tuple]:
     if not possible:
         return []
     tokens = words(text)
-    return [f for t in possible for f in t.found(tokens)]
+    counts = Counter(tokens)
+    possible = [t for t in possible if sum(min(n, counts[w]) for w, n in t.counts.items()) >= t.needed and (t.tells is None or t.tells <= counts.keys())]
+    return best_of([f for t in possible for f in t.found(tokens)])
 
 
-def with_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8) -> DataFrame:
-    """docs with a column licenses added. The templates go to the executors: a list of texts, not a table."""
-    shared = docs.sparkSession.sparkContext.broadcast([Template(n, words(t), least) for n, t in templates.items() if words(t)])
+def with_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = 0.8, column: str = "licenses") -> DataFrame:
+    """docs with a column added (replacing one of its name). The templates go to the executors: a list of texts, not a table."""
+    shared = docs.sparkSession.sparkContext.broadcast([Template(n, words(t), least) for n, t in templates or known_templates() if words(t)])
 
     @F.pandas_udf(FOUND)
     def scanned(texts: pd.Series) -> pd.Series:
         own = shared.value
         return pd.Series([[dict(zip(("license", "start", "end", "n_matched", "n_words", "coverage"), f, strict=True)) for f in scan_text(t, own)] for t in texts], dtype=object)
 
-    return docs.withColumn("licenses", scanned("text"))
+    return docs.withColumn(column, scanned("text"))
 
 
-def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8) -> DataFrame:
+def licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = 0.8) -> DataFrame:
     """doc_id, license, start, end, n_matched, n_words, coverage: a row for each part of each row of docs that covers a
-    template to the share `least` or more. Null, empty and wordless texts have none; repeated rows are
+    template to the share `least` or more and no better part overlaps. Null, empty and wordless texts have none; repeated rows are
     reported each; an empty table gives an empty result; columns besides doc_id and text are ignored."""
     rows = with_licenses(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), templates, least)
     return rows.select("doc_id", F.explode("licenses").alias("found")).select("doc_id", "found.*")
