@@ -4,22 +4,25 @@ On a bounded sample of the vectors, the exact neighbour graph is cut into balanc
 recursive spectral bisection. A small classifier (one hidden layer) learns, for each sampled vector, in
 which partitions its neighbours lie. It puts every candidate into its most probable partition and routes
 each query to the several most probable ones, so many that on sampled queries the wanted share of the
-true neighbours is reached; the candidates there are compared exactly.
+true neighbours is reached; the candidates there are compared exactly. Partitions that are still large
+are cut again in the same way, each by a classifier of its own, so that the number of partitions grows with
+the table and the share that a query meets falls.
 
 The measure is the inner product, so vectors of different length are first lifted to one length: each
 candidate v becomes (v, sqrt(M² - |v|²)), a query (q, 0), which keeps the order of inner products.
 
 Equal vectors are searched once: of each, the k + 1 least ids are candidates (more can't be among the k
-nearest, ties going to the smaller id), and equal queries share one search. Candidates of neighbouring
-partitions lie in groups of bounded size, a large partition in several blocks, and the queries that meet
-them in sets of bounded size, however many vectors fall into a partition.
+nearest, ties going to the smaller id), and equal queries share one search. A partition's candidates and the
+queries that meet them are compared in blocks of bounded size, however many fall into it; each candidate
+is sent once, but where a partition has more queries than a block holds.
 """
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvine.llm.common import cut
@@ -124,102 +127,120 @@ def fit(sample: np.ndarray, scale: float, depth: int, k: int, recall: float, hid
     asked = router.lifted(sample, True)
     train(router, np.concatenate([candidates[~test], asked[~test]]), np.concatenate([(own + share)[~test] / 2, share[~test]]))
     placed = np.argmax(router.logits(candidates), axis=1)
-    nearest = neighbour_graph_of(asked[test], candidates, np.flatnonzero(test), k)
+    nearest = nearest_of(asked[test], candidates, np.flatnonzero(test), k)
     rank = np.argsort(np.argsort(-router.logits(asked[test]), axis=1, kind="stable"), axis=1)
     needed = np.take_along_axis(rank, placed[nearest], 1).ravel()
     router.probes = int(np.searchsorted(np.cumsum(np.bincount(needed, minlength=2**depth)) / len(needed), recall)) + 1
     return router
 
 
-def neighbour_graph_of(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+def nearest_of(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
     scores = queries @ candidates.T
     scores[np.arange(len(queries)), own] = -np.inf
     return np.argpartition(-scores, min(k, len(candidates) - 1) - 1, axis=1)[:, : min(k, len(candidates) - 1)]
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array<double>) of the vectors that take part: id and components not null, finite, not all zero,
-    of the most frequent dimension (of equally frequent ones the larger)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+def usable(vectors: DataFrame, is_query: Column) -> DataFrame:
+    """vec_id, v (the vector as it is stored), asked, of the vectors that take part: id and components not null, finite, not all
+    zero, of the most frequent dimension (of equally frequent ones the larger). Of rows that share a vec_id that of the least vector counts."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"), is_query.alias("asked"))
     rows = rows.where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(v, x -> x <> 0)")
     dimension = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).select("d")
-    return rows.join(F.broadcast(dimension), F.size("v") == F.col("d"), "left_semi")
+    rows = rows.join(F.broadcast(dimension), F.size("v") == F.col("d"), "left_semi")
+    return rows.groupBy("vec_id").agg(F.min(F.struct("v", F.coalesce("asked", F.lit(False)).alias("asked"))).alias("x")).select("vec_id", "x.v", "x.asked")
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, max_sample: int = 8192, rows_per_partition: int = 1024, max_depth: int = 8, block: int = 16384, recall: float = 0.95) -> DataFrame:
+def _depth(rows: int, rows_per_partition: int, least: int) -> int:
+    """Of a partition that is cut: 2**depth parts of about rows_per_partition rows, `least` to 64 of them."""
+    return int(np.clip(np.ceil(np.log2(max(1, rows / rows_per_partition))), np.ceil(np.log2(least)), 6))
+
+
+def _level(items: DataFrame, large: DataFrame, level: int, longest: float, k: int, max_sample: int, rows_per_partition: int, least: int, block: int, recall: float) -> DataFrame:
+    """items with those of the large nodes (node, n) moved on to the nodes' parts, queries to several each."""
+    met = items.join(large, "node")
+    sample = met.where(~F.col("asked") & (F.pmod(F.xxhash64(F.lit(level), "v"), F.col("n")) < max_sample)).select("node", "n", "v")
+
+    def learn(part: pd.DataFrame) -> pd.DataFrame:  # of one node: max_sample rows, about
+        points = np.stack(part["v"].to_numpy()).astype(float)
+        points = points[np.lexsort(points.T)]  # one order, however the rows came
+        depth = min(_depth(int(part["n"].iloc[0]), rows_per_partition, least), int(np.log2(max(1, len(points) / 4))))
+        return pd.DataFrame({"node": [part["node"].iloc[0]], "n": [part["n"].iloc[0]], "router": [pickle.dumps(fit(points, longest, depth, k, recall))]})
+
+    routers = cut(sample.groupBy("node").applyInPandas(learn, "node long, n long, router binary"))
+    salts = F.ceil(F.col("n") / block).cast("int")
+    dealt = met.withColumn("s", F.pmod(F.xxhash64("a", "b"), salts).cast("int")).select("node", "s", "asked", "a", "b", "v")
+    there = routers.select("node", F.explode(F.sequence(F.lit(0), salts - 1)).alias("s"), "router")
+
+    def move(part: pd.DataFrame, router: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return part.drop(columns="s")
+        own, out = pickle.loads(router["router"].iloc[0]), []
+        for asked, some in part.groupby("asked"):
+            parts = own.partitions(np.stack(some["v"].to_numpy()).astype(float), bool(asked))
+            out.append(some.loc[some.index.repeat(parts.shape[1])].assign(node=lambda x, p=parts: x["node"] * 64 + p.ravel() + 1))
+        return pd.concat(out).drop(columns="s")
+
+    moved = dealt.groupBy("node", "s").cogroup(there.groupBy("node", "s")).applyInPandas(move, items.schema)
+    return moved.union(items.join(large.select("node"), "node", "left_anti").select(*items.columns))
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, max_sample: int = 8192, rows_per_partition: int = 1024, least: int = 8, levels: int = 8, block: int = 16384, recall: float = 0.92) -> DataFrame:
     """query_id, rank, vec_id, score: for each usable row for which the column is_query holds, its k nearest
     found among all other usable rows by inner product in double precision, ties to the smaller vec_id.
 
-    max_sample bounds the sample that the index is fitted on (by a hash of the vector; about); every row is
-    indexed. There are 2**depth partitions of rows_per_partition rows about, up to depth max_depth. Rows
-    that repeat a vec_id with one vector count once; with different vectors each is a candidate. A table
-    without usable rows gives an empty result, and other columns are ignored.
+    The first level has at least `least` partitions (1: no index, so an exact search); a partition of more than four times rows_per_partition rows
+    is cut again, up to `levels` times. recall is the share of true neighbours that all levels together are set to keep, judged by the sample. max_sample bounds the sample that each cut is learned from (by a hash of the
+    vector; about); every row is indexed. A table without usable rows gives an empty result, and other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = cut(usable(vectors).select("vec_id", "v", is_query.alias("asked")).distinct())
-    same = Window.partitionBy("v").orderBy("vec_id")
-    candidates = cut(rows.select("vec_id", "v").withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1))
-    number, longest = candidates.where("n = 1").agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()
+    rows = cut(usable(vectors, is_query))
+    name = [F.xxhash64("v"), F.xxhash64(F.lit("second"), "v")]  # of a vector: 128 bits of hashes
+    same = Window.partitionBy("a", "b").orderBy("vec_id")
+    candidates = cut(rows.select("vec_id", "v", name[0].alias("a"), name[1].alias("b")).withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1))
+    number, longest = candidates.where("n = 1").agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)))).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not number:
         return spark.createDataFrame([], schema)
-    sampled = candidates.where("n = 1").where(F.pmod(F.xxhash64("v"), F.lit(number)) < max_sample).select("v").orderBy(F.xxhash64("v")).collect()
-    depth = int(np.clip(round(np.log2(number / rows_per_partition)), 0, max_depth)) if number > rows_per_partition else 0
-    router = spark.sparkContext.broadcast(fit(np.array([r["v"] for r in sampled] or [[1.0]]), longest, depth if len(sampled) >= 4 * 2**depth else 0, k, recall))
-
-    def places(query: bool):
-        @F.pandas_udf("array<int>")
-        def found(vs: pd.Series) -> pd.Series:
-            return pd.Series(list(router.value.partitions(np.stack(vs.to_numpy()), query).astype(np.int32)), dtype=object)
-
-        return found
-
-    placed = cut(candidates.withColumn("part", places(False)("v")[0]))
-    # Neighbouring partitions share a group of `block` candidates at most, in which a query finds its k best at once; a
-    # larger one is a group of its own, dealt over several blocks. There are 2**max_depth partitions at most.
-    groups, blocks, held = [0] * 2**max_depth, [1], 0
-    for part, n in sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect()):
-        if held and held + n > block:
-            blocks.append(1)
-            held = 0
-        groups[part], blocks[-1], held = len(blocks) - 1, max(1, -(-(held + n) // block)), held + n
-    group_of, blocks_of = (F.array(*map(F.lit, x)) for x in (groups, blocks))
-    # One search for equal queries, named by a hash of the vector and its least id.
-    questions = cut(rows.where("asked").groupBy("v").agg(F.min("vec_id").alias("least")).select("v", F.xxhash64("least", "v").alias("asker")))
-    sets = max(1, -(-questions.count() // block))
-    routed = questions.withColumn("parts", places(True)("v")).withColumn("group", F.explode(F.array_distinct(F.transform("parts", lambda p: group_of[p]))))
-    # Both sides' keys are of one type: rows are dealt by a hash that differs between int and long.
-    left = placed.withColumn("group", group_of[F.col("part")]).select("group", F.pmod(F.xxhash64("vec_id", "v"), blocks_of[F.col("group")]).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("s"), "part", "vec_id", "v")
-    right = routed.select("group", F.explode(F.sequence(F.lit(0), blocks_of[F.col("group")] - 1)).alias("b"), F.pmod("asker", F.lit(sets)).cast("int").alias("s"), "asker", "parts", F.col("v").alias("q"))
+    questions = rows.where("asked").select(name[0].alias("a"), name[1].alias("b"), "v").dropDuplicates(["a", "b"])
+    at = F.lit(0).cast("long").alias("node")
+    items = cut(candidates.select(at, F.lit(False).alias("asked"), F.col("vec_id").alias("a"), F.lit(0).cast("long").alias("b"), "v").union(questions.select(at, F.lit(True), "a", "b", "v")))
+    for level in range(levels if least > 1 and number >= 4 * least else 0):
+        sizes = items.where("NOT asked").groupBy("node").agg(F.count("*").alias("n"))
+        large = cut(sizes.where(F.col("n") > (4 * rows_per_partition if level else 0)))
+        if large.isEmpty():
+            break
+        items = cut(_level(items, large, level, longest, k, max_sample, rows_per_partition, least, block, 1 - (1 - recall) / 2 ** (level + 1)))  # losses add up to 1 - recall at most
+    sizes = cut(items.groupBy("node").agg(F.ceil(F.count_if(~F.col("asked")) / block).cast("int").alias("blocks"), F.ceil(F.count_if("asked") / block).cast("int").alias("sets")).where("blocks > 0 AND sets > 0"))
+    met = items.join(sizes, "node")
+    deal = lambda n: F.pmod(F.xxhash64("b", "a"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = met.where("NOT asked").select("node", deal("blocks").alias("block"), each("sets").alias("set"), "a", "v")
+    right = met.where("asked").select(F.col("node").alias("node"), each("blocks").alias("block"), deal("sets").alias("set"), *[F.col(c).alias(c) for c in ("a", "b", "v")])
 
     def compare(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        near: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(len(there))]
-        routes: dict[int, list[int]] = {}
-        for i, parts in enumerate(there["parts"]):
-            for p in parts:
-                routes.setdefault(int(p), []).append(i)
-        for p, own in here.groupby("part") if len(there) else ():
-            points, ids = np.stack(own["v"].to_numpy()), own["vec_id"].to_numpy()
-            m, asked = min(k + 1, len(ids)), routes.get(int(p), [])
-            for at in range(0, len(asked), 256):
-                queries = np.stack(there["q"].iloc[asked[at : at + 256]].to_numpy())
-                scores = queries @ points.T
-                edge = np.partition(scores, len(ids) - m, axis=1)[:, len(ids) - m]
-                for i, n in enumerate(asked[at : at + 256]):
-                    found = np.flatnonzero(scores[i] >= edge[i] - 1e-9 * max(1.0, abs(edge[i])))
-                    near[n].append((ids[found], (points[found] * queries[i]).sum(1)))  # the same sum for equal vectors
-        out = []
-        for asker, found in zip(there["asker"], near, strict=True):
-            if found:
-                ids, exact = (np.concatenate(x) for x in zip(*found, strict=True))
-                best = np.lexsort((ids, -exact))[: k + 1]
-                out.append(pd.DataFrame({"asker": asker, "vec_id": ids[best], "score": exact[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"asker": [], "vec_id": [], "score": []})
-
-    met = left.groupBy("group", "b", "s").cogroup(right.groupBy("group", "b", "s")).applyInPandas(compare, "asker long, vec_id long, score double")
-    best = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
-    found = met.distinct().withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).select("asker", "vec_id", "score")
-    who = rows.where("asked").join(questions, "v").select(F.col("vec_id").alias("query_id"), "asker")
-    each = who.join(found, "asker").where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        a, b, ids, scores = [], [], [], []
+        if len(here) and len(there):
+            points, own = np.stack(here["v"].to_numpy()).astype(float), here["a"].to_numpy()
+            m = min(k + 1, len(own))
+            for at in range(0, len(there), 256):
+                part = there.iloc[at : at + 256]
+                queries = np.stack(part["v"].to_numpy()).astype(float)
+                rough = queries @ points.T
+                edge = np.partition(rough, len(own) - m, axis=1)[:, len(own) - m]
+                for n, query in enumerate(queries):
+                    some = np.flatnonzero(rough[n] >= edge[n] - 1e-9 * max(1.0, abs(edge[n])))
+                    exact = (points[some] * query).sum(1)  # the same sum for equal vectors
+                    best = np.lexsort((own[some], -exact))[:m]
+                    ids.append(own[some][best])
+                    scores.append(-exact[best])
+                a.append(part["a"])
+                b.append(part["b"])
+        return pd.DataFrame({"a": pd.concat(a) if a else [], "b": pd.concat(b) if b else [], "far": scores, "ids": ids})
+
+    found = left.groupBy("node", "block", "set").cogroup(right.groupBy("node", "block", "set")).applyInPandas(compare, "a long, b long, far array<double>, ids array<long>")
+    # Of each query vector the k + 1 best of all its partitions; each query then leaves itself out.
+    best = found.groupBy("a", "b").agg(F.slice(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("far", "ids")))), 1, k + 1).alias("best"))
+    who = rows.where("asked").select(F.col("vec_id").alias("query_id"), name[0].alias("a"), name[1].alias("b"))
+    others = F.slice(F.filter("best", lambda x: x["ids"] != F.col("query_id")), 1, k)
+    out = who.join(best, ["a", "b"]).select("query_id", F.posexplode(others).alias("rank", "x"))
+    return out.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.ids").alias("vec_id"), (0.0 - F.col("x.far")).alias("score"))

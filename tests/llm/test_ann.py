@@ -44,6 +44,28 @@ def test_recall(spark):
     assert all(abs(s - np.dot(np.array(vectors[q], float), np.array(vectors[i], float))) < 1e-9 for q, x in got.items() for i, s in x)
 
 
+def test_queries_meet_a_part_of_the_partitions():
+    """On points in clusters the router sends a query to few of the partitions."""
+    g = np.random.default_rng(1)
+    points = np.repeat(g.standard_normal((64, 16)), 64, axis=0) * 3 + g.standard_normal((4096, 16))
+    router = ann.fit(points, float(np.sqrt((points**2).sum(1)).max()), 5, 20, 0.96)
+    assert router.probes <= 8
+    placed = router.partitions(points, False)[:, 0]
+    assert len(set(placed)) == 32 and np.bincount(placed).max() < 4 * 128
+
+
+def test_several_levels(spark):
+    """Partitions of partitions: 8 of 8 about, each cut once more."""
+    g = np.random.default_rng(6)
+    points = np.repeat(g.standard_normal((150, 12)), 40, axis=0) * 2 + g.standard_normal((6000, 12))
+    data = [(i, np.float32(x).tolist()) for i, x in enumerate(points)]
+    found = results(ann.search(spark.createDataFrame(data, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=10, rows_per_partition=16, max_sample=1500, block=512))
+    want = brute(data, lambda q: q % 20 == 0, 10)
+    recall = np.mean([len({i for i, _ in found.get(q, [])} & {i for i, _ in want[q]}) / 10 for q in want])
+    print("recall", recall)
+    assert recall >= 0.9 and set(found) == set(want)
+
+
 def test_recall_over_many_tasks(spark):
     """Partitions of the index and their queries meet however many tasks they are dealt to."""
     g = np.random.default_rng(2)
