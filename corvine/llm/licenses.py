@@ -221,26 +221,40 @@ def best_of(found: list[tuple]) -> list[tuple]:
     return kept
 
 
+class Scanner:
+    """The templates with an index of the words of which a text must hold one."""
+
+    def __init__(self, templates: list[Template]) -> None:
+        self.templates = templates
+        self.by_word: dict[str, list[int]] = {}
+        for n, t in enumerate(templates):
+            for w in t.must:
+                self.by_word.setdefault(w, []).append(n)
+
+    def scan(self, text: str | None) -> list[tuple]:
+        """(license, start, end, n_matched, n_words, coverage) of what the whole text holds; start and end count words."""
+        met = self.by_word.keys() & set(_WORD.findall((text or "").lower()))
+        if not met:
+            return []
+        tokens = words(text)
+        counts = Counter(tokens)
+        possible = [self.templates[n] for n in sorted({n for w in met for n in self.by_word[w]})]
+        possible = [t for t in possible if (t.tells is None or t.tells <= counts.keys()) and sum(min(n, counts[w]) for w, n in t.counts.items()) >= t.needed]
+        return best_of([f for t in possible for f in t.found(tokens)])
+
+
 def scan_text(text: str | None, templates: list[Template]) -> list[tuple]:
-    """(license, start, end, n_matched, n_words, coverage) of what the whole text holds; start and end count words."""
-    lowered = (text or "").lower()
-    possible = [t for t in templates if any(w in lowered for w in t.must)]
-    if not possible:
-        return []
-    tokens = words(text)
-    counts = Counter(tokens)
-    possible = [t for t in possible if sum(min(n, counts[w]) for w, n in t.counts.items()) >= t.needed and (t.tells is None or t.tells <= counts.keys())]
-    return best_of([f for t in possible for f in t.found(tokens)])
+    return Scanner(templates).scan(text)
 
 
 def with_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = 0.8, column: str = "licenses") -> DataFrame:
     """docs with a column added (replacing one of its name). The templates go to the executors: a list of texts, not a table."""
-    shared = docs.sparkSession.sparkContext.broadcast([Template(n, words(t), least) for n, t in templates or known_templates() if words(t)])
+    shared = docs.sparkSession.sparkContext.broadcast(Scanner([Template(n, words(t), least) for n, t in templates or known_templates() if words(t)]))
 
     @F.pandas_udf(FOUND)
     def scanned(texts: pd.Series) -> pd.Series:
         own = shared.value
-        return pd.Series([[dict(zip(("license", "start", "end", "n_matched", "n_words", "coverage"), f, strict=True)) for f in scan_text(t, own)] for t in texts], dtype=object)
+        return pd.Series([[dict(zip(("license", "start", "end", "n_matched", "n_words", "coverage"), f, strict=True)) for f in own.scan(t)] for t in texts], dtype=object)
 
     return docs.withColumn(column, scanned("text"))
 
