@@ -2,8 +2,8 @@
 
 Texts are counted character n-grams (one to three letters, blanks for what is no letter) hashed into a
 fixed number of places, square roots of their shares. Families are told apart, and then the closely
-related languages of one family, by one-versus-one linear support vector machines (spark.ml), trained on
-a bounded sample of the documents that may be learned from.
+related languages of one family, by one-versus-one linear support vector machines, trained on
+a bounded sample of the documents that may be learned from: each pair of names is one task.
 """
 
 from dataclasses import dataclass
@@ -11,9 +11,8 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvine.llm.common import cut
@@ -37,8 +36,9 @@ PLACES = 8192
 _SLICE = 1 << 20
 
 
-def family_of(lang: str) -> str:
-    return next((f for f, codes in FAMILIES.items() if lang.lower().split("-")[0].split("_")[0] in codes.split()), f"only {lang}")
+def family_of(lang: Column) -> Column:
+    known = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[F.lower(F.split(lang, "[-_]")[0])], F.concat(F.lit("only "), lang))
 
 
 _letters: np.ndarray | None = None
@@ -111,14 +111,47 @@ class Model:
         return own.names[best], float(min(1.0, of_family[f] * within[best]))
 
 
-def _machines(rows: DataFrame, column: str, names: list[str]) -> Machines:
-    pairs = list(combinations(range(len(names)), 2))
-    weights, bias = np.zeros((len(pairs), PLACES)), np.zeros(len(pairs))
-    for k, (a, b) in enumerate(pairs):
-        part = rows.where(F.col(column).isin(names[a], names[b])).select((F.col(column) == names[a]).cast("double").alias("label"), "features")
-        fitted = LinearSVC(maxIter=40, regParam=1e-3, standardization=False).fit(part)
-        weights[k], bias[k] = fitted.coefficients.toArray(), fitted.intercept
-    return Machines(names, pairs, weights, bias)
+def machine(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, places: int = PLACES, c: float = 100.0, epochs: int = 60, enough: float = 1e-3, seed: int = 1) -> np.ndarray:
+    """Weights (the last is the bias) of the linear support vector machine with squared hinge loss over rows (places, values): the minimum
+    of w·w / 2 + c / n sum max(0, 1 - y w·x)², for y of -1 and 1, by dual coordinate descent (Hsieh et al. 2008)."""
+    rows = [(np.append(at, places), np.append(value, 1.0).astype(float)) for at, value in rows]
+    w, alpha, random, soft = np.zeros(places + 1), np.zeros(len(rows)), np.random.default_rng(seed), len(rows) / (2 * c)
+    square = [float(value @ value) + soft for _, value in rows]
+    for _ in range(epochs):
+        worst = 0.0
+        for i in random.permutation(len(rows)).tolist():
+            at, value = rows[i]
+            grad = y[i] * (w[at] @ value) - 1 + soft * alpha[i]
+            if alpha[i] > 0 or grad < 0:
+                new = max(0.0, alpha[i] - grad / square[i])
+                worst = max(worst, abs(new - alpha[i]) * square[i])
+                w[at] += (new - alpha[i]) * y[i] * value
+                alpha[i] = new
+        if worst < enough:
+            break
+    return w
+
+
+def _machines(rows: DataFrame, groups: dict[str, list[str]]) -> dict[str, Machines]:
+    """Of each group its machines, from rows of kind (the group), name, at, value. Each pair is learned in a task of its own, from
+    the rows of its two names."""
+    pairs = [(g, a, b) for g, names in groups.items() for a, b in combinations(range(len(names)), 2)]
+    found: dict[tuple, np.ndarray] = {}
+    if pairs:
+        sides = [(g, groups[g][n], k, y) for k, (g, a, b) in enumerate(pairs) for n, y in ((a, 1), (b, -1))]
+        met = rows.join(F.broadcast(rows.sparkSession.createDataFrame(sides, "kind string, name string, pair int, y int")), ["kind", "name"])
+
+        def learn(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values(["y", "doc_id", "text_hash"])  # one order, however the rows came
+            return pd.DataFrame({"pair": [part["pair"].iloc[0]], "w": [machine(list(zip(part["at"], part["value"], strict=True)), part["y"].to_numpy())]})
+
+        found = {r["pair"]: np.array(r["w"]) for r in met.repartition(len(pairs), "pair").groupBy("pair").applyInPandas(learn, "pair int, w array<double>").collect()}
+    out = {}
+    for g, names in groups.items():
+        own = [(k, (a, b)) for k, (h, a, b) in enumerate(pairs) if h == g]
+        weights = np.array([found[k] for k, _ in own]).reshape(len(own), PLACES + 1)
+        out[g] = Machines(names, [p for _, p in own], weights[:, :-1], weights[:, -1])
+    return out
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -128,32 +161,35 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, per_language: int = 1000) -> Model:
     """Learns from rows with a lang whose crc32(doc_id) mod 4 is not 2. per_language bounds the sample of each
     language (about; chosen by a hash of doc_id, the same at every run). Rows without a letter teach nothing."""
-    usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
+    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out())
     numbers = usable.groupBy("lang").agg(F.count("*").alias("__n"))
     sample = usable.join(F.broadcast(numbers), "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("__n")) < per_language)
-    family = F.udf(family_of, "string")
-
-    @F.udf(VectorUDT())
-    def vector(text):
-        found = features(text)
-        if found is None:
-            return None
-        at = np.flatnonzero(found)
-        return Vectors.sparse(PLACES, at, found[at])
-
-    # not said to be deterministic: else the test for null would be pushed below the sampling and run on every text
-    vector = vector.asNondeterministic()
-    rows = cut(sample.select("lang", family("lang").alias("family"), vector("text").alias("features")).where("features IS NOT NULL"))
+
+    def vectors(batches):
+        for batch in batches:
+            found = [features(t) for t in batch.column("text").to_pylist()]
+            keep = [i for i, f in enumerate(found) if f is not None]
+            at = [np.flatnonzero(found[i]) for i in keep]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(pa.array(keep, pa.int64())) for c in ("family", "lang", "doc_id", "text_hash")), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([found[i][a].astype(np.float32) for i, a in zip(keep, at, strict=True)], pa.list_(pa.float32()))],
+                names=["family", "lang", "doc_id", "text_hash", "at", "value"],
+            )
+
+    sample = sample.select(family_of(F.col("lang")).alias("family"), "lang", "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = cut(sample.mapInArrow(vectors, "family string, lang string, doc_id long, text_hash long, at array<int>, value array<float>"))
     known = sorted((r["family"], r["lang"]) for r in rows.select("family", "lang").distinct().collect())
     families = sorted({f for f, _ in known})
-    rows = rows.persist()
-    found = Model(_machines(rows, "family", families), {f: _machines(rows, "lang", [n for g, n in known if g == f]) for f in families})
-    rows.unpersist()
-    return found
+    # A family's languages share its part of the sample.
+    shared = F.lit(per_language) / F.create_map(*[F.lit(x) for f in families for x in (f, sum(g == f for g, _ in known))])[F.col("family")] if families else F.lit(0)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text_hash")))
+    of_family = rows.withColumn("rank", rank).where(F.col("rank") <= shared).select(F.lit("families").alias("kind"), F.col("family").alias("name"), "doc_id", "text_hash", "at", "value")
+    of_language = rows.select("family", F.col("lang").alias("name"), "doc_id", "text_hash", "at", "value").withColumnRenamed("family", "kind")
+    top = _machines(of_family, {"families": families})["families"]
+    return Model(top, _machines(of_language, {f: [n for g, n in known if g == f] for f in families}))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column language added: lang_pred and score of each whole text."""
+def identify(docs: DataFrame, model: Model, column: str = "language") -> DataFrame:
+    """docs with a struct column added (replacing one of its name): lang_pred and score of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -161,7 +197,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         own = shared.value
         return pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("language", language("text"))
+    return docs.withColumn(column, language("text"))
 
 
 def languages(docs: DataFrame, per_language: int = 1000) -> DataFrame:
