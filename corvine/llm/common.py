@@ -1,6 +1,7 @@
 """What several operators of this subpackage share: cutting lineage and connected components."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,13 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared checkpoint folder: like `cut`, where later steps read some columns only."""
+    path = f"{shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def fresh(frame: DataFrame, name: str) -> str:
     """The name, or one made of it, that no column of the frame has in any case."""
     taken = {c.lower() for c in frame.columns}

@@ -9,15 +9,18 @@ only to one with a 1 there: equal segments meet once, by their own value, and no
 Copies never meet each other: the index holds distinct fingerprints. A segment value that very many
 distinct fingerprints share (and its one-bit neighbours) is refined: the other segment, in which a link
 has three differing bits at most, is cut in two and indexed in the same way under the first key.
+
+Similar texts are found by the same deletion variants of a signature of other components: see without_similar.
 """
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvine.llm.common import components, cut
+from corvine.llm.common import components, cut, fresh, written
 
 SEED = 42
 #: Set bits of each byte value, least significant first.
@@ -127,11 +130,159 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3, cell: int =
     return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
+#: Of similar texts: segments of a signature, values of a segment, and their hashes' fixed random numbers.
+SEGMENTS, VALUES = 5, 6
+_random = np.random.default_rng(2024)
+_XOR, _ODD, _FOLD = (_random.integers(0, 2**64, n, dtype=np.uint64) for n in (SEGMENTS * VALUES, SEGMENTS * VALUES, VALUES))
+_ODD, _FOLD, _NAME = _ODD | np.uint64(1), _FOLD | np.uint64(1), _random.integers(0, 2**64, (SEGMENTS, VALUES), dtype=np.uint64)
+BLOCK, CLUSTER = 256, 8192
+
+
+def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct hashes of the text's shingles, rising; of fewer words the whole sequence; none without a word."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.zeros(0, dtype=np.uint64)
+    shingles = [b" ".join(tokens)] if len(tokens) < words else map(b" ".join, zip(*(tokens[k:] for k in range(words))))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), dtype=np.uint64))
+
+
+def variants(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a text: of each segment of its signature (least hashes in random orders), the values without one."""
+    least = np.full(SEGMENTS * VALUES, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, ((hashes[at : at + 4096, None] ^ _XOR) * _ODD).min(0))
+    part = least.reshape(SEGMENTS, VALUES) * _FOLD
+    keys = ((part.sum(1, keepdims=True, dtype=np.uint64) - part) ^ _NAME) * np.uint64(0x9E3779B97F4A7C15)
+    return (keys ^ (keys >> np.uint64(32))).ravel()
+
+
+def _signed(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, text_hash, node (the text's set of shingles), n (how many), keys, hashes (32 bits of each) of each row, as a written table."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [shingle_hashes(t, words) for t in part.column("text").to_pylist()]
+                node = np.array([xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found], dtype=np.uint64).view(np.int64)
+                keys = pa.array([variants(f).view(np.int64) if len(f) else [] for f in found], pa.list_(pa.int64()))
+                hashes = pa.array([np.unique((f >> np.uint64(32)).astype(np.uint32).view(np.int32)) for f in found], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(node), pa.array([len(h) for h in hashes], pa.int32()), keys, hashes], names=["doc_id", "text_hash", "node", "n", "keys", "hashes"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return written(rows.mapInArrow(run, "doc_id long, text_hash long, node long, n int, keys array<long>, hashes array<int>"))
+
+
+def linked_in_block(part: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
+    """Links of the texts (node, component, hashes) of one block or two (side 0, or 0 and 1) whose Jaccard similarity is reached:
+    as many as join what is to be joined, not all pairs."""
+    part = part.sort_values(["side", "node"])
+    lists, side, nodes = part["hashes"].to_list(), part["side"].to_numpy(), part["node"].to_numpy()
+    sizes = np.array([len(x) for x in lists])
+    _, place, often = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(lists)), sizes), often[place] > 1
+    column = np.cumsum(often > 1) - 1
+    holds = np.zeros((len(lists), int((often > 1).sum())), dtype=np.float32)
+    holds[owner[shared], column[place[shared]]] = 1
+    both = holds @ holds.T
+    near = both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-6
+    if side.any():
+        near &= side[:, None] != side[None, :]
+    top = dict(enumerate(part["component"].to_list()))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        x, y = root(top[a]), root(top[b])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((int(nodes[a]), int(nodes[b])))
+    return out
+
+
+def similar(rows: DataFrame, similarity: float = 0.8, block: int = BLOCK, cluster: int = CLUSTER) -> DataFrame:
+    """Links a, b between nodes of rows (as _signed gives them): enough of them to join all nodes that a chain of pairs joins
+    that share a key and have a Jaccard similarity of `similarity` at least.
+
+    Every node is compared with the least one that shares a key with it. Where a key's nodes are then not all in one
+    component, they are compared in full, in blocks of `block`: those that such keys chain together as one group, or, where
+    that has over `cluster` nodes, each key's nodes as one. Neither parameter changes which nodes are joined.
+    """
+    keyed = cut(rows.select("node", "n", F.explode("keys").alias("key")).distinct())
+    least = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("number")).where("number > 1").select("key", "least")
+    stars = keyed.join(least, "key").where("node <> least.node").select("node", "n", F.col("least.node").alias("other"), F.col("least.n").alias("m")).distinct()
+    stars = cut(stars.where(F.least("n", "m") >= similarity * F.greatest("n", "m")).select("node", "other"))
+    wanted = stars.select("node").union(stars.select("other")).distinct()
+    texts = lambda nodes: rows.select("node", "hashes").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    held = written(texts(wanted))
+    x, y = held.toDF("node", "x"), held.toDF("other", "y")
+    met = stars.join(x, "node").join(y, "other").withColumn("both", F.size(F.array_intersect("x", "y")))
+    first = cut(met.where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-6).select(F.col("node").alias("a"), F.col("other").alias("b")))
+    known = cut(components(first))
+    named = keyed.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("least")).where("low <> high").select("key", "least")
+    left = cut(named.join(open_keys, "key"))
+    if left.isEmpty():
+        return first
+    chains = cut(components(left.select(F.col("node").alias("a"), F.col("least").alias("b"))).withColumnRenamed("component", "chain"))
+    chained = left.join(chains, "node")
+    large = chains.groupBy("chain").count().where(F.col("count") > cluster).select("chain")
+    small_groups = chained.join(large, "chain", "left_anti").select(F.col("chain").alias("group"), F.lit(0).alias("kind"), "node", "component").distinct()
+    key_groups = chained.join(large, "chain", "left_semi").select(F.col("key").alias("group"), F.lit(1).alias("kind"), "node", "component")
+    groups = cut(small_groups.union(key_groups))
+    parts = groups.groupBy("group", "kind").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    dealt = groups.join(parts, ["group", "kind"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # Block i meets block j >= i; a block of its own is side 0.
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), (F.col("own") > o).cast("int").alias("side")))
+    sent = dealt.select("group", "kind", "node", "component", F.explode(pairs).alias("p")).select("group", "kind", "node", "component", "p.*")
+    full = sent.join(written(texts(groups.select("node").distinct())), "node")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(linked_in_block(part, similarity), columns=["a", "b"])
+
+    return first.union(full.groupBy("group", "kind", "i", "j").applyInPandas(compare, "a long, b long"))
+
+
+def _kept(docs: DataFrame, rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """docs with one row of each component of rows' nodes: that of its smallest doc_id (null where it has no other), of several
+    that with the least text hash. Texts are not grouped: the kept keys are, and they meet docs once."""
+    least = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("least"))
+    best = least.join(joined, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least"))
+    own, text = fresh(docs, "kept_id"), fresh(docs, "kept_hash")
+    keys = cut(best.select(F.col("least.doc_id").alias(own), F.col("least.text_hash").alias(text)))
+    is_kept = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(text))
+    met = docs.join(keys, is_kept, "left_semi")
+    same = rows.join(keys, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col("text_hash") == F.col(text)), "left_semi")
+    twice = cut(same.groupBy(F.col("doc_id").alias(own), F.col("text_hash").alias(text)).count().where("count > 1").drop("count"))
+    if twice.isEmpty():
+        return met
+    number = fresh(docs, "kept_number")
+    once = Window.partitionBy(F.col("doc_id").cast("long"), F.xxhash64("text")).orderBy(F.lit(0))
+    some = met.join(twice, is_kept, "left_semi").withColumn(number, F.row_number().over(once)).where(F.col(number) == 1).select(*docs.columns)
+    return met.join(twice, is_kept, "left_anti").union(some)
+
+
 def without_near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id (of several rows of the component
-    with that id, one with the least text hash). Columns stay as they are."""
-    found = near_duplicates(docs, words, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keys = found.groupBy(F.col("doc_id").alias("__id"), F.col("component").alias("__component")).agg(F.min("text_hash").alias("__hash"))
-    met = docs.withColumn("__own", F.xxhash64("text")).join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")))
-    once = Window.partitionBy("__id", "__component").orderBy("__own")
-    return met.withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*docs.columns)
+    """docs with one row of each component of fingerprints. Columns stay as they are."""
+    rows = cut(fingerprints(docs, words)).withColumnRenamed("fp", "node")
+    return _kept(docs, rows, components(links(rows.select(F.col("node").alias("fp")).distinct(), bits)))
+
+
+def without_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of texts that a chain of Jaccard similarities (of their sets of word shingles) of
+    `similarity` at least joins. Null, empty and wordless texts are one group. Columns stay as they are.
+
+    Three differing bits of a SimHash stand for a similarity near one; at 0.8 about ten of 64 differ, which two
+    segments can't hold. So a signature has least hashes in place of bits. It is cut into few segments, and each is
+    indexed by its variants with one value deleted: two texts meet where a segment differs in one value at most. At a
+    similarity of 0.8 that is so for a segment in 0.655 of cases, for one of the five in 0.995. What meets is verified
+    by the whole sets.
+    """
+    rows = _signed(docs, words)
+    return _kept(docs, rows, components(similar(rows, similarity)))

@@ -6,7 +6,7 @@ import sentencepiece
 from compare import duck, rows
 from test_decontam import edit
 from test_linededup import brute as brute_lines
-from test_simhash import brute_components, brute_fingerprint
+from test_simhash import brute_components, brute_fingerprint, brute_similar
 from test_toxicity import brute as brute_toxic
 
 from corvine.llm import decontam, queries
@@ -39,7 +39,7 @@ def test_stages_against_plain_versions(spark, folder):
     docs = {i: t for (i, t), score in zip(documents.items(), scores, strict=True) if score < 0.5}
     docs = kept_lines(docs)
     assert len(brute_lines(list(docs.items()))) == len(docs)
-    groups = near_groups(docs)
+    groups = brute_similar(docs)
     docs = {i: t for i, t in docs.items() if groups[i] == i}
     leaked = {i for i, t in docs.items() for tokens in items.values() if set(tokens) & set(decontam.words(t)) and len(set(tokens) - set(decontam.words(t))) <= 0.2 * len(tokens) and edit(tokens, decontam.words(t)) <= int(0.2 * len(tokens))}
     docs = {i: t for i, t in docs.items() if i not in leaked}

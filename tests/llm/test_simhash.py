@@ -70,7 +70,11 @@ def test_near_duplicates_on_odd_rows(spark):
     assert got == sorted([(5, 3), (3, 3), (9, 3), (9, 3), (1, 1), (2, 1), (None, 3), (4, 4), (None, None)], key=str)
     kept = sorted((x.doc_id for x in simhash.without_near_duplicates(docs).collect()), key=str)
     assert kept == [1, 3, 4, None]
-    assert simhash.without_near_duplicates(docs).columns == docs.columns
+    for drop in (simhash.without_near_duplicates, simhash.without_similar):
+        clashing = docs.withColumns({"kept_id": docs.text, "__id": docs.doc_id, "node": docs.fp})
+        assert drop(clashing).schema == clashing.schema and drop(docs.limit(0)).count() == 0
+        twice = docs.unionByName(docs)
+        assert sorted((x.doc_id for x in drop(twice).collect()), key=str) == kept
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -83,3 +87,57 @@ def test_against_brute_force(spark, folder):
     got = {r.doc_id: (r.fp % 2**64, r.component_id) for r in simhash.near_duplicates(docs).collect()}
     assert got == {i: (fps[i], want[i]) for i in ids}
     assert {r.doc_id for r in simhash.without_near_duplicates(docs).collect()} == set(want.values())
+
+
+def brute_similar(texts, words=5, similarity=0.8):
+    """Components of texts (by id) by all Jaccard similarities."""
+    sets = {}
+    for i, t in texts.items():
+        tokens = (t or "").encode().lower().split()
+        sets[i] = frozenset(tuple(tokens[k : k + words]) for k in range(max(1, len(tokens) - words + 1))) if tokens else frozenset()
+    ids = sorted(texts)
+    near = lambda x, y: x == y or len(x & y) >= similarity * len(x | y)
+    return brute_components(ids, [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if near(sets[a], sets[b])])
+
+
+@pytest.mark.parametrize(("block", "cluster"), [(256, 8192), (8, 8192), (8, 10)])
+def test_similar_texts(spark, block, cluster):
+    """Families whose copies are near the first text and not each other, chains, copies at 0.8 exactly, shared passages."""
+    r = random.Random(8)
+    draw = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    texts = []
+    for _ in range(6):
+        base = draw(204)
+        texts.append(base)
+        for _ in range(30):
+            copy = list(base)
+            for at in r.sample(range(len(copy)), r.randrange(1, 7)):
+                copy[at] = f"new{r.randrange(10**6)}"
+            texts.append(copy)
+    chain = draw(300)
+    for _ in range(20):
+        texts.append(list(chain))
+        chain[r.randrange(300)] = "other"
+        chain[r.randrange(300)] = "more"
+    passage = draw(120)
+    texts += [passage + draw(r.randrange(60, 240)) for _ in range(80)] + [draw(50) for _ in range(40)] + [[], ["one"], ["One"]]
+    r.shuffle(texts)
+    documents = {i: " ".join(t) for i, t in enumerate(texts)}
+    want = brute_similar(documents)
+    rows = simhash._signed(spark.createDataFrame(list(documents.items()), "doc_id long, text string"), 5)
+    of = {x.node: x.component for x in components(simhash.similar(rows, 0.8, block, cluster)).collect()}
+    got: dict = {}
+    for x in rows.collect():
+        got.setdefault(of.get(x.node, x.node), []).append(x.doc_id)
+    found = {i: min(ids) for ids in got.values() for i in ids}
+    assert all(want[found[i]] == want[i] for i in documents)  # nothing is joined that isn't near
+    missed = sum(found[i] != want[i] for i in documents)
+    print("components", len(set(want.values())), "documents not with their component's first", missed)
+    assert missed <= 2
+
+
+def test_similar_on_the_table(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    want = brute_similar({r.doc_id: r.text for r in docs.collect()})
+    kept = {r.doc_id for r in simhash.without_similar(docs).collect()}
+    assert set(want.values()) <= kept and len(kept) <= len(set(want.values())) + 1
