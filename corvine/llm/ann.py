@@ -18,6 +18,7 @@ is sent once, but where a partition has more queries than a block holds.
 """
 
 import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -150,6 +151,10 @@ def usable(vectors: DataFrame, is_query: Column) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min(F.struct("v", F.coalesce("asked", F.lit(False)).alias("asked"))).alias("x")).select("vec_id", "x.v", "x.asked")
 
 
+#: Classifiers (some 100 KB each) that are broadcast; beyond that each meets its partition's rows.
+BROADCAST = 64
+
+
 def _depth(rows: int, rows_per_partition: int, least: int) -> int:
     """Of a partition that is cut: 2**depth parts of about rows_per_partition rows, `least` to 64 of them."""
     return int(np.clip(np.ceil(np.log2(max(1, rows / rows_per_partition))), np.ceil(np.log2(least)), 6))
@@ -167,18 +172,29 @@ def _level(items: DataFrame, large: DataFrame, level: int, longest: float, k: in
         return pd.DataFrame({"node": [part["node"].iloc[0]], "n": [part["n"].iloc[0]], "router": [pickle.dumps(fit(points, longest, depth, k, recall))]})
 
     routers = cut(sample.groupBy("node").applyInPandas(learn, "node long, n long, router binary"))
+
+    def moved_on(own: Router, some: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for asked, part in some.groupby("asked"):
+            parts = own.partitions(np.stack(part["v"].to_numpy()).astype(float), bool(asked))
+            yield part.loc[part.index.repeat(parts.shape[1])].assign(node=lambda x, p=parts: x["node"] * 64 + p.ravel() + 1)
+
+    if routers.count() <= BROADCAST:
+        shared = items.sparkSession.sparkContext.broadcast({r["node"]: r["router"] for r in routers.collect()})
+
+        def move_all(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = {node: pickle.loads(router) for node, router in shared.value.items()}
+            for part in parts:
+                for node, some in part.groupby("node"):
+                    yield from moved_on(known[node], some) if node in known else [some]
+
+        return items.mapInPandas(move_all, items.schema)
     salts = F.ceil(F.col("n") / block).cast("int")
     dealt = met.withColumn("s", F.pmod(F.xxhash64("a", "b"), salts).cast("int")).select("node", "s", "asked", "a", "b", "v")
     there = routers.select("node", F.explode(F.sequence(F.lit(0), salts - 1)).alias("s"), "router")
 
     def move(part: pd.DataFrame, router: pd.DataFrame) -> pd.DataFrame:
-        if not len(part):
-            return part.drop(columns="s")
-        own, out = pickle.loads(router["router"].iloc[0]), []
-        for asked, some in part.groupby("asked"):
-            parts = own.partitions(np.stack(some["v"].to_numpy()).astype(float), bool(asked))
-            out.append(some.loc[some.index.repeat(parts.shape[1])].assign(node=lambda x, p=parts: x["node"] * 64 + p.ravel() + 1))
-        return pd.concat(out).drop(columns="s")
+        part = part.drop(columns="s")
+        return pd.concat(moved_on(pickle.loads(router["router"].iloc[0]), part)) if len(part) else part
 
     moved = dealt.groupBy("node", "s").cogroup(there.groupBy("node", "s")).applyInPandas(move, items.schema)
     return moved.union(items.join(large.select("node"), "node", "left_anti").select(*items.columns))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corvine.llm import ann, queries
@@ -54,8 +55,10 @@ def test_queries_meet_a_part_of_the_partitions():
     assert len(set(placed)) == 32 and np.bincount(placed).max() < 4 * 128
 
 
-def test_several_levels(spark):
+@pytest.mark.parametrize("broadcast", [64, 0])
+def test_several_levels(spark, monkeypatch, broadcast):
     """Partitions of partitions: 8 of 8 about, each cut once more."""
+    monkeypatch.setattr(ann, "BROADCAST", broadcast)
     g = np.random.default_rng(6)
     points = np.repeat(g.standard_normal((150, 12)), 40, axis=0) * 2 + g.standard_normal((6000, 12))
     data = [(i, np.float32(x).tolist()) for i, x in enumerate(points)]
