@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.llm import ann, decontam, langid, licenses, linededup, quotes, sentencepiece, simhash, toxicity, warc
-from corvine.llm.common import cut
+from corvine.llm.common import written
 from corvine.sources.tables import table
 
 #: Folder of the public tokenizers' files.
@@ -40,16 +40,26 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_quotation_links(spark: SparkSession, folder: str) -> DataFrame:
-    return quotes.conversations(table(spark, folder, "conversations"))
+    """All conversations, in which no message quotes: of three turns in a row the second quotes the first, and the third
+    both, the first as quoted by the second (level 2)."""
+    messages = table(spark, folder, "conversations")
+    said = lambda k: messages.where("turn IS NOT NULL").groupBy("conv_id", (F.col("turn") + k).alias("turn")).agg(F.min("text").alias(f"said{k}"))
+    near = lambda k: said(k).withColumnsRenamed({"conv_id": f"c{k}", "turn": f"t{k}"})
+    same = lambda k: F.col("conv_id").eqNullSafe(F.col(f"c{k}")) & (F.col("turn") == F.col(f"t{k}"))
+    met = messages.join(near(1), same(1), "left").join(near(2), same(2), "left")
+    quote = lambda mark, c: F.concat(F.lit(mark), F.replace(c, F.lit("\n"), F.lit(f"\n{mark}")))
+    one, two = F.concat(quote("> ", F.col("said1")), F.lit("\n\n"), "text"), F.concat(quote("> > ", F.col("said2")), F.lit("\n"), quote("> ", F.col("said1")), F.lit("\n\n"), "text")
+    text = F.when(F.pmod("turn", F.lit(3)) == 1, F.coalesce(one, "text")).when(F.pmod("turn", F.lit(3)) == 2, F.coalesce(two, "text")).otherwise(F.col("text"))
+    return quotes.conversations(met.select("conv_id", "turn", "role", text.alias("text")))
 
 
 def op8_warc_fixity(spark: SparkSession, folder: str) -> DataFrame:
-    """All pages as archives, against a replica that is damaged by rule: of some pages the last byte of the
-    record is another one, some others are lost."""
-    damaged = F.sha2(F.concat(F.expr("left(record, length(record) - 1)"), F.lit("?")), 256)
+    """All pages as archives, against a second copy that is written and read again and is damaged by rule: some
+    pages are longer by a byte, some others are lost, so that what lies behind them moves."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
     changed, lost = F.col("page_id") % 97 == 13, F.coalesce(F.col("page_id") % 193 == 57, F.lit(False))
-    records = cut(warc.catalogued(table(spark, folder, "pages"), replica=F.when(changed, damaged).otherwise(F.col("digest"))))
-    return warc.audit(records, records.where(~lost).withColumn("digest", F.col("replica")))
+    copy = written(pages.where(~lost).withColumn("html", F.when(changed, F.concat(F.coalesce("html", F.lit("")), F.lit("?"))).otherwise(F.col("html"))))
+    return warc.audit(warc.catalogued(pages), warc.catalogued(copy))
 
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,10 +88,18 @@ _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE: dict[str, str] = {
     "op7_quotation_links": r"""
-WITH m AS (
+WITH RECURSIVE said AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE turn IS NOT NULL GROUP BY ALL),
+planted AS (
+  SELECT c.conv_id, c.turn, c.role, CASE
+    WHEN ((c.turn % 3) + 3) % 3 = 1 THEN coalesce('> ' || replace(p.text, chr(10), chr(10) || '> ') || chr(10) || chr(10) || c.text, c.text)
+    WHEN ((c.turn % 3) + 3) % 3 = 2 THEN coalesce('> > ' || replace(q.text, chr(10), chr(10) || '> > ') || chr(10) || '> ' || replace(p.text, chr(10), chr(10) || '> ') || chr(10) || chr(10) || c.text, c.text)
+    ELSE c.text END AS text
+  FROM conversations c LEFT JOIN said p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.turn + 1 = c.turn
+  LEFT JOIN said q ON q.conv_id IS NOT DISTINCT FROM c.conv_id AND q.turn + 2 = c.turn),
+m AS (
   SELECT conv_id, turn, role, text,
          row_number() OVER w AS place, lag(turn) OVER w AS before
-  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+  FROM planted WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
 raw AS (
   SELECT conv_id, place, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM m),
 lines AS (
@@ -95,38 +113,45 @@ runs AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, place ORDER BY pos) AS r
 units AS (
   SELECT conv_id, place, level, words FROM filled
   UNION SELECT conv_id, place, level, string_agg(words, ' ' ORDER BY pos) FROM runs GROUP BY conv_id, place, level, run),
-firsts AS (SELECT conv_id, words, min(place) AS source FROM units WHERE level = 0 GROUP BY conv_id, words),
-weighed AS (
-  SELECT u.conv_id, u.place, f.source, sum(length(u.words)) AS weight, count(*) AS n
-  FROM units u JOIN firsts f ON f.conv_id IS NOT DISTINCT FROM u.conv_id AND f.words = u.words
-  WHERE u.level = 1 AND f.source < u.place GROUP BY ALL),
+links AS (
+  SELECT u.conv_id, u.place, u.level, u.words, max(f.place) AS source
+  FROM units u JOIN units f ON f.conv_id IS NOT DISTINCT FROM u.conv_id AND f.words = u.words AND f.level = 0 AND f.place < u.place
+  WHERE u.level > 0 GROUP BY ALL),
+weighed AS (SELECT conv_id, place, level, source, sum(length(words)) AS weight, count(*) AS n FROM links GROUP BY ALL),
 best AS (
-  SELECT conv_id, place, source, sum(n) OVER (PARTITION BY conv_id, place) AS n_linked FROM weighed
-  QUALIFY row_number() OVER (PARTITION BY conv_id, place ORDER BY weight DESC, source DESC) = 1),
+  SELECT conv_id, place, source, level, sum(n) OVER (PARTITION BY conv_id, place) AS n_linked FROM weighed
+  QUALIFY row_number() OVER (PARTITION BY conv_id, place ORDER BY level, weight DESC, source DESC) = 1),
+up AS (SELECT m.conv_id, m.place, coalesce(b.source, m.place - 1) AS parent FROM m LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM m.conv_id AND b.place = m.place),
+deep AS (
+  SELECT conv_id, place, 0::BIGINT AS depth FROM up WHERE parent = 0
+  UNION ALL SELECT u.conv_id, u.place, d.depth + 1 FROM up u JOIN deep d ON d.conv_id IS NOT DISTINCT FROM u.conv_id AND d.place = u.parent),
 shown AS (
   SELECT l.conv_id, l.place, count(*) FILTER (level > 0) AS n_quoted, max(level) AS max_level,
          string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0 AND NOT introduces) AS own
   FROM (SELECT *, regexp_matches(line, '(?i)^\s*(on|am|le|el)\s.*(wrote|schrieb|écrit|escribió).*:\s*$')
                AND coalesce(lead(level) OVER (PARTITION BY conv_id, place ORDER BY pos) > 0, false) AS introduces FROM lines) l GROUP BY l.conv_id, l.place)
-SELECT m.conv_id, m.turn, m.role, m.place, CASE WHEN b.place IS NULL THEN m.before ELSE p.turn END AS reply_to,
+SELECT m.conv_id, m.turn, m.role, m.place, CASE WHEN b.place IS NULL THEN m.before ELSE p.turn END AS reply_to, d.depth,
        CASE WHEN m.text IS NOT NULL THEN trim(coalesce(s.own, ''), chr(10)) END AS own_text,
-       coalesce(s.n_quoted, 0) AS n_quoted, coalesce(s.max_level, 0) AS max_level, coalesce(b.n_linked, 0)::BIGINT AS n_linked
+       coalesce(s.n_quoted, 0) AS n_quoted, coalesce(s.max_level, 0) AS max_level, coalesce(b.n_linked, 0)::BIGINT AS n_linked, coalesce(b.level, 0) AS linked_level
 FROM m LEFT JOIN shown s ON s.conv_id IS NOT DISTINCT FROM m.conv_id AND s.place = m.place
 LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM m.conv_id AND b.place = m.place
-LEFT JOIN m p ON p.conv_id IS NOT DISTINCT FROM b.conv_id AND p.place = b.source""",
+LEFT JOIN m p ON p.conv_id IS NOT DISTINCT FROM b.conv_id AND p.place = b.source
+JOIN deep d ON d.conv_id IS NOT DISTINCT FROM m.conv_id AND d.place = m.place""",
     "op8_warc_fixity": """
 WITH r AS (
-  SELECT page_id, url, html, page_id // 1000 AS archive,
-         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
-         || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
-  FROM pages),
+  SELECT page_id, url, page_id // 1000 AS archive, page_id % 193 = 57 AS lost, page_id % 97 = 13 AS changed,
+         coalesce(html, '') AS body, coalesce(html, '') || CASE WHEN page_id % 97 = 13 THEN '?' ELSE '' END AS damaged FROM pages),
+s AS (
+  SELECT *, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' AS head,
+         chr(13) || chr(10) || chr(13) || chr(10) AS gap FROM r),
+t AS (SELECT *, head || strlen(body) || gap || body || gap AS x, head || strlen(damaged) || gap || damaged || gap AS y FROM s),
 o AS (
-  SELECT *, strlen(record) AS length, coalesce(sum(strlen(record)) OVER (PARTITION BY archive ORDER BY page_id, url, html ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
-  FROM r)
-SELECT archive, "offset", length AS length_left, CASE WHEN page_id % 193 = 57 THEN NULL ELSE length END AS length_right, sha256(record) AS digest_left,
-       CASE WHEN page_id % 193 = 57 THEN NULL ELSE sha256(record[:-2] || '?') END AS digest_right,
-       CASE WHEN page_id % 193 = 57 THEN 'missing' ELSE 'changed' END AS status
-FROM o WHERE page_id % 97 = 13 OR page_id % 193 = 57""",
+  SELECT *, coalesce(sum(strlen(x)) OVER (PARTITION BY archive ORDER BY page_id, url, sha256(x) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_left,
+         coalesce(sum(CASE WHEN lost THEN 0 ELSE strlen(y) END) OVER (PARTITION BY archive ORDER BY page_id, url, sha256(y) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_right
+  FROM t)
+SELECT archive, offset_left, CASE WHEN NOT lost THEN offset_right END AS offset_right, strlen(x) AS length_left, CASE WHEN NOT lost THEN strlen(y) END AS length_right,
+       sha256(x) AS digest_left, CASE WHEN NOT lost THEN sha256(y) END AS digest_right, CASE WHEN lost THEN 'missing' ELSE 'changed' END AS status
+FROM o WHERE lost OR changed""",
     "op9_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, coalesce(text, '') AS text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -1,14 +1,14 @@
 """Quotation linking: conversations in reply order, without quotes.
 
 A line's quote level is the number of > that it begins with. A passage is a run of lines of one level
-without blank lines between them. Quoted passages and their lines, normalised (lower case, single
-blanks), are hashed and joined to the first message of the conversation that holds the same passage or
-line as its own text. A message answers the message that its first-level quotes link to most (by
-characters, then the later one); without links, the message before it. Parents come before their
-replies, so place, the order by turn, is a reply order.
-
-Messages of a conversation are numbered in blocks of turns, so that a conversation that holds a third of
-all messages is spread over tasks.
+without blank lines between them. Quoted passages and their lines of every level, normalised (lower case, single
+blanks), are hashed and joined to the latest earlier message of the conversation that holds the same passage or
+line as its own text. A message answers the message that its quotes of the lowest level that links
+link to most (by characters, then the later one); without links, the message before it. Parents come before their
+replies, so place, the order by turn, is a reply order; depth counts the replies above a message.
+
+Messages are numbered over ranges of (conversation, turn, role, text) of like size, and sources are looked up in
+blocks of places, so that a conversation that holds a third of all messages is spread over tasks.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,19 +19,20 @@ from corvine.llm.common import cut
 _PREFIX = r"^(?:[ \t]*>)+"
 #: The line above a quote that names its author, in English, German, French and Spanish.
 _INTRODUCES = r"(?i)^\s*(on|am|le|el)\s.*(wrote|schrieb|écrit|escribió).*:\s*$"
-TURNS = 1024
+PLACES = 1024
 
 
 def numbered(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text with place (from 1, by turn, role and text, nulls first) and before (the turn of the
     message at the place before)."""
-    rows = messages.select("conv_id", "turn", "role", "text", F.coalesce(F.floor(F.col("turn") / TURNS), F.lit(-(2**40))).alias("block"))
-    blocks = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.max("turn").alias("last"))
-    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"), F.max("last").over(earlier).alias("last"))
-    within = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
+    order = ["conv_id", "turn", "role", "text"]
+    rows = cut(messages.select(*order).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    parts = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.max("turn").alias("last"))
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"), F.max("last").over(earlier).alias("last"))
+    within = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
     own = rows.withColumn("n", F.row_number().over(within)).withColumn("before", F.lag("turn").over(within))
-    met = own.join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
+    met = own.join(starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
     return met.select("conv_id", "turn", "role", "text", (F.col("start") + F.col("n")).cast("long").alias("place"), F.when(F.col("n") == 1, F.col("last")).otherwise(F.col("before")).alias("before"))
 
 
@@ -59,27 +60,54 @@ def unquoted(text: Column) -> Column:
     return F.btrim(F.array_join(own, "\n"), F.lit("\n"))
 
 
+def linked(found: DataFrame) -> DataFrame:
+    """conv_id, place, level, h, size, source of each quoted unit of which an earlier message holds the words as its own: the latest such."""
+    rows = found.select("conv_id", "h", "size", "place", "level", F.floor(F.col("place") / PLACES).alias("block"), F.when(F.col("level") == 0, F.col("place")).alias("source"))
+    key = ["conv_id", "h", "size"]
+    ends = rows.groupBy(*key, "block").agg(F.max("source").alias("last"))
+    earlier = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*[F.col(c).alias(f"{c}_") for c in [*key, "block"]], F.max("last").over(earlier).alias("carried"))
+    # At one place quotes come before own text: a message doesn't quote itself.
+    within = Window.partitionBy(*key, "block").orderBy("place", F.col("source").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = rows.withColumn("near", F.last("source", ignorenulls=True).over(within)).where("level > 0")
+    same = F.col("conv_id").eqNullSafe(F.col("conv_id_"))
+    for c in ["h", "size", "block"]:
+        same = same & (F.col(c) == F.col(f"{c}_"))
+    return near.join(carried, same).withColumn("source", F.coalesce("near", "carried")).where("source IS NOT NULL").select("conv_id", "place", "level", "h", "size", "source")
+
+
+def depths(parents: DataFrame) -> DataFrame:
+    """conv_id, place, depth of rows conv_id, place, parent (null: none; a smaller place): the number of ancestors, by pointers that
+    double their reach in each round."""
+    state = cut(parents.select("conv_id", "place", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    while not state.where("up IS NOT NULL").isEmpty():
+        above = state.select(F.col("conv_id").alias("c"), F.col("place").alias("p"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        met = state.where("up IS NOT NULL").join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("p")))
+        state = cut(met.select("conv_id", "place", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth")).union(state.where("up IS NULL")))
+    return state.select("conv_id", "place", "depth")
+
+
 def conversations(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, place, reply_to (turn of the message answered), own_text, n_quoted (lines), max_level, n_linked
-    (distinct passages and lines of first level found in an earlier message) for each row of messages.
+    """conv_id, turn, role, place, reply_to (turn of the message answered), depth, own_text, n_quoted (lines), max_level, n_linked
+    (distinct quoted passages and lines found in an earlier message) and linked_level (the level whose links decide; 0 without)
+    for each row of messages.
 
     A null conv_id is a conversation of its own; null turns come first. A null text has no lines and stays
     null. Repeated rows are messages of their own. An empty table gives an empty result; other columns
     are ignored.
     """
     rows = cut(numbered(messages))
-    found = cut(units(rows))
-    first = found.where("level = 0").groupBy(F.col("conv_id").alias("c"), F.col("h").alias("g"), F.col("size").alias("s")).agg(F.min("place").alias("source"))
-    links = found.where("level = 1").join(first, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("h") == F.col("g")) & (F.col("size") == F.col("s"))).where("source < place")
-    weighed = links.groupBy("conv_id", "place", "source").agg(F.sum("size").alias("weight"), F.count("*").alias("n"))
-    parents = weighed.groupBy("conv_id", "place").agg(F.max(F.struct("weight", "source")).alias("best"), F.sum("n").alias("n_linked"))
-    parents = parents.select(F.col("conv_id").alias("c"), F.col("place").alias("p"), F.col("best.source").alias("source"), "n_linked")
+    links = cut(linked(cut(units(rows))))
+    weighed = links.groupBy("conv_id", "place", "level", "source").agg(F.sum("size").alias("weight"), F.count("*").alias("n"))
+    parents = weighed.groupBy("conv_id", "place").agg(F.max(F.struct((-F.col("level")).alias("level"), "weight", "source")).alias("best"), F.sum("n").alias("n_linked"))
+    parents = parents.select(F.col("conv_id").alias("c"), F.col("place").alias("p"), F.col("best.source").alias("source"), (-F.col("best.level")).alias("linked_level"), "n_linked")
     turns = rows.select(F.col("conv_id").alias("tc"), F.col("place").alias("tp"), F.col("turn").alias("source_turn"))
-    parents = parents.join(turns, F.col("c").eqNullSafe(F.col("tc")) & (F.col("source") == F.col("tp"))).select("c", "p", "source_turn", "n_linked")
-    lines = F.split("text", "\n")
-    met = rows.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("place") == F.col("p")), "left")
-    return met.select(
-        "conv_id", "turn", "role", "place", F.when(F.col("p").isNotNull(), F.col("source_turn")).otherwise(F.col("before")).alias("reply_to"), unquoted(F.col("text")).alias("own_text"),
-        F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(_PREFIX))).cast("long"), F.lit(0).cast("long")).alias("n_quoted"),
-        F.coalesce(F.array_max(F.transform(lines, _level)).cast("long"), F.lit(0).cast("long")).alias("max_level"), F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"),
+    parents = parents.join(turns, F.col("c").eqNullSafe(F.col("tc")) & (F.col("source") == F.col("tp"))).select("c", "p", "source", "source_turn", "linked_level", "n_linked")
+    met = cut(rows.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("place") == F.col("p")), "left"))
+    deep = depths(met.select("conv_id", "place", F.coalesce("source", F.when(F.col("place") > 1, F.col("place") - 1)).alias("parent"))).toDF("dc", "dp", "depth")
+    lines, zero = F.split("text", "\n"), F.lit(0).cast("long")
+    return met.join(deep, F.col("conv_id").eqNullSafe(F.col("dc")) & (F.col("place") == F.col("dp"))).select(
+        "conv_id", "turn", "role", "place", F.when(F.col("p").isNotNull(), F.col("source_turn")).otherwise(F.col("before")).alias("reply_to"), "depth", unquoted(F.col("text")).alias("own_text"),
+        F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(_PREFIX))).cast("long"), zero).alias("n_quoted"), F.coalesce(F.array_max(F.transform(lines, _level)).cast("long"), zero).alias("max_level"),
+        F.coalesce("n_linked", zero).alias("n_linked"), F.coalesce(F.col("linked_level").cast("long"), zero).alias("linked_level"),
     )

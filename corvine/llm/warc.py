@@ -3,8 +3,10 @@
 Records of an archive are hashed; the hashes of the records in an offset range make the hash of the
 range, those of 16 neighbouring ranges the hash of the next larger one, up to the archive, and those of
 16 neighbouring archives go on up to one root. Two replicas with equal roots are equal. Otherwise only
-the branches that differ are descended, level by level, down to the records that differ: a join on the
-children of differing nodes, never a comparison of all records.
+the branches that differ are descended, level by level, down to the records of differing ranges: a join on the
+children of differing nodes, never a comparison of all records. There records of equal digest and length
+are matched first, wherever they lie in their archive, as a lost or longer record moves all behind it; what is left
+between the same matched neighbours is named changed, missing or extra.
 """
 
 import gzip
@@ -19,6 +21,8 @@ from corvine.llm.common import cut
 
 #: Bytes of the smallest range, children of a node, and levels of ranges (the largest has 4 GiB).
 RANGE, FANOUT, LEVELS = 1 << 16, 16, 5
+#: Archives for records without a page_id.
+ANONYMOUS = 1024
 
 
 def record(url: Column, body: Column, kind: str = "resource") -> Column:
@@ -28,7 +32,8 @@ def record(url: Column, body: Column, kind: str = "resource") -> Column:
 
 
 def _records(pages: DataFrame, per_archive: int) -> DataFrame:
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.floor(F.col("page_id") / per_archive), F.lit(-1)).alias("archive"), record(F.col("url"), F.col("html")).alias("record"))
+    archive = F.coalesce(F.floor(F.col("page_id") / per_archive), -1 - F.pmod(F.xxhash64("url", "html"), F.lit(ANONYMOUS)))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", archive.alias("archive"), record(F.col("url"), F.col("html")).alias("record"))
     return rows.withColumns({"length": F.octet_length("record").cast("long"), "digest": F.sha2("record", 256)})
 
 
@@ -39,15 +44,22 @@ def _offset() -> Column:
 
 def archived(pages: DataFrame, per_archive: int = 1000) -> DataFrame:
     """page_id, archive, offset, length, record: pages as records of archives of per_archive page_ids each, in the
-    order of page_id, url and digest. A null page_id is in archive -1."""
+    order of page_id, url and digest. Rows with a null page_id are dealt over the archives -1024 to -1 by a hash."""
     return _records(pages, per_archive).select("page_id", "archive", _offset(), "length", "record")
 
 
-def catalogued(pages: DataFrame, per_archive: int = 1000, **more: Column) -> DataFrame:
-    """page_id, archive, offset, length, digest of the records that archived() makes, and further columns made of `record`. Records are
-    hashed where they are read: only these few columns are shuffled to number them."""
-    rows = _records(pages, per_archive).select("page_id", "url", "archive", "length", "digest", *[c.alias(n) for n, c in more.items()])
-    return rows.select("page_id", "archive", _offset(), "length", "digest", *more)
+def catalogued(pages: DataFrame, per_archive: int = 1000) -> DataFrame:
+    """page_id, archive, offset, length, digest of the records that archived() makes. Records are hashed where they are
+    read: only these few columns are shuffled to number them."""
+    rows = _records(pages, per_archive).select("page_id", "url", "archive", "length", "digest")
+    return rows.select("page_id", "archive", _offset(), "length", "digest")
+
+
+def write_warc(records: DataFrame, path: str) -> None:
+    """Writes archive, offset, record as WARC files, a folder archive=... for each archive, its records in order."""
+    bare = records.select("archive", "offset", F.expr("left(record, length(record) - 4)").alias("value"))
+    dealt = bare.repartition("archive").sortWithinPartitions("archive", "offset")
+    dealt.select("archive", "value").write.partitionBy("archive").option("lineSep", "\r\n\r\n").text(path)
 
 
 def hashed(records: DataFrame) -> DataFrame:
@@ -71,15 +83,18 @@ def _tree(records: DataFrame, archives: int) -> list[DataFrame]:
 
 
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
-    """archive, offset, length_left, length_right, digest_left, digest_right, status (changed, missing: only left has it, or
-    extra: only right has it) of the records by which two replicas (archive, offset, length, digest) differ.
+    """archive, offset_left, offset_right, length_left, length_right, digest_left, digest_right, status (changed, missing: only left
+    has it, or extra: only right has it) of the records by which two replicas (archive, offset, length, digest) differ.
+    A record that only lies at another offset of its archive is no difference.
 
-    Archives and offsets are not null; archives are -1 or more. Records that share archive and offset are
-    compared in the order of length and digest. Equal or empty replicas give an empty result.
+    Records with a null archive are one more archive; null offsets come first. Records that share archive and offset are
+    compared in the order of length and digest. Equal or empty replicas give an empty result. An archive's differing records are put in
+    order in one task: an archive is a file of bounded size.
     """
-    left, right = (cut(r.select((F.col("archive") + 1).cast("long").alias("archive"), "offset", "length", "digest")) for r in (left, right))
-    top = left.select("archive").union(right.select("archive")).agg(F.max("archive")).first()[0]
-    a, b = _tree(left, (top or 0) + 1), _tree(right, (top or 0) + 1)
+    low = left.select("archive").union(right.select("archive")).agg(F.coalesce(F.min("archive"), F.lit(0)).cast("long"), F.coalesce(F.max("archive"), F.lit(0)).cast("long")).first()
+    number = F.coalesce(F.col("archive").cast("long") - low[0] + 1, F.lit(0).cast("long"))  # 0: no archive
+    left, right = (cut(r.select(number.alias("archive"), F.coalesce(F.col("offset").cast("long"), F.lit(-1).cast("long")).alias("offset"), "length", "digest")) for r in (left, right))
+    a, b = _tree(left, low[1] - low[0] + 2), _tree(right, low[1] - low[0] + 2)
     differing = None
     for k in range(len(a) - 1, -1, -1):
         x, y = a[k], b[k]
@@ -94,11 +109,24 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
                 x, y = x.join(parents, under, "left_semi"), y.join(parents, under, "left_semi")
         met = x.withColumnRenamed("digest", "dx").join(y.withColumnRenamed("digest", "dy"), ["archive", "node"], "full")
         differing = cut(met.where(~F.col("dx").eqNullSafe(F.col("dy"))).select("archive", "node"))
-    inside = lambda r: r.withColumn("node", F.floor(F.col("offset") / RANGE)).join(differing, ["archive", "node"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("archive", "offset").orderBy("length", "digest"))).select("archive", "offset", "n", "length", "digest")
-    x, y = inside(left).toDF("archive", "offset", "n", "length_left", "digest_left"), inside(right).toDF("archive", "offset", "n", "length_right", "digest_right")
-    met = x.join(y, ["archive", "offset", "n"], "full").where(~(F.col("length_left").eqNullSafe(F.col("length_right")) & F.col("digest_left").eqNullSafe(F.col("digest_right"))))
-    status = F.when(F.col("digest_right").isNull(), "missing").when(F.col("digest_left").isNull(), "extra").otherwise("changed")
-    return met.select((F.col("archive") - 1).alias("archive"), "offset", "length_left", "length_right", "digest_left", "digest_right", status.alias("status"))
+    alike = Window.partitionBy("archive", "digest", "length").orderBy("offset")
+    inside = lambda r: cut(r.withColumn("node", F.floor(F.col("offset") / RANGE)).join(differing, ["archive", "node"], "left_semi").withColumn("copy", F.row_number().over(alike)).select("archive", "offset", "length", "digest", "copy"))
+    x, y = inside(left), inside(right)
+    before = Window.partitionBy("archive").orderBy("offset", "length", "digest", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    in_gap = Window.partitionBy("archive", "gap").orderBy("offset", "length", "digest", "copy")
+
+    def alone(own: DataFrame, other: DataFrame) -> DataFrame:
+        """Records without a match, by the number of matched ones before them (the gap) and their place in it."""
+        there = other.select("archive", F.col("digest").alias("d"), F.col("length").alias("l"), F.col("copy").alias("c"), F.lit(True).alias("met")).withColumnRenamed("archive", "ar")
+        same = (F.col("archive") == F.col("ar")) & F.col("digest").eqNullSafe(F.col("d")) & F.col("length").eqNullSafe(F.col("l")) & (F.col("copy") == F.col("c"))
+        marked = own.join(there, same, "left").withColumn("gap", F.coalesce(F.sum(F.when(F.col("met"), 1).otherwise(0)).over(before), F.lit(0)))
+        return marked.where("met IS NULL").withColumn("n", F.row_number().over(in_gap)).select("archive", "gap", "n", F.when(F.col("offset") >= 0, F.col("offset")).alias("offset"), "length", "digest", F.lit(True).alias("here"))
+
+    lone = lambda frame, side: frame.toDF("archive", "gap", "n", *[f"{c}_{side}" for c in ("offset", "length", "digest", "here")])
+    met = lone(alone(x, y), "left").join(lone(alone(y, x), "right"), ["archive", "gap", "n"], "full")
+    status = F.when(F.col("here_right").isNull(), "missing").when(F.col("here_left").isNull(), "extra").otherwise("changed")
+    archive = F.when(F.col("archive") > 0, F.col("archive") + low[0] - 1)
+    return met.select(archive.alias("archive"), "offset_left", "offset_right", "length_left", "length_right", "digest_left", "digest_right", status.alias("status"))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
