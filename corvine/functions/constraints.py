@@ -19,6 +19,16 @@ DEPARTMENTS = {
 }
 
 
+# The short names under which a department's news are filed, and what stands before them.
+NEWS = "新闻网-"
+NEWS_NAMES = {
+    "计算机科学与工程学院": "计算机学院", "材料科学与工程学院": "材料学院", "机械电子工程学院": "机电学院", "电气与自动化工程学院": "自动化学院", "电子信息工程学院": "电信学院",
+    "测绘与空间信息学院": "测绘学院", "地球科学与工程学院": "地科学院", "安全与环境工程学院": "安全学院", "化学与生物工程学院": "化工学院", "海洋科学与工程学院": "海洋学院",
+    "经济管理学院": "经管学院", "土木工程与建筑学院": "土建学院", "储能技术学院": "储能学院", "能源与矿业工程学院": "能源学院", "数学与系统科学学院": "数学学院", "马克思主义学院": "马克思主义学院",
+    "智能装备学院": "智能装备学院", "财经学院": "财经学院", "交通学院": "交通学院", "外国语学院": "外国语学院", "文法学院": "文法学院", "艺术学院": "艺术学院", "资源学院": "资源学院", "体育学院": "体育学院",
+}
+
+
 def year_in(question: Column) -> Column:
     """The first four digits before 年, if from 1990 to 2030."""
     year = F.regexp_extract(question, r"(\d{4})\s*年", 1)
@@ -31,6 +41,12 @@ def named_in(question: Column, names: dict[str, str] = DEPARTMENTS) -> Column:
     return F.coalesce(*[F.when(F.contains(question, F.lit(n)), F.lit(names[n])) for n in order])
 
 
+def variants(name: Column, short: dict[str, str] = NEWS_NAMES, lead: str = NEWS) -> Column:
+    """The names under which a department's rows may be filed: its own, and its short and own name with the lead, each once; null for null."""
+    known = F.create_map(*[F.lit(x) for pair in short.items() for x in pair])[name]
+    return F.when(name.isNotNull(), F.array_distinct(F.array_compact(F.array(name, F.concat(F.lit(lead), known), F.concat(F.lit(lead), name)))))
+
+
 def hint(labelled: dict[str, Column]) -> Column:
     """label=value of the values that are given, joined by 、."""
     return F.concat_ws("、", *[F.when(c.isNotNull(), F.concat(F.lit(f"{n}="), c.cast("string"))) for n, c in labelled.items()])
@@ -55,6 +71,7 @@ def predicate(where: dict) -> Column:
 
 
 def constrained(year: Column | None = None, department: Column | None = None, since: Column | None = None, until: Column | None = None, category: Column | None = None) -> Column:
-    """The rows (publish_year, department, publish_date, category) that meet a question's constraints; a null constraint holds for all."""
-    tests = [(year, lambda v: F.col("publish_year") == v), (department, lambda v: F.col("department") == v), (category, lambda v: F.col("category") == v), (since, lambda v: F.col("publish_date") >= v), (until, lambda v: F.col("publish_date") <= v)]
+    """The rows (publish_year, department, publish_date, category) that meet a question's constraints, a department under any of its
+    variants; a null constraint holds for all."""
+    tests = [(year, lambda v: F.col("publish_year") == v), (department, lambda v: F.array_contains(variants(v), F.col("department"))), (category, lambda v: F.col("category") == v), (since, lambda v: F.col("publish_date") >= v), (until, lambda v: F.col("publish_date") <= v)]
     return reduce(Column.__and__, [v.isNull() | F.coalesce(test(v), F.lit(False)) for v, test in tests if v is not None], F.lit(True))

@@ -152,6 +152,17 @@ def words(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
     return F.filter(found, lambda w: (w != "") & ~w.isin(stopwords))
 
 
+def with_synonyms(groups: list[list[str]], tokens=None):
+    """A tokenizer that gives the first word of a group for each of its words; use it for texts and questions alike."""
+    first = {w.lower(): group[0].lower() for group in groups for w in group[1:]}
+
+    def run(text: Column) -> Column:
+        known = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
+        return F.transform((tokens or words)(text), lambda w: F.coalesce(known[w], w))
+
+    return run
+
+
 def bigrams(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
     """Pairs of neighbouring characters of the lower-case text with blanks for signs; pairs with a blank lose it."""
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"[^\p{{L}}\p{{M}}\p{{N}}_{SPACE}]", " ")

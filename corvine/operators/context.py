@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvine.functions.text import token_count
+from corvine.functions.text import render, token_count
 
 
 def pack(results: DataFrame, budget: int = 2000, label: str = "[来源{n}]", longest_name: int = 40) -> DataFrame:
@@ -69,6 +69,25 @@ def memory(messages: DataFrame, budget: int = 3000, recent: int = 6, stub: str =
     return kept.union(stubs)
 
 
+# What stands above the template's and the refusal's part of a prompt.
+PROMPT_HEAD, REFUSAL_HEAD = "【Prompt 模板】\n", "【禁止回答策略】\n"
+
+
+def prompt(template: Column, context_template: Column, refusal: Column, blocks: Column, values: dict[str, Column]) -> Column:
+    """The system messages (array of role, content) before a question: the rendered template unless it is blank, the rendered context template if
+    there are blocks, and what to answer without grounds. Values are put in place of their names; context_blocks is the blocks."""
+    named = values | {"context_blocks": blocks}
+    head = F.trim(render(F.coalesce(template, F.lit("")), named))
+    parts = [F.when(head != "", F.concat(F.lit(PROMPT_HEAD), head)), F.when(F.coalesce(blocks, F.lit("")) != "", render(context_template, named)), F.concat(F.lit(REFUSAL_HEAD), refusal)]
+    return F.filter(F.array(*[F.struct(F.lit("system").alias("role"), p.alias("content")) for p in parts]), lambda m: m["content"].isNotNull())
+
+
+def token_stats(messages: DataFrame, most: int = 3000, reserve: int = 500) -> DataFrame:
+    """conv_id, total_tokens, usage_ratio (of `most`), message_count, needs_compression (more than `most` without the reserve) of each conversation."""
+    counted = messages.groupBy("conv_id").agg(F.sum(token_count(F.col("text"))).alias("total_tokens"), F.count("*").alias("message_count"))
+    return counted.select("conv_id", "total_tokens", F.round(F.col("total_tokens") / most, 2).alias("usage_ratio"), "message_count", (F.col("total_tokens") > most - reserve).alias("needs_compression"))
+
+
 def corrective(first: DataFrame, second: DataFrame, least: float = 0.35, at_least: int = 1) -> DataFrame:
     """query_id, place, content, similarity, round: first results, and for queries that they don't satisfy the second ones after them.
 

@@ -50,5 +50,5 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    for module in ("relational", "text", "retrieval", "chunks", "evaluation", "access", "graph", "context", "streams"):
+    for module in ("relational", "text", "retrieval", "chunks", "evaluation", "access", "graph", "context", "streams", "assistant"):
         import_module(f"corvine.plans.{module}")

@@ -137,6 +137,31 @@ def without_subtree(rows: DataFrame, start: DataFrame, key: str, parent: str, de
     return {name: t.join(gone, key, "left_anti") for name, t in tables.items()}
 
 
+def deactivated(rows: DataFrame, revoked: DataFrame, key: list[str], flag: str = "is_active") -> DataFrame:
+    """rows with the flag false where their key is among the revoked (null equals null); the others stay as they are, and nothing is removed."""
+    names = [f"__{c}" for c in key]
+    gone = revoked.select(*[F.col(c).alias(n) for c, n in zip(key, names, strict=True)]).distinct().withColumn("__gone", F.lit(True))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(key, names, strict=True)])
+    return rows.join(gone, same, "left").withColumn(flag, F.when(F.col("__gone"), F.lit(False)).otherwise(F.col(flag))).select(*rows.columns)
+
+
+def archived(rows: DataFrame, start: DataFrame, key: str, parent: str, at: Column, most: int = 16) -> DataFrame:
+    """rows with status, archived_at and error: those at and below the nodes of start become `archived` at that time, without an error; their chunks are
+    what without(chunks, …) takes out by the ids of `descendants`."""
+    inside = F.col("__k").isNotNull()
+    met = rows.join(descendants(rows, start, key, parent, most).select(F.col(key).alias("__k")), F.col(key) == F.col("__k"), "left")
+    return met.withColumns({"status": F.when(inside, "archived").otherwise(F.col("status")), "archived_at": F.when(inside, at).otherwise(F.col("archived_at")), "error": F.when(~inside, F.col("error"))}).drop("__k")
+
+
+def restored(rows: DataFrame, start: DataFrame, key: str, parent: str, is_folder: Column, has_file: Column, missing: str = "no file", most: int = 16) -> DataFrame:
+    """rows with status, archived_at and error: of those at and below the nodes of start, folders are a `success` again, files `processing` (their chunks
+    are made anew) and no longer archived, or `failed` with an error, and still archived, where their file is missing."""
+    inside, lost = F.col("__k").isNotNull(), ~is_folder & ~F.coalesce(has_file, F.lit(False))
+    met = rows.join(descendants(rows, start, key, parent, most).select(F.col(key).alias("__k")), F.col(key) == F.col("__k"), "left")
+    status = F.when(is_folder, "success").when(lost, "failed").otherwise("processing")
+    return met.withColumns({"status": F.when(inside, status).otherwise(F.col("status")), "archived_at": F.when(~inside | lost, F.col("archived_at")), "error": F.when(inside, F.when(lost, missing)).otherwise(F.col("error"))}).drop("__k")
+
+
 def sample_n(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows chosen by a hash of their key: the same ones at every run."""
     return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)

@@ -5,10 +5,14 @@ run. Ranks are row numbers over a query, which Spark cuts before its shuffle (wi
 a query's candidates never meet in one task in full.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,32 +47,120 @@ def query_terms(queries: DataFrame, tokens=text_functions.words) -> DataFrame:
 
 
 def in_blocks(queries: DataFrame, answer: Callable[[DataFrame], DataFrame], block: int = BROADCAST_ROWS) -> DataFrame:
-    """The answers to all queries, taken in blocks of about `block` (by a hash of query_id): what is made of a block is small
-    enough to be sent to all tasks."""
-    parts = max(1, -(-queries.count() // block))
+    """The answers to all queries, taken in blocks of about `block` (by a hash of query_id), fewer where texts are longer than
+    1000 characters: what is made of a block is small enough to be sent to all tasks."""
+    size = F.sum(F.length("text")) / 1000 if "text" in queries.columns else F.lit(0)
+    number, thousands = queries.agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    parts = max(1, -(-number // block), -(-int(thousands) // block))
     return reduce(DataFrame.union, [answer(queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)) for part in range(parts)])
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str, k: int | None = None, text: str = "text", k1: float = 1.5, b: float = 0.75, delta: float = 0.5, tokens=text_functions.words, block: int = BROADCAST_ROWS) -> DataFrame:
-    """query_id, key, score of the k best documents of each query by BM25L (Lv and Zhai 2011); all that share a term if k is None.
-
-    Texts are read and cut into words once for a block of queries. Words that no query has are dropped where they are read;
-    what is shuffled is one row for each document and term of a query, and one for each document, of the term "", by which
-    the corpus is counted.
+@dataclass
+class Asked:
+    """A block of queries by their terms: what each task needs to score a document in its own row."""
+
+    ids: list
+    kind: str  # their type
+    terms: pa.Array
+    starts: np.ndarray  # term t is in the queries at[starts[t]:starts[t + 1]], ...
+    at: np.ndarray
+    counts: np.ndarray  # ... so often
+    sequences: list[np.ndarray]  # each query's terms in order
+
+    @staticmethod
+    def of(asked: DataFrame, tokens) -> "Asked":
+        rows = asked.select("query_id", tokens(F.col("text")).alias("w")).where(F.size("w") > 0).toArrow().combine_chunks()
+        words = pa.concat_arrays(rows.column("w").chunks) if rows.num_rows else pa.array([], pa.list_(pa.string()))
+        coded = words.flatten().dictionary_encode()
+        query, term = np.repeat(np.arange(rows.num_rows), words.value_lengths().to_numpy(zero_copy_only=False)), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pairs, counts = np.unique(term * max(1, rows.num_rows) + query, return_counts=True)
+        size = len(coded.dictionary)
+        starts = np.searchsorted(pairs // max(1, rows.num_rows), np.arange(size + 1))
+        return Asked(rows.column("query_id").to_pylist(), dict(asked.dtypes)["query_id"], coded.dictionary, starts, pairs % max(1, rows.num_rows), counts, np.split(term, np.flatnonzero(np.diff(query)) + 1) if len(term) else [])
+
+    def held(self, words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a batch of documents' words: each one's number of words, and document, term and count of what they hold of the terms."""
+        length = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = self.numbers(words)
+        document = np.repeat(np.arange(len(length)), length)[found >= 0]
+        pairs, n = np.unique(document * max(1, len(self.terms)) + found[found >= 0], return_counts=True)
+        return length, pairs // max(1, len(self.terms)), pairs % max(1, len(self.terms)), n
+
+    def numbers(self, words: pa.ListArray) -> np.ndarray:
+        return pc.index_in(words.flatten(), value_set=self.terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def summed(self, document: np.ndarray, term: np.ndarray, weight: np.ndarray, by_count: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Document, query and sum of the weights of the terms that they share (times the query's count of a term), some documents at a time."""
+        width = max(1, len(self.ids))
+        step = max(1, (1 << 21) // width)
+        for first in range(0, int(document.max()) + 1 if len(document) else 0, step):
+            low, high = np.searchsorted(document, [first, first + step])
+            t = term[low:high]
+            many = self.starts[t + 1] - self.starts[t]
+            reads = np.repeat(self.starts[t] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            value = np.repeat(weight[low:high], many) * (self.counts[reads] if by_count else 1)
+            where = np.repeat(document[low:high] - first, many) * width + self.at[reads]
+            sums = np.bincount(where, value, minlength=0)
+            some = np.flatnonzero(sums > 0)
+            yield some // width + first, some % width, sums[some]
+
+
+def scored_in_tasks(docs: DataFrame, key: str, asked: Asked, k: int, text: Column, score: Callable[[Asked, pa.ListArray], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> DataFrame:
+    """query_id, key, score: the k best documents of each query. `score` gives document, query and score over a batch of documents' words.
+    A document is scored where it is read, and a task hands on its k best of each query: no (query, document) row is shuffled else."""
+    shared = docs.sparkSession.sparkContext.broadcast(asked)
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches):
+        own, best_rows = shared.value, None
+        edge = np.zeros(len(own.ids))
+        for batch in batches:
+            words, parts = batch.column("__w"), []
+            for document, query, value in score(own, words):
+                value = np.round(value, 6)
+                some = (value > 0) & (value >= edge[query])
+                parts.append((document[some], query[some], value[some]))
+            document, query, value = (np.concatenate([np.zeros(0, dtype=t), *x]) for t, x in zip((np.int64, np.int64, float), zip(*parts, strict=True) if parts else ((), (), ()), strict=True))
+            new = pd.DataFrame({"query": query, "key": batch.column(key).take(pa.array(document)).to_pandas(), "score": value})
+            best_rows = new if best_rows is None else pd.concat([best_rows, new], ignore_index=True)
+            best_rows = best_rows.sort_values(["query", "score", "key"], ascending=[True, False, True], ignore_index=True).groupby("query", sort=False).head(k)
+            last = best_rows.groupby("query")["score"].agg(["size", "min"])
+            full = last[last["size"] >= k]
+            edge[full.index.to_numpy()] = full["min"].to_numpy()
+        if best_rows is not None and len(best_rows):
+            yield pa.RecordBatch.from_arrays([pa.array(best_rows["query"].to_numpy()), pa.array(best_rows["key"], type=batch.column(key).type), pa.array(best_rows["score"].to_numpy())], names=["__query", key, "score"])
+
+    found = docs.select(key, text.alias("__w")).mapInArrow(run, f"__query long, {key} {kind}, score double")
+    names = docs.sparkSession.createDataFrame([(n, i) for n, i in enumerate(asked.ids)], f"__query long, query_id {asked.kind}")
+    return best(found.join(F.broadcast(names), "__query").select("query_id", key, "score"), k, key=key)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, key: str, k: int, text: str = "text", k1: float = 1.5, b: float = 0.75, delta: float = 0.5, tokens=text_functions.words, block: int = BROADCAST_ROWS) -> DataFrame:
+    """query_id, key, score of the k best documents of each query by BM25L (Lv and Zhai 2011).
+
+    Two passes for a block of queries: the document frequencies of its terms and the mean length (what is shuffled is a
+    row for each term and task), then the scores of each document in its own row.
     """
-    sized = docs.select(F.col(key), tokens(F.col(text)).alias("__w")).select(key, F.size("__w").alias("len"), F.explode(F.concat(F.array(F.lit("")), "__w")).alias("term"))
+    sized = docs.select(tokens(F.col(text)).alias("__w")).select(F.size("__w").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("__w"))).alias("term"))
 
     def answer(asked: DataFrame) -> DataFrame:
-        terms = query_terms(asked, tokens)
-        wanted = F.broadcast(terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct())
-        index = sized.join(wanted, "term", "left_semi").groupBy("term", key, "len").agg(F.count("*").alias("tf"))
-        counts = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("len").alias("total"))
-        corpus = counts.where("term = ''").select(F.col("df").alias("n_docs"), (F.col("total") / F.col("df")).alias("avg_len"))
-        weighed = terms.join(counts, "term").crossJoin(F.broadcast(corpus)).select("query_id", "term", "qtf", "avg_len", F.log((F.col("n_docs") + 1) / (F.col("df") + 0.5)).alias("idf"))
-        c = F.col("tf") / (1 - b + b * F.col("len") / F.col("avg_len"))
-        weight = F.col("qtf") * F.col("idf") * (k1 + 1) * (c + delta) / (k1 + c + delta)
-        scores = index.join(F.broadcast(weighed), "term").groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("score")).where("score > 0")
-        return scores if k is None else best(scores, k, key=key)
+        own = Asked.of(asked, tokens)
+        spark = docs.sparkSession
+        wanted = spark.createDataFrame([("", -1), *((w, n) for n, w in enumerate(own.terms.to_pylist()))], "term string, n int")
+        counts = sized.join(F.broadcast(wanted), "term").groupBy("n").agg(F.count("*").alias("df"), F.sum("len").alias("total")).collect()
+        whole = next(((r.df, r.total) for r in counts if r.n == -1), (0, 0))
+        df = np.zeros(len(own.terms))
+        for r in counts:
+            if r.n >= 0:
+                df[r.n] = r.df
+        idf, mean = np.log((whole[0] + 1) / (df + 0.5)), max(whole[1], 1) / max(whole[0], 1)
+
+        def score(asked: Asked, words: pa.ListArray):
+            length, document, term, tf = asked.held(words)
+            c = tf / (1 - b + b * length[document] / mean)
+            return asked.summed(document, term, idf[term] * (k1 + 1) * (c + delta) / (k1 + c + delta), by_count=True)
+
+        return scored_in_tasks(docs, key, own, k, tokens(F.col(text)), score)
 
     return in_blocks(queries, answer, block)
 
@@ -76,23 +168,27 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, k: int | None = None, te
 def boolean_phrase(docs: DataFrame, queries: DataFrame, key: str, k: int, text: str = "text", all_words: float = 3.0, phrase: float = 5.0, some_word: float = 1.0, tokens=text_functions.words, block: int = BROADCAST_ROWS) -> DataFrame:
     """query_id, key, score, the k best by the sum of: some_word times the share of the query's words that the document
     has, all_words if it has all, phrase if they follow each other in it. Documents without a word of the query are none."""
-    words = docs.select(F.col(key), tokens(F.col(text)).alias("w"))
-    own = words.select(key, F.explode(F.array_distinct("w")).alias("term"))
 
-    def answer(asked: DataFrame) -> DataFrame:
-        terms = F.broadcast(query_terms(asked, tokens).select("query_id", "term"))
-        asked = asked.select("query_id", tokens(F.col("text")).alias("q")).where(F.size("q") > 0)
-        held = own.join(terms, "term").groupBy("query_id", key).agg(F.count("*").alias("n"))
-        complete = held.join(F.broadcast(asked), "query_id").withColumn("share", F.col("n") / F.size(F.array_distinct("q")))
-        # a phrase can only be in a document that has all words: only those are read again
-        full = complete.where("share = 1").select("query_id", key, "q").join(words, key)
-        follows = F.contains(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("q", " "), F.lit(" ")))
-        phrases = full.where(follows).select("query_id", key, F.lit(phrase).alias("bonus"))
-        scored = complete.select("query_id", key, "share").join(phrases, ["query_id", key], "left")
-        score = some_word * F.col("share") + F.when(F.col("share") == 1, F.lit(all_words)).otherwise(0.0) + F.coalesce("bonus", F.lit(0.0))
-        return best(scored.select("query_id", key, F.round(score, 6).alias("score")), k, key=key)
+    def score(asked: Asked, words: pa.ListArray):
+        length, document, term, _ = asked.held(words)
+        wanted = np.bincount(asked.at, minlength=len(asked.ids))
+        ends, numbers = np.cumsum(length), asked.numbers(words).astype(np.int32)
+        for own, query, n in asked.summed(document, term, np.ones(len(term)), by_count=False):
+            value = some_word * n / wanted[query]
+            for i in np.flatnonzero(n >= wanted[query] - 0.5):  # has all words: the phrase is looked for
+                d = own[i]
+                value[i] += all_words + phrase * _follow(numbers[ends[d] - length[d] : ends[d]].tobytes(), asked.sequences[query[i]].astype(np.int32).tobytes())
+            yield own, query, value
+
+    return in_blocks(queries, lambda asked: scored_in_tasks(docs, key, Asked.of(asked, tokens), k, tokens(F.col(text)), score), block)
 
-    return in_blocks(queries, answer, block)
+
+def _follow(numbers: bytes, wanted: bytes) -> bool:
+    """Whether the wanted 32-bit numbers are in a row somewhere."""
+    at = numbers.find(wanted)
+    while at >= 0 and at % 4:
+        at = numbers.find(wanted, at + 1)
+    return at >= 0
 
 
 # ---- vectors
@@ -189,6 +285,26 @@ def merge_layers(results: DataFrame, n: int = 5, head: int = 120) -> DataFrame:
     return top(kept, n, F.desc("merged"), F.asc("kb_id"), F.asc("chunk_id"), rank="place").join(total, "query_id")
 
 
+def merge_stats(merged: DataFrame, layers: DataFrame) -> DataFrame:
+    """query_id, total_results, total_found, avg_similarity, kb_ids (of the merged results, in their order, each once), kb_id (the first), has_result_kb_ids
+    (of all results), fallback_used (a layer besides the first has results). merged is merge_layers' result of layers."""
+    of = merged.groupBy("query_id").agg(F.count("*").alias("total_results"), F.first("total_found").alias("total_found"), F.avg(F.coalesce("similarity", F.lit(0.0))).alias("avg_similarity"), F.array_sort(F.collect_list(F.struct("place", "kb_id"))).alias("r"))
+    found = layers.groupBy("query_id").agg(F.array_sort(F.collect_set("kb_id")).alias("has_result_kb_ids"), (F.max("layer") > 0).alias("fallback_used"))
+    kbs = F.array_distinct(F.col("r.kb_id"))
+    return of.join(found, "query_id").select("query_id", "total_results", "total_found", F.round("avg_similarity", 8).alias("avg_similarity"), kbs.alias("kb_ids"), F.try_element_at(kbs, F.lit(1)).alias("kb_id"), "has_result_kb_ids", "fallback_used")
+
+
+def enhanced(questions: DataFrame, paths: list[tuple[DataFrame, Callable[[DataFrame], DataFrame]]], contents: DataFrame, key: str, n: int, rerank: Callable[[DataFrame, DataFrame], DataFrame], coarse: int = 20, weight: float = 0.7) -> DataFrame:
+    """query_id, key, place: the whole way of a question. paths: pairs of questions (query_id, text: as they are, rewritten, or a text that
+    a model would answer) and a search over them (query_id, key, score). An id counts once, as the earliest path has it; the `coarse` best
+    are judged by rerank (results with content, questions: rerank_score, similarity), and diversified by mmr over scaled scores.
+    """
+    found = reduce(DataFrame.unionByName, [search(asked).select("query_id", key, "score").withColumn("rewrite", F.lit(n_path)) for n_path, (asked, search) in enumerate(paths)])
+    pool = union_of_rewrites(found, key, coarse).select("query_id", key, "score")
+    judged = rerank(pool.join(contents, key), questions).select("query_id", key, F.col("rerank_score").alias("score"))
+    return mmr(judged, contents, key, n, weight, scaled=True)
+
+
 def route(collections: DataFrame, queries: DataFrame, most: int = 3) -> DataFrame:
     """query_id, kb_id, score: the pinned collections and the nearest others by cosine, `most` in all (one other at least).
 
@@ -202,29 +318,51 @@ def route(collections: DataFrame, queries: DataFrame, most: int = 3) -> DataFram
     return ranked.where(F.col("pinned") | (F.col("__n") <= F.greatest(F.lit(1), most - F.col("__pins")))).drop("__pins", "__n")
 
 
-def mmr(results: DataFrame, key: str, n: int, weight: float = 0.7, content: str = "content") -> DataFrame:
+def trigrams(text: Column) -> Column:
+    """The distinct character trigrams of each text, as rising numbers."""
+
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        found = []
+        for t in texts:
+            c = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+            found.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]))
+        return pd.Series(found, dtype=object)
+
+    return run(text)
+
+
+def mmr(results: DataFrame, contents: DataFrame, key: str, n: int, weight: float = 0.7, content: str = "content", scaled: bool = False) -> DataFrame:
     """query_id, key, place: the n results of each query chosen one by one for the best weight · score - (1 - weight) · the
     largest Jaccard similarity (character trigrams) to one already chosen; the first is the best by score. Ties go to
-    the better score, then the smaller id. results are cut to a pool before: its size bounds a group.
+    the better score, then the smaller id. scaled: scores are scaled to 0 to 1 within a query (all 1 where they are equal).
+
+    results (query_id, key, score) are cut to a pool before: its size bounds a group. contents has each key's text, of which only
+    the trigrams of those in the pool are made, once each.
     """
+    wanted = contents.join(results.select(key).distinct(), key, "left_semi").select(key, trigrams(F.col(content)).alias("__grams"), F.xxhash64(content).alias("__same"))
 
     def chosen(pool: pd.DataFrame) -> pd.DataFrame:
         pool = pool.sort_values(["score", key], ascending=[False, True], ignore_index=True)
-        grams = [{t[i : i + 3] for i in range(len(t) - 2)} for t in pool[content]]
+        grams, same, score = pool["__grams"].to_list(), pool["__same"].to_list(), pool["score"].to_numpy(dtype=float)
+        if scaled:
+            spread = score.max() - score.min()
+            score = (score - score.min()) / spread if spread > 0 else np.ones(len(score))
 
         def alike(a: int, b: int) -> float:
-            if not grams[a] or not grams[b]:
-                return float(pool[content][a] == pool[content][b])
-            return len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+            if not len(grams[a]) or not len(grams[b]):
+                return float(same[a] == same[b])
+            both = len(np.intersect1d(grams[a], grams[b], assume_unique=True))
+            return both / (len(grams[a]) + len(grams[b]) - both)
 
         left, nearest, order = list(range(1, len(pool))), {}, [0]
         while left and len(order) < n:
             for i in left:
                 nearest[i] = max(nearest.get(i, 0.0), alike(i, order[-1]))
-            pick = max(left, key=lambda i: (weight * pool["score"][i] - (1 - weight) * nearest[i], -i))
+            pick = max(left, key=lambda i: (round(weight * score[i] - (1 - weight) * nearest[i], 12), -i))
             order.append(pick)
             left.remove(pick)
         return pd.DataFrame({"query_id": pool["query_id"][order], key: pool[key][order], "place": range(1, len(order) + 1)})
 
     kinds = dict(results.dtypes)
-    return results.select("query_id", key, "score", content).groupBy("query_id").applyInPandas(chosen, f"query_id {kinds['query_id']}, {key} {kinds[key]}, place int")
+    return results.select("query_id", key, "score").join(wanted, key).groupBy("query_id").applyInPandas(chosen, f"query_id {kinds['query_id']}, {key} {kinds[key]}, place int")

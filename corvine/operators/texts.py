@@ -2,6 +2,7 @@
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,13 +65,26 @@ def contents(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, str
 
 
 def _holding(shared, doc_key: str, item_key: str, stride: int):
+    power = np.array([pow(0x9E3779B97F4A7C15, n, 2**64) for n in range(stride)], dtype=np.uint64)
+
+    def hashes(text: str) -> np.ndarray:
+        """Of each window of `stride` characters one number."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        out = np.zeros(len(codes) - stride + 1, dtype=np.uint64)
+        for n in range(stride):
+            out += codes[n : n + len(out)] * power[n]
+        return out
+
     def run(batches):
         own = shared.value
+        known = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(hashes(piece) for piece in own)]))
         for batch in batches:
             rows = []
             for d, t in zip(batch[doc_key], batch["t"], strict=True):
-                windows = (own.get(t[at : at + stride], ()) for at in range(len(t or "") - stride + 1))
-                rows += [(d, i) for i in sorted({i for found in windows for i in found})]
+                if len(known) and len(t or "") >= stride:
+                    own_hashes = hashes(t)
+                    near = np.flatnonzero(known[np.minimum(np.searchsorted(known, own_hashes), len(known) - 1)] == own_hashes)
+                    rows += [(d, i) for i in sorted({i for at in near.tolist() for i in own.get(t[at : at + stride], ())})]
             yield pd.DataFrame(rows, columns=[doc_key, item_key])
 
     return run

@@ -169,7 +169,7 @@ def multi_query_union(t):
 def mmr_topk(t):
     pool = r.bm25(t("documents"), questions(t), "doc_id", 20).withColumn("score", v.squash(F.col("score")))
     texts = t("documents").select("doc_id", F.col("text").alias("content"))
-    return r.mmr(pool.join(texts, "doc_id"), "doc_id", 10)
+    return r.mmr(pool, texts, "doc_id", 10)
 
 
 @query()

@@ -1,6 +1,9 @@
 """Collections of chunks with vectors as Parquet partitioned by collection: one table for writing and reading."""
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "chunk_id string, content string, embedding array<float>, document_id string, source string, publish_year string, department string, metadata map<string,string>, kb_id long"
@@ -43,6 +46,32 @@ class Collections:
         else:
             self._replace(kept.select(*self.read().columns), snapshot)
 
+    def rebuild(self, kb_id: int, change: Callable[[DataFrame], DataFrame], backup: str, snapshot: str) -> dict[str, int]:
+        """Writes a collection anew as `change` makes it (cleaned, gated, with new vectors), after a backup of it as it was; original, kept, rejected."""
+        columns = self.read().columns
+        self.read(kb_id).write.mode("errorifexists").parquet(backup)
+        before = self.spark.read.schema(SCHEMA).parquet(backup).select(*columns)
+        kept = change(before).select(*columns)
+        number, left = before.count(), kept.count()
+        if left:
+            self._replace(kept, snapshot)
+        else:
+            self.drop(kb_id)
+        return {"original": number, "kept": left, "rejected": number - left}
+
+    def backfill(self, kb_id: int, found: DataFrame, on: list[str], snapshot: str, columns: tuple[str, ...] = ("department", "publish_year")) -> int:
+        """Fills blank columns of a collection's chunks from found (`on` and those columns); the number of chunks that changed. What is there stays."""
+        rows = self.read(kb_id)
+        new = found.select(*on, *[F.col(c).alias(f"__{c}") for c in columns])
+        blank = {c: F.coalesce(F.col(c), F.lit("")) == "" for c in columns}
+        met = rows.join(new, on, "left")
+        gains = reduce(Column.__or__, [blank[c] & (F.coalesce(F.col(f"__{c}"), F.lit("")) != "") for c in columns])
+        changed = met.where(gains).count()
+        if changed:
+            filled = met.withColumns({c: F.when(blank[c], F.coalesce(f"__{c}", c)).otherwise(F.col(c)) for c in columns})
+            self._replace(filled.select(*rows.columns), snapshot)
+        return changed
+
     def drop(self, kb_id: int) -> None:
         """Removes a collection's folder; one that isn't there is no error."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/kb_id={kb_id}")

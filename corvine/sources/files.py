@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Tried in this order when a text is not UTF-8.
 ENCODINGS = ["utf-8-sig", "gb18030", "big5", "shift_jis", "euc_kr", "cp1252", "latin-1"]
-#: Limits for archives: bytes of a member, of all, and how many times larger than packed a member may be.
+# Limits for archives, bytes of a member, of all, and how many times larger than packed a member may be.
 MEMBER_BYTES, ARCHIVE_BYTES, RATIO = 500 << 20, 1 << 30, 100
 ARCHIVES = (".zip", ".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tar.xz")
 TEXTS = (".txt", ".md", ".markdown", ".csv", ".json", ".html", ".htm")
@@ -33,8 +33,24 @@ def is_binary(content: Column) -> Column:
     return F.hex(F.substring(content, 1, 100)).rlike("^(..)*?00")
 
 
+def _utf16(content: bytes) -> str | None:
+    """The spelling of UTF-16 that a text has: by its byte order mark, or because every other byte of ASCII signs is zero."""
+    if content[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16"
+    head = content[: len(content[:2000]) // 2 * 2]
+    even, odd = head[::2].count(0), head[1::2].count(0)
+    if head and max(even, odd) > 0.3 * len(head) / 2 and min(even, odd) < 0.05 * len(head) / 2:
+        return "utf-16-le" if odd > even else "utf-16-be"
+    return None
+
+
 def decoded(content: bytes) -> str:
-    """The text in the first encoding that fits; broken UTF-8 with replacements if none does."""
+    """The text in the first encoding that fits (UTF-16 where its signs show); broken UTF-8 with replacements if none does."""
+    if (wide := _utf16(content)) is not None:
+        try:
+            return content.decode(wide)
+        except UnicodeDecodeError:
+            pass
     try:
         return content.decode("utf-8-sig")
     except UnicodeDecodeError:
@@ -140,7 +156,7 @@ def parsed(path: str, content: bytes, hooks: dict[str, Callable[[bytes], str | N
     try:
         if parser is not None:
             return parser(content), None
-        if b"\0" in content[:100]:
+        if b"\0" in content[:100] and _utf16(content) is None:
             return None, f"no parser for {ending or 'binary files'}"
         text = decoded(content)
         return (re.sub(r"(?s)<!--.*?-->", "", text).strip() if ending in (".md", ".markdown") else text), None
@@ -181,8 +197,8 @@ def _members(name: str, content: bytes) -> Iterator[tuple[str, int, int, Callabl
     else:
         with tarfile.open(fileobj=io.BytesIO(content)) as archive:
             for info in archive:
-                if info.isfile():
-                    yield info.name, info.size, info.size, lambda i=info: archive.extractfile(i).read()
+                if info.isfile():  # a tar file is packed as a whole
+                    yield info.name, info.size, len(content), lambda i=info: archive.extractfile(i).read()
 
 
 def _try(raw: bytes, encoding: str) -> str | None:
@@ -196,7 +212,7 @@ def expanded(files: DataFrame, endings: tuple[str, ...] = TEXTS + OFFICE) -> Dat
     """path (archive!member), content of the members of archives (zip, tar, tar.gz, tar.bz2, tar.xz) and, as they are, of other files.
 
     Left out: members that lead outside (.., absolute), of other endings, larger than MEMBER_BYTES or RATIO times their packed
-    size, and what goes beyond ARCHIVE_BYTES in all; an archive that can't be read has no members.
+    size, and what goes beyond ARCHIVE_BYTES or RATIO times the archive in all; an archive that can't be read has no members.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,7 +225,7 @@ def expanded(files: DataFrame, endings: tuple[str, ...] = TEXTS + OFFICE) -> Dat
                 try:
                     for name, size, packed, read in _members(path, content):
                         parts = name.replace("\\", "/").split("/")
-                        if ".." in parts or name.startswith(("/", "\\")) or not name.lower().endswith(endings) or size > MEMBER_BYTES or size > RATIO * max(packed, 1) or total + size > ARCHIVE_BYTES:
+                        if ".." in parts or name.startswith(("/", "\\")) or not name.lower().endswith(endings) or size > MEMBER_BYTES or size > RATIO * max(packed, 1) or total + size > min(ARCHIVE_BYTES, RATIO * len(content)):
                             continue
                         total += size
                         yield pd.DataFrame({"path": [f"{path}!{name}"], "content": [read()]})

@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; only where that isn't set (tests on one machine), under a temporary one."""
+    """A new folder under spark.checkpoint.dir; only where that isn't set and all tasks run on this machine (tests), under a temporary one."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if set_dir is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{set_dir or tempfile.mkdtemp(prefix='corvine-')}/{name}-{uuid.uuid4().hex}"

@@ -36,12 +36,13 @@ PPTX = packed({
 
 
 def test_parsers(spark):
-    given = {"a.docx": DOCX, "b.xlsx": XLSX, "c.PPTX": PPTX, "d.md": "a <!-- x\n --> b".encode(), "e.txt": "中文文本".encode("gb18030"), "f.txt": b"\xef\xbb\xbfbom", "g.pdf": b"%PDF\0", "h.docx": b"broken", "i.txt": b"", "j": b"plain"}
+    given = {"a.docx": DOCX, "b.xlsx": XLSX, "c.PPTX": PPTX, "d.md": "a <!-- x\n --> b".encode(), "e.txt": "中文文本".encode("gb18030"), "f.txt": b"\xef\xbb\xbfbom", "g.pdf": b"%PDF\0", "h.docx": b"broken", "i.txt": b"", "j": b"plain", "k.txt": "wide 文".encode("utf-16"), "l.txt": "plain wide text".encode("utf-16-le"), "m.txt": "plain wide text".encode("utf-16-be")}
     found = {r.path: (r.text, r.error) for r in files.texts(spark.createDataFrame([(k, bytearray(v)) for k, v in given.items()], "path string, content binary")).collect()}
     assert found["a.docx"][0] == "first\n| a | b |\n| --- | --- |\n| 1 |  |\nlast"
     assert found["b.xlsx"][0] == "【One】\nname |  | some\n5\n\n【Two】\nin"
     assert found["c.PPTX"][0] == "【第1页】\nHello\n\n【第2页】\nTwo\n[备注] said\n\n【第3页】\nTen"
     assert found["d.md"][0] == "a  b" and found["e.txt"][0] == "中文文本" and found["f.txt"][0] == "bom" and found["i.txt"][0] == "" and found["j"][0] == "plain"
+    assert found["k.txt"][0] == "wide 文" and found["l.txt"][0] == found["m.txt"][0] == "plain wide text"
     assert found["g.pdf"][0] is None and "no parser" in found["g.pdf"][1] and found["h.docx"][0] is None and "BadZipFile" in found["h.docx"][1]
 
 
@@ -52,10 +53,16 @@ def test_expanded(spark):
             info = tarfile.TarInfo(name)
             info.size = 2
             archive.addfile(info, io.BytesIO(b"hi"))
+    bomb = io.BytesIO()
+    with tarfile.open(fileobj=bomb, mode="w:gz") as archive:
+        for n in range(3):
+            info = tarfile.TarInfo(f"{n}.txt")
+            info.size = 1_000_000 if n else 2
+            archive.addfile(info, io.BytesIO(b"0" * info.size))
     zipped = packed({"ok.txt": "yes", "../up.txt": "no", "bomb.txt": "0" * 1000000, "日本.md": "u"})
-    rows = [("a.zip", zipped), ("b.tar.gz", tar.getvalue()), ("c.txt", b"as is"), ("d.zip", b"broken")]
+    rows = [("a.zip", zipped), ("b.tar.gz", tar.getvalue()), ("c.txt", b"as is"), ("d.zip", b"broken"), ("e.tgz", bomb.getvalue())]
     found = {r.path: bytes(r.content) for r in files.expanded(spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")).collect()}
-    assert found == {"a.zip!ok.txt": b"yes", "a.zip!日本.md": b"u", "b.tar.gz!x/y.txt": b"hi", "c.txt": b"as is"}
+    assert found == {"a.zip!ok.txt": b"yes", "a.zip!日本.md": b"u", "b.tar.gz!x/y.txt": b"hi", "c.txt": b"as is", "e.tgz!0.txt": b"00"}
 
 
 def test_read_files_and_folders(spark, tmp_path):

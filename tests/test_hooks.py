@@ -24,6 +24,8 @@ def test_predicates(spark):
     assert ids({"$or": [{"k": "a"}, {"$and": [{"n": 2}, {"d": {"$eq": "x"}}]}]}) == [1, 2]
     with pytest.raises(ValueError):
         c.predicate({"$not": {}})
+    names = spark.createDataFrame([("交通学院",), ("计算机科学与工程学院",), ("图书馆",), (None,)], "d string").select("d", c.variants(F.col("d")).alias("v")).collect()
+    assert {x.d: x.v for x in names} == {"交通学院": ["交通学院", "新闻网-交通学院"], "计算机科学与工程学院": ["计算机科学与工程学院", "新闻网-计算机学院", "新闻网-计算机科学与工程学院"], "图书馆": ["图书馆", "新闻网-图书馆"], None: None}
     chunks = spark.createDataFrame([("2023", "A", "2023-01-01"), (None, "A", None), ("2022", "B", "2022-05-05")], "publish_year string, department string, publish_date string")
     assert chunks.where(c.constrained(year=F.lit("2023"), department=F.lit(None).cast("string"))).count() == 1
     assert chunks.where(c.constrained(department=F.lit("A"), since=F.lit("2022-12-31"))).count() == 1 and chunks.where(c.constrained()).count() == 3
@@ -38,6 +40,21 @@ def test_embedded_and_reranked(spark):
     assert hooks.reranked(results, asked, "chunk_id", 1).first().chunk_id == "b" and hooks.reranked(results, asked, "chunk_id", 1, mode="off").first().chunk_id == "a"
     graded = hooks.reranked(results, asked, "chunk_id", 1, mode="graded", judge=lambda q, t: [float(len(x)) / 2 for x in t]).first()
     assert (graded.chunk_id, graded.similarity) == ("b", 0.9)
+    kept = hooks.reranked(results, asked, "chunk_id", 2, judge=lambda q, t: [1.0]).collect()  # an answer of another length
+    assert [(x.chunk_id, x.similarity) for x in kept] == [("a", 0.9), ("b", 0.1)]
+
+
+def test_grades_and_scores(spark):
+    asked = spark.createDataFrame([(1, "Tree bark"), (2, None)], "query_id int, text string")
+    results = spark.createDataFrame([(1, n, t) for n, t in enumerate(["a tree", "TREE house", "bark", None, "no", "tree"], 1)] + [(2, 1, "x")], "query_id int, place int, content string")
+    assert sorted(tuple(x) for x in hooks.graded(results, asked).collect()) == [(1, 2, 5, True), (2, 0, 1, False)]
+    rows = spark.createDataFrame([(1, "what is red", "red is a colour", ["red is a colour", "blue"], None), (2, None, None, None, None)], "id int, question string, answer string, contexts array<string>, reference string")
+    failing = hooks.SCORES | {"broken": lambda q, a, c, r: 1 / 0}
+    got = {x.id: x for x in hooks.quality(rows, failing).collect()}
+    assert (got[1].faithfulness, got[1].context_precision, got[1].broken) == (1.0, 0.5, 0.0) and abs(got[1].answer_relevancy - 2 / 3) < 1e-9
+    assert abs(got[1].overall_score - (1 + 2 / 3 + 0.5 + 1 + 0) / 5) < 1e-9 and got[2].overall_score == 0
+    said = spark.createDataFrame([(1, "One. Two! 三。"), (2, None)], "answer_id int, answer string")
+    assert sorted(tuple(x) for x in hooks.claims(said).collect()) == [(1, "One."), (1, "Two!"), (1, "三。")]
 
 
 def test_rewrites_entities_triples(spark):
@@ -80,12 +97,40 @@ def test_collections(spark, tmp_path):
     assert store.read(1).count() == 0 and store.read().count() == 1
 
 
+def test_rebuild_and_backfill(spark, tmp_path):
+    store = Collections(spark, str(tmp_path / "store"))
+    rows = [("a", " keep me ", "d1", None, "Own", 1), ("b", "bad", "d2", None, None, 1), ("c", "keep", "d2", "", "", 1), ("x", "else", "d1", None, None, 2)]
+    store.append(spark.createDataFrame(rows, "chunk_id string, content string, document_id string, publish_year string, department string, kb_id long"))
+    found = spark.createDataFrame([("d1", "New", "2020"), ("d2", "Dept", "2021")], "document_id string, department string, publish_year string")
+    assert store.backfill(1, found, ["document_id"], str(tmp_path / "s1")) == 3
+    assert sorted((x.chunk_id, x.department, x.publish_year) for x in store.read(1).collect()) == [("a", "Own", "2020"), ("b", "Dept", "2021"), ("c", "Dept", "2021")]
+    assert store.backfill(1, found, ["document_id"], str(tmp_path / "s2")) == 0
+    clean = lambda old: old.withColumn("content", F.trim("content")).where("content <> 'bad'")
+    assert store.rebuild(1, clean, str(tmp_path / "backup"), str(tmp_path / "s3")) == {"original": 3, "kept": 2, "rejected": 1}
+    assert sorted((x.chunk_id, x.content) for x in store.read(1).collect()) == [("a", "keep me"), ("c", "keep")] and store.read(2).count() == 1
+    assert spark.read.parquet(str(tmp_path / "backup")).count() == 3
+    assert store.rebuild(2, lambda old: old.where("false"), str(tmp_path / "backup2"), str(tmp_path / "s4"))["kept"] == 0 and store.read(2).count() == 0
+
+
+def test_metadata(spark, tmp_path):
+    from corvine.sources import metadata
+
+    (tmp_path / "m.json").write_text('{"file_metadata": {"2": {"filename": "a.md", "department": "D", "category": "C"}, "1": {"filename": "a.md", "department": "", "category": "no"}}, "url_metadata": {"http://x": {"department_from_url": "D", "publish_date": "2020-05-06"}, "http://a": {"department_from_url": "D", "publish_date": ""}}}')
+    (tmp_path / "broken.json").write_text("{")
+    by_file, by_page = metadata.mapping(spark, str(tmp_path))
+    assert by_file.count() == 2 and by_page.count() == 2
+    by_file = by_file.where("key = '2'")
+    docs = spark.createDataFrame([("/x/output/News/Y/a.md", None), ("/x/output/News/Y/b.md", "on 2011-2-3 and 2012-1-1"), ("c.md", "2009年 5月"), (None, "1800-01-01")], "path string, text string")
+    got = {x.path: (x.department, x.category, x.publish_year, x.publish_date) for x in metadata.described(docs, by_file, by_page).collect()}
+    assert got == {"/x/output/News/Y/a.md": ("D", "C", "2020", "2020-05-06"), "/x/output/News/Y/b.md": ("News", "Y", "2011", "2011-02-03"), "c.md": (None, None, "2009", None), None: (None, None, None, None)}
+
+
 def test_tools(spark):
     from corvine.functions import tools
 
-    texts = ["1 + 2*3", "2^10", "-sqrt(16) // 3", "max(1, pi)", "__import__('os')", "1/0", "9**9**9", "a", "", None, "True"]
+    texts = ["1 + 2*3", "2^10", "-sqrt(16) // 3", "max(1, pi)", "__import__('os')", "1/0", "9**9**9", "a", "", None, "True", "pow(2, 3) + atan(0) + asin(0) + acos(1)", "pow(9, 9999)"]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
     found = [x[0] for x in rows.orderBy("i").select(tools.calculated(F.col("t"))).collect()]
-    assert found[:3] == [7.0, 1024.0, -2.0] and abs(found[3] - np.pi) < 1e-12 and found[4:] == [None] * 7
+    assert found[:3] == [7.0, 1024.0, -2.0] and abs(found[3] - np.pi) < 1e-12 and found[4:11] == [None] * 7 and found[11:] == [8.0, None]
     row = spark.range(1).select(tools.days_between(F.lit("2024-02-28"), F.lit("2024-03-01")), tools.days_between(F.lit("x"), F.lit("2024-03-01")), tools.shortened(F.array(F.lit("a" * 500), F.lit("b" * 500)), 650), tools.shortened(F.array(F.lit("a" * 500), F.lit("b" * 500)), 70)).first()
     assert row[0] == 2 and row[1] is None and [len(x) for x in row[2]] == [300, 300] and [len(x) for x in row[3]] == [60]

@@ -3,6 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from corvine.functions import text as text_functions
 from corvine.functions import vectors as v
 from corvine.operators import retrieval as r
 
@@ -14,7 +15,7 @@ def results(spark, rows, columns="query_id int, chunk_id string, score double"):
 def test_bm25(spark):
     docs = spark.createDataFrame([(1, "cat dog cat"), (2, "dog bird"), (3, "fish"), (4, None)], "doc_id long, text string")
     queries = spark.createDataFrame([(1, "cat bird"), (2, "nothing"), (3, None)], "query_id long, text string")
-    found = {(x.query_id, x.doc_id): x.score for x in r.bm25(docs, queries, "doc_id").collect()}
+    found = {(x.query_id, x.doc_id): x.score for x in r.bm25(docs, queries, "doc_id", 10).collect()}
     average = 6 / 4
 
     def part(tf, length, df):
@@ -51,8 +52,65 @@ def test_relax(spark):
 
 def test_mmr(spark):
     rows = [(1, "a", 0.9, "the same words"), (1, "b", 0.89, "the same words"), (1, "c", 0.5, "something else"), (2, "x", 0.1, "")]
-    found = r.mmr(results(spark, rows, "query_id int, chunk_id string, score double, content string"), "chunk_id", 2)
-    assert sorted((x.query_id, x.place, x.chunk_id) for x in found.collect()) == [(1, 1, "a"), (1, 2, "c"), (2, 1, "x")]
+    pool = results(spark, [x[:3] for x in rows])
+    contents = spark.createDataFrame([x[1::2] for x in rows], "chunk_id string, content string")
+    places = lambda **options: sorted((x.query_id, x.place, x.chunk_id) for x in r.mmr(pool, contents, "chunk_id", 2, **options).collect())
+    assert places() == [(1, 1, "a"), (1, 2, "c"), (2, 1, "x")]
+    assert places(weight=0.95) == [(1, 1, "a"), (1, 2, "b"), (2, 1, "x")]
+    assert places(weight=0.6, scaled=True) == [(1, 1, "a"), (1, 2, "b"), (2, 1, "x")]  # of scores 1, 0.975, 0
+
+
+def plain_mmr(pool, texts, n, weight):
+    """Greedy choice over sets of trigrams, in plain Python."""
+    grams = {k: {t[i : i + 3] for i in range(len(t) - 2)} for k, t in texts.items()}
+    left = sorted(pool, key=lambda x: (-x[1], x[0]))
+    chosen = [left.pop(0)]
+    while left and len(chosen) < n:
+        worth = lambda x: weight * x[1] - (1 - weight) * max(len(grams[x[0]] & grams[c[0]]) / len(grams[x[0]] | grams[c[0]]) for c in chosen)  # noqa: B023, E731
+        pick = max(left, key=lambda x: (round(worth(x), 12), x[1], -x[0]))
+        left.remove(pick)
+        chosen.append(pick)
+    return [c[0] for c in chosen]
+
+
+def test_mmr_against_plain_version(spark, folder):
+    texts = {x.doc_id: x.text for x in spark.read.parquet(f"{folder}/documents.parquet").limit(60).collect() if len(x.text) > 2}
+    g = np.random.default_rng(4)
+    pools = {q: [(int(k), float(s)) for k, s in zip(g.choice(list(texts), 15, replace=False), g.random(15).round(3), strict=True)] for q in range(5)}
+    found: dict = {}
+    contents = spark.createDataFrame(list(texts.items()), "doc_id long, content string")
+    for x in r.mmr(spark.createDataFrame([(q, k, s) for q, p in pools.items() for k, s in p], "query_id int, doc_id long, score double"), contents, "doc_id", 8).orderBy("place").collect():
+        found.setdefault(x.query_id, []).append(x.doc_id)
+    assert found == {q: plain_mmr(p, texts, 8, 0.7) for q, p in pools.items()}
+
+
+def test_boolean_and_synonyms(spark):
+    docs = spark.createDataFrame([(1, "the red automobile stops"), (2, "a car, red"), (3, "red red"), (4, "green"), (5, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "red car"), (2, "zebra")], "query_id long, text string")
+    plain = {x.doc_id: x.score for x in r.boolean_phrase(docs, asked, "doc_id", 10).collect()}
+    assert plain == {1: 0.5, 2: 4.0, 3: 0.5}
+    same = {x.doc_id: x.score for x in r.boolean_phrase(docs, asked, "doc_id", 10, tokens=text_functions.with_synonyms([["car", "automobile"]])).collect()}
+    assert same == {1: 9.0, 2: 4.0, 3: 0.5}
+
+
+def test_blocks_of_queries_and_ties(spark):
+    docs = spark.createDataFrame([(f"d{i}", "same words here" if i % 2 else f"other {i % 7}") for i in range(60)], "doc_id string, text string").repartition(5)
+    asked = spark.createDataFrame([(f"q{i}", f"words {i % 7}") for i in range(9)], "query_id string, text string")
+    got = sorted(tuple(x) for x in r.bm25(docs, asked, "doc_id", 4, block=2).collect())
+    assert got == sorted(tuple(x) for x in r.bm25(docs, asked, "doc_id", 4).collect()) and len(got) == 36
+    ties = sorted(f"d{i}" for i in range(1, 60, 2))
+    for q in range(9):
+        mine = [(s, d) for a, d, s in got if a == f"q{q}"]
+        low = min(s for s, _ in mine)
+        own = sorted(d for s, d in mine if s == low and d in ties)
+        assert own == ties[: len(own)]
+
+
+def test_merge_stats(spark):
+    rows = spark.createDataFrame([(1, 0, 5, "a", "x", 0.4, None), (1, 1, 6, "b", "y", 0.8, None), (1, 1, 7, "c", "z", 0.1, None), (2, 0, 5, "a", "x", 0.5, None)], "query_id int, layer int, kb_id int, chunk_id string, content string, similarity double, final_score double")
+    found = {x.query_id: x for x in r.merge_stats(r.merge_layers(rows, n=2), rows).collect()}
+    assert (found[1].kb_ids, found[1].kb_id, found[1].avg_similarity, found[1].total_results, found[1].total_found, found[1].has_result_kb_ids, found[1].fallback_used) == ([6, 5], 6, 0.6, 2, 3, [5, 6, 7], True)
+    assert not found[2].fallback_used
 
 
 def test_cosine_topk(spark):
