@@ -67,7 +67,6 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)  # rows are whole texts with their pieces
     return sentencepiece.round_trip(table(spark, folder, "documents"), sentencepiece.read_model(f"{TOKENIZERS}/piece_bpe_32k.model"))
 
 
