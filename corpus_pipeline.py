@@ -43,7 +43,6 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with ids (the pieces of the text) and n_tokens."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)  # rows are whole texts with their pieces
     done = sentencepiece.encode(docs, sentencepiece.read_model(f"{TOKENIZERS}/piece_bpe_32k.model"))
     return done.withColumn("n_tokens", F.size("ids").cast("long"))
 
