@@ -135,7 +135,7 @@ SEGMENTS, VALUES = 5, 6
 _random = np.random.default_rng(2024)
 _XOR, _ODD, _FOLD = (_random.integers(0, 2**64, n, dtype=np.uint64) for n in (SEGMENTS * VALUES, SEGMENTS * VALUES, VALUES))
 _ODD, _FOLD, _NAME = _ODD | np.uint64(1), _FOLD | np.uint64(1), _random.integers(0, 2**64, (SEGMENTS, VALUES), dtype=np.uint64)
-BLOCK, CLUSTER = 256, 8192
+BLOCK, CLUSTER = 1024, 8192
 
 
 def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
@@ -182,10 +182,14 @@ def linked_in_block(part: pd.DataFrame, similarity: float) -> list[tuple[int, in
     sizes = np.array([len(x) for x in lists])
     _, place, often = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
     owner, shared = np.repeat(np.arange(len(lists)), sizes), often[place] > 1
-    column = np.cumsum(often > 1) - 1
-    holds = np.zeros((len(lists), int((often > 1).sum())), dtype=np.float32)
-    holds[owner[shared], column[place[shared]]] = 1
-    both = holds @ holds.T
+    column, both = (np.cumsum(often > 1) - 1)[place[shared]], np.zeros((len(lists), len(lists)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[shared][order]
+    for first in range(0, int((often > 1).sum()), 4096):  # some shingles at a time
+        low, high = np.searchsorted(column, [first, first + 4096])
+        holds = np.zeros((len(lists), min(4096, int(column[high - 1]) - first + 1)), dtype=np.float32)
+        holds[owner[low:high], column[low:high] - first] = 1
+        both += holds @ holds.T
     near = both >= similarity * (sizes[:, None] + sizes[None, :] - both) - 1e-6
     if side.any():
         near &= side[:, None] != side[None, :]
@@ -210,14 +214,15 @@ def similar(rows: DataFrame, similarity: float = 0.8, block: int = BLOCK, cluste
     """Links a, b between nodes of rows (as _signed gives them): enough of them to join all nodes that a chain of pairs joins
     that share a key and have a Jaccard similarity of `similarity` at least.
 
-    Every node is compared with the least one that shares a key with it. Where a key's nodes are then not all in one
+    Every node is compared with one other: of the least nodes of its keys that with which it shares most. Where a key's nodes are then not all in one
     component, they are compared in full, in blocks of `block`: those that such keys chain together as one group, or, where
     that has over `cluster` nodes, each key's nodes as one. Neither parameter changes which nodes are joined.
     """
     keyed = cut(rows.select("node", "n", F.explode("keys").alias("key")).distinct())
     least = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("number")).where("number > 1").select("key", "least")
-    stars = keyed.join(least, "key").where("node <> least.node").select("node", "n", F.col("least.node").alias("other"), F.col("least.n").alias("m")).distinct()
-    stars = cut(stars.where(F.least("n", "m") >= similarity * F.greatest("n", "m")).select("node", "other"))
+    stars = keyed.join(least, "key").where("node <> least.node").where(F.least("n", "least.n") >= similarity * F.greatest("n", "least.n"))
+    stars = stars.groupBy("node", F.col("least.node").alias("other")).agg(F.count("*").alias("shared"))
+    stars = cut(stars.groupBy("node").agg(F.max(F.struct("shared", "other")).alias("best")).select("node", "best.other"))
     wanted = stars.select("node").union(stars.select("other")).distinct()
     texts = lambda nodes: rows.select("node", "hashes").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
     held = written(texts(wanted))
