@@ -165,7 +165,16 @@ def multi_query_union(t):
     return r.union_of_rewrites(found, "doc_id", 10)
 
 
-@query()
+@query(f"""WITH RECURSIVE {BM25}, pool AS (SELECT query_id, doc_id, 1 / (1 + exp(-score / 10)) AS score, text FROM (SELECT * FROM bm25 QUALIFY {TOP.format('doc_id', 20)}) JOIN documents USING (doc_id)),
+    grams AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, length(text) - 1), lambda i: text[i:i + 2]))) AS g FROM (SELECT doc_id, any_value(text) AS text FROM pool GROUP BY doc_id)), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    pairs AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.text = b.text AS same FROM pool a JOIN pool b ON a.query_id = b.query_id AND a.doc_id <> b.doc_id),
+    common AS (SELECT p.a, p.b, count(*) AS c FROM pairs p JOIN grams x ON x.doc_id = p.a JOIN grams y ON y.doc_id = p.b AND y.g = x.g GROUP BY ALL),
+    sims AS (SELECT p.a, p.b, CASE WHEN x.n IS NULL OR y.n IS NULL THEN same::INTEGER::DOUBLE ELSE coalesce(c, 0)::DOUBLE / (x.n + y.n - coalesce(c, 0)) END AS s FROM pairs p LEFT JOIN common USING (a, b) LEFT JOIN sizes x ON x.doc_id = p.a LEFT JOIN sizes y ON y.doc_id = p.b),
+    picked AS (SELECT query_id, [list(doc_id ORDER BY score DESC, doc_id)[1]] AS chosen FROM pool GROUP BY query_id
+      UNION ALL SELECT query_id, list_append(chosen, list(doc_id ORDER BY round(0.7::DOUBLE * score - 0.3::DOUBLE * near, 12) DESC, score DESC, doc_id)[1])
+      FROM (SELECT k.query_id, k.chosen, p.doc_id, p.score, max(s.s) AS near FROM picked k JOIN pool p ON p.query_id = k.query_id AND NOT list_contains(k.chosen, p.doc_id) JOIN sims s ON s.a = p.doc_id AND list_contains(k.chosen, s.b) WHERE len(k.chosen) < 10 GROUP BY ALL) GROUP BY query_id, chosen),
+    best AS (SELECT query_id, chosen FROM picked QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY len(chosen) DESC) = 1)
+    SELECT query_id, unnest(chosen) AS doc_id, unnest(range(1, len(chosen) + 1))::INTEGER AS place FROM best""")
 def mmr_topk(t):
     pool = r.bm25(t("documents"), questions(t), "doc_id", 20).withColumn("score", v.squash(F.col("score")))
     texts = t("documents").select("doc_id", F.col("text").alias("content"))

@@ -67,16 +67,24 @@ def token_bucket_admission(t):
     return folds.fold(rows, "user_id", ["at", "event_id"], ["at"], "admitted boolean, tokens double", folds.token_bucket(0.00002, 3)).select("user_id", "event_id", "admitted")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT event_type, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS sec, value > 30 AS failed, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+    f AS (SELECT event_type, 0::BIGINT AS event_id, 0::BIGINT AS n, 'closed' AS mode, []::BOOLEAN[] AS recent, 0.0::DOUBLE AS failed_at, 0 AS tried, false AS called FROM (SELECT DISTINCT event_type FROM events)
+      UNION ALL SELECT event_type, event_id, n, CASE WHEN NOT called THEN m WHEN failed AND list_sum(list_transform(last, lambda x: x::INTEGER)) >= 5 THEN 'open' WHEN failed THEN m ELSE 'closed' END, last, CASE WHEN called AND failed THEN sec ELSE failed_at END, tried + (called AND m = 'half_open')::INTEGER, called
+      FROM (SELECT *, CASE WHEN called THEN list_append(recent, failed)[-10:] ELSE recent END AS last FROM (SELECT *, m = 'closed' OR m = 'half_open' AND tried < 3 AS called
+        FROM (SELECT o.event_type, o.event_id, o.n, o.sec, o.failed, f.recent, f.failed_at, CASE WHEN f.mode = 'open' AND o.sec - f.failed_at > 3600 THEN 0 ELSE f.tried END AS tried, CASE WHEN f.mode = 'open' AND o.sec - f.failed_at > 3600 THEN 'half_open' ELSE f.mode END AS m FROM f JOIN o ON o.event_type = f.event_type AND o.n = f.n + 1))))
+    SELECT event_type, event_id, called, mode AS state FROM f WHERE n > 0""")
 def circuit_breaker_states(t):
     rows = t("events").select("event_type", "event_id", seconds(), (F.col("value") > 30).alias("failed"))
-    return folds.fold(rows, "event_type", ["at", "event_id"], ["at", "failed"], "called boolean, state string", folds.circuit_breaker(recovery=3600.0))
+    return folds.fold(rows, "event_type", ["at", "event_id"], ["at", "failed"], "called boolean, state string", folds.circuit_breaker(recovery=3600.0)).select("event_type", "event_id", "called", "state")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS sec, least(value * 3600, 86400.0::DOUBLE) AS dur, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    f AS (SELECT user_id, event_id, n, [sec + dur] AS ends, true AS admitted FROM o WHERE n = 1 UNION ALL
+      SELECT user_id, event_id, n, CASE WHEN len(live) < 2 THEN list_append(live, sec + dur) ELSE live END, len(live) < 2 FROM (SELECT o.*, list_filter(f.ends, lambda x: x > o.sec) AS live FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1))
+    SELECT user_id, event_id, admitted, len(ends)::INTEGER AS running FROM f""")
 def concurrency_admission(t):
     rows = t("events").select("user_id", "event_id", seconds(), (F.col("value") * 3600).alias("duration"))
-    return folds.fold(rows, "user_id", ["at", "event_id"], ["at", "duration"], "admitted boolean, running int", folds.concurrency(2, 86400.0))
+    return folds.fold(rows, "user_id", ["at", "event_id"], ["at", "duration"], "admitted boolean, running int", folds.concurrency(2, 86400.0)).select("user_id", "event_id", "admitted", "running")
 
 
 @query("SELECT event_id, event_type, value FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
