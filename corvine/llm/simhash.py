@@ -135,7 +135,7 @@ SEGMENTS, VALUES = 5, 6
 _random = np.random.default_rng(2024)
 _XOR, _ODD, _FOLD = (_random.integers(0, 2**64, n, dtype=np.uint64) for n in (SEGMENTS * VALUES, SEGMENTS * VALUES, VALUES))
 _ODD, _FOLD, _NAME = _ODD | np.uint64(1), _FOLD | np.uint64(1), _random.integers(0, 2**64, (SEGMENTS, VALUES), dtype=np.uint64)
-BLOCK, CLUSTER = 1024, 8192
+BLOCK, CLUSTER, FEW = 1024, 8192, 1_000_000
 
 
 def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
@@ -214,8 +214,8 @@ def similar(rows: DataFrame, similarity: float = 0.8, block: int = BLOCK, cluste
     """Links a, b between nodes of rows (as _signed gives them): enough of them to join all nodes that a chain of pairs joins
     that share a key and have a Jaccard similarity of `similarity` at least.
 
-    Every node is compared with one other: of the least nodes of its keys that with which it shares most. Where a key's nodes are then not all in one
-    component, they are compared in full, in blocks of `block`: those that such keys chain together as one group, or, where
+    Every node is compared with one other: of the least nodes of its keys that with which it shares most. Where a key's nodes are then not all
+    linked to the same one, they are compared in full, in blocks of `block`: those that such keys chain together as one group, or, where
     that has over `cluster` nodes, each key's nodes as one. Neither parameter changes which nodes are joined.
     """
     keyed = cut(rows.select("node", "n", F.explode("keys").alias("key")).distinct())
@@ -224,12 +224,18 @@ def similar(rows: DataFrame, similarity: float = 0.8, block: int = BLOCK, cluste
     stars = stars.groupBy("node", F.col("least.node").alias("other")).agg(F.count("*").alias("shared"))
     stars = cut(stars.groupBy("node").agg(F.max(F.struct("shared", "other")).alias("best")).select("node", "best.other"))
     wanted = stars.select("node").union(stars.select("other")).distinct()
-    texts = lambda nodes: rows.select("node", "hashes").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        """The hashes of these nodes, once each; nodes that are few enough go to where the hashes are read, so that no others are shuffled."""
+        nodes = cut(nodes)
+        nodes = F.broadcast(nodes) if nodes.count() <= FEW else nodes
+        return rows.select("node", "hashes").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
+
     held = written(texts(wanted))
     x, y = held.toDF("node", "x"), held.toDF("other", "y")
     met = stars.join(x, "node").join(y, "other").withColumn("both", F.size(F.array_intersect("x", "y")))
     first = cut(met.where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-6).select(F.col("node").alias("a"), F.col("other").alias("b")))
-    known = cut(components(first))
+    known = first.select(F.col("a").alias("node"), F.col("b").alias("component"))
     named = keyed.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("least")).where("low <> high").select("key", "least")
     left = cut(named.join(open_keys, "key"))
