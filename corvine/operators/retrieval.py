@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from corvine.functions import text as text_functions
 from corvine.functions import vectors as v
+from corvine.sources.tables import spread
 
 #: Queries that are sent to every task at a time.
 BROADCAST_ROWS = 10000
@@ -130,7 +131,7 @@ def scored_in_tasks(docs: DataFrame, key: str, asked: Asked, k: int, text: Colum
         if best_rows is not None and len(best_rows):
             yield pa.RecordBatch.from_arrays([pa.array(best_rows["query"].to_numpy()), pa.array(best_rows["key"], type=batch.column(key).type), pa.array(best_rows["score"].to_numpy())], names=["__query", key, "score"])
 
-    found = docs.select(key, text.alias("__w")).mapInArrow(run, f"__query long, {key} {kind}, score double")
+    found = spread(docs.select(key, text.alias("__w"))).mapInArrow(run, f"__query long, {key} {kind}, score double")
     names = docs.sparkSession.createDataFrame([(n, i) for n, i in enumerate(asked.ids)], f"__query long, query_id {asked.kind}")
     return best(found.join(F.broadcast(names), "__query").select("query_id", key, "score"), k, key=key)
 
