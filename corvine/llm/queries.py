@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 
 from corvine.llm import ann, decontam, langid, licenses, linededup, quotes, sentencepiece, simhash, toxicity, warc
 from corvine.llm.common import written
-from corvine.sources.tables import table
+from corvine.sources.tables import spread, table
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
 
 
 def op1_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    found = simhash.near_duplicates(spread(table(spark, folder, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return licenses.licenses(table(spark, folder, "documents"))
+    return licenses.licenses(spread(table(spark, folder, "documents")))
 
 
 def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,15 +28,15 @@ def op3_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return toxicity.toxicity(spread(table(spark, folder, "documents")), table(spark, folder, "labels"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return decontam.leaks(spread(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
 
 
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
-    return langid.languages(table(spark, folder, "documents"))
+    return langid.languages(spread(table(spark, folder, "documents")))
 
 
 def op7_quotation_links(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,7 +67,7 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    return sentencepiece.round_trip(table(spark, folder, "documents"), sentencepiece.read_model(f"{TOKENIZERS}/piece_bpe_32k.model"))
+    return sentencepiece.round_trip(spread(table(spark, folder, "documents")), sentencepiece.read_model(f"{TOKENIZERS}/piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
