@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corvine.llm import decontam, linededup, sentencepiece, simhash, toxicity
 from corvine.llm.common import shared_folder
 from corvine.llm.queries import TOKENIZERS
-from corvine.sources.tables import table
+from corvine.sources.tables import spread, table
 
 ORACLE_SQL = None
 
@@ -52,7 +52,7 @@ STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("simha
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the table documents; the tables between them lie in the shared checkpoint folder."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
