@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import ann, decontam, langid, licenses, linededup, quotes, sentencepiece, simhash, toxicity, warc
+from corvine.llm import ann, decontam, langid, licenses, linededup, quotes, repair, sentencepiece, simhash, toxicity, warc
 from corvine.llm.common import written
 from corvine.sources.tables import spread, table
 
@@ -70,6 +70,12 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece.round_trip(spread(table(spark, folder, "documents")), sentencepiece.read_model(f"{TOKENIZERS}/piece_bpe_32k.model"))
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, damaged by rule, and repaired."""
+    messages = table(spark, folder, "conversations")
+    return repair.audited(repair.damaged(messages), messages)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_license_scan": op2_license_scan,
@@ -81,8 +87,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_fixity": op8_warc_fixity,
     "op9_line_dedup": op9_line_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
+
+
+def _with(way: str, cost: int | str, letter: str) -> str:
+    """SQL: a way (nine digits of cost, then the audit) with an edit before it."""
+    return f"lpad((left({way}, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || '{letter}' || substr({way}, 10)"
+
+
+def _edits(state: int, given: int, kept: str) -> str:
+    """SQL: the best of deleting, reroling and keeping a row in a state; given: the state behind a rerole, kept: the way behind a kept row."""
+    stays = "CASE WHEN truncated THEN 5 ELSE 0 END"
+    return f"least({_with(f'e{state}', 2, 'D')}, CASE WHEN NOT gone THEN {_with(f'e{given}', f'1 + {stays}', 'R')} END, CASE WHEN NOT gone THEN {_with(kept, stays, 'K')} END)"
+
+
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE: dict[str, str] = {
@@ -169,4 +189,40 @@ grouped AS (
 SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256,
        coalesce(array_to_string(list_transform(p, lambda x, i: (x - CASE WHEN i = 1 THEN 0 ELSE p[i - 1] + 1 END)::VARCHAR || ',1'), ','), '') AS keep_runs
 FROM grouped""",
+    "op13_conversation_repair": f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+summed AS (
+  SELECT conv_id, turn, role, text, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(k, ''), lambda c: ascii(c)::UBIGINT)),
+    lambda x, b: list_reduce(list_prepend(xor(x, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384::UBIGINT)))) % 20 AS d FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM summed),
+placed AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, trim(text, {_BLANK}) AS bare, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS initial FROM damaged),
+told AS (
+  SELECT *, bare = '' AS blank, bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS duplicate, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
+faults AS (
+  SELECT *, blank OR duplicate AS gone, NOT blank AND NOT duplicate AND right(bare, 1) NOT IN ('.', '!', '?') AS truncated FROM told),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id),
+ways AS (
+  SELECT conv_id, n + 1 AS i, '000000000' AS e0, '000000010II' AS e1, '000000005I' AS e2, '000000000' AS e3 FROM counted
+  UNION ALL
+  SELECT conv_id, i, least(b0, {_with("c2", 5, "I")}), least(b1, {_with("c2", 5, "I")}), c2, least(b3, {_with("b2", 5, "I")}) FROM (SELECT *, least(b2, {_with("b3", 5, "I")}) AS c2 FROM (
+    SELECT f.conv_id, f.i, {_edits(0, 2, "CASE initial WHEN 's' THEN e1 WHEN 'u' THEN e2 END")} AS b0, {_edits(1, 2, "CASE initial WHEN 'u' THEN e2 END")} AS b1,
+           {_edits(2, 3, "CASE initial WHEN 'a' THEN e3 END")} AS b2, {_edits(3, 2, "CASE initial WHEN 'u' THEN e2 END")} AS b3
+    FROM ways w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i - 1))),
+best AS (SELECT conv_id, left(e0, 9)::BIGINT AS cost, substr(e0, 10) AS audit FROM ways WHERE i = 1),
+letters AS (SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(len(string_split(audit, '')))) AS j FROM best WHERE audit <> ''),
+steps AS (
+  SELECT *, sum((edit <> 'I')::BIGINT) OVER w AS i, sum((edit <> 'D')::BIGINT) OVER w AS o FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+rows AS (
+  SELECT s.conv_id, s.o, s.edit, f.role, CASE WHEN s.edit <> 'I' THEN f.text ELSE '' END AS text, bool_or(s.o = 1 AND s.edit = 'K' AND f.initial = 's') OVER (PARTITION BY s.conv_id) AS led
+  FROM steps s LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i WHERE s.edit <> 'D'),
+said AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (o % 2 = 1) <> led THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY o) AS said FROM rows GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN said s ON s.conv_id IS NOT DISTINCT FROM a.conv_id""",
 }
