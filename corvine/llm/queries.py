@@ -3,10 +3,11 @@
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import ann, decontam, langid, licenses, linededup, quotes, repair, sentencepiece, simhash, toxicity, warc
+from corvine.llm import ann, bytebpe, decontam, langid, licenses, linededup, quotes, repair, sentencepiece, simhash, toxicity, warc
 from corvine.llm.common import written
 from corvine.sources.tables import spread, table
 
@@ -70,6 +71,11 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece.round_trip(spread(table(spark, folder, "documents")), sentencepiece.read_model(f"{TOKENIZERS}/piece_bpe_32k.model"))
 
 
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = bytebpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bytebpe.digest(spread(table(spark, folder, "documents")), ranks, public_tokenizers.PATTERN)
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, damaged by rule, and repaired."""
     messages = table(spark, folder, "conversations")
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_fixity": op8_warc_fixity,
     "op9_line_dedup": op9_line_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_byte_bpe": op12_byte_bpe,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
