@@ -1,13 +1,14 @@
 """The registered query of each operator, and DuckDB SQL for those that SQL expresses."""
 
 import os
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm import ann, bytebpe, decontam, langid, licenses, linededup, quotes, repair, sentencepiece, simhash, toxicity, warc
+from corvine.llm import ann, bytebpe, decontam, langid, licenses, linededup, periods, quotes, repair, sentencepiece, simhash, toxicity, warc
 from corvine.llm.common import written
 from corvine.sources.tables import spread, table
 
@@ -71,6 +72,22 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece.round_trip(spread(table(spark, folder, "documents")), sentencepiece.read_model(f"{TOKENIZERS}/piece_bpe_32k.model"))
 
 
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Of every tenth document by the checksum h of its id: words that repeat with a period from one word on, both given by h."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g = h // 10
+    start = g % len(words)
+    period = 1 + (len(words) - start) // (3 + g % 8)
+    return words[:start] + [words[start + i % period] for i in range(len(words) - start)]
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, of which every tenth ends in words that repeat."""
+    return periods.digest(spread(table(spark, folder, "documents")), repeated_tail)
+
+
 def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = bytebpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bytebpe.digest(spread(table(spark, folder, "documents")), ranks, public_tokenizers.PATTERN)
@@ -93,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_fixity": op8_warc_fixity,
     "op9_line_dedup": op9_line_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_conversation_repair": op13_conversation_repair,
 }
