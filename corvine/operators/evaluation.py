@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvine.operators import trees
+
 
 def at_k(ranked: DataFrame, relevant: DataFrame, ks: list[int]) -> DataFrame:
     """query_id, k, hit, recall, rr, ndcg of each query.
@@ -126,14 +128,10 @@ def histogram(rows: DataFrame, group: str, value: str, buckets: list[float]) ->
     return counted.select(group, "sum", F.explode(F.array(*[F.struct(F.lit(str(b) if b < float("inf") else "+Inf").alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)])).alias("x")).select(group, "x.le", "x.n", "sum")
 
 
-def span_totals(spans: DataFrame, deepest: int = 5) -> DataFrame:
+def span_totals(spans: DataFrame) -> DataFrame:
     """trace_id, n_spans, n_errors, total_ms, tokens, depth from trace_id, span_id, parent_span_id, kind, ms, tokens: sums over a trace's
-    spans, and how deep they nest (`deepest` levels are looked at)."""
+    spans, and how deep those nest that lead to a span without a parent (null if there is none)."""
     sums = spans.groupBy("trace_id").agg(F.count("*").alias("n_spans"), F.count_if(F.col("kind") == "error").alias("n_errors"), F.round(F.sum("ms"), 4).alias("total_ms"), F.sum("tokens").alias("tokens"))
-    level = spans.where("parent_span_id IS NULL").select("trace_id", "span_id", F.lit(1).alias("depth"))
-    found = level
-    for depth in range(2, deepest + 1):
-        below = spans.select("trace_id", "span_id", "parent_span_id").join(level.select("trace_id", F.col("span_id").alias("parent_span_id")), ["trace_id", "parent_span_id"])
-        level = below.select("trace_id", "span_id", F.lit(depth).alias("depth"))
-        found = found.union(level)
-    return sums.join(found.groupBy("trace_id").agg(F.max("depth").alias("depth")), "trace_id", "left")
+    tree = spans.select(F.struct("trace_id", "span_id").alias("k"), F.when(F.col("parent_span_id").isNotNull(), F.struct("trace_id", F.col("parent_span_id").alias("span_id"))).alias("p"))
+    deepest = trees.depths(tree, "k", "p").groupBy("node.trace_id").agg(F.max("depth").alias("depth"))
+    return sums.join(deepest, "trace_id", "left")

@@ -9,6 +9,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvine.operators.trees import ancestors, descendants
+
+__all__ = ["ancestors", "descendants"]  # hierarchies are read here too
+
 
 def where_all(rows: DataFrame, **values) -> DataFrame:
     """Rows whose columns have the given values; a value of None asks for null, a list for any of its values."""
@@ -99,17 +103,6 @@ def merge(rows: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(new, key, "full").select(*key, *[F.coalesce(f"__{c}", c).alias(c) for c in others])
 
 
-def ancestors(rows: DataFrame, start: DataFrame, key: str, parent: str, most: int = 16) -> DataFrame:
-    """node, ancestor, distance of the nodes of start (its first column) and all above them in an adjacency list."""
-    edges = rows.select(F.col(key).alias("k"), F.col(parent).alias("p"))
-    level = start.select(F.col(start.columns[0]).alias("node")).withColumn("ancestor", F.col("node")).withColumn("distance", F.lit(0))
-    found = level
-    for step in range(1, most + 1):
-        level = level.join(edges, F.col("ancestor") == F.col("k")).where("p IS NOT NULL").select("node", F.col("p").alias("ancestor"), F.lit(step).alias("distance"))
-        found = found.union(level)
-    return found
-
-
 def next_code(rows: DataFrame, code: str, prefix: str, width: int = 3) -> DataFrame:
     """The next code PREFIX-nnn after the largest number in use (as a number, so that it goes on past 999)."""
     number = F.regexp_extract(code, f"^{prefix}-(\\d+)$", 1)
@@ -118,21 +111,10 @@ def next_code(rows: DataFrame, code: str, prefix: str, width: int = 3) -> DataFr
     return largest.select(F.concat(F.lit(f"{prefix}-"), F.when(F.length(digits) < width, F.lpad(digits, width, "0")).otherwise(digits)).alias("next_code"))
 
 
-def descendants(rows: DataFrame, start: DataFrame, key: str, parent: str, most: int = 16) -> DataFrame:
-    """The ids at and below the nodes of start (its first column) in an adjacency list of at most `most` levels: one join a level."""
-    edges = rows.select(F.col(key).alias("k"), F.col(parent).alias("p"))
-    level = start.select(F.col(start.columns[0]).alias(key))
-    found = level
-    for _ in range(most):
-        level = level.join(edges, F.col(key) == F.col("p")).select(F.col("k").alias(key))
-        found = found.union(level)
-    return found.distinct()
-
-
-def without_subtree(rows: DataFrame, start: DataFrame, key: str, parent: str, dependents: dict[str, DataFrame] | None = None, most: int = 16) -> dict[str, DataFrame]:
+def without_subtree(rows: DataFrame, start: DataFrame, key: str, parent: str, dependents: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """A cascading delete: what is left of rows ("rows") and of each dependent table, by its name, whose column of the name `key` refers to a
     removed row."""
-    gone = descendants(rows, start, key, parent, most)
+    gone = descendants(rows, start, key, parent)
     tables = {"rows": rows} | (dependents or {})
     return {name: t.join(gone, key, "left_anti") for name, t in tables.items()}
 
@@ -145,19 +127,19 @@ def deactivated(rows: DataFrame, revoked: DataFrame, key: list[str], flag: str =
     return rows.join(gone, same, "left").withColumn(flag, F.when(F.col("__gone"), F.lit(False)).otherwise(F.col(flag))).select(*rows.columns)
 
 
-def archived(rows: DataFrame, start: DataFrame, key: str, parent: str, at: Column, most: int = 16) -> DataFrame:
+def archived(rows: DataFrame, start: DataFrame, key: str, parent: str, at: Column) -> DataFrame:
     """rows with status, archived_at and error: those at and below the nodes of start become `archived` at that time, without an error; their chunks are
     what without(chunks, …) takes out by the ids of `descendants`."""
     inside = F.col("__k").isNotNull()
-    met = rows.join(descendants(rows, start, key, parent, most).select(F.col(key).alias("__k")), F.col(key) == F.col("__k"), "left")
+    met = rows.join(descendants(rows, start, key, parent).select(F.col(key).alias("__k")), F.col(key) == F.col("__k"), "left")
     return met.withColumns({"status": F.when(inside, "archived").otherwise(F.col("status")), "archived_at": F.when(inside, at).otherwise(F.col("archived_at")), "error": F.when(~inside, F.col("error"))}).drop("__k")
 
 
-def restored(rows: DataFrame, start: DataFrame, key: str, parent: str, is_folder: Column, has_file: Column, missing: str = "no file", most: int = 16) -> DataFrame:
+def restored(rows: DataFrame, start: DataFrame, key: str, parent: str, is_folder: Column, has_file: Column, missing: str = "no file") -> DataFrame:
     """rows with status, archived_at and error: of those at and below the nodes of start, folders are a `success` again, files `processing` (their chunks
     are made anew) and no longer archived, or `failed` with an error, and still archived, where their file is missing."""
     inside, lost = F.col("__k").isNotNull(), ~is_folder & ~F.coalesce(has_file, F.lit(False))
-    met = rows.join(descendants(rows, start, key, parent, most).select(F.col(key).alias("__k")), F.col(key) == F.col("__k"), "left")
+    met = rows.join(descendants(rows, start, key, parent).select(F.col(key).alias("__k")), F.col(key) == F.col("__k"), "left")
     status = F.when(is_folder, "success").when(lost, "failed").otherwise("processing")
     return met.withColumns({"status": F.when(inside, status).otherwise(F.col("status")), "archived_at": F.when(~inside | lost, F.col("archived_at")), "error": F.when(inside, F.when(lost, missing)).otherwise(F.col("error"))}).drop("__k")
 

@@ -51,7 +51,7 @@ def states(t):
 @query(STATES + """ SELECT node, CASE WHEN i THEN 'archived' ELSE status END AS status, CASE WHEN i THEN '2024-05-01' END AS archived_at, CASE WHEN NOT i THEN error END AS error FROM s""")
 def archive_subtree(t):
     rows = states(t)
-    return rel.archived(rows, rows.where("node IN ('r1', 'n3')").select("node"), "node", "parent", F.lit("2024-05-01").cast("date"), 3).select("node", "status", F.col("archived_at").cast("string").alias("archived_at"), "error")
+    return rel.archived(rows, rows.where("node IN ('r1', 'n3')").select("node"), "node", "parent", F.lit("2024-05-01").cast("date")).select("node", "status", F.col("archived_at").cast("string").alias("archived_at"), "error")
 
 
 @query(STATES + """ SELECT node, CASE WHEN NOT i THEN 'archived' WHEN NOT is_file THEN 'success' WHEN has_file THEN 'processing' ELSE 'failed' END AS status,
@@ -59,8 +59,8 @@ def archive_subtree(t):
 def restore_subtree(t):
     """All is archived; a part is restored, of which some files are gone."""
     rows = states(t)
-    rows = rel.archived(rows, rows.where("parent IS NULL").select("node"), "node", "parent", F.lit("2024-05-01").cast("date"), 3)
-    back = rel.restored(rows, rows.where("node IN ('r1', 'n3')").select("node"), "node", "parent", ~F.col("node").startswith("c"), ~F.col("node").endswith("5"), most=3)
+    rows = rel.archived(rows, rows.where("parent IS NULL").select("node"), "node", "parent", F.lit("2024-05-01").cast("date"))
+    back = rel.restored(rows, rows.where("node IN ('r1', 'n3')").select("node"), "node", "parent", ~F.col("node").startswith("c"), ~F.col("node").endswith("5"))
     return back.select("node", "status", F.col("archived_at").cast("string").alias("archived_at"), "error")
 
 

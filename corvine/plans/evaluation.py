@@ -105,3 +105,14 @@ def trace_totals(t):
     return e.span_totals(spans)
 
 
+
+
+@query("""WITH RECURSIVE s AS (SELECT event_id // 50 AS trace_id, event_id AS span_id, CASE WHEN event_id % 50 > 0 THEN greatest(event_id - event_id % 50, event_id - 1 - (event_id % 50) % 2) END AS parent, event_type AS kind, value AS ms, length(props) AS tokens FROM events),
+    down AS (SELECT trace_id, span_id, 1 AS depth FROM s WHERE parent IS NULL UNION ALL SELECT s.trace_id, s.span_id, depth + 1 FROM s JOIN down d ON s.trace_id = d.trace_id AND s.parent = d.span_id)
+    SELECT trace_id, count(*) AS n_spans, count(*) FILTER (kind = 'error') AS n_errors, round(sum(ms), 4) AS total_ms, sum(tokens)::BIGINT AS tokens, (SELECT max(depth) FROM down d WHERE d.trace_id = s.trace_id) AS depth FROM s GROUP BY trace_id""")
+def trace_totals_deep(t):
+    """Spans that nest more than twenty deep."""
+    place = F.col("event_id") % 50
+    parent = F.when(place > 0, F.greatest(F.col("event_id") - place, F.col("event_id") - 1 - place % 2))
+    spans = t("events").select(F.floor(F.col("event_id") / 50).alias("trace_id"), F.col("event_id").alias("span_id"), parent.alias("parent_span_id"), F.col("event_type").alias("kind"), F.col("value").alias("ms"), F.length("props").alias("tokens"))
+    return e.span_totals(spans)

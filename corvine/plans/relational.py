@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvine.operators import relational as r
+from corvine.operators import trees
 from corvine.operators.registry import query
 
 
@@ -143,7 +144,7 @@ def lastn_messages(t):
     UNION ALL SELECT up.node, org.parent, distance + 1 FROM up JOIN org ON org.node = up.ancestor WHERE org.parent IS NOT NULL) SELECT * FROM up""")
 def hierarchy_recursive_up(t):
     org = organizations(t)
-    return r.ancestors(org, org.where("node LIKE 'c%' AND name LIKE '%7'").select("node"), "node", "parent", 3)
+    return r.ancestors(org, org.where("node LIKE 'c%' AND name LIKE '%7'").select("node"), "node", "parent")
 
 
 @query(f"""WITH RECURSIVE {ORGANIZATIONS}, up AS (SELECT node, node AS ancestor, 0 AS distance FROM org
@@ -151,7 +152,7 @@ def hierarchy_recursive_up(t):
 def hierarchy_recursive_up_all(t):
     """Ancestors of every node."""
     org = organizations(t)
-    return r.ancestors(org, org.select("node"), "node", "parent", 3)
+    return r.ancestors(org, org.select("node"), "node", "parent")
 
 
 @query(f"WITH {ORGANIZATIONS} SELECT a.node AS ancestor, count(*) AS n_nodes FROM org a JOIN org d ON d.path = a.path OR d.path LIKE a.path || '/%' GROUP BY a.node")
@@ -221,6 +222,42 @@ def forward_fill(t):
 def cascading_delete(t):
     org = organizations(t)
     orders = t("orders").select(F.concat(F.lit("c"), "o_custkey").alias("node"), "o_orderkey")
-    left = r.without_subtree(org, org.where("node IN ('r1', 'n3')").select("node"), "node", "parent", {"orders": orders}, most=3)
+    left = r.without_subtree(org, org.where("node IN ('r1', 'n3')").select("node"), "node", "parent", {"orders": orders})
     counted = lambda name, rows: rows.agg(F.lit(name).alias("of_table"), F.count("*").alias("n"))
     return counted("organizations", left["rows"]).union(counted("orders", left["orders"]))
+
+
+#: Documents as a tree of sixty at a time: a document's parent is one to three before it.
+_DEEP = "docs AS (SELECT doc_id AS node, CASE WHEN doc_id % 60 > doc_id % 3 THEN doc_id - 1 - doc_id % 3 END AS parent FROM documents)"
+
+
+def deep(t):
+    n = F.col("doc_id")
+    return t("documents").select(n.alias("node"), F.when(n % 60 > n % 3, n - 1 - n % 3).alias("parent"))
+
+
+@query(f"WITH RECURSIVE {_DEEP}, up AS (SELECT node, node AS ancestor, 0 AS distance FROM docs UNION ALL SELECT up.node, parent, distance + 1 FROM up JOIN docs ON docs.node = up.ancestor WHERE parent IS NOT NULL) SELECT * FROM up")
+def hierarchy_deep_up(t):
+    """Ancestors of every node of trees of 30 levels and more."""
+    return r.ancestors(deep(t), deep(t).select("node"), "node", "parent")
+
+
+@query(f"WITH RECURSIVE {_DEEP}, down AS (SELECT node FROM docs WHERE node % 61 = 7 UNION SELECT docs.node FROM down JOIN docs ON docs.parent = down.node) SELECT node FROM down")
+def hierarchy_deep_down(t):
+    return r.descendants(deep(t), deep(t).where("node % 61 = 7").select("node"), "node", "parent")
+
+
+@query(f"WITH RECURSIVE {_DEEP}, down AS (SELECT node, node AS root, 1 AS depth FROM docs WHERE parent IS NULL UNION ALL SELECT docs.node, root, depth + 1 FROM down JOIN docs ON docs.parent = down.node) SELECT node, root, depth FROM down")
+def hierarchy_depths(t):
+    return trees.depths(deep(t), "node", "parent")
+
+
+_RINGS = "ring AS (SELECT event_id AS node, CASE WHEN event_id % 100 < 30 THEN event_id // 100 * 100 + (event_id % 100 + 1) % 30 WHEN event_id % 100 < 60 THEN event_id - 7 WHEN event_id % 100 < 90 THEN event_id + 1 END AS parent FROM events)"
+
+
+@query(f"WITH RECURSIVE {_RINGS}, down AS (SELECT node FROM ring WHERE node % 100 < 30 UNION SELECT ring.node FROM down JOIN ring ON ring.parent = down.node) SELECT node FROM down")
+def hierarchy_cycles(t):
+    """Of a hundred events thirty are a ring, thirty lead into it, thirty are a chain and ten stand alone."""
+    n = F.col("event_id") % 100
+    parent = F.when(n < 30, F.col("event_id") - n + (n + 1) % 30).when(n < 60, F.col("event_id") - 7).when(n < 90, F.col("event_id") + 1)
+    return trees.cyclic(t("events").select(F.col("event_id").alias("node"), parent.alias("parent")), "node", "parent")

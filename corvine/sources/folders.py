@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -12,3 +12,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if set_dir is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{set_dir or tempfile.mkdtemp(prefix='corvine-')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame, name: str = "table") -> DataFrame:
+    """The rows as a Parquet table in a new shared folder: what comes later neither recomputes them nor depends on the executors that made them."""
+    path = shared_folder(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -74,7 +74,7 @@ def test_small_columns(spark):
 def test_tables(spark):
     tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, None)], "id int, parent int")
     docs = spark.createDataFrame([(3, "x"), (4, "y"), (None, "z")], "id int, name string")
-    left = r.without_subtree(tree, tree.where("id = 2").select("id"), "id", "parent", {"docs": docs}, most=3)
+    left = r.without_subtree(tree, tree.where("id = 2").select("id"), "id", "parent", {"docs": docs})
     assert sorted(x.id for x in left["rows"].collect()) == [1, 4] and sorted(x.name for x in left["docs"].collect()) == ["y", "z"]
     assert r.sample_n(tree, "id", 2).collect() == r.sample_n(tree.orderBy(F.desc("id")), "id", 2).collect()
     cells = spark.createDataFrame([(1, 1, "a"), (1, 2, " "), (1, 3, None), (1, 4, "b"), (2, 1, None)], "t int, row int, c string")
