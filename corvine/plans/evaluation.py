@@ -61,8 +61,11 @@ def classification_prf(t):
     return e.precision_recall(t("labels").select("toxic", (1 - F.col("quality")).alias("said")), "toxic", "said")
 
 
-@query("""WITH kept AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 200)
-    SELECT event_type, count(*) AS count, round(avg(value), 6) AS avg_value, round(avg((value < 5)::INTEGER), 4) AS low_rate, round(CASE WHEN count(*) >= 20 THEN quantile_disc(value, 0.95) ELSE max(value) END, 4) AS p95_value FROM kept GROUP BY event_type""")
+LAST200 = """WITH kept AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 200)
+    SELECT event_type, count(*) AS count, round(avg(value), 6) AS avg_value, round(avg((value < 5)::INTEGER), 4) AS low_rate, round(CASE WHEN count(*) >= 20 THEN quantile_disc(value, 0.95) ELSE max(value) END, 4) AS p95_value FROM kept GROUP BY event_type"""
+
+
+@query(LAST200)
 def monitor_last200(t):
     rows = t("events").withColumn("low", F.col("value") < 5)
     return e.last_window(rows, "event_type", [F.desc("ts"), F.desc("event_id")], 200, ["value"], ["low"], "value")

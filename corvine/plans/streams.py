@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from corvine.operators import folds
 from corvine.operators.registry import query
 from corvine.plans.chunks import fixed_sql
+from corvine.plans.evaluation import LAST200
 from corvine.sources import logs
 from corvine.sources.folders import shared_folder
-from corvine.streaming import jobs
+from corvine.streaming import jobs, stateful
 
 
 def finished(job):
@@ -78,10 +79,13 @@ def circuit_breaker_states(t):
     return folds.fold(rows, "event_type", ["at", "event_id"], ["at", "failed"], "called boolean, state string", folds.circuit_breaker(recovery=3600.0)).select("event_type", "event_id", "called", "state")
 
 
-@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS sec, least(value * 3600, 86400.0::DOUBLE) AS dur, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+RUNNING = """WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS sec, least(value * 3600, 86400.0::DOUBLE) AS dur, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
     f AS (SELECT user_id, event_id, n, [sec + dur] AS ends, true AS admitted FROM o WHERE n = 1 UNION ALL
       SELECT user_id, event_id, n, CASE WHEN len(live) < 2 THEN list_append(live, sec + dur) ELSE live END, len(live) < 2 FROM (SELECT o.*, list_filter(f.ends, lambda x: x > o.sec) AS live FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1))
-    SELECT user_id, event_id, admitted, len(ends)::INTEGER AS running FROM f""")
+    SELECT user_id, event_id, admitted, len(ends)::INTEGER AS running FROM f"""
+
+
+@query(RUNNING)
 def concurrency_admission(t):
     rows = t("events").select("user_id", "event_id", seconds(), (F.col("value") * 3600).alias("duration"))
     return folds.fold(rows, "user_id", ["at", "event_id"], ["at", "duration"], "admitted boolean, running int", folds.concurrency(2, 86400.0)).select("user_id", "event_id", "admitted", "running")
@@ -94,3 +98,30 @@ def metrics_history(t):
     out = shared_folder(spark, "metrics")
     finished(jobs.append_log(t.stream("events"), f"{out}/log", f"{out}/state", "ts"))
     return logs.history(spark, f"{out}/log", "event_id long, ts timestamp, user_id long, event_type string, value double, props string", "ts", 7).select("event_id", "event_type", "value")
+
+
+@query(LAST200)
+def stream_last200(t):
+    """Events that arrive in three parts, none of them in the order of time; the job is started anew for each."""
+    out, events = shared_folder(t.spark, "last200"), t("events")
+    for part in range(3):
+        events.where(F.pmod("event_id", F.lit(3)) == part).write.mode("append").parquet(f"{out}/in")
+        arriving = t.spark.readStream.schema(events.schema).parquet(f"{out}/in").withColumn("low", F.col("value") < 5)
+        finished(stateful.last_window(arriving, f"{out}/stats", f"{out}/state", "event_type", ["ts", "event_id"], 200, ["value"], ["low"], "value"))
+    return jobs.latest(t.spark.read.parquet(f"{out}/stats"), ["event_type"])
+
+
+@query(RUNNING)
+def stream_concurrency(t):
+    """Events that arrive in three parts of time; the job is started anew for each."""
+    out, events = shared_folder(t.spark, "running"), t("events")
+    first, last = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    third = F.least(F.lit(2), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(first)) * 3 / F.lit(max(1, (last or 0) - (first or 0)))))
+    for part in range(3):
+        events.where(third == part).write.mode("append").parquet(f"{out}/in")
+        arriving = t.spark.readStream.schema(events.schema).parquet(f"{out}/in")
+        admitted = stateful.admit_running(arriving, "user_id", "event_id", "ts", F.col("value") * 3600, 2, 86400.0)
+        with stateful.state_store(t.spark):
+            job = admitted.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        finished(job)
+    return t.spark.read.parquet(f"{out}/rows").select("user_id", "event_id", "admitted", "running")
