@@ -8,7 +8,7 @@ from corvine.plans.chunks import fixed_sql
 from corvine.plans.evaluation import LAST200
 from corvine.sources import logs
 from corvine.sources.folders import shared_folder
-from corvine.streaming import jobs, stateful
+from corvine.streaming import ingest, jobs, stateful
 
 
 def finished(job):
@@ -125,3 +125,20 @@ def stream_concurrency(t):
             job = admitted.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
         finished(job)
     return t.spark.read.parquet(f"{out}/rows").select("user_id", "event_id", "admitted", "running")
+
+
+def unsteady(doc_id, text, failures):
+    """Stands in for a parser: some documents fail twice, some always."""
+    if doc_id % 11 == 5 or (doc_id % 11 == 3 and failures < 2):
+        raise OSError(f"no answer for {doc_id}")
+    return text
+
+
+@query(f"""WITH RECURSIVE {fixed_sql(1000, 100)}, n AS (SELECT doc_id, count(*)::INTEGER AS n FROM fixed GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN doc_id % 11 = 5 OR n_chars < 300 THEN 'failed' ELSE 'success' END AS status, CASE WHEN doc_id % 11 = 5 THEN 'parsing' WHEN n_chars < 300 THEN 'text' END AS step,
+      CASE WHEN doc_id % 11 = 5 THEN 4 WHEN doc_id % 11 = 3 THEN 3 ELSE 1 END AS n_attempts, CASE WHEN doc_id % 11 = 5 THEN 'OSError: no answer for ' || doc_id WHEN n_chars < 300 THEN 'too little text' END AS error,
+      CASE WHEN doc_id % 11 = 5 OR n_chars < 300 THEN 0 ELSE n END AS n_chunks FROM documents LEFT JOIN n USING (doc_id)""")
+def stream_ingest_retries(t):
+    out = shared_folder(t.spark, "retries")
+    finished(ingest.ingest(t.stream("documents"), out, f"{out}/state", unsteady, clean=None, gate=lambda text: F.length(text) >= 300, keep=None, size=1000, overlap=100))
+    return ingest.outcomes(t.spark, out)
