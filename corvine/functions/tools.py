@@ -3,51 +3,86 @@
 import ast
 import builtins
 import math
-import operator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The operations, functions and names that an expression may have. ^ is a power, as in written formulas.
-_SIGNS = "Add add, Sub sub, Mult mul, Div truediv, FloorDiv floordiv, Mod mod, Pow pow, BitXor pow, USub neg, UAdd pos"
-_OPERATORS = {getattr(ast, node): getattr(operator, name) for node, name in map(str.split, _SIGNS.split(","))}
-_FUNCTIONS = {name: getattr(math, name, None) or getattr(builtins, name) for name in "abs round min max sqrt pow log log2 log10 sin cos tan asin acos atan exp ceil floor".split()}
-_NAMES = {"pi": math.pi, "e": math.e}
+# The functions that an expression may call.
+FUNCTIONS = ["abs", "round", "min", "max", "sqrt", "pow", "log", "log2", "log10", "sin", "cos", "tan", "asin", "acos", "atan", "exp", "ceil", "floor"]
+
+
+def _power(a: float, b: float) -> float:
+    """Whole numbers as long as the result is of a length to work with, else as a floating point number (too large: an error)."""
+    whole = isinstance(a, int) and isinstance(b, int) and abs(b) * a.bit_length() <= 4096
+    found = a**b if whole else float(a) ** float(b)
+    if isinstance(found, complex):
+        raise ValueError("no real power")
+    return found
+
+
+def _parts(node: ast.AST) -> list[ast.expr]:
+    match node:
+        case ast.BinOp(left=a, right=b):
+            return [a, b]
+        case ast.UnaryOp(operand=a):
+            return [a]
+        case ast.Call(args=args):
+            return args
+    return []
+
+
+def _value(node: ast.AST, given: list[float]) -> float:
+    """What a node gives for the values of its parts."""
+    match node, given:
+        case ast.Constant(value=int() | float() as number), [] if not isinstance(number, bool):
+            return number
+        case ast.Name(id="pi"), []:
+            return math.pi
+        case ast.Name(id="e"), []:
+            return math.e
+        case ast.BinOp(op=ast.Add()), [a, b]:
+            return a + b
+        case ast.BinOp(op=ast.Sub()), [a, b]:
+            return a - b
+        case ast.BinOp(op=ast.Mult()), [a, b]:
+            return a * b
+        case ast.BinOp(op=ast.Div()), [a, b]:
+            return a / b
+        case ast.BinOp(op=ast.FloorDiv()), [a, b]:
+            return a // b
+        case ast.BinOp(op=ast.Mod()), [a, b]:
+            return a % b
+        case (ast.BinOp(op=ast.Pow()), [a, b]) | (ast.Call(func=ast.Name(id="pow"), keywords=[]), [a, b]):
+            return _power(a, b)
+        case ast.UnaryOp(op=ast.USub()), [a]:
+            return -a
+        case ast.UnaryOp(op=ast.UAdd()), [a]:
+            return a
+        case ast.Call(func=ast.Name(id=name), keywords=[]), _ if name in FUNCTIONS:
+            return getattr(math, name, None)(*given) if hasattr(math, name) else getattr(builtins, name)(*given)
+    raise ValueError("not an arithmetic expression")
 
 
 def evaluate(text: str) -> float:
-    """An arithmetic expression of numbers, + - * / // % ** ^ (a power), parentheses, pi, e and the functions of the list; anything else is
-    an error, as are powers too large to be of use."""
-
-    def value(node: ast.AST) -> float:
-        match node:
-            case ast.Constant(value=int() | float() as number) if not isinstance(number, bool):
-                return number
-            case ast.Name(id=name) if name in _NAMES:
-                return _NAMES[name]
-            case ast.UnaryOp(op=op, operand=inner) if type(op) in _OPERATORS:
-                return _OPERATORS[type(op)](value(inner))
-            case ast.BinOp(left=left, op=op, right=right) if type(op) in _OPERATORS:
-                a, b = value(left), value(right)
-                if isinstance(op, (ast.Pow, ast.BitXor)) and (abs(b) > 1000 or abs(a) > 1e6):
-                    raise ValueError("power too large")
-                return _OPERATORS[type(op)](a, b)
-            case ast.Call(func=ast.Name(id="pow"), args=[left, right], keywords=[]):
-                return value(ast.BinOp(left=left, op=ast.Pow(), right=right))
-            case ast.Call(func=ast.Name(id=name), args=args, keywords=[]) if name in _FUNCTIONS:
-                return _FUNCTIONS[name](*map(value, args))
-        raise ValueError("not an arithmetic expression")
-
-    return float(value(ast.parse(text.strip(), mode="eval").body))
+    """An arithmetic expression of numbers, + - * / // % ** ^ (a power as **), parentheses, pi, e and FUNCTIONS; anything else is an error, as is what
+    doesn't fit into a floating point number. Of any length; how deep parentheses nest is up to Python's parser (200)."""
+    todo, nodes = [ast.parse(text.strip().replace("^", "**"), mode="eval").body], []
+    while todo:  # parts come behind what they are parts of
+        nodes.append(todo.pop())
+        todo += _parts(nodes[-1])
+    known: dict[int, float] = {}
+    for node in reversed(nodes):
+        known[id(node)] = _value(node, [known[id(p)] for p in _parts(node)])
+    return float(known[id(nodes[0])])
 
 
 def calculated(expression: Column) -> Column:
-    """The value of each expression (see evaluate), null for null and for what isn't one. Expressions of 1000 characters at most."""
+    """The value of each expression (see evaluate), null for null and for what isn't one."""
 
     def safe(text: str | None) -> float | None:
         try:
-            return evaluate(text) if text is not None and len(text) <= 1000 else None
+            return evaluate(text) if text is not None else None
         except (SyntaxError, ValueError, TypeError, ArithmeticError, RecursionError, MemoryError):
             return None
 

@@ -9,30 +9,39 @@ import math
 from collections import deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A fold: a fresh state for a key; a function of state and row (named tuple of the needed columns) that gives the new columns.
 Step = Callable[[dict, tuple], tuple]
 
 
 def fold(rows: DataFrame, key: str, order: list[str], needs: list[str], columns: str, step: Step) -> DataFrame:
-    """rows with new columns (a DDL list) from `step`, called with a key's state (a dict, empty at first) and the needed values."""
-    names = [c.split()[0] for c in columns.split(",")]
+    """rows with new columns (a DDL list) from `step`, called with a key's state (a dict, empty at first) and the needed values. Rows
+    without a key are one key's; a null among the needed numbers is NaN."""
+    added = T.StructType.fromDDL(columns)
+    kinds = [to_arrow_type(f.dataType) for f in added]
     sorted_rows = rows.repartition(key).sortWithinPartitions(key, *order)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def values(column: pa.Array) -> list:
+        found = column.to_pylist()
+        return [float("nan") if v is None else v for v in found] if pa.types.is_floating(column.type) else found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = object(), {}
         for batch in batches:
             out = []
-            for value, *needed in batch[[key, *needs]].itertuples(index=False, name=None):
-                if value != now:
-                    now, state = value, {}
+            for value, *needed in zip(batch.column(key).to_pylist(), *(values(batch.column(n)) for n in needs), strict=True):
+                own = "NaN" if value != value else value  # NaN isn't equal to itself
+                if own != now:
+                    now, state = own, {}
                 out.append(step(state, tuple(needed)))
-            yield batch.assign(**{n: [o[i] for o in out] for i, n in enumerate(names)})
+            new = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added.names])
 
-    kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
-    return sorted_rows.mapInPandas(run, f"{kinds}, {columns}")
+    return sorted_rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added.fields]))
 
 
 def sliding_log(limit: int, window: float) -> Step:

@@ -8,6 +8,7 @@ from corvine.operators import context, hooks
 from corvine.operators import relational as rel
 from corvine.operators import retrieval as r
 from corvine.operators import texts as o
+from corvine.operators import toolbox
 from corvine.operators.registry import query
 from corvine.plans.relational import ORGANIZATIONS, organizations
 from corvine.plans.retrieval import COSINES, TOP, WORDS, questions, vector_questions
@@ -209,3 +210,32 @@ def enhanced_retrieval(t):
     contents = docs.select("doc_id", F.col("text").alias("content"))
     paths = [(asked, search), (part(F.lit(1), half), search), (part(half + 1, F.size(words)), search)]
     return r.enhanced(asked, paths, contents, "doc_id", 5, lambda pool, q: hooks.reranked(pool, q, "doc_id", 20))
+
+
+@query("""WITH e AS (SELECT *, event_id % 8 AS k FROM events), n AS (SELECT n_name, row_number() OVER (PARTITION BY d ORDER BY n_name) AS place, d::VARCHAR AS d FROM nation, range(10) r(d) WHERE contains(n_name, d::VARCHAR)),
+    found AS (SELECT event_id AS call_id, n_name FROM e JOIN n ON k = 7 AND d = ((event_id // 8) % 10)::VARCHAR AND place <= 3)
+    SELECT e.event_id AS call_id, CASE k WHEN 3 THEN 'translator' WHEN 4 THEN 'datetime_info' WHEN 5 THEN 'datetime_info' WHEN 7 THEN 'database_query' ELSE 'calculator' END AS tool,
+      CASE k WHEN 0 THEN round((event_id % 7 + 2) * 3.5::DOUBLE - sqrt((event_id % 9)::DOUBLE), 6) WHEN 4 THEN date_diff('day', DATE '2024-01-01', ts::DATE)::DOUBLE END AS value, n_name AS name,
+      CASE k WHEN 1 THEN 'missing: expression' WHEN 2 THEN 'expression must be of type string' WHEN 3 THEN 'unknown tool: translator' WHEN 5 THEN 'action must be one of now, diff' WHEN 6 THEN 'arguments must be a JSON object' END AS error
+    FROM e LEFT JOIN found ON found.call_id = e.event_id""")
+def tool_calls(t):
+    """A call for each event, by rule: arithmetic, dates, a lookup, and calls that don't fit."""
+    box = toolbox.Toolbox(toolbox.calculator(), toolbox.dates(), toolbox.lookup({"nation": (t("nation"), "n_name")}))
+    k, n = F.col("event_id") % 8, F.col("event_id")
+    formula = F.format_string('{"expression": "(%d + 2) * 3.5 - sqrt(%d)"}', n % 7, n % 9)
+    diff = F.format_string('{"action": "diff", "date1": "2024-01-01", "date2": "%s"}', F.date_format("ts", "yyyy-MM-dd"))
+    look = F.format_string('{"table": "nation", "keyword": "%d", "limit": 3}', F.floor(n / 8) % 10)
+    arguments = F.when(k == 0, formula).when(k == 2, F.format_string('{"expression": %d}', n)).when(k == 4, diff).when(k == 5, F.lit('{"action": "later"}')).when(k == 6, F.format_string("[%d]", n)).when(k == 7, look).otherwise("{}")
+    tool = F.when(k == 3, "translator").when(k.isin(4, 5), "datetime_info").when(k == 7, "database_query").otherwise("calculator")
+    found = box.answered(t("events").select(n.alias("call_id"), tool.alias("tool"), arguments.alias("arguments")))
+    number = lambda field: F.get_json_object("result", field).cast("double")
+    return found.select("call_id", "tool", F.round(F.coalesce(number("$.result"), number("$.diff_days")), 6).alias("value"), F.get_json_object("result", "$.n_name").alias("name"), "error")
+
+
+@query("""SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'database_query,knowledge_search' WHEN 1 THEN 'calculator,knowledge_search' WHEN 2 THEN 'calculator,datetime_info,knowledge_search' ELSE 'knowledge_search' END AS tools FROM conversations WHERE NOT contains(coalesce(text, ''), '%')""")
+def tools_offered(t):
+    """Messages that name what tools are about, by rule."""
+    box = toolbox.Toolbox(toolbox.knowledge_search(lambda q, n: q), toolbox.lookup({"nation": (t("nation"), "n_name")}), toolbox.calculator(), toolbox.dates())
+    words = F.get(F.array(*map(F.lit, ("哪个学院 ", "计算 ", "今天加 ", ""))), (F.col("conv_id") % 4).cast("int"))
+    said = t("conversations").where(~F.contains(F.coalesce("text", F.lit("")), F.lit("%"))).select("conv_id", "turn", F.concat(words, F.coalesce("text", F.lit(""))).alias("text"))
+    return box.offered(said).select("conv_id", "turn", F.array_join(F.array_sort("tools"), ",").alias("tools"))

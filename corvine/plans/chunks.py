@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from corvine.functions import sql
 from corvine.operators import chunks as c
 from corvine.operators.registry import query
 from corvine.plans.text import SPACE, strip
@@ -20,16 +21,22 @@ def fixed_sql(size, overlap):
     fixed AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INTEGER AS chunk_index, content FROM pieces WHERE content <> '')"""
 
 
-@query(f"WITH RECURSIVE {fixed_sql(800, 150)} SELECT doc_id, chunk_index, content FROM fixed")
+FIXED = f"WITH RECURSIVE {fixed_sql(800, 150)} SELECT doc_id, chunk_index, content FROM fixed"
+
+
+@query(FIXED)
 def chunk_fixed(t):
     return c.chunk(t("documents"), "doc_id", strategy="fixed", size=800, overlap=150).select("doc_id", "chunk_index", "content")
 
 
-@query(rf"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([。！？.!?\n])[{SPACE}]*', '\1' || chr(1), 'g'), chr(1)), lambda x: {strip('x')}), lambda x: x <> '') AS s FROM documents),
+SENTENCES = rf"""WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([。！？.!?\n])[{SPACE}]*', '\1' || chr(1), 'g'), chr(1)), lambda x: {strip('x')}), lambda x: x <> '') AS s FROM documents),
     folded AS (SELECT doc_id, s, 1 AS i, s[1] AS cur, NULL::VARCHAR AS done FROM s WHERE len(s) > 0
       UNION ALL SELECT doc_id, s, i + 1, CASE WHEN length(cur) + length(s[i + 1]) > 800 THEN right(cur, 150) || s[i + 1] ELSE cur || s[i + 1] END, CASE WHEN length(cur) + length(s[i + 1]) > 800 THEN cur END FROM folded WHERE i < len(s)),
     chunks AS (SELECT doc_id, i, done AS content FROM folded WHERE done IS NOT NULL UNION ALL SELECT doc_id, i + 1, cur FROM folded WHERE i = len(s))
-    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS chunk_index, content FROM chunks""")
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS chunk_index, content FROM chunks"""
+
+
+@query(SENTENCES)
 def chunk_sentence(t):
     return c.chunk(t("documents"), "doc_id", strategy="sentence", size=800, overlap=150).select("doc_id", "chunk_index", "content")
 
@@ -70,3 +77,19 @@ def chunk_length_stats(t):
     size = F.length("content")
     found = c.chunk(t("documents"), "doc_id", strategy="fixed", size=800, overlap=150)
     return found.agg(F.count("*").alias("n_chunks"), F.round(F.avg(size), 4).alias("avg_length"), F.min(size).alias("min_length"), F.max(size).alias("max_length"))
+
+
+def lateral(t, call):
+    """Chunks of all documents by the table function, from SQL."""
+    sql.register(t.spark)
+    return t.spark.sql(f"SELECT doc_id, chunk_index, content FROM {{docs}}, LATERAL {call}", docs=t("documents"))
+
+
+@query(FIXED)
+def sql_chunk_fixed(t):
+    return lateral(t, "chunk(text, 'fixed', 800, 150)")
+
+
+@query(SENTENCES)
+def sql_chunk_sentence(t):
+    return lateral(t, "chunk(text, strategy => 'sentence', size => 800, overlap => 150)")

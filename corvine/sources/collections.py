@@ -60,9 +60,10 @@ class Collections:
         return {"original": number, "kept": left, "rejected": number - left}
 
     def backfill(self, kb_id: int, found: DataFrame, on: list[str], snapshot: str, columns: tuple[str, ...] = ("department", "publish_year")) -> int:
-        """Fills blank columns of a collection's chunks from found (`on` and those columns); the number of chunks that changed. What is there stays."""
+        """Fills blank columns of a collection's chunks from found (`on` and those columns); the number of chunks that changed. What is there stays; of
+        several values found for a chunk the greatest that isn't blank counts."""
         rows = self.read(kb_id)
-        new = found.select(*on, *[F.col(c).alias(f"__{c}") for c in columns])
+        new = found.groupBy(*on).agg(*[F.max(F.when(F.col(c) != "", F.col(c))).alias(f"__{c}") for c in columns])
         blank = {c: F.coalesce(F.col(c), F.lit("")) == "" for c in columns}
         met = rows.join(new, on, "left")
         gains = reduce(Column.__or__, [blank[c] & (F.coalesce(F.col(f"__{c}"), F.lit("")) != "") for c in columns])

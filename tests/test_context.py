@@ -97,3 +97,17 @@ def test_concurrency(spark):
     rows = spark.createDataFrame([("a", 0.0, 10.0), ("a", 1.0, 100.0), ("a", 2.0, 1.0), ("a", 11.0, 5.0), ("a", 40.0, 1.0)], "k string, t double, d double")
     found = {x.t: (x.admitted, x.running) for x in folds.fold(rows, "k", ["t"], ["t", "d"], "admitted boolean, running int", folds.concurrency(2, 30.0)).collect()}
     assert found == {0.0: (True, 1), 1.0: (True, 2), 2.0: (False, 2), 11.0: (True, 2), 40.0: (True, 1)}
+
+
+def test_folds_of_rows_without_a_key(spark):
+    """A null key is one key, whatever its type; large keys stay as they are beside nulls, and NaN is a key of its own."""
+    steps = {"sliding": ("admitted boolean, remaining int, retry_after long", ["t"], folds.sliding_log(2, 100.0)), "bucket": ("admitted boolean, tokens double", ["t"], folds.token_bucket(0.001, 2)), "running": ("admitted boolean, running int", ["t", "d"], folds.concurrency(2, 900.0)), "breaker": ("admitted boolean, state string", ["t", "failed"], folds.circuit_breaker(2, 10, 900.0))}
+    big = 2**62 + 1
+    for kind, keys in (("long", [None, big, big + 1]), ("string", [None, "a", ""]), ("double", [None, float("nan"), 1.0]), ("timestamp", [None, __import__("datetime").datetime(2024, 1, 1)])):
+        rows = spark.createDataFrame([(k, float(t), 800.0, True, "x") for k in keys for t in range(6)], f"k {kind}, t double, d double, failed boolean, null_key string")
+        for name, (columns, needs, step) in steps.items():
+            got = folds.fold(rows, "k", ["t"], needs, columns, step).collect()
+            admitted = {}
+            for r in got:
+                admitted.setdefault(str(r.k), []).append(r.admitted)
+            assert {k: sum(v) for k, v in admitted.items()} == {str(k): 2 for k in keys}, (kind, name)

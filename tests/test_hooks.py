@@ -112,6 +112,36 @@ def test_rebuild_and_backfill(spark, tmp_path):
     assert store.rebuild(2, lambda old: old.where("false"), str(tmp_path / "backup2"), str(tmp_path / "s4"))["kept"] == 0 and store.read(2).count() == 0
 
 
+def test_backfill_from_repeated_rows(spark, tmp_path):
+    store = Collections(spark, str(tmp_path / "store"))
+    store.append(spark.createDataFrame([("a", "d1", "", 1), ("b", "d1", "Own", 1)], "chunk_id string, document_id string, department string, kb_id long"))
+    found = spark.createDataFrame([("d1", "X"), ("d1", "Y"), ("d1", ""), ("d1", None), ("d1", "Y")], "document_id string, department string")
+    assert store.backfill(1, found, ["document_id"], str(tmp_path / "s"), ("department",)) == 1
+    assert sorted((x.chunk_id, x.department) for x in store.read(1).collect()) == [("a", "Y"), ("b", "Own")]
+
+
+def test_rerank_asks_once_a_question(spark):
+    rows = [(q, 10 * q + i, float(5 - i), f"{q} {i}", {"k": "v"}) for q in (1, 2, 3, 4) for i in range(4)]
+    results = spark.createDataFrame(rows, "query_id int, chunk_id int, score double, content string, meta map<string,string>").repartition(3)
+    questions = spark.createDataFrame([(q, f"q{q}") for q in (1, 2, 3, 4)], "query_id int, text string")
+
+    def judge(asked, contents):
+        assert len(set(asked)) == 1 and [c.split()[1] for c in contents] == ["0", "1", "2", "3"]  # by score
+        if asked[0] == "q2":
+            return [1.0]  # too few
+        if asked[0] == "q3":
+            raise ValueError("no answer")
+        return [1.0, 2.0, 3.0, float("nan") if asked[0] == "q4" else 4.0]
+
+    got = {}
+    for r in hooks.reranked(results, questions, "chunk_id", 3, "graded", judge).collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.rerank_score, r.similarity, r.meta["k"]))
+    assert {q: sorted(v, key=lambda x: -x[2]) for q, v in got.items()} == {
+        1: [(13, 4.0, 0.4, "v"), (12, 3.0, 0.3, "v"), (11, 2.0, 0.2, "v")], 2: [(20, None, 5.0, "v"), (21, None, 4.0, "v"), (22, None, 3.0, "v")],
+        3: [(30, None, 5.0, "v"), (31, None, 4.0, "v"), (32, None, 3.0, "v")], 4: [(42, 3.0, 0.3, "v"), (41, 2.0, 0.2, "v"), (40, 1.0, 0.1, "v")],
+    }
+
+
 def test_metadata(spark, tmp_path):
     from corvine.sources import metadata
 
@@ -125,6 +155,15 @@ def test_metadata(spark, tmp_path):
     assert got == {"/x/output/News/Y/a.md": ("D", "C", "2020", "2020-05-06"), "/x/output/News/Y/b.md": ("News", "Y", "2011", "2011-02-03"), "c.md": (None, None, "2009", None), None: (None, None, None, None)}
 
 
+def test_calculator_without_caps(spark):
+    from corvine.functions import tools
+
+    cases = {"10000000^2": 1e14, "2^3+1": 9.0, "+".join(["1"] * 3000): 3000.0, "2^-2": 0.25, "2^0.5": 2**0.5, "(0-8)^(1/3)": None, "1.5^900": 1.5**900, "10^400": None, "10^400/10^399": 10.0, "7^1000/7^999": 7.0, "max(1, 2, 3) % 2": 1.0, "round(2.567, 2)": 2.57, "-(-3)": 3.0, "5 // 0": None, "sqrt(-1)": None, "log(8, 2)": 3.0, "abs(-2)+floor(2.5)+ceil(2.1)": 7.0, "e*0": 0.0, "pow(2, x)": None, "min()": None, "1 if 2 else 3": None, "(1).real": None, "max(1, key=2)": None}
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, t string")
+    found = [x[0] for x in rows.orderBy("i").select(tools.calculated(F.col("t"))).collect()]
+    assert found == [v if v is None else float(v) for v in cases.values()]
+
+
 def test_tools(spark):
     from corvine.functions import tools
 
