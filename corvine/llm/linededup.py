@@ -10,7 +10,7 @@ the documents is a run-length compressed keep bitmap each, no text.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvine.llm.common import cut
+from corvine.llm.common import cut, fresh
 
 #: Blanks at both ends of a line: [\x20\x09-\x0D].
 _BLANKS = " \t\n\v\f\r"
@@ -62,22 +62,28 @@ def kept_lines(lines: Column, runs: Column) -> Column:
     return F.when(runs.isNull(), lines).otherwise(F.transform(marked, lambda x: x["line"]))
 
 
+def _deduped(docs: DataFrame, min_chars: int, min_docs: int, n_lines: str, n_dropped: str, runs: str) -> DataFrame:
+    """docs with text as dedup_lines gives it, and three further columns of these names, which docs doesn't have."""
+    own, text_hash = fresh(docs, "own_id"), fresh(docs, "own_hash")
+    bitmaps = keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs).select(F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash), F.col("runs").alias(runs), F.col("n_dropped").alias(n_dropped))
+    met = docs.join(bitmaps, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(text_hash)), "left")
+    lines = lines_of(F.col("text"))
+    kept = F.when(F.col(runs).isNull(), F.col("text")).otherwise(F.array_join(kept_lines(lines, F.col(runs)), "\n"))
+    return met.withColumns({n_lines: F.size(lines).cast("long"), n_dropped: F.coalesce(n_dropped, F.lit(0).cast("long")), "text": kept}).drop(own, text_hash)
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs with the columns it has, text with its kept lines joined by a line feed, and n_lines, n_dropped,
-    runs added (replacing columns of these names).
+    """docs with the columns it has, text with its kept lines joined by a line feed. No other column changes, whatever its name.
 
     Keys of min_chars code points or more that min_docs documents hold (distinct doc_id) lose all their
     lines but those of the largest doc_id. A null doc_id counts as one document that is never the
-    largest. A null text stays null; its n_lines is 1. Empty tables give an empty result.
+    largest. A null text stays null. Empty tables give an empty result.
     """
-    bitmaps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("runs").alias("__runs"), F.col("n_dropped").alias("__gone"))
-    met = docs.join(bitmaps, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
-    lines = lines_of(F.col("text"))
-    text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(kept_lines(lines, F.col("__runs")), "\n"))
-    return met.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce("__gone", F.lit(0).cast("long")), "runs": F.col("__runs"), "text": text}).drop("__id", "__hash", "__runs", "__gone")
+    names = [fresh(docs, n) for n in ("n_lines", "n_dropped", "runs")]
+    return _deduped(docs, min_chars, min_docs, *names).drop(*names)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped, kept_sha256 and keep_runs (the bitmap's runs; empty: all kept) of each document."""
-    done = dedup_lines(docs.select("doc_id", "text"))
+    """doc_id, n_lines, n_dropped, kept_sha256 and keep_runs (the bitmap's runs; empty: all kept) of each document. A null text has one line."""
+    done = _deduped(docs.select("doc_id", "text"), 20, 3, "n_lines", "n_dropped", "runs")
     return done.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.coalesce(F.array_join("runs", ","), F.lit("")).alias("keep_runs"))

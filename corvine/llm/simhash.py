@@ -135,7 +135,8 @@ SEGMENTS, VALUES = 5, 6
 _random = np.random.default_rng(2024)
 _XOR, _ODD, _FOLD = (_random.integers(0, 2**64, n, dtype=np.uint64) for n in (SEGMENTS * VALUES, SEGMENTS * VALUES, VALUES))
 _ODD, _FOLD, _NAME = _ODD | np.uint64(1), _FOLD | np.uint64(1), _random.integers(0, 2**64, (SEGMENTS, VALUES), dtype=np.uint64)
-BLOCK, CLUSTER, FEW = 1024, 8192, 1_000_000
+#: Nodes of a block, rounds of stars before blocks, nodes that are broadcast at most (8 MB).
+BLOCK, ROUNDS, FEW = 1024, 4, 1_000_000
 
 
 def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
@@ -210,20 +211,23 @@ def linked_in_block(part: pd.DataFrame, similarity: float) -> list[tuple[int, in
     return out
 
 
-def similar(rows: DataFrame, similarity: float = 0.8, block: int = BLOCK, cluster: int = CLUSTER) -> DataFrame:
+def similar(rows: DataFrame, similarity: float = 0.8, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """Links a, b between nodes of rows (as _signed gives them): enough of them to join all nodes that a chain of pairs joins
     that share a key and have a Jaccard similarity of `similarity` at least.
 
-    Every node is compared with one other: of the least nodes of its keys that with which it shares most. Where a key's nodes are then not all
-    linked to the same one, they are compared in full, in blocks of `block`: those that such keys chain together as one group, or, where
-    that has over `cluster` nodes, each key's nodes as one. Neither parameter changes which nodes are joined.
+    First every node is compared with one other: of the least nodes of its keys that with which it shares most. Then come rounds of stars: in each key whose
+    nodes aren't all joined yet, those outside of its largest part are compared with one node of that part, another one in each round; of a group of
+    near copies each round leaves a fraction. What is still apart in a key is compared in full, part against part, in blocks of `block`.
+    Neither parameter changes which nodes are joined: two nodes of a key that are left uncompared are joined already.
     """
     keyed = cut(rows.select("node", "n", F.explode("keys").alias("key")).distinct())
     least = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("number")).where("number > 1").select("key", "least")
-    stars = keyed.join(least, "key").where("node <> least.node").where(F.least("n", "least.n") >= similarity * F.greatest("n", "least.n"))
-    stars = stars.groupBy("node", F.col("least.node").alias("other")).agg(F.count("*").alias("shared"))
-    stars = cut(stars.groupBy("node").agg(F.max(F.struct("shared", "other")).alias("best")).select("node", "best.other"))
-    wanted = stars.select("node").union(stars.select("other")).distinct()
+    near_size = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
+
+    def best(pairs: DataFrame) -> DataFrame:
+        """node, other: of the others of a node that with which it shares most keys."""
+        shared = pairs.groupBy("node", "other").agg(F.count("*").alias("shared"))
+        return cut(shared.groupBy("node").agg(F.max(F.struct("shared", "other")).alias("best")).select("node", "best.other"))
 
     def texts(nodes: DataFrame) -> DataFrame:
         """The hashes of these nodes, once each; nodes that are few enough go to where the hashes are read, so that no others are shuffled."""
@@ -231,33 +235,58 @@ def similar(rows: DataFrame, similarity: float = 0.8, block: int = BLOCK, cluste
         nodes = F.broadcast(nodes) if nodes.count() <= FEW else nodes
         return rows.select("node", "hashes").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
-    held = written(texts(wanted))
-    x, y = held.toDF("node", "x"), held.toDF("other", "y")
-    met = stars.join(x, "node").join(y, "other").withColumn("both", F.size(F.array_intersect("x", "y")))
-    first = cut(met.where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-6).select(F.col("node").alias("a"), F.col("other").alias("b")))
-    known = first.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    named = keyed.join(known, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("least")).where("low <> high").select("key", "least")
-    left = cut(named.join(open_keys, "key"))
+    def compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
+        """a, b of the pairs (node, other) that are similar."""
+        x, y = held.toDF("node", "x"), held.toDF("other", "y")
+        met = pairs.join(x, "node").join(y, "other").withColumn("both", F.size(F.array_intersect("x", "y")))
+        return cut(met.where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-6).select(F.col("node").alias("a"), F.col("other").alias("b")))
+
+    stars = best(keyed.join(least, "key").where("node <> least.node").where(near_size(F.col("n"), F.col("least.n"))).select("node", F.col("least.node").alias("other")))
+    found = compared(stars, written(texts(stars.select("node").union(stars.select("other")).distinct())))
+    # Parts: nodes with one label are joined by links. A link leads to a smaller node, so pointers are followed down, doubled twice.
+    labels = found.select(F.col("a").alias("node"), F.col("b").alias("part"))
+    for _ in range(2):
+        further = labels.select(F.col("node").alias("part"), F.col("part").alias("lower"))
+        labels = cut(labels.join(further, "part", "left").select("node", F.coalesce("lower", "part").alias("part")))
+
+    def apart(named: DataFrame) -> DataFrame:
+        """key, node, n, part, main, of the keys that have nodes of several parts; main: the largest of them."""
+        counted = named.groupBy("key", "part").agg(F.count("*").alias("size"))
+        mains = counted.groupBy("key").agg(F.max(F.struct("size", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("main.part").alias("main"))
+        return cut(named.select("key", "node", "n", "part").join(mains, "key"))
+
+    left = apart(keyed.join(labels, "node", "left").select("key", "node", "n", F.coalesce("part", "node").alias("part")))
     if left.isEmpty():
-        return first
-    chains = cut(components(left.select(F.col("node").alias("a"), F.col("least").alias("b"))).withColumnRenamed("component", "chain"))
-    chained = left.join(chains, "node")
-    large = chains.groupBy("chain").count().where(F.col("count") > cluster).select("chain")
-    small_groups = chained.join(large, "chain", "left_anti").select(F.col("chain").alias("group"), F.lit(0).alias("kind"), "node", "component").distinct()
-    key_groups = chained.join(large, "chain", "left_semi").select(F.col("key").alias("group"), F.lit(1).alias("kind"), "node", "component")
-    groups = cut(small_groups.union(key_groups))
-    parts = groups.groupBy("group", "kind").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    dealt = groups.join(parts, ["group", "kind"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    # Block i meets block j >= i; a block of its own is side 0.
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), (F.col("own") > o).cast("int").alias("side")))
-    sent = dealt.select("group", "kind", "node", "component", F.explode(pairs).alias("p")).select("group", "kind", "node", "component", "p.*")
-    full = sent.join(written(texts(groups.select("node").distinct())), "node")
+        return found
+    held = written(texts(left.select("node").distinct()))
+    for number in range(rounds):
+        inside, outside = left.where("part = main"), left.where("part <> main")
+        middle = inside.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("h"), F.col("node").alias("other"), F.col("n").alias("m"))).alias("x")).select("key", "x.other", "x.m")
+        pairs = best(outside.join(middle, "key").where(near_size(F.col("n"), F.col("m"))).select("node", "other"))
+        new = compared(pairs, held)
+        found = found.union(new)
+        # each part takes the least label that it was linked to
+        part_of = left.select("node", "part").distinct()
+        ends = new.join(part_of.toDF("a", "p"), "a").join(part_of.toDF("b", "q"), "b").select("p", "q")
+        lower = ends.union(ends.select("q", "p")).toDF("part", "q").groupBy("part").agg(F.min("q").alias("lower")).where("lower < part")
+        left = apart(left.drop("main").join(lower, "part", "left").select("key", "node", "n", F.coalesce("lower", "part").alias("part")))
+        if left.isEmpty():
+            return found
+    # Part against part: blocks of the largest part (kind 0) meet blocks of all the rest (kind 1), and these each other.
+    kind = F.when(F.col("part") == F.col("main"), 0).otherwise(1).alias("kind")
+    groups = left.select("key", "node", "part", kind)
+    parts = groups.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.count_if(F.col("kind") == 0) / block)).cast("int").alias("mains"), F.greatest(F.lit(1), F.ceil(F.count_if(F.col("kind") == 1) / block)).cast("int").alias("rests"))
+    dealt = groups.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("kind") == 0, F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    cell = lambda first, second, side: F.struct(first.alias("i"), second.alias("j"), side.alias("side"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    of_main = F.transform(every(F.col("rests")), lambda o: cell(-1 - F.col("own"), o, F.lit(0)))
+    of_rest = F.concat(F.transform(every(F.col("mains")), lambda o: cell(-1 - o, F.col("own"), F.lit(1))), F.transform(every(F.col("rests")), lambda o: cell(F.least("own", o), F.greatest("own", o), (F.col("own") > o).cast("int"))))
+    sent = dealt.select("key", "node", F.col("part").alias("component"), F.explode(F.when(F.col("kind") == 0, of_main).otherwise(of_rest)).alias("p")).select("key", "node", "component", "p.*")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(linked_in_block(part, similarity), columns=["a", "b"])
 
-    return first.union(full.groupBy("group", "kind", "i", "j").applyInPandas(compare, "a long, b long"))
+    return found.union(sent.join(held, "node").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long"))
 
 
 def _kept(docs: DataFrame, rows: DataFrame, joined: DataFrame) -> DataFrame:
@@ -293,7 +322,7 @@ def without_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     segments can't hold. So a signature has least hashes in place of bits. It is cut into few segments, and each is
     indexed by its variants with one value deleted: two texts meet where a segment differs in one value at most. At a
     similarity of 0.8 that is so for a segment in 0.655 of cases, for one of the five in 0.995. What meets is verified
-    by the whole sets.
+    by the sets of 32-bit hashes of all shingles.
     """
     rows = _signed(docs, words)
     return _kept(docs, rows, components(similar(rows, similarity)))

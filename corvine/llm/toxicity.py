@@ -303,6 +303,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are not predicted toxic; columns stay as they are."""
-    own = fresh(docs, "toxicity")
-    return score(docs, fit(docs, labels, **options), own).where(F.col(own)["score"] < 0.5).select(*docs.columns)
+    """The rows of docs that are not predicted toxic; columns stay as they are. Without labelled rows nothing is known to be toxic, and all stay."""
+    own, model = fresh(docs, "toxicity"), fit(docs, labels, **options)
+    if not len(model.toxic):
+        return docs
+    return score(docs, model, own).where(F.col(own)["score"] < 0.5).select(*docs.columns)

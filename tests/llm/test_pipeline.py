@@ -57,6 +57,29 @@ def test_stages_keep_columns_and_empty_tables(spark, folder):
         assert out.count() == 0
 
 
+def test_stages_keep_odd_rows_and_columns(spark, folder):
+    """Null and empty texts, repeated rows, a very long text, null ids, and columns of the names that stages use, through all stages."""
+    line = "a line that stands in many of the documents of this table"
+    texts = [None, "", f"{line}\nfirst own words here", f"{line}\nsecond own words there", f"{line}\nthird own words", "word " * 60_000 + "end", "copy of a text that comes twice", "copy of a text that comes twice"]
+    rows = [(None if i == 7 else 10**9 + i, t, "en", "s", 3, "L", "D", "R", "I", "T", "X", "Y", "Z") for i, t in enumerate(texts)]
+    names = ["n_lines", "n_dropped", "runs", "ids", "n_tokens", "__id", "__hash", "decoded"]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    given = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, given, folder)
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        assert [f for f in out.schema.fields if f.name in names] == [f for f in docs.schema.fields if f.name in names], name
+        assert all(tuple(r[n] for n in names) == tuple("LDRITXYZ") for r in out.select(*names).collect()), name
+        out.write.mode("overwrite").parquet(path := f"{corpus_pipeline.shared_folder(spark)}/odd-{name}")
+        given = spark.read.parquet(path)
+    got = given.collect()
+    assert given.columns == [*docs.columns, "_ids", "_n_tokens"]
+    # of the wordless texts one stays, as of the copies; the repeated line stays in the document of the largest id
+    kept = sorted((r.doc_id or 0, (r.text or "")[:18]) for r in got)
+    assert kept == sorted([(10**9, ""), (10**9 + 2, "first own words he"), (10**9 + 3, "second own words t"), (10**9 + 4, line[:18]), (10**9 + 5, "word word word wor"), (10**9 + 6, "copy of a text tha")])
+    assert all((r._n_tokens or 0) == len(r._ids or []) for r in got) and next(len(r._ids) for r in got if r.doc_id == 10**9 + 5) >= 60_000
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_queries_with_sql(spark, folder, name):
     assert rows(queries.QUERIES[name](spark, folder).toPandas()) == rows(duck(folder).sql(queries.ORACLE[name]).df())

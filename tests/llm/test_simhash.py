@@ -100,10 +100,8 @@ def brute_similar(texts, words=5, similarity=0.8):
     return brute_components(ids, [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if near(sets[a], sets[b])])
 
 
-@pytest.mark.parametrize(("block", "cluster"), [(256, 8192), (8, 8192), (8, 10)])
-def test_similar_texts(spark, block, cluster):
+def family_texts(r):
     """Families whose copies are near the first text and not each other, chains, copies at 0.8 exactly, shared passages."""
-    r = random.Random(8)
     draw = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
     texts = []
     for _ in range(6):
@@ -122,10 +120,38 @@ def test_similar_texts(spark, block, cluster):
     passage = draw(120)
     texts += [passage + draw(r.randrange(60, 240)) for _ in range(80)] + [draw(50) for _ in range(40)] + [[], ["one"], ["One"]]
     r.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize(("block", "rounds"), [(1024, 4), (8, 0), (3, 1), (1, 2)])
+def test_links_of_pairs_that_share_a_key(spark, block, rounds):
+    """Neither blocks nor rounds change what is joined: all pairs that share a key and are similar, and no others."""
+    r = random.Random(8)
+    texts = family_texts(r)
+    base = [f"x{i}" for i in range(64)]  # many texts that share keys and are near few others
+    for _ in range(60):
+        copy = list(base)
+        for at in r.sample(range(64), r.randrange(1, 4)):
+            copy[at] = f"y{r.randrange(10**6)}"
+        texts.append(copy)
+    rows = simhash._signed(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), 5)
+    nodes = {x.node: (set(x["keys"]), set(x.hashes)) for x in rows.collect()}
+    ids = sorted(nodes)
+    near = lambda a, b: len(nodes[a][1] & nodes[b][1]) >= 0.8 * len(nodes[a][1] | nodes[b][1])
+    want = brute_components(ids, [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if nodes[a][0] & nodes[b][0] and near(a, b)])
+    links = simhash.similar(rows, 0.8, block, rounds)
+    of = {x.node: x.component for x in components(links).collect()}
+    assert {i: of.get(i, i) for i in ids} == want
+    assert rounds < 4 or links.count() < 2 * len(ids)  # not all pairs
+
+
+@pytest.mark.parametrize(("block", "rounds"), [(256, 4), (8, 0)])
+def test_similar_texts(spark, block, rounds):
+    texts = family_texts(random.Random(8))
     documents = {i: " ".join(t) for i, t in enumerate(texts)}
     want = brute_similar(documents)
     rows = simhash._signed(spark.createDataFrame(list(documents.items()), "doc_id long, text string"), 5)
-    of = {x.node: x.component for x in components(simhash.similar(rows, 0.8, block, cluster)).collect()}
+    of = {x.node: x.component for x in components(simhash.similar(rows, 0.8, block, rounds)).collect()}
     got: dict = {}
     for x in rows.collect():
         got.setdefault(of.get(x.node, x.node), []).append(x.doc_id)
