@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.llm import decontam, linededup, sentencepiece, simhash, toxicity
-from corvine.llm.common import shared_folder
+from corvine.llm.common import fresh, shared_folder
 from corvine.llm.queries import TOKENIZERS
 from corvine.sources.tables import spread, table
 
@@ -32,7 +32,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays. The deletion variants are those of the SimHash operator,
+    over least hashes in place of its bits (see simhash.without_similar)."""
     return simhash.without_similar(docs)
 
 
@@ -42,9 +43,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with ids (the pieces of the text) and n_tokens."""
-    done = sentencepiece.encode(docs, sentencepiece.read_model(f"{TOKENIZERS}/piece_bpe_32k.model"))
-    return done.withColumn("n_tokens", F.size("ids").cast("long"))
+    """The documents with ids (the pieces of the text) and n_tokens; a document's own columns of these names stay, the new ones get underscores before theirs."""
+    ids, number = fresh(docs, "ids"), fresh(docs, "n_tokens")
+    held = {c: fresh(docs, f"held_{c}") for c in docs.columns if c.lower() == "ids"}
+    done = sentencepiece.encode(docs.withColumnsRenamed(held), sentencepiece.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")).withColumnRenamed("ids", ids)
+    return done.withColumnsRenamed({v: k for k, v in held.items()}).withColumn(number, F.size(ids).cast("long"))
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("simhash_near_dedup", drop_near_duplicates), ("benchmark_decontamination", drop_contaminated), ("sentencepiece", encode)]
