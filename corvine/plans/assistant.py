@@ -12,7 +12,8 @@ from corvine.operators import toolbox
 from corvine.operators.registry import query
 from corvine.plans.relational import ORGANIZATIONS, organizations
 from corvine.plans.retrieval import COSINES, TOP, WORDS, questions, vector_questions
-from corvine.sources import metadata
+from corvine.sources import metadata, stores
+from corvine.sources.folders import shared_folder
 
 
 @query("""WITH q AS (SELECT conv_id, text, conv_id % 3 AS n, CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'block of ' || conv_id END AS blocks FROM conversations WHERE turn = 0),
@@ -239,3 +240,21 @@ def tools_offered(t):
     words = F.get(F.array(*map(F.lit, ("哪个学院 ", "计算 ", "今天加 ", ""))), (F.col("conv_id") % 4).cast("int"))
     said = t("conversations").where(~F.contains(F.coalesce("text", F.lit("")), F.lit("%"))).select("conv_id", "turn", F.concat(words, F.coalesce("text", F.lit(""))).alias("text"))
     return box.offered(said).select("conv_id", "turn", F.array_join(F.array_sort("tools"), ",").alias("tools"))
+
+
+@query("""WITH e AS (SELECT vec_id, vec_id % 7 AS kb_id, CASE WHEN vec_id % 7 = 2 AND vec_id % 5 = 0 THEN 'new' ELSE 'old' END AS content FROM embeddings WHERE NOT (vec_id % 7 = 3 AND vec_id % 2 = 0) AND vec_id % 7 <> 4),
+    a AS (SELECT kb_id, content, count(*) AS n, sum(vec_id)::BIGINT AS total FROM e WHERE kb_id IN (2, 3, 4) GROUP BY ALL)
+    SELECT k AS kind, a.* FROM a, (SELECT unnest(['folders', 'committed']) AS k)""")
+def store_back_ends(t):
+    """The same changes in both stores: some chunks replaced, some deleted, a collection dropped; then three collections are read."""
+    chunks = t("embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.lit("old").alias("content"), F.col("embedding").cast("array<float>").alias("embedding"), (F.col("vec_id") % 7).alias("kb_id"))
+    number = F.col("chunk_id").cast("long")
+    read = []
+    for kind in ("folders", "committed"):
+        store = stores.store(t.spark, shared_folder(t.spark, f"store-{kind}"), kind)
+        store.append(chunks)
+        store.upsert(chunks.where((F.col("kb_id") == 2) & (number % 5 == 0)).withColumn("content", F.lit("new")))
+        store.delete(3, chunks.where(number % 2 == 0), ["chunk_id"])
+        store.drop(4)
+        read.append(store.read(2, 3, 4).groupBy("kb_id", "content").agg(F.count("*").alias("n"), F.sum(number).alias("total")).select(F.lit(kind).alias("kind"), "*"))
+    return read[0].union(read[1])

@@ -6,6 +6,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvine.sources.folders import shared_folder
+
 SCHEMA = "chunk_id string, content string, embedding array<float>, document_id string, source string, publish_year string, department string, metadata map<string,string>, kb_id long"
 
 
@@ -26,11 +28,12 @@ class Collections:
         fields = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], SCHEMA).schema]
         rows.select(*fields).write.partitionBy("kb_id").mode("append").parquet(self.path)
 
-    def _replace(self, changed: DataFrame, snapshot: str) -> None:
+    def _replace(self, changed: DataFrame, snapshot: str | None) -> None:
+        snapshot = snapshot or shared_folder(self.spark, "snapshot")
         changed.write.partitionBy("kb_id").mode("overwrite").parquet(snapshot)
         self.spark.read.schema(SCHEMA).parquet(snapshot).write.option("partitionOverwriteMode", "dynamic").partitionBy("kb_id").mode("overwrite").parquet(self.path)
 
-    def upsert(self, rows: DataFrame, snapshot: str) -> None:
+    def upsert(self, rows: DataFrame, snapshot: str | None = None) -> None:
         """Chunks of rows take the place of those with their collection and id; collections without a change aren't written."""
         touched = [r[0] for r in rows.select("kb_id").distinct().collect()]
         kept = self.read(*touched).join(rows.select("kb_id", "chunk_id"), ["kb_id", "chunk_id"], "left_anti")
@@ -38,7 +41,7 @@ class Collections:
         new = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(dict(kept.dtypes)[c]).alias(c) for c in columns])
         self._replace(kept.select(*columns).unionByName(new), snapshot)
 
-    def delete(self, kb_id: int, removed: DataFrame, on: list[str], snapshot: str) -> None:
+    def delete(self, kb_id: int, removed: DataFrame, on: list[str], snapshot: str | None = None) -> None:
         """Takes out the chunks of a collection that match removed on the columns `on` (document_id, chunk_id, …)."""
         kept = self.read(kb_id).join(removed.select(*on).distinct(), on, "left_anti")
         if kept.isEmpty():
