@@ -135,3 +135,24 @@ def span_totals(spans: DataFrame) -> DataFrame:
     tree = spans.select(F.struct("trace_id", "span_id").alias("k"), F.when(F.col("parent_span_id").isNotNull(), F.struct("trace_id", F.col("parent_span_id").alias("span_id"))).alias("p"))
     deepest = trees.depths(tree, "k", "p").groupBy("node.trace_id").agg(F.max("depth").alias("depth"))
     return sums.join(deepest, "trace_id", "left")
+
+
+# Which state of an assistant's run may follow which.
+TRANSITIONS = {"idle": ["planning"], "planning": ["tool_calling", "responding", "error"], "tool_calling": ["reflecting", "error"], "reflecting": ["tool_calling", "responding", "error"], "responding": ["done"], "done": [], "error": ["done"]}
+
+
+def checked_traces(steps: DataFrame, trace: str, order: list[str], state: str, allowed: dict[str, list[str]] = TRANSITIONS, start: str = "idle", ends: tuple[str, ...] = ("done",)) -> DataFrame:
+    """trace, n_steps, n_illegal, first_illegal (its place from 1), from_state, to_state (of that step), last_state, finished of each trace.
+
+    A step is the state that a trace goes to; before its first one it is in start. A step that may not follow the state before is illegal, and the trace goes on from it;
+    a null or unknown state may follow nothing. finished: no step is illegal and the last state is one of ends. Ties of order are broken by the state.
+    """
+    spark = steps.sparkSession
+    pairs = spark.createDataFrame([(a, b) for a, follow in allowed.items() for b in follow], "__from string, __to string")
+    within = Window.partitionBy(trace).orderBy(*order, state)
+    placed = steps.select(trace, F.col(state).alias("__s"), F.row_number().over(within).cast("int").alias("__n"), F.lag(F.struct(F.col(state).alias("s"))).over(within).alias("__l"))
+    moved = placed.withColumn("__b", F.when(F.col("__l").isNull(), F.lit(start)).otherwise(F.col("__l.s")))
+    met = moved.join(F.broadcast(pairs), (F.col("__b") == F.col("__from")) & (F.col("__s") == F.col("__to")), "left")  # a few pairs
+    wrong = F.col("__to").isNull()
+    found = met.groupBy(trace).agg(F.count("*").alias("n_steps"), F.count_if(wrong).alias("n_illegal"), F.min(F.when(wrong, F.struct(F.col("__n").alias("n"), F.col("__b").alias("b"), F.col("__s").alias("s")))).alias("__w"), F.max(F.struct("__n", "__s")).alias("__e"))
+    return found.select(trace, "n_steps", "n_illegal", F.col("__w.n").alias("first_illegal"), F.col("__w.b").alias("from_state"), F.col("__w.s").alias("to_state"), F.col("__e.__s").alias("last_state"), (F.col("__w").isNull() & F.coalesce(F.col("__e.__s").isin(list(ends)), F.lit(False))).alias("finished"))

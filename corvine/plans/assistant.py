@@ -4,15 +4,16 @@ from pyspark.sql import functions as F
 
 from corvine.functions import constraints
 from corvine.functions import text as f
-from corvine.operators import context, hooks
+from corvine.operators import context, hooks, layout
 from corvine.operators import relational as rel
 from corvine.operators import retrieval as r
 from corvine.operators import texts as o
 from corvine.operators import toolbox
 from corvine.operators.registry import query
 from corvine.plans.relational import ORGANIZATIONS, organizations
+from corvine.plans.text import strip
 from corvine.plans.retrieval import COSINES, TOP, WORDS, questions, vector_questions
-from corvine.sources import metadata, stores
+from corvine.sources import files, metadata, stores
 from corvine.sources.folders import shared_folder
 
 
@@ -193,8 +194,6 @@ def text_classes(t):
     SELECT parent, node, is_folder, row_number() OVER (PARTITION BY parent ORDER BY is_folder DESC, node)::INTEGER AS place FROM n QUALIFY place <= 20""")
 def folders_first_listing(t):
     """The first 20 entries of each folder of a tree of documents, folders first."""
-    from corvine.sources import files
-
     tree = files.folders(t("documents").select(F.concat_ws("/", "source", "lang", "doc_id").alias("path")))
     listed = r.top(tree, 20, F.desc("is_folder"), F.asc("node"), by="parent", rank="place")
     return listed.select("parent", "node", "is_folder", "place")
@@ -258,3 +257,65 @@ def store_back_ends(t):
         store.drop(4)
         read.append(store.read(2, 3, 4).groupBy("kb_id", "content").agg(F.count("*").alias("n"), F.sum(number).alias("total")).select(F.lit(kind).alias("kind"), "*"))
     return read[0].union(read[1])
+
+
+@query("""WITH p AS (SELECT *, p_partkey // 20 AS page, p_partkey % 20 AS r FROM part),
+    c AS (SELECT a.page, a.r, '| ' || a.p_partkey || ' | ' || a.p_name || ' | ' || b.p_brand || ' | ' || a.p_size || ' |' || CASE WHEN a.r = 0 THEN chr(10) || '| --- | --- | --- | --- |' ELSE '' END AS line FROM p a JOIN p b ON b.page = a.page AND b.r = a.r - a.r % 4)
+    SELECT page, string_agg(line, chr(10) ORDER BY r) || chr(10) || chr(10) || 'Page ' || page AS text FROM c GROUP BY page""")
+def pdf_tables(t):
+    """Parts as pages of a printed list: a table of twenty rows, of which four at a time share a merged cell, under a title."""
+    n = F.col("p_partkey")
+    parts = t("part").select(F.floor(n / 20).alias("page"), (n % 20).alias("r"), F.col("p_partkey").cast("string").alias("number"), "p_name", "p_brand", F.col("p_size").cast("string").alias("size"))
+
+    def word(x, text, top):
+        return F.struct(x.cast("double").alias("x0"), (x + 5 * F.length(text)).cast("double").alias("x1"), top.cast("double").alias("top"), (top + 10).cast("double").alias("bottom"), text.alias("text"))
+
+    top = 100 + 12 * F.col("r")
+    names = F.split("p_name", " ")
+    before = lambda i: F.aggregate(F.slice(names, F.lit(1), i), F.lit(0), lambda s, w: s + F.length(w) + 1)
+    spoken = F.transform(names, lambda w, i: word(120 + 5 * before(i), w, top))
+    row = F.concat(F.array(word(F.lit(50), F.col("number"), top), word(F.lit(700), F.col("size"), top)), spoken, F.when(F.col("r") % 4 == 0, F.array(word(F.lit(600), F.col("p_brand"), top))).otherwise(F.array()))
+    words = parts.select("page", F.explode(row).alias("w")).select("page", "w.*")
+    pages = parts.select("page").distinct()
+    title = pages.select("page", F.explode(F.array(word(F.lit(50), F.lit("Page"), F.lit(20)), word(F.lit(80), F.col("page").cast("string"), F.lit(20)))).alias("w")).select("page", "w.*")
+    boxes = pages.select("page", F.lit(0).alias("table"), F.lit(40.0).alias("x0"), F.lit(95.0).alias("top"), F.lit(800.0).alias("x1"), F.lit(345.0).alias("bottom"))
+    return layout.page_texts(words.union(title), boxes)
+
+
+def _layout(path, content):
+    n = int(path.split(".")[0])
+    if n % 3 == 1:
+        raise OSError("no layout")
+    return content.decode() if n % 3 == 0 else None
+
+
+def _tables(path, content):
+    n = int(path.split(".")[0])
+    return "short" if n % 4 == 0 else content.decode() if n % 5 == 0 else None
+
+
+def _layer(path, content):
+    n = int(path.split(".")[0])
+    if n % 7 == 0:
+        raise ValueError("no text layer")
+    return content.decode()[:10] if n % 2 == 0 else content.decode()
+
+
+def _recognised(path, content):
+    n = int(path.split(".")[0])
+    if n % 11 == 0:
+        raise RuntimeError("no image")
+    return f"page {n}" if n % 13 else ""
+
+
+@query(f"""WITH d AS (SELECT doc_id, nullif({strip('text')}, '') AS x, nullif({strip('text[1:10]')}, '') AS x10 FROM documents),
+    a AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN x END AS t1, CASE WHEN doc_id % 4 = 0 THEN 'short' WHEN doc_id % 5 = 0 THEN x END AS t2, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN x10 ELSE x END AS t3, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN NULL ELSE 'page ' || doc_id END AS t4 FROM d),
+    s AS (SELECT *, CASE WHEN length(t1) >= 20 THEN 1 WHEN length(t2) >= 20 THEN 2 WHEN length(t3) >= 20 THEN 3 WHEN t4 IS NOT NULL THEN 4 END AS k FROM a),
+    f AS (SELECT *, CASE k WHEN 1 THEN t1 WHEN 2 THEN t2 WHEN 3 THEN t3 WHEN 4 THEN t4 ELSE coalesce(t3, t2, t1) END AS text FROM s)
+    SELECT doc_id || '.pdf' AS path, sha256(text) AS text_sha256, CASE k WHEN 1 THEN 'layout' WHEN 2 THEN 'tables' WHEN 3 THEN 'layer' WHEN 4 THEN 'recognised' END AS stage, coalesce(k, 4) AS n_attempts,
+      CASE WHEN text IS NULL THEN CASE WHEN doc_id % 11 = 0 THEN 'RuntimeError: no image' WHEN doc_id % 7 = 0 THEN 'ValueError: no text layer' WHEN doc_id % 3 = 1 THEN 'OSError: no layout' ELSE 'no text' END END AS error FROM f""")
+def pdf_cascade(t):
+    """Four parsers by rule in the place of those for PDF."""
+    given = t("documents").select(F.concat("doc_id", F.lit(".pdf")).alias("path"), F.col("text").cast("binary").alias("content"))
+    found, _ = files.cascade(given, [("layout", _layout), ("tables", _tables), ("layer", _layer), ("recognised", _recognised)])
+    return found.select("path", F.sha2("text", 256).alias("text_sha256"), "stage", "n_attempts", "error")

@@ -119,3 +119,21 @@ def trace_totals_deep(t):
     parent = F.when(place > 0, F.greatest(F.col("event_id") - place, F.col("event_id") - 1 - place % 2))
     spans = t("events").select(F.floor(F.col("event_id") / 50).alias("trace_id"), F.col("event_id").alias("span_id"), parent.alias("parent_span_id"), F.col("event_type").alias("kind"), F.col("value").alias("ms"), F.length("props").alias("tokens"))
     return e.span_totals(spans)
+
+
+_STEPS = """CASE WHEN tr % 5 = 1 AND k = 2 THEN 'done' WHEN tr % 4 = 3 AND k IN (1, 3) THEN 'error' ELSE CASE k WHEN 0 THEN 'planning' WHEN 1 THEN 'tool_calling' WHEN 2 THEN 'reflecting' WHEN 3 THEN 'responding' ELSE 'done' END END"""
+
+
+@query(f"""WITH e AS (SELECT event_id, event_id // 6 AS tr, event_id % 6 AS k FROM events), s AS (SELECT event_id, tr, {_STEPS} AS st FROM e WHERE NOT (tr % 7 = 2 AND k >= 3) AND (k < 5 OR tr % 3 = 0)),
+    allowed AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, follow in e.TRANSITIONS.items() for b in follow)}) v(a, b)),
+    l AS (SELECT tr, st, row_number() OVER w AS n, coalesce(lag(st) OVER w, 'idle') AS before FROM s WINDOW w AS (PARTITION BY tr ORDER BY event_id)),
+    m AS (SELECT l.*, allowed.a IS NULL AS wrong FROM l LEFT JOIN allowed ON before = a AND st = b)
+    SELECT tr AS trace_id, count(*) AS n_steps, count(*) FILTER (wrong) AS n_illegal, min(n) FILTER (wrong)::INTEGER AS first_illegal, arg_min(before, n) FILTER (wrong) AS from_state, arg_min(st, n) FILTER (wrong) AS to_state, arg_max(st, n) AS last_state,
+      count(*) FILTER (wrong) = 0 AND arg_max(st, n) = 'done' AS finished FROM m GROUP BY tr""")
+def trace_transitions(t):
+    """Runs of an assistant made of events by rule: legal ones, ones with illegal steps, unfinished ones."""
+    rows = t("events").select("event_id", F.floor(F.col("event_id") / 6).alias("tr"), (F.col("event_id") % 6).alias("k"))
+    plain = F.when(F.col("k") == 0, "planning").when(F.col("k") == 1, "tool_calling").when(F.col("k") == 2, "reflecting").when(F.col("k") == 3, "responding").otherwise("done")
+    state = F.when((F.col("tr") % 5 == 1) & (F.col("k") == 2), "done").when((F.col("tr") % 4 == 3) & F.col("k").isin(1, 3), "error").otherwise(plain)
+    steps = rows.where("NOT (tr % 7 = 2 AND k >= 3) AND (k < 5 OR tr % 3 = 0)").select(F.col("tr").alias("trace_id"), "event_id", state.alias("state"))
+    return e.checked_traces(steps, "trace_id", ["event_id"], "state")

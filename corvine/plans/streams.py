@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from corvine.operators import folds
+from corvine.operators import evaluation, folds
 from corvine.operators.registry import query
 from corvine.plans.chunks import fixed_sql
 from corvine.plans.evaluation import LAST200
 from corvine.sources import logs
 from corvine.sources.folders import shared_folder
-from corvine.streaming import ingest, jobs, stateful
+from corvine.streaming import exposition, ingest, jobs, stateful
 
 
 def finished(job):
@@ -142,3 +142,44 @@ def stream_ingest_retries(t):
     out = shared_folder(t.spark, "retries")
     finished(ingest.ingest(t.stream("documents"), out, f"{out}/state", unsteady, clean=None, gate=lambda text: F.length(text) >= 300, keep=None, size=1000, overlap=100))
     return ingest.outcomes(t.spark, out)
+
+
+@query("""WITH o AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS island FROM o)
+    SELECT min(ts) AS session_start, max(ts) + INTERVAL 12 HOUR AS session_end, user_id, count(*) AS n, round(sum(value), 6) AS total FROM i GROUP BY user_id, island
+    HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)""")
+def stream_sessions(t):
+    """Sessions of users, of those that are closed when the stream ends."""
+    out = shared_folder(t.spark, "sessions")
+    finished(jobs.sessions(t.stream("events"), f"{out}/rows", f"{out}/state", "ts", "user_id", "value", "12 hours", "1 hour"))
+    return t.spark.read.parquet(f"{out}/rows").withColumn("total", F.round("total", 6))
+
+
+def metrics():
+    return [
+        exposition.Counter("queries_total", "Queries by method", "retrieval_method", F.col("event_type")),
+        exposition.Counter("low_confidence_total", "Queries of low confidence", when=F.col("value") < 5),
+        exposition.Histogram("stage_latency_milliseconds", "Latency by stage", {"total": F.col("value"), "retrieval": F.col("value") / 2}, tuple(evaluation.LATENCY_BUCKETS), "stage"),
+        exposition.Histogram("top1_similarity", "Similarity of the first result", {None: F.col("value") / 100}, tuple(evaluation.RATIO_BUCKETS), low=0.0, high=1.0),
+    ]
+
+
+_BUCKETS = lambda series, value, bounds: f"SELECT {series} AS series, b AS le, count(*) FILTER ({value} <= b)::DOUBLE AS value FROM events, (SELECT unnest({bounds}) AS b) GROUP BY b"
+_WHOLE = lambda name, label, series, value: f"SELECT '{name}', 'total', {label}, {series}, NULL, count({value})::DOUBLE FROM events UNION ALL SELECT '{name}', 'sum', {label}, {series}, NULL, sum({value}) FROM events"
+_CUT = "least(1.0, greatest(0.0, value / 100))"
+
+
+@query(f"""WITH r AS (SELECT 'queries_total' AS name, 'count' AS kind, 'retrieval_method' AS label, coalesce(event_type, 'none') AS series, NULL::DOUBLE AS le, count(*)::DOUBLE AS value FROM events GROUP BY event_type
+    UNION ALL SELECT 'low_confidence_total', 'count', NULL, NULL, NULL, count(*) FILTER (value < 5)::DOUBLE FROM events
+    UNION ALL SELECT 'stage_latency_milliseconds', 'bucket', 'stage', * FROM ({_BUCKETS("'total'", "value", evaluation.LATENCY_BUCKETS)})
+    UNION ALL SELECT 'stage_latency_milliseconds', 'bucket', 'stage', * FROM ({_BUCKETS("'retrieval'", "value / 2", evaluation.LATENCY_BUCKETS)})
+    UNION ALL SELECT 'top1_similarity', 'bucket', NULL, * FROM ({_BUCKETS("NULL", _CUT, evaluation.RATIO_BUCKETS)})
+    UNION ALL {_WHOLE("stage_latency_milliseconds", "'stage'", "'total'", "value")} UNION ALL {_WHOLE("stage_latency_milliseconds", "'stage'", "'retrieval'", "value / 2")} UNION ALL {_WHOLE("top1_similarity", "NULL", "NULL", _CUT)})
+    SELECT name, kind, label, series, le, round(value, 6) AS value FROM r""")
+def metrics_totals(t):
+    """Events as query records that arrive in three parts; the job is started anew for each."""
+    out, events = shared_folder(t.spark, "exposition"), t("events")
+    for part in range(3):
+        events.where(F.pmod("event_id", F.lit(3)) == part).write.mode("append").parquet(f"{out}/in")
+        finished(exposition.accumulate(t.spark.readStream.schema(events.schema).parquet(f"{out}/in"), f"{out}/counts", f"{out}/state", metrics()))
+    return exposition.totals(t.spark, f"{out}/counts").select("name", "kind", "label", "series", "le", F.round("value", 6).alias("value"))

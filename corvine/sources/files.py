@@ -10,11 +10,14 @@ import unicodedata
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvine.sources.folders import written
+
 #: Tried in this order when a text is not UTF-8.
 ENCODINGS = ["utf-8-sig", "gb18030", "big5", "shift_jis", "euc_kr", "cp1252", "latin-1"]
 # Limits for archives, bytes of a member, of all, and how many times larger than packed a member may be.
@@ -241,3 +244,38 @@ def folders(paths: DataFrame, path: str = "path") -> DataFrame:
     prefixes = F.transform(F.sequence(F.lit(1), F.size("__p")), lambda n: F.struct(F.array_join(F.slice("__p", 1, n), "/").alias("node"), F.array_join(F.slice("__p", 1, n - 1), "/").alias("parent"), n.alias("depth"), (n < F.size("__p")).alias("is_folder")))
     rows = paths.select(parts.alias("__p")).where(F.size("__p") > 0).select(F.explode(prefixes).alias("x")).select("x.*")
     return rows.groupBy("node", "parent", "depth").agg(F.max("is_folder").alias("is_folder"))
+
+
+#: A parser of a cascade: path and content; gives a text, or nothing, or raises.
+Stage = tuple[str, Callable[[str, bytes], str | None]]
+
+
+def cascade(files: DataFrame, stages: list[Stage], least: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Parsers in turn: (path, text, stage, n_attempts, error of each file; path, attempt, stage, n_chars, error of each attempt).
+
+    A file whose text has at least `least` characters is done; only the others, with their content, go on to the next stage, so that the costly last ones (recognition
+    of images) meet few. The last stage's text counts whatever its length. A file that no stage does keeps the last shorter text that there was, without
+    a stage; one without any has the last error. A stage's attempts are written before the next begins, so none is made twice.
+    """
+    spark, left, made = files.sparkSession, files.select("path", "content"), []
+    for number, (name, parser) in enumerate(stages):
+        final = number == len(stages) - 1
+
+        @F.udf("struct<text:string,error:string>", useArrow=True)
+        def run(path: str, content: bytes, parser: Callable[[str, bytes], str | None] = parser) -> tuple[str | None, str | None]:
+            try:
+                return (parser(path, bytes(content or b"")) or "").strip() or None, None
+            except Exception as error:  # a broken file is a row with its error, not the end of a job
+                return None, f"{type(error).__name__}: {error}"[:500]
+
+        tried = left.select("path", "content", run.asNondeterministic()("path", "content").alias("t"))
+        done = F.coalesce(F.length("t.text") >= (1 if final else least), F.lit(False))
+        made.append(written(tried.select("path", F.when(~done, F.col("content")).alias("content"), F.lit(number + 1).alias("attempt"), F.lit(name).alias("stage"), "t.text", "t.error", done.alias("done")), "cascade"))
+        left = made[-1].where("NOT done").select("path", "content")
+    attempts = reduce(DataFrame.union, [m.drop("content") for m in made])
+    whole = attempts.groupBy("path").agg(
+        F.max_by(F.struct("text", "stage", "done"), F.when(F.col("text").isNotNull(), F.col("attempt") + F.when(F.col("done"), 1000).otherwise(0))).alias("b"),
+        F.max("attempt").cast("int").alias("n_attempts"), F.max_by("error", F.when(F.col("error").isNotNull(), F.col("attempt"))).alias("e"),
+    )
+    found = whole.select("path", "b.text", F.when(F.col("b.done"), F.col("b.stage")).alias("stage"), "n_attempts", F.when(F.col("b.text").isNull(), F.coalesce("e", F.lit("no text"))).alias("error"))
+    return found, attempts.select("path", "attempt", "stage", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), "error")

@@ -114,7 +114,7 @@ def by_batch(spark: SparkSession, out: str) -> DataFrame:
 
 
 class Progress(StreamingQueryListener):
-    """What the queries of a session are at, by their id: state (started, progress, success, failure), batches, rows, error. Add it with
+    """What the queries of a session are at, by their id: state (started, progress, success, failure), batches, rows, late (rows that state refused as too late), error. Add it with
     spark.streams.addListener; of: only queries of this name."""
 
     def __init__(self, of: str | None = None) -> None:
@@ -122,10 +122,13 @@ class Progress(StreamingQueryListener):
 
     def onQueryStarted(self, event) -> None:  # noqa: N802
         if self.of in (None, event.name):
-            self.queries[str(event.id)] = {"state": "started", "batches": 0, "rows": 0, "error": None}
+            self.queries[str(event.id)] = {"state": "started", "batches": 0, "rows": 0, "late": 0, "error": None}
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
-        if (seen := self.queries.get(str(event.progress.id))) is not None and event.progress.numInputRows:
+        if (seen := self.queries.get(str(event.progress.id))) is None:
+            return
+        seen["late"] += sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+        if event.progress.numInputRows:
             seen["state"], seen["batches"], seen["rows"] = "progress", seen["batches"] + 1, seen["rows"] + event.progress.numInputRows
 
     def onQueryIdle(self, event) -> None:  # noqa: N802

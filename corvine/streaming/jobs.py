@@ -82,3 +82,12 @@ def append_log(events: DataFrame, out: str, checkpoint: str, at: str) -> Streami
     """Events as JSON lines in a folder for each day."""
     dated = events.withColumn("date", F.to_date(at))
     return _run(dated.writeStream.format("json").partitionBy("date").option("path", out).outputMode("append"), checkpoint)
+
+
+def sessions(events: DataFrame, out: str, checkpoint: str, at: str, group: str, value: str, gap: str = "30 minutes", late: str = "1 hour") -> StreamingQuery:
+    """session_start, session_end (the last event and the gap), group, n, total of the sessions (events at most the gap apart) that are closed: event time, which follows the newest event by `late`, has passed
+    their end. Parquet under out. Rows that come later than that are left out; progress of the query counts them (see ingest.Progress). Open sessions stay in the state."""
+    timed = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+    closed = timed.groupBy(F.session_window(at, gap).alias("w"), group).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    rows = closed.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), group, "n", "total")
+    return _run(rows.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
