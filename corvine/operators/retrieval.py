@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from corvine.functions import text as text_functions
 from corvine.functions import vectors as v
+from corvine.sources.folders import written
 from corvine.sources.tables import spread
 
 #: Queries that are sent to every task at a time.
@@ -106,18 +107,21 @@ class Asked:
             yield some // width + first, some % width, sums[some]
 
 
-def scored_in_tasks(docs: DataFrame, key: str, asked: Asked, k: int, text: Column, score: Callable[[Asked, pa.ListArray], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> DataFrame:
-    """query_id, key, score: the k best documents of each query. `score` gives document, query and score over a batch of documents' words.
-    A document is scored where it is read, and a task hands on its k best of each query: no (query, document) row is shuffled else."""
-    shared = docs.sparkSession.sparkContext.broadcast(asked)
-    kind = dict(docs.dtypes)[key]
+Found = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def scored_in_tasks(rows: DataFrame, key: str, asked: Asked, k: int, score: Callable[[Asked, pa.RecordBatch], Found]) -> DataFrame:
+    """query_id, key, score: the k best documents of each query. `score` gives document, query and score over a batch of rows, which have key and
+    what it needs. A document is scored where it is read, and a task hands on its k best of each query: no (query, document) row is shuffled else."""
+    shared = rows.sparkSession.sparkContext.broadcast(asked)
+    kind = dict(rows.dtypes)[key]
 
     def run(batches):
         own, best_rows = shared.value, None
         edge = np.zeros(len(own.ids))
         for batch in batches:
-            words, parts = batch.column("__w"), []
-            for document, query, value in score(own, words):
+            parts = []
+            for document, query, value in score(own, batch):
                 value = np.round(value, 6)
                 some = (value > 0) & (value >= edge[query])
                 parts.append((document[some], query[some], value[some]))
@@ -131,37 +135,51 @@ def scored_in_tasks(docs: DataFrame, key: str, asked: Asked, k: int, text: Colum
         if best_rows is not None and len(best_rows):
             yield pa.RecordBatch.from_arrays([pa.array(best_rows["query"].to_numpy()), pa.array(best_rows["key"], type=batch.column(key).type), pa.array(best_rows["score"].to_numpy())], names=["__query", key, "score"])
 
-    found = spread(docs.select(key, text.alias("__w"))).mapInArrow(run, f"__query long, {key} {kind}, score double")
-    names = docs.sparkSession.createDataFrame([(n, i) for n, i in enumerate(asked.ids)], f"__query long, query_id {asked.kind}")
+    found = rows.mapInArrow(run, f"__query long, {key} {kind}, score double")
+    names = rows.sparkSession.createDataFrame([(n, i) for n, i in enumerate(asked.ids)], f"__query long, query_id {asked.kind}")
     return best(found.join(F.broadcast(names), "__query").select("query_id", key, "score"), k, key=key)
 
 
+def matched(docs: DataFrame, key: str, asked: Asked, words: Column) -> DataFrame:
+    """key, len (number of words), term, tf (what the document holds of the terms of the queries, as their numbers, and how often) of each document, as a written table: the only pass
+    over the texts; all that is further asked of them is asked of numbers."""
+    shared = docs.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, document, term, tf = shared.value.held(batch.column("__w"))
+            ends = pa.array(np.searchsorted(document, np.arange(batch.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (term, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(length, pa.int32()), *lists], names=[key, "len", "term", "tf"])
+
+    return written(spread(docs.select(key, words.alias("__w"))).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, len int, term array<int>, tf array<int>"), "matched")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, key: str, k: int, text: str = "text", k1: float = 1.5, b: float = 0.75, delta: float = 0.5, tokens=text_functions.words, block: int = BROADCAST_ROWS) -> DataFrame:
     """query_id, key, score of the k best documents of each query by BM25L (Lv and Zhai 2011).
 
-    Two passes for a block of queries: the document frequencies of its terms and the mean length (what is shuffled is a
-    row for each term and task), then the scores of each document in its own row.
+    The texts are read once for a block of queries (see matched). What that gives is read twice: for the document frequencies of the terms and the
+    mean length (what is shuffled is a row for each term and task), then for the scores of each document in its own row.
     """
-    sized = docs.select(tokens(F.col(text)).alias("__w")).select(F.size("__w").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("__w"))).alias("term"))
 
     def answer(asked: DataFrame) -> DataFrame:
         own = Asked.of(asked, tokens)
-        spark = docs.sparkSession
-        wanted = spark.createDataFrame([("", -1), *((w, n) for n, w in enumerate(own.terms.to_pylist()))], "term string, n int")
-        counts = sized.join(F.broadcast(wanted), "term").groupBy("n").agg(F.count("*").alias("df"), F.sum("len").alias("total")).collect()
-        whole = next(((r.df, r.total) for r in counts if r.n == -1), (0, 0))
+        rows = matched(docs, key, own, tokens(F.col(text)))
+        counts = rows.select(F.explode("term").alias("n")).groupBy("n").count().collect()  # a row for each term of the block
+        number, total = rows.agg(F.count("*"), F.sum("len")).first()
         df = np.zeros(len(own.terms))
         for r in counts:
-            if r.n >= 0:
-                df[r.n] = r.df
-        idf, mean = np.log((whole[0] + 1) / (df + 0.5)), max(whole[1], 1) / max(whole[0], 1)
-
-        def score(asked: Asked, words: pa.ListArray):
-            length, document, term, tf = asked.held(words)
-            c = tf / (1 - b + b * length[document] / mean)
+            df[r["n"]] = r["count"]
+        idf, mean = np.log((number + 1) / (df + 0.5)), max(total or 0, 1) / max(number, 1)
+
+        def score(asked: Asked, batch: pa.RecordBatch) -> Found:
+            lists = batch.column("term")
+            document = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            term, tf = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), batch.column("tf").flatten().to_numpy(zero_copy_only=False)
+            c = tf / (1 - b + b * batch.column("len").to_numpy(zero_copy_only=False)[document] / mean)
             return asked.summed(document, term, idf[term] * (k1 + 1) * (c + delta) / (k1 + c + delta), by_count=True)
 
-        return scored_in_tasks(docs, key, own, k, tokens(F.col(text)), score)
+        return scored_in_tasks(rows, key, own, k, score)
 
     return in_blocks(queries, answer, block)
 
@@ -170,7 +188,8 @@ def boolean_phrase(docs: DataFrame, queries: DataFrame, key: str, k: int, text:
     """query_id, key, score, the k best by the sum of: some_word times the share of the query's words that the document
     has, all_words if it has all, phrase if they follow each other in it. Documents without a word of the query are none."""
 
-    def score(asked: Asked, words: pa.ListArray):
+    def score(asked: Asked, batch: pa.RecordBatch) -> Found:
+        words = batch.column("__w")
         length, document, term, _ = asked.held(words)
         wanted = np.bincount(asked.at, minlength=len(asked.ids))
         ends, numbers = np.cumsum(length), asked.numbers(words).astype(np.int32)
@@ -181,7 +200,8 @@ def boolean_phrase(docs: DataFrame, queries: DataFrame, key: str, k: int, text:
                 value[i] += all_words + phrase * _follow(numbers[ends[d] - length[d] : ends[d]].tobytes(), asked.sequences[query[i]].astype(np.int32).tobytes())
             yield own, query, value
 
-    return in_blocks(queries, lambda asked: scored_in_tasks(docs, key, Asked.of(asked, tokens), k, tokens(F.col(text)), score), block)
+    rows = spread(docs.select(key, tokens(F.col(text)).alias("__w")))
+    return in_blocks(queries, lambda asked: scored_in_tasks(rows, key, Asked.of(asked, tokens), k, score), block)
 
 
 def _follow(numbers: bytes, wanted: bytes) -> bool:

@@ -12,5 +12,6 @@ def spread(rows: DataFrame) -> DataFrame:
     """The rows of fewer files than there are cores (and of so little data that they make no more partitions than that) dealt over
     all cores: a file of one row group is read by one task, however small its splits are. Other frames stay as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    few = 0 < len(rows.inputFiles()) < cores and rows.rdd.getNumPartitions() <= cores
+    # partitions first: only of a small table the files are listed
+    few = rows.rdd.getNumPartitions() <= cores and 0 < len(rows.inputFiles()) < cores
     return rows.repartition(cores) if few else rows
