@@ -1,5 +1,9 @@
 """Retrieval quality, classification quality, and run-time monitoring."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,26 +70,42 @@ def precision_recall(rows: DataFrame, expected: str, predicted: str) -> DataFram
 def bootstrap(rows: DataFrame, group: str, value: str, rounds: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """group, n, mean, ci_lower, ci_upper: percentile interval of the mean over resamples.
 
-    A resample weighs each row by a Poisson(1) count drawn from a hash of seed, round and row number, so that all resamples are
-    one aggregation without gathering a group. Fewer than three values: the interval is the mean.
+    A resample weighs each row by a Poisson(1) count; of m equal rows, which are counted first, by a Poisson(m) count. Counts are drawn from a hash of the row, so
+    that they are the same at every run. A task adds up all resamples' sums as it reads, one array a group; no row is multiplied. Fewer than
+    three values: the interval is the mean.
     """
-    numbered = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("__g"), F.col(value).cast("double").alias("__v"), F.xxhash64(*rows.columns).alias("__id"))
-    own = F.row_number().over(Window.partitionBy("__g", "__id").orderBy("__v"))  # equal rows draw separately
-    draws = numbered.withColumn("__c", own).withColumn("__r", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    uniform = (F.xxhash64(F.lit(seed), "__r", "__id", "__c").bitwiseAND(F.lit(2**52 - 1)) + 0.5) / float(2**52)
-    bounds, chance, term = [], 0.0, 2.718281828459045**-1
-    for count in range(8):
-        chance += term
-        bounds.append(chance)
-        term /= count + 1
-    weight = F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0), lambda s, b: s + (F.col("__u") > b).cast("int"))
-    weighed = draws.withColumn("__u", uniform).withColumn("__w", weight)
-    means = weighed.groupBy("__g", "__r").agg(F.try_divide(F.sum(F.col("__w") * F.col("__v")), F.sum("__w")).alias("m"))
+    equal = rows.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("__g"), F.col(value).cast("double").alias("__v"), F.xxhash64(*rows.columns).alias("__id")).agg(F.count("*").alias("__m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        kind = None
+
+        def given() -> pa.RecordBatch:
+            arrays = [pa.array(list(sums), kind), *(pa.array([list(s[i]) for s in sums.values()], pa.list_(pa.float64())) for i in (0, 1))]
+            return pa.RecordBatch.from_arrays(arrays, names=["__g", "w", "wv"])
+
+        for batch in batches:
+            kind = batch.column("__g").type
+            for own, v, h, m in zip(*(batch.column(c).to_pylist() for c in ("__g", "__v", "__id", "__m")), strict=True):
+                drawn = np.random.Generator(np.random.Philox(key=[seed % 2**64, h % 2**64])).poisson(m, rounds)
+                if own not in sums:
+                    if len(sums) >= 1000:
+                        yield given()
+                        sums.clear()
+                    sums[own] = [np.zeros(rounds), np.zeros(rounds)]
+                sums[own][0] += drawn
+                sums[own][1] += drawn * v
+        if sums:
+            yield given()
+
+    drawn = equal.mapInArrow(run, f"__g {dict(equal.dtypes)['__g']}, w array<double>, wv array<double>")
+    long = drawn.select("__g", F.posexplode(F.arrays_zip("w", "wv")).alias("__r", "x")).groupBy("__g", "__r").agg(F.sum("x.w").alias("w"), F.sum("x.wv").alias("wv"))
+    means = long.select("__g", F.try_divide("wv", "w").alias("m"))
     tail = (1 - confidence) / 2
-    cut = means.groupBy("__g").agg(F.expr(f"percentile_disc({tail}) WITHIN GROUP (ORDER BY m)").alias("lo"), F.expr(f"percentile_disc({1 - tail}) WITHIN GROUP (ORDER BY m)").alias("hi"))
-    plain = numbered.groupBy("__g").agg(F.count("*").alias("n"), F.avg("__v").alias("mean"))
+    cut = means.groupBy(F.col("__g").alias("__h")).agg(F.expr(f"percentile_disc({tail}) WITHIN GROUP (ORDER BY m)").alias("lo"), F.expr(f"percentile_disc({1 - tail}) WITHIN GROUP (ORDER BY m)").alias("hi"))
+    plain = equal.groupBy("__g").agg(F.sum("__m").alias("n"), F.try_divide(F.sum(F.col("__v") * F.col("__m")), F.sum("__m")).alias("mean"))
     few = F.col("n") < 3
-    return plain.join(cut, "__g").select(F.col("__g").alias(group), "n", F.round("mean", 4).alias("mean"), F.round(F.when(few, F.col("mean")).otherwise(F.col("lo")), 4).alias("ci_lower"), F.round(F.when(few, F.col("mean")).otherwise(F.col("hi")), 4).alias("ci_upper"))
+    return plain.join(cut, F.col("__g").eqNullSafe(F.col("__h"))).select(F.col("__g").alias(group), "n", F.round("mean", 4).alias("mean"), F.round(F.when(few, F.col("mean")).otherwise(F.col("lo")), 4).alias("ci_lower"), F.round(F.when(few, F.col("mean")).otherwise(F.col("hi")), 4).alias("ci_upper"))
 
 
 def judge_summary(scores: DataFrame, dimensions: list[str], hallucination: str, least: int = 2) -> DataFrame:

@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvine.operators.texts import containing
+
 
 def merged(triples: DataFrame) -> DataFrame:
     """Edges from extracted triples (kb_id, src, rel, dst, chunk_id, document_id): one of each, with its chunks in order and its first
@@ -21,19 +23,13 @@ def without_document(edges: DataFrame, documents: DataFrame) -> DataFrame:
 def around(edges: DataFrame, asked: DataFrame, hops: int = 2, per_entity: int = 30, limit: int = 30, scoped: bool = True) -> DataFrame:
     """query_id, src, rel, dst, place: edges on paths of up to `hops` edges that begin or end at a node whose name contains an entity.
 
-    asked: query_id, entity (and kb_id where scoped). Paths grow from matching nodes only, forward and backward, by one
-    equality join for each hop. Edges are ordered by name; an entity gives `per_entity` of them, a query `limit`.
+    asked: query_id, entity (and kb_id where scoped). Names meet entities by an index (see texts.containing); paths grow from
+    matching nodes only, forward and backward, by one equality join for each hop. Edges are ordered by name; an entity gives `per_entity` of them, a query `limit`.
     """
     scope = ["kb_id"] if scoped else []
     own = edges.select(*scope, "src", "rel", "dst").distinct()
     nodes = own.select(*scope, F.col("src").alias("node")).union(own.select(*scope, "dst")).distinct()
-    # the entities of all queries are few; names are compared with them where they are read
-    entities = F.broadcast(asked.select("query_id", "entity", *scope).distinct())
-    matches = F.contains(F.col("node"), F.col("entity"))
-    if scoped:
-        start = nodes.join(entities.withColumnRenamed("kb_id", "__kb"), matches & (F.col("kb_id") == F.col("__kb"))).drop("__kb")
-    else:
-        start = nodes.join(entities, matches)
+    start = containing(nodes, "node", asked.select("query_id", "entity", *scope).distinct(), "entity", tuple(scope))
     who = ["query_id", "entity", *scope]
     found = []
     for here, there in (("src", "dst"), ("dst", "src")):

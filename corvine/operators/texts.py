@@ -88,3 +88,20 @@ def _holding(shared, doc_key: str, item_key: str, stride: int):
             yield pd.DataFrame(rows, columns=[doc_key, item_key])
 
     return run
+
+
+def containing(rows: DataFrame, text: str, needles: DataFrame, name: str, scope: tuple[str, ...] = ()) -> DataFrame:
+    """rows beside the needles whose name their text contains (and whose columns `scope` are equal). Blank and null names are contained in nothing.
+
+    A name meets texts by its rarest part of three characters (or as many as it has), by equality; what meets is then looked at. So no text is compared with all
+    names, and neither side is sent to all tasks. Texts should be short ones: they are indexed by all of their parts.
+    """
+    at = F.sequence(F.lit(1), F.length(text))
+    parts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.substring(text, i, n)))))
+    held = rows.where(F.length(text) > 0).withColumn("__part", F.explode(parts))
+    often = held.groupBy(*scope, "__part").agg(F.count("*").alias("__n"))
+    wanted = needles.select(*scope, F.col(name).alias("__name")).where(F.trim("__name") != "").distinct()
+    own = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("__name") - 2)), lambda i: F.substring("__name", i, F.lit(3)))
+    rarest = wanted.withColumn("__part", F.explode(own)).join(often, [*scope, "__part"]).groupBy(*scope, "__name").agg(F.min(F.struct("__n", "__part")).alias("__r")).select(*scope, "__name", F.col("__r.__part").alias("__part"))
+    met = held.join(rarest, [*scope, "__part"]).where(F.contains(F.col(text), F.col("__name"))).drop("__part")
+    return met.join(needles.withColumn("__name", F.col(name)), [*scope, "__name"]).drop("__name")

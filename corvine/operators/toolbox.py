@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corvine.functions import tools as f
 from corvine.operators.retrieval import top
+from corvine.operators.texts import containing
 
 #: JSON's types and the columns they become.
 TYPES = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean"}
@@ -148,12 +149,9 @@ def lookup(tables: dict[str, tuple[DataFrame, str]], most: int = 20) -> Tool:
         for name, (rows, column) in tables.items():
             asked = calls.where(F.col("table") == name).select("call_id", F.lower(F.coalesce("keyword", F.lit(""))).alias("__k"), F.least(F.coalesce("limit", F.lit(most)), F.lit(most)).alias("__most"))
             held = rows.select(F.col(column).cast("string").alias("__c"), F.lower(F.col(column).cast("string")).alias("__l"), F.to_json(F.struct("*")).alias("result"))
-            # a keyword meets the rows that have its first characters (three at most) anywhere, by equality
-            starts = F.transform(F.sequence(F.lit(1), F.length("__l")), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring("__l", i, n)))
-            parts = held.where(F.col("__l") != "").withColumn("__g", F.explode(F.array_distinct(F.flatten(starts))))
-            met = parts.join(asked.where("__k <> ''"), F.col("__g") == F.left("__k", F.lit(3))).where(F.contains("__l", F.col("__k")))
+            met = containing(held, "__l", asked.where("trim(__k) <> ''"), "__k")
             first = held.orderBy("__c", "result").limit(most)  # what a call without a keyword gets
-            every = asked.where("__k = ''").crossJoin(F.broadcast(first))
+            every = asked.where("trim(__k) = ''").crossJoin(F.broadcast(first))
             columns = ["call_id", "__c", "result", "__most"]
             both = met.select(*columns).union(every.select(*columns))
             found.append(top(both, most, F.asc("__c"), F.asc("result"), by="call_id", rank="__r").where("__r <= __most").select("call_id", "result"))

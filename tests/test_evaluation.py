@@ -41,6 +41,21 @@ def test_bootstrap(spark):
     assert (found["b"].n, found["b"].mean, found["b"].ci_lower, found["b"].ci_upper) == (2, 2.0, 2.0, 2.0)
 
 
+def test_bootstrap_of_many_equal_rows(spark):
+    """Equal rows are drawn for together; the intervals are those of a resampling of single rows. Groups may be null, and be many."""
+    import numpy as np
+
+    values = [0.0] * 300 + [1.0] * 100
+    rows = spark.createDataFrame([(None, x) for x in values] + [(f"g{i}", float(i % 7)) for i in range(2500) for _ in range(3)], "g string, x double").repartition(5)
+    found = {x.g: x for x in e.bootstrap(rows, "g", "x", rounds=400).collect()}
+    draws = np.random.default_rng(1).choice(values, (4000, 400)).mean(1)
+    assert found[None].n == 400 and found[None].mean == 0.25
+    assert abs(found[None].ci_lower - np.quantile(draws, 0.025)) < 0.012 and abs(found[None].ci_upper - np.quantile(draws, 0.975)) < 0.012
+    assert len(found) == 2501 and all(found[f"g{i}"].mean == found[f"g{i}"].ci_lower == float(i % 7) for i in range(2500))
+    again = {x.g: x for x in e.bootstrap(rows.repartition(2), "g", "x", rounds=400).collect()}
+    assert again == found
+
+
 def test_monitor(spark):
     rows = spark.createDataFrame([("m", i, 100.0 + i, i == 0) for i in range(30)] + [("n", 0, 5.0, True)], "g string, t int, ms double, low boolean")
     found = {x.g: x for x in e.last_window(rows, "g", [F.desc("t")], 25, ["ms"], ["low"], "ms").collect()}

@@ -142,6 +142,23 @@ def test_rerank_asks_once_a_question(spark):
     }
 
 
+def test_names_in_texts(spark):
+    """By the index the same pairs as by looking everywhere; blank and null names are in nothing."""
+    import random
+
+    from corvine.operators.texts import containing
+
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcé ") for _ in range(r.randrange(n)))
+    texts = [(i % 3, i, text(25)) for i in range(150)] + [(0, 900, None), (1, 901, "")]
+    names = [(i % 3, i, text(6)) for i in range(80)] + [(0, 800, None), (0, 801, "a"), (0, 802, "a"), (1, 803, "zzz")]
+    rows, needles = spark.createDataFrame(texts, "kb int, i int, text string"), spark.createDataFrame(names, "kb int, j int, name string")
+    got = sorted((x.i, x.j) for x in containing(rows, "text", needles, "name", ("kb",)).collect())
+    assert got == sorted((i, j) for kb, i, t in texts for own, j, n in names if kb == own and t and n and n.strip() and n in t)
+    got = sorted((x.i, x.j) for x in containing(rows.drop("kb"), "text", needles.drop("kb"), "name").collect())
+    assert got == sorted((i, j) for _, i, t in texts for _, j, n in names if t and n and n.strip() and n in t)
+
+
 def test_metadata(spark, tmp_path):
     from corvine.sources import metadata
 
