@@ -340,8 +340,14 @@ def encode(docs: DataFrame, model: bytes, chunk: int = CHUNK, giant: int = GIANT
     def traced(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = _load(shared.value, pieces_of)
         for part in parts:
-            found = [own.part(*x) for x in zip(part["left"], part["body"], part["right"], part["entry"], part["leave"], strict=True)]
-            yield pd.DataFrame({"key": part["key"], "n": part["n"], "part": [np.array(f, dtype=np.int32) for f in found], "shown": [own.bare.decode(f) if decoded else "" for f in found]})
+            for at in range(0, len(part), 64):  # lists of Python numbers stay small
+                some = part.iloc[at : at + 64]
+                found, shown = [], []
+                for x in zip(some["left"], some["body"], some["right"], some["entry"], some["leave"], strict=True):
+                    ids = own.part(*x)
+                    found.append(np.array(ids, dtype=np.int32))
+                    shown.append(own.bare.decode(ids) if decoded else "")
+                yield pd.DataFrame({"key": some["key"], "n": some["n"], "part": found, "shown": shown})
 
     parts = chunks.join(scan(chunks.mapInPandas(matrices, MATRIX)), ["key", "n"]).mapInPandas(traced, "key string, n int, part array<int>, shown string")
     joined = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "part", "shown"))).alias("parts"))
