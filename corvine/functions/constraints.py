@@ -29,6 +29,22 @@ NEWS_NAMES = {
 }
 
 
+# The sub-domains of departments' sites.
+SUBDOMAINS = {
+    "jwc": "教务处", "yjsy": "研究生院", "xgc": "学生工作处", "rsc": "人事处", "kjc": "科技处", "cxcy": "创新创业学院", "gjjl": "国际交流合作处", "tsg": "图书馆", "zs": "招生网", "wenfa": "文法学院", "waiyu": "外国语学院",
+    "art": "艺术学院", "mks": "马克思主义学院", "math": "数学与系统科学学院", "cem": "材料科学与工程学院", "jdxy": "机械电子工程学院", "dqxy": "电气与自动化工程学院", "dzxy": "电子信息工程学院", "cse": "计算机科学与工程学院",
+    "cgse": "测绘与空间信息学院", "dqkx": "地球科学与工程学院", "aqxy": "安全与环境工程学院", "tmgc": "土木工程与建筑学院", "jt": "交通学院", "hysw": "海洋科学与工程学院", "hxsw": "化学与生物工程学院", "jjgl": "经济管理学院",
+    "cjxy": "财经学院", "cnxy": "储能技术学院", "ta": "智能装备学院", "znzb": "智能装备学院", "news": "新闻网", "www": "学校官网",
+}
+
+
+def department_of_site(url: Column, domain: str, names: dict[str, str] = SUBDOMAINS) -> Column:
+    """The department on whose site of a domain a page lies: http(s)://sub-domain.domain; a sub-domain without a name stands for itself. Empty for other sites, null for null."""
+    label = F.regexp_extract(url, rf"^https?://(\w+)\.{domain.replace('.', chr(92) + '.')}", 1)
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(known[label], label)
+
+
 def year_in(question: Column) -> Column:
     """The first four digits before 年, if from 1990 to 2030."""
     year = F.regexp_extract(question, r"(\d{4})\s*年", 1)

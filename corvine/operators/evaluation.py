@@ -117,6 +117,13 @@ def judge_summary(scores: DataFrame, dimensions: list[str], hallucination: str,
     return by_dimension.crossJoin(F.broadcast(whole))
 
 
+def batch_averages(scored: DataFrame, scores: list[str], failed: Column) -> DataFrame:
+    """total, succeeded, failed, and avg_ of each score over the rows that didn't fail, rounded to four places; null without any such row. A null of `failed` is a failure."""
+    bad = F.coalesce(failed, F.lit(True))
+    good = lambda name: F.round(F.avg(F.when(~bad, F.col(name))), 4).alias(f"avg_{name}")
+    return scored.agg(F.count("*").alias("total"), F.count_if(~bad).alias("succeeded"), F.count_if(bad).alias("failed"), *map(good, scores))
+
+
 def compare(rows: DataFrame, arm: str, first, second, dimensions: list[str], margin: float = 0.2) -> DataFrame:
     """dimension, first, second, delta, verdict (improved, degraded, same) of the averages of two arms."""
     long = rows.select(F.col(arm).alias("__a"), F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("double").alias("s")) for d in dimensions])).alias("x")).select("__a", "x.*")

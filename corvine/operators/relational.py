@@ -68,6 +68,13 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int, most: int
     return shown.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(full))  # each has one row
 
 
+def limited(rows: DataFrame, order: list[Column], limit: int = 1000, offset: int = 0, most: int = 1000) -> DataFrame:
+    """The first `limit` rows behind the offset, `most` at most, with at_limit: whether `most` rows came, so that the caller sees that a listing without pages may be cut."""
+    shown = rows.orderBy(*order).offset(max(0, offset)).limit(max(0, min(limit, most)))
+    reached = shown.agg((F.count("*") >= most).alias("at_limit"))
+    return shown.crossJoin(F.broadcast(reached))  # one row
+
+
 def counts_or_zero(domain: DataFrame, facts: DataFrame, key: str, name: str = "n") -> DataFrame:
     """Each row of domain with the number of facts of its key, 0 where there is none."""
     counted = facts.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n"))

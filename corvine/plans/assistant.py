@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corvine.functions import constraints
 from corvine.functions import text as f
 from corvine.operators import context, hooks, layout
+from corvine.operators import evaluation, rewriting
 from corvine.operators import relational as rel
 from corvine.operators import retrieval as r
 from corvine.operators import texts as o
@@ -319,3 +320,60 @@ def pdf_cascade(t):
     given = t("documents").select(F.concat("doc_id", F.lit(".pdf")).alias("path"), F.col("text").cast("binary").alias("content"))
     found, _ = files.cascade(given, [("layout", _layout), ("tables", _tables), ("layer", _layer), ("recognised", _recognised)])
     return found.select("path", F.sha2("text", 256).alias("text_sha256"), "stage", "n_attempts", "error")
+
+
+@query("""WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
+    q AS (SELECT conv_id, turn, text FROM m WHERE back = 1), h AS (SELECT m.conv_id, arg_max(m.text, m.turn) FILTER (m.role = 'user') AS said, count(*) AS n FROM m WHERE back BETWEEN 2 AND 7 GROUP BY m.conv_id)
+    SELECT q.conv_id AS query_id, CASE WHEN conv_id % 5 = 0 OR n IS NULL THEN text ELSE coalesce(trim(CASE WHEN said IS NULL THEN text ELSE substr(said, 1, 300) || ' ' || text END), text) END AS condensed FROM q LEFT JOIN h USING (conv_id)""")
+def condense_follow_ups(t):
+    """The last message of each conversation with the six before it; the stand-in's answer fails for every fifth."""
+    messages = t("conversations")
+    asked = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    rows = asked.select(F.col("conv_id").alias("query_id"), F.concat(F.when(F.col("conv_id") % 5 == 0, "fail:").otherwise(""), F.element_at("m", -1)["content"]).alias("text"), F.transform(F.slice("m", F.lit(1), F.size("m") - 1), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("history"))
+
+    def model(question, history):
+        if question.startswith("fail:"):
+            raise OSError("no answer")
+        return f'"{rewriting.after_last_question(question, history)}"'
+
+    return rewriting.condensed(rows, model).select("query_id", F.regexp_replace("condensed", "^fail:", "").alias("condensed"))
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 6 AS k FROM documents)
+    SELECT doc_id AS query_id, CASE k WHEN 0 THEN '2019' WHEN 2 THEN '2021' END AS year, CASE k WHEN 1 THEN '计算机科学与工程学院' WHEN 2 THEN '测绘与空间信息学院' WHEN 3 THEN '数据中心' END AS department, CASE k WHEN 2 THEN '通知' END AS category,
+      CASE k WHEN 0 THEN '2019年的活动 ' || doc_id WHEN 1 THEN '计科的课程 ' || doc_id WHEN 2 THEN '活动' WHEN 3 THEN 'question ' || doc_id WHEN 4 THEN 'question ' || doc_id ELSE 'question ' || doc_id END AS semantic_query,
+      CASE WHEN k < 2 THEN 'rule' WHEN k < 4 THEN 'model' ELSE 'none' END AS source FROM d""")
+def question_constraints(t):
+    """A question for each document, by rule: some that rules understand, some that a model does, some that it fails on."""
+    n, k = F.col("doc_id"), F.col("doc_id") % 6
+    asked = t("documents").select(n.alias("query_id"), F.when(k == 0, F.concat(F.lit("2019年的活动 "), n)).when(k == 1, F.concat(F.lit("计科的课程 "), n)).otherwise(F.concat(F.lit("question "), n)).alias("text"))
+
+    def model(question):
+        match int(question.split()[-1]) % 6:
+            case 2:
+                return '好的 {"year": "2021", "department": "测绘与空间信息", "category": "通知", "semantic_query": "活动"}'
+            case 3:
+                return '{"department": "数据中心", "semantic_query": ""}'
+            case 4:
+                return "no idea"
+        raise OSError("no answer")
+
+    return rewriting.understood(asked, model).drop("text")
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '教务处' WHEN 1 THEN '交通学院' WHEN 2 THEN 'xyz' WHEN 3 THEN '' END AS department FROM documents""")
+def departments_of_sites(t):
+    pages = F.array(*map(F.lit, ("https://jwc.example.edu/a/b.htm", "http://jt.example.edu", "http://xyz.example.edu/x", "http://jwc.example.org/")), F.lit(None))
+    return t("documents").select("doc_id", constraints.department_of_site(F.get(pages, (F.col("doc_id") % 5).cast("int")), "example.edu").alias("department"))
+
+
+@query("""WITH s AS (SELECT doc_id, CASE WHEN doc_id % 9 = 4 THEN NULL ELSE quality::DOUBLE END AS q, toxic / 2.0::DOUBLE AS x FROM labels)
+    SELECT count(*) AS total, count(q) AS succeeded, count(*) - count(q) AS failed, round(avg(q), 4) AS avg_quality, round(avg(x) FILTER (q IS NOT NULL), 4) AS avg_toxic FROM s""")
+def batch_averages(t):
+    scored = t("labels").select(F.when(F.col("doc_id") % 9 != 4, F.col("quality").cast("double")).alias("quality"), (F.col("toxic") / 2.0).alias("toxic"))
+    return evaluation.batch_averages(scored, ["quality", "toxic"], F.col("quality").isNull())
+
+
+@query("SELECT o_orderkey, o_totalprice, true AS at_limit FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 500 OFFSET 10")
+def hard_limit(t):
+    return rel.limited(t("orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], limit=5000, offset=10, most=500)

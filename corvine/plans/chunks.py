@@ -10,15 +10,15 @@ from corvine.plans.text import SPACE, strip
 _MARKS = ["chr(10) || chr(10)", "chr(10)", "'。'", "'！'", "'？'", "'.'", "'!'", "'?'"]
 
 
-def fixed_sql(size, overlap):
-    """Chunks by recursion over the starts; the last place of a mark is the first one in the reversed window."""
+def fixed_sql(size, overlap, source="documents", key="doc_id", name="fixed"):
+    """Chunks (a table of this name) of the texts of a source, by recursion over the starts; the last place of a mark is the first one in the reversed window."""
     window = f"reverse(text[start + 1 : start + {size}])"
     ends = ", ".join(f"CASE WHEN instr({window}, {m}) > 0 AND {size} - instr({window}, {m}) + 1 - length({m}) > {size // 2} THEN start + {size} - instr({window}, {m}) + 1 END" for m in _MARKS)
     end = f"CASE WHEN start + {size} >= n THEN n ELSE coalesce({ends}, start + {size}) END"
-    return f"""cuts AS (SELECT doc_id, text, n, start, {end} AS stop FROM (SELECT doc_id, text, length(text) AS n, 0 AS start FROM documents WHERE length(text) > {size})
-      UNION ALL SELECT doc_id, text, n, start, {end} FROM (SELECT doc_id, text, n, greatest(start + 1, stop - {overlap}) AS start FROM cuts WHERE stop < n)),
-    pieces AS (SELECT doc_id, start, {strip('text[start + 1 : stop]')} AS content FROM cuts UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= {size} AND {strip('text')} <> ''),
-    fixed AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INTEGER AS chunk_index, content FROM pieces WHERE content <> '')"""
+    return f"""{name}_cuts AS (SELECT {key}, text, n, start, {end} AS stop FROM (SELECT {key}, text, length(text) AS n, 0 AS start FROM {source} WHERE length(text) > {size})
+      UNION ALL SELECT {key}, text, n, start, {end} FROM (SELECT {key}, text, n, greatest(start + 1, stop - {overlap}) AS start FROM {name}_cuts WHERE stop < n)),
+    {name}_pieces AS (SELECT {key}, start, {strip('text[start + 1 : stop]')} AS content FROM {name}_cuts UNION ALL SELECT {key}, 0, text FROM {source} WHERE length(text) <= {size} AND {strip('text')} <> ''),
+    {name} AS (SELECT {key}, (row_number() OVER (PARTITION BY {key} ORDER BY start) - 1)::INTEGER AS chunk_index, content FROM {name}_pieces WHERE content <> '')"""
 
 
 FIXED = f"WITH RECURSIVE {fixed_sql(800, 150)} SELECT doc_id, chunk_index, content FROM fixed"
@@ -47,14 +47,21 @@ def chunk_markdown(t):
     return c.chunk(t("benchmark"), "item_id", strategy="markdown", size=4000).select("item_id", "chunk_index", "content")
 
 
-@query()
+@query(rf"""WITH RECURSIVE raw AS (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
+    told AS (SELECT doc_id, pos, CASE WHEN pos % 10 = 2 THEN '## ' || line ELSE line END AS line, pos % 10 = 2 AND {strip("array_to_string(string_split(text, chr(10))[pos + 1 :], chr(10))")} <> '' AS heads FROM raw),
+    placed AS (SELECT *, sum(heads::INTEGER) OVER (PARTITION BY doc_id ORDER BY pos) AS part, max(heads::INTEGER) OVER (PARTITION BY doc_id) AS any_heads FROM told),
+    sections AS (SELECT doc_id * 100000 + part AS part_id, CASE WHEN any_value(any_heads) = 1 THEN {strip("string_agg(line, chr(10) ORDER BY pos)")} ELSE string_agg(line, chr(10) ORDER BY pos) END AS text FROM placed GROUP BY doc_id, part),
+    {fixed_sql(800, 0, "sections", "part_id")}
+    SELECT part_id // 100000 AS doc_id, (row_number() OVER (PARTITION BY part_id // 100000 ORDER BY part_id, chunk_index) - 1)::INTEGER AS chunk_index, content FROM fixed""")
 def chunk_markdown_documents(t):
     """Documents with every tenth line made a heading."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 10 == 2, F.concat(F.lit("## "), x)).otherwise(x))
     return c.chunk(t("documents").select("doc_id", F.array_join(lines, "\n").alias("text")), "doc_id", strategy="markdown", size=800).select("doc_id", "chunk_index", "content")
 
 
-@query()
+@query(rf"""WITH RECURSIVE bare AS (SELECT doc_id, {strip("text")} AS text FROM documents), {fixed_sql(800, 100, "bare", name="above")},
+    parents AS (SELECT doc_id * 100000 + chunk_index AS part_id, content AS text FROM above), {fixed_sql(200, 50, "parents", "part_id")}
+    SELECT part_id // 100000 AS doc_id, (part_id % 100000)::INTEGER AS parent_index, chunk_index AS child_index, text AS parent_content, content AS child_content FROM fixed JOIN parents USING (part_id)""")
 def chunk_parent_child(t):
     return c.parents_and_children(t("documents"), "doc_id")
 
