@@ -10,9 +10,8 @@ equal keys make a candidate of the item's size there. Repetitions start at diffe
 alternate between forward and backward. There are as many as reach the target recall on
 random items with all the edits that the limit allows, anywhere or in one third of the item (counted).
 
-What the walks miss, pieces find: an item of m words that may
-differ in k is cut into k + 1 pieces, of which k edits leave one as it is (pigeonhole). A text that holds
-a piece is a candidate there, so no passage within the limit is lost, wherever it is cut or reworded.
+Pieces measure what the walks miss (tests; they take no part in a search): an item of m words that may
+differ in k is cut into k + 1 pieces, of which k edits leave one as it is (pigeonhole), so a text within the limit holds one.
 Each candidate is verified by the exact edit distance of the item to the best part of
 the text around it (Myers' bit-vectors).
 
@@ -95,7 +94,7 @@ def _starts(walk: _Walk, least: int, m: int) -> list[int]:
 @lru_cache
 def repetitions(least: int, most: int, ratio: float, recall: float, samples: int, tries: int = 400, limit: int = 64) -> int:
     """How many walks find this share of items of `least` to `most` words in which all words that may be are changed, lost or
-    added: counted on random items of the hardest lengths. At most `limit`."""
+    added: counted on random items of the hardest lengths. An error if that takes more than `limit`."""
     needed, size = 1, 2000
     for m in [m for m in range(least, most + 1) if m == least or int(ratio * m) > int(ratio * (m - 1))]:
         random, n_edits, room = np.random.default_rng(5), int(ratio * m), 3 * most + 4 * least
@@ -121,6 +120,8 @@ def repetitions(least: int, most: int, ratio: float, recall: float, samples: int
                     found |= got == wanted
             if found.mean() >= recall:
                 break
+        else:
+            raise ValueError(f"{limit} walks of {samples} samples don't reach a recall of {recall} for items of {m} words")
         needed = max(needed, n + 1)
     return needed
 
@@ -176,8 +177,9 @@ class Index:
     pieces: _Pieces
 
     @staticmethod
-    def build(items: list[tuple[int, str | None]], ratio: float = 0.2, recall: float = 0.95, samples: int = 3, seed: int = 7, whole: bool = True) -> "Index":
-        """whole: with the pieces; without them the walks alone reach about the wanted recall at the limit."""
+    def build(items: list[tuple[int, str | None]], ratio: float = 0.2, recall: float = 0.99, samples: int = 3, seed: int = 7, whole: bool = False) -> "Index":
+        """recall: what the walks reach for passages with all the edits that the limit allows. whole: with pieces beside them, which miss nothing; the tests measure the
+        walks against them."""
         vocabulary: dict[str, int] = {}
         rows = [(i, [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(t)]) for i, t in items if i is not None]
         rows = [r for r in rows if r[1]]
