@@ -181,7 +181,13 @@ def mmr_topk(t):
     return r.mmr(pool, texts, "doc_id", 10)
 
 
-@query()
+_OWN = lambda x: f"list_distinct(list_filter(string_split(regexp_replace(lower(coalesce({x}, '')), '\\s+', ' ', 'g'), ' '), lambda w: w <> ''))"
+
+
+@query(f"""WITH {BM25}, pool AS (SELECT query_id, doc_id, score FROM bm25 QUALIFY {TOP.format('doc_id', 20)}),
+    sets AS (SELECT query_id, doc_id, score, {_OWN('b.text')} AS q, {_OWN('d.text')} AS c FROM pool JOIN benchmark b ON b.item_id = query_id JOIN documents d USING (doc_id)),
+    judged AS (SELECT query_id, doc_id, score, ln(share / (1 - share)) AS l FROM (SELECT *, (len(list_intersect(q, c)) + 0.5::DOUBLE) / (len(q) + 1) AS share FROM sets))
+    SELECT query_id, doc_id, round(l, 6) AS rerank_score, round(1 / (1 + exp(-l)), 6) AS similarity FROM judged QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY l DESC, score DESC, doc_id) <= 5""")
 def rerank_topk(t):
     """Lexical results judged again by the stand-in for a cross-encoder."""
     pool = r.bm25(t("documents"), questions(t), "doc_id", 20).join(t("documents").select("doc_id", F.col("text").alias("content")), "doc_id")
