@@ -34,6 +34,12 @@ def written(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def compact(frame: DataFrame, rows: int, share: int = 200_000, least: int = 8) -> DataFrame:
+    """A frame of about so many rows in no more partitions than they need: each task behind a shuffle writes files of its own, however few rows it has, and what
+    iterates on few rows would fill a disk with them. Large frames keep their partitions."""
+    return frame.coalesce(max(least, -(-rows // share)))
+
+
 def fresh(frame: DataFrame, name: str) -> str:
     """The name, or one made of it, that no column of the frame has in any case."""
     taken = {c.lower() for c in frame.columns}
@@ -52,15 +58,16 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Empty links give an empty result.
     """
     edges = cut(links.select("a", "b").where("a <> b").distinct())
-    before = None
+    rows, before = edges.count(), None
+    edges = compact(edges, rows)  # steps never add edges
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        large = compact(both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), rows)
+        down = compact(large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows)
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(lowest, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = cut(small.select("e.*").where("a <> b").distinct())
+        small = compact(down.join(lowest, "a"), rows).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        edges = cut(compact(small.select("e.*").where("a <> b").distinct(), rows))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

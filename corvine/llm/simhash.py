@@ -13,6 +13,8 @@ has three differing bits at most, is cut in two and indexed in the same way unde
 Similar texts are found by the same deletion variants of a signature of other components: see without_similar.
 """
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -20,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvine.llm.common import components, cut, fresh, written
+from corvine.llm.common import compact, components, cut, fresh, written
 
 SEED = 42
 #: Set bits of each byte value, least significant first.
@@ -224,10 +226,10 @@ def similar(rows: DataFrame, similarity: float = 0.8, block: int = BLOCK, rounds
     least = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("number")).where("number > 1").select("key", "least")
     near_size = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
 
-    def best(pairs: DataFrame) -> DataFrame:
+    def best(pairs: DataFrame, few: Callable[[DataFrame], DataFrame] = lambda frame: frame) -> DataFrame:
         """node, other: of the others of a node that with which it shares most keys."""
-        shared = pairs.groupBy("node", "other").agg(F.count("*").alias("shared"))
-        return cut(shared.groupBy("node").agg(F.max(F.struct("shared", "other")).alias("best")).select("node", "best.other"))
+        shared = few(pairs.groupBy("node", "other").agg(F.count("*").alias("shared")))
+        return cut(few(shared.groupBy("node").agg(F.max(F.struct("shared", "other")).alias("best")).select("node", "best.other")))
 
     def texts(nodes: DataFrame) -> DataFrame:
         """The hashes of these nodes, once each; nodes that are few enough go to where the hashes are read, so that no others are shuffled."""
@@ -235,11 +237,11 @@ def similar(rows: DataFrame, similarity: float = 0.8, block: int = BLOCK, rounds
         nodes = F.broadcast(nodes) if nodes.count() <= FEW else nodes
         return rows.select("node", "hashes").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
-    def compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame, held: DataFrame, few: Callable[[DataFrame], DataFrame] = lambda frame: frame) -> DataFrame:
         """a, b of the pairs (node, other) that are similar."""
         x, y = held.toDF("node", "x"), held.toDF("other", "y")
         met = pairs.join(x, "node").join(y, "other").withColumn("both", F.size(F.array_intersect("x", "y")))
-        return cut(met.where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-6).select(F.col("node").alias("a"), F.col("other").alias("b")))
+        return cut(few(met).where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-6).select(F.col("node").alias("a"), F.col("other").alias("b")))
 
     stars = best(keyed.join(least, "key").where("node <> least.node").where(near_size(F.col("n"), F.col("least.n"))).select("node", F.col("least.node").alias("other")))
     found = compared(stars, written(texts(stars.select("node").union(stars.select("other")).distinct())))
@@ -260,16 +262,19 @@ def similar(rows: DataFrame, similarity: float = 0.8, block: int = BLOCK, rounds
         return found
     held = written(texts(left.select("node").distinct()))
     for number in range(rounds):
+        size = left.count()
+        few = lambda frame: compact(frame, size)  # noqa: B023, E731
+        left = few(left)
         inside, outside = left.where("part = main"), left.where("part <> main")
         middle = inside.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("h"), F.col("node").alias("other"), F.col("n").alias("m"))).alias("x")).select("key", "x.other", "x.m")
-        pairs = best(outside.join(middle, "key").where(near_size(F.col("n"), F.col("m"))).select("node", "other"))
-        new = compared(pairs, held)
+        pairs = best(few(outside.join(middle, "key").where(near_size(F.col("n"), F.col("m"))).select("node", "other")), few)
+        new = few(compared(pairs, held, few))
         found = found.union(new)
         # each part takes the least label that it was linked to
         part_of = left.select("node", "part").distinct()
         ends = new.join(part_of.toDF("a", "p"), "a").join(part_of.toDF("b", "q"), "b").select("p", "q")
-        lower = ends.union(ends.select("q", "p")).toDF("part", "q").groupBy("part").agg(F.min("q").alias("lower")).where("lower < part")
-        left = apart(left.drop("main").join(lower, "part", "left").select("key", "node", "n", F.coalesce("lower", "part").alias("part")))
+        lower = few(ends.union(ends.select("q", "p")).toDF("part", "q")).groupBy("part").agg(F.min("q").alias("lower")).where("lower < part")
+        left = apart(few(left.drop("main").join(lower, "part", "left")).select("key", "node", "n", F.coalesce("lower", "part").alias("part")))
         if left.isEmpty():
             return found
     # Part against part: blocks of the largest part (kind 0) meet blocks of all the rest (kind 1), and these each other.
