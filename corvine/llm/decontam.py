@@ -177,7 +177,7 @@ class Index:
     pieces: _Pieces
 
     @staticmethod
-    def build(items: list[tuple[int, str | None]], ratio: float = 0.2, recall: float = 0.97, samples: int = 3, seed: int = 7, whole: bool = False) -> "Index":
+    def build(items: list[tuple[int, str | None]], ratio: float = 0.2, recall: float = 0.95, samples: int = 3, seed: int = 7, whole: bool = False) -> "Index":
         """recall: what the walks reach for passages with all the edits that the limit allows. whole: with pieces beside them, which miss nothing; the tests measure the
         walks against them."""
         vocabulary: dict[str, int] = {}
