@@ -130,6 +130,18 @@ def test_cosine_topk(spark):
         assert len(found) == 8
 
 
+def test_cosine_topk_odd_vectors(spark):
+    """Null vectors and those of another length have no score and come last, holes count as zero vectors; queries and vectors aren't multiplied as rows."""
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [3.0, 4.0]), (2, None), (3, [1.0]), (4, [None, 1.0]), (5, [0.0, 0.0]), (6, [-1.0, 0.0]), (7, [2.0, 0.0])], "vec_id long, embedding array<float>")
+    found = r.cosine_topk(rows, rows.where("vec_id < 1").withColumnRenamed("vec_id", "query_id"), "vec_id", 10)
+    assert "NestedLoop" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "CartesianProduct" not in plan
+    got = {x.vec_id: x.score for x in found.collect()}
+    assert got == {0: 1.0, 1: 0.6, 2: None, 3: None, 4: 0.0, 5: 0.0, 6: -1.0, 7: 1.0}
+    first = r.cosine_topk(rows, rows.where("vec_id < 1").withColumnRenamed("vec_id", "query_id"), "vec_id", 1).collect()
+    assert [(x.vec_id, x.score) for x in first] == [(0, 1.0)]
+    assert r.cosine_topk(rows, rows.where("vec_id < 0").withColumnRenamed("vec_id", "query_id"), "vec_id", 1).count() == 0
+
+
 def test_merge_and_rewrites(spark):
     rows = spark.createDataFrame([(1, 0, 5, "a", "x", 0.4, None), (1, 1, 5, "a", "x", 0.9, None), (1, 1, 6, "a", "x", 0.3, 0.8)], "query_id int, layer int, kb_id int, chunk_id string, content string, similarity double, final_score double")
     assert [(x.kb_id, x.place, x.total_found) for x in r.merge_layers(rows).orderBy("place").collect()] == [(6, 1, 2), (5, 2, 2)]
