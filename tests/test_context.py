@@ -111,3 +111,29 @@ def test_folds_of_rows_without_a_key(spark):
             for r in got:
                 admitted.setdefault(str(r.k), []).append(r.admitted)
             assert {k: sum(v) for k, v in admitted.items()} == {str(k): 2 for k in keys}, (kind, name)
+
+
+def test_visible_shuffles_no_pairs(spark):
+    """Users and resources of an organization meet in blocks, whatever their number; repeated resources and several common organizations give a pair once."""
+    users = spark.range(40).select(F.col("id").alias("user_id"), (F.col("id") == 39).alias("is_admin"))
+    members = users.select("user_id", F.explode(F.array(F.lit("a"), F.when(F.col("user_id") % 2 == 0, "b").otherwise("c"))).alias("organization_id"))
+    resources = spark.range(60).select((F.col("id") % 50).alias("resource_id"), (F.col("id") % 7).alias("owner_id"), F.when(F.col("id") % 4 == 0, "a").when(F.col("id") % 4 == 1, "b").when(F.col("id") % 4 == 2, "d").alias("organization_id"))
+    published = spark.range(0, 40).select(F.col("id").alias("user_id"), (F.col("id") + 10).alias("resource_id"))
+    owners, organizations, own = {}, {}, {}
+    for row in resources.collect():
+        owners.setdefault(row.resource_id, set()).add(row.owner_id)
+        organizations.setdefault(row.resource_id, set()).add(row.organization_id)
+    for row in members.collect():
+        own.setdefault(row.user_id, set()).add(row.organization_id)
+    wanted = {(39, None, "admin")}
+    for u in range(39):
+        for x in range(50):
+            ways = [u in owners[x], bool(own[u] & (organizations[x] - {None})), x == u + 10]
+            if any(ways):
+                wanted.add((u, x, ("owner", "organization", "published")[ways.index(True)]))
+    for block in (3, 1000):
+        found = access.visible(resources, users, members, published, block=block)
+        got = [tuple(x) for x in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == wanted
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(way" not in plan
