@@ -202,7 +202,9 @@ def space_listing_agg(t):
 
 @query("""SELECT 'Supplier-' || lpad((max(s_suppkey) + 1)::VARCHAR, greatest(3, length((max(s_suppkey) + 1)::VARCHAR))::INTEGER, '0') AS next_code FROM supplier""")
 def next_sequence_code(t):
-    return r.next_code(t("supplier").select(F.concat(F.lit("Supplier-"), F.lpad(F.col("s_suppkey").cast("string"), 3, "0")).alias("code")).where("length(code) > 0"), "code", "Supplier")
+    number = F.col("s_suppkey").cast("string")
+    padded = F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0"))  # lpad would cut longer numbers to three digits
+    return r.next_code(t("supplier").select(F.concat(F.lit("Supplier-"), padded).alias("code")), "code", "Supplier")
 
 
 @query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER AS place FROM documents QUALIFY place <= 5")

@@ -51,3 +51,13 @@ def test_every_node_has_its_ancestors(spark, folder):
     got = registry.QUERIES["hierarchy_recursive_up_all"](spark, folder).collect()
     print("rows", len(got), "before", registry.QUERIES["hierarchy_recursive_up"](spark, folder).count())
     assert {r.node for r in got if r.distance == 0} == nodes
+
+
+def test_next_code_past_three_digits(spark, tmp_path):
+    """Keys of more than three digits are codes in full, as in the SQL."""
+    import duckdb
+
+    spark.range(5, 1235).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    own = duckdb.connect()
+    own.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    assert registry.QUERIES["next_sequence_code"](spark, str(tmp_path)).first()[0] == own.sql(registry.ORACLE["next_sequence_code"]).df().iloc[0, 0] == "Supplier-1235"
