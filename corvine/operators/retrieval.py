@@ -24,6 +24,15 @@ from corvine.sources.tables import spread
 #: Queries that are sent to every task at a time.
 BROADCAST_ROWS = 10000
 
+#: Rows of an Arrow batch that are looked at at a time: what Python makes of a batch is bounded by these and not by the batch's size.
+ROWS_AT_A_TIME = 500
+
+
+def _some_at_a_time(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_A_TIME):
+            yield batch.slice(at, ROWS_AT_A_TIME)
+
 
 def top(rows: DataFrame, k: int, *order: Column, by: str = "query_id", rank: str | None = None) -> DataFrame:
     """The first k rows of each query; rank names a column with the place, from 1."""
@@ -119,7 +128,7 @@ def scored_in_tasks(rows: DataFrame, key: str, asked: Asked, k: int, score: Call
     def run(batches):
         own, best_rows = shared.value, None
         edge = np.zeros(len(own.ids))
-        for batch in batches:
+        for batch in _some_at_a_time(batches):
             parts = []
             for document, query, value in score(own, batch):
                 value = np.round(value, 6)
@@ -146,7 +155,7 @@ def matched(docs: DataFrame, key: str, asked: Asked, words: Column) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _some_at_a_time(batches):
             length, document, term, tf = shared.value.held(batch.column("__w"))
             ends = pa.array(np.searchsorted(document, np.arange(batch.num_rows + 1)), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (term, tf)]

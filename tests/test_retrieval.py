@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corvine.functions import text as text_functions
@@ -152,3 +153,10 @@ def test_merge_and_rewrites(spark):
 def test_distance(spark):
     row = spark.range(1).select(v.similarity_of_distance(F.lit(1.5)), v.similarity_of_distance(F.lit(0.25)), v.similarity_of_distance(F.lit(3.0), "l2"), v.squash(F.lit(0.0)), v.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))).first()
     assert tuple(row) == (0.0, 0.75, 0.25, 0.5, 0.0)
+
+
+def test_batches_are_looked_at_in_parts():
+    """However many rows a batch has, a bounded number is looked at at a time; none is lost."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1234)), pa.array([["a"] * (n % 3) for n in range(1234)])], names=["doc_id", "__w"])
+    parts = list(r._some_at_a_time(iter([batch])))
+    assert max(p.num_rows for p in parts) <= r.ROWS_AT_A_TIME and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
