@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from corvine.functions import tools as f
 from corvine.operators.retrieval import top
 from corvine.operators.texts import containing
+from corvine.sources.folders import written
+from corvine.sources.tables import spread
 
 #: JSON's types and the columns they become.
 TYPES = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean"}
@@ -87,9 +89,9 @@ class Toolbox:
     def checked(self, calls: DataFrame) -> DataFrame:
         """call_id, tool, arguments, error of each call; error is null where the tool may run."""
         # a JSON object's values as they are written; null: no object
-        given = F.try_variant_get(F.try_parse_json("arguments"), "$", "map<string,variant>")
-        shown = F.transform_values(given, lambda _, v: F.to_json(v))
-        rows = calls.select("call_id", "tool", "arguments", F.when(F.schema_of_variant(F.try_parse_json("arguments")).startswith("OBJECT"), shown).alias("given"))
+        parsed = calls.select("call_id", "tool", "arguments", F.try_parse_json("arguments").alias("v"))
+        shown = F.transform_values(F.try_variant_get("v", "$", "map<string,variant>"), lambda _, v: F.to_json(v))
+        rows = parsed.select("call_id", "tool", "arguments", F.when(F.schema_of_variant("v").startswith("OBJECT"), shown).alias("given"))
         faults = F.coalesce(*[F.when(F.col("tool") == name, tool.faults(F.col("given"))) for name, tool in self.tools.items()]) if self.tools else F.lit(None).cast("string")
         known = F.coalesce(F.col("tool").isin(list(self.tools)), F.lit(False))
         error = F.when(~known, F.concat(F.lit("unknown tool: "), F.coalesce("tool", F.lit("")))).when(F.col("given").isNull(), "arguments must be a JSON object").otherwise(faults)
@@ -98,7 +100,7 @@ class Toolbox:
     def answered(self, calls: DataFrame) -> DataFrame:
         """call_id, tool, result, error: a row for each result of each call, one with an error for a call that is not valid or fails, one with neither for a call
         without a result. A repeated call_id is answered for each of its calls."""
-        checked = self.checked(calls)
+        checked = written(self.checked(spread(calls)), "calls")  # each tool reads its own calls: they are checked once
         bad = checked.where("error IS NOT NULL").select("call_id", "tool", F.lit(None).cast("string").alias("result"), "error")
         found = [bad]
         for name, tool in self.tools.items():

@@ -76,3 +76,11 @@ def test_chunks_from_sql(spark):
     for wrong in ("chunk(text, 'nope')", "chunk(text, 'fixed', -1)", "chunk(text, 'fixed', 10, 10)", "chunk(text, CAST(doc_id AS string))", "chunk(doc_id)", "chunk(text, strategy => 'markdown', overlap => 3)", "chunk(text, 'fixed', 'x')"):
         with pytest.raises(AnalysisException):
             spark.sql(f"SELECT * FROM {{docs}}, LATERAL {wrong}", docs=docs).count()
+
+
+def test_calls_are_checked_once(spark):
+    """Whatever the number of tools, a call's arguments are parsed once; each tool reads what the check has written."""
+    calls = spark.createDataFrame([(1, "calculator", '{"expression": "1 + 1"}'), (2, "nothing", "{}")], "call_id long, tool string, arguments string")
+    found = toolbox.Toolbox(toolbox.calculator(), toolbox.dates()).answered(calls)
+    assert "parse_json" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(x.call_id, x.error) for x in found.collect()} == {(1, None), (2, "unknown tool: nothing")}
