@@ -1,5 +1,7 @@
 """Every registered query with SQL gives the rows that DuckDB gives; the others give rows."""
 
+import re
+
 import __spark_entry__
 import pytest
 from compare import duck, rows
@@ -61,3 +63,18 @@ def test_next_code_past_three_digits(spark, tmp_path):
     own = duckdb.connect()
     own.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
     assert registry.QUERIES["next_sequence_code"](spark, str(tmp_path)).first()[0] == own.sql(registry.ORACLE["next_sequence_code"]).df().iloc[0, 0] == "Supplier-1235"
+
+
+def test_words_are_counted_in_their_rows(spark, tmp_path):
+    """No row for a word and document is grouped by both; repeated and null doc_ids are counted as SQL counts them."""
+    import duckdb
+
+    texts = ["The cat sat; the CAT", "cat dog", None, "", "dog dog bird"]
+    for name, ids in (("once", [1, 2, 3, 4, None]), ("repeated", [1, 1, 2, 2, None])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+        own = duckdb.connect()
+        own.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+        found = registry.QUERIES["tokens_word"](spark, folder)
+        assert bool(re.search(r"Aggregate \[word#\d+, doc_id", found._jdf.queryExecution().optimizedPlan().toString())) == (name == "repeated")
+        assert rows(found.toPandas()) == rows(own.sql(registry.ORACLE["tokens_word"]).df())
