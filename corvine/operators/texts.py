@@ -15,11 +15,11 @@ def exact_copies(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def shingles(rows: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """key and h (hash) of each distinct shingle of `words` words; shorter texts have none."""
+    """key, n (number of distinct shingles) and h (hash) of each distinct shingle of `words` words; shorter texts have none."""
     tokens = F.filter(F.split(F.lower(text), r"[ \t-\r]+"), lambda w: w != "")
     places = F.when(F.size("w") >= words, F.sequence(F.lit(1), F.size("w") - (words - 1))).otherwise(F.array().cast("array<int>"))
     hashes = F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
-    return rows.select(key, tokens.alias("w")).select(key, F.explode(F.array_distinct(hashes)).alias("h"))
+    return rows.select(key, tokens.alias("w")).select(key, F.array_distinct(hashes).alias("h")).select(key, F.size("h").alias("n"), F.explode("h").alias("h"))
 
 
 def similar_pairs(rows: DataFrame, key: str, text: str, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -27,19 +27,22 @@ def similar_pairs(rows: DataFrame, key: str, text: str, words: int = 5, least: f
 
     Prefix filter: with shingles ordered from rare to frequent, two sets that similar share one of the first
     n - ceil(least n) + 1 of each. Only these prefixes are joined, and only pairs of similar sizes; then the
-    whole sets of the candidates are compared.
+    whole sets of the candidates are compared. A shingle of one text only is first in that order and in no other set: it counts
+    in n and goes no further.
     """
     once = rows.groupBy(F.sha2(text, 256).alias("__h")).agg(F.min(key).alias("id"), F.first(text).alias("text")).select("id", "text")
     found = shingles(once, "id", "text", words)
-    frequency = found.groupBy("h").agg(F.count("*").alias("df"))
-    sets = found.join(frequency, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s")).select("id", F.col("s.h").alias("s"), F.size("s").alias("n"))
-    prefix = sets.select("id", "n", F.explode(F.slice("s", F.lit(1), F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1)).alias("h"))
+    frequency = found.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    sets = found.join(frequency, "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s")).select("id", F.col("s.h").alias("s"), "n")
+    # of the first n - ceil(least n) + 1, n - size(s) are in no other text
+    length = F.greatest(F.lit(0), F.size("s") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1)
+    prefix = sets.select("id", "n", F.explode(F.slice("s", F.lit(1), length)).alias("h"))
     x, y = prefix.alias("x"), prefix.alias("y")
     near = (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.n") >= F.col("y.n") * least - 1e-9) & (F.col("y.n") >= F.col("x.n") * least - 1e-9)
     pairs = x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return met.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity")).where(F.col("similarity") >= least)
+    return met.select("a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def contents(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, stride: int = 30, upto: int = 100, block: int = 20000) -> DataFrame:

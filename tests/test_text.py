@@ -94,3 +94,12 @@ def test_similar_pairs(spark):
     texts = [" ".join(words), " ".join(words[:58]), " ".join(words[:30]), " ".join(words), None, "a b"]
     found = o.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text").collect()
     assert [(r.a, r.b, round(r.similarity, 4)) for r in found] == [(0, 1, round(54 / 56, 4))]
+
+
+def test_similar_pairs_lone_shingles(spark):
+    """Shingles of one text only go no further, and count in the similarity."""
+    words = [f"w{n}" for n in range(60)]
+    texts = [" ".join(words), " ".join([*words, "end"]), " ".join(f"z{n}" for n in range(60)), "lone"]
+    found = o.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text")
+    assert "df#" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "> 1)" in plan
+    assert [(x.a, x.b, round(x.similarity, 6)) for x in found.collect()] == [(0, 1, round(56 / 57, 6))]
