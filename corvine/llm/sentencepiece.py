@@ -151,6 +151,13 @@ class Pieces(Model):
             return self.weights(text, begin, end, entries, exits)
         return self.weights(text, begin, places[0], entries, [(0, None)]) + self.weights(text, places[1], end, [(0, None)], exits)
 
+    def ends(self, left: str, body: str, right: str) -> str:
+        """What a chunk's matrix depends on of its body, from which it comes out the same: what lies before the first and behind the last place that no
+        piece crosses, with a character beyond each, by which these places stay such."""
+        text, begin, end = left + body + right, len(left), len(left) + len(body)
+        places = self.inner(text, begin, end)
+        return body if places is None or places[1] - places[0] <= 2 else text[begin : places[0] + 1] + text[places[1] - 1 : end]
+
     def part(self, left: str, body: str, right: str, entry: int, leave: int) -> list[int]:
         """The ids of a chunk's pieces between the states with these numbers: pieces that start in the chunk."""
         text, begin, end, entries, exits = self.chunk(left, body, right)
@@ -317,19 +324,26 @@ def encode(docs: DataFrame, model: bytes, chunk: int = CHUNK, giant: int = GIANT
     large = docs.where(F.length("text") > giant)
     pieces_schema = pa.schema([("key", pa.string()), ("n", pa.int32()), ("left", pa.string()), ("body", pa.string()), ("right", pa.string())])
 
-    def cut_up(batches):
+    def cut_up(batches, only_ends):
         own = _load(shared.value, pieces_of)
         for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                text = BLANK + text.replace(" ", BLANK)
-                at = own.cuts(text, chunk)
-                for n, (a, b) in enumerate(zip(at, at[1:], strict=False)):
-                    yield pa.RecordBatch.from_pylist([{"key": key, "n": n, "left": text[max(0, a - REACH) : a], "body": text[a:b], "right": text[b : b + REACH]}], schema=pieces_schema)
-
-    # A giant text is shuffled once, as chunks; its copies share them.
+            for rows in _rows_of(batch, 8):
+                for key, text in zip(rows.column("key").to_pylist(), rows.column("text").to_pylist(), strict=True):
+                    text = BLANK + text.replace(" ", BLANK)
+                    at = own.cuts(text, chunk)
+                    for n, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+                        left, body, right = text[max(0, a - REACH) : a], text[a:b], text[b : b + REACH]
+                        yield pa.RecordBatch.from_pylist([{"key": key, "n": n, "left": left, "body": own.ends(left, body, right) if only_ends else body, "right": right}], schema=pieces_schema)
+
+    def chunks(only_ends: bool) -> DataFrame:
+        """A giant text's chunks, which its copies share."""
+        texts = large.select(F.sha2("text", 256).alias("key"), "text")
+        return texts.mapInArrow(lambda batches: cut_up(batches, only_ends), "key string, n int, left string, body string, right string").dropDuplicates(["key", "n"])
+
+    # A giant text is shuffled once, as chunks that meet their states; before, the matrices are made of the chunks' ends. The texts are cut for each of
+    # the two: chunks kept in between would take more disk and be shuffled again.
     key = fresh(docs, "key")
-    texts = large.groupBy(F.sha2("text", 256).alias("key")).agg(F.first("text").alias("text"))
-    chunks = cut(texts.mapInArrow(cut_up, "key string, n int, left string, body string, right string").repartition(F.col("key"), F.col("n")))
+    narrow = "smallint" if _load(model).processor.get_piece_size() <= 2**15 else "int"
 
     def matrices(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = _load(shared.value, pieces_of)
@@ -345,15 +359,16 @@ def encode(docs: DataFrame, model: bytes, chunk: int = CHUNK, giant: int = GIANT
                 found, shown = [], []
                 for x in zip(some["left"], some["body"], some["right"], some["entry"], some["leave"], strict=True):
                     ids = own.part(*x)
-                    found.append(np.array(ids, dtype=np.int32))
+                    found.append(np.array(ids, dtype=np.int16 if narrow == "smallint" else np.int32))
                     shown.append(own.bare.decode(ids) if decoded else "")
                 yield pd.DataFrame({"key": some["key"], "n": some["n"], "part": found, "shown": shown})
 
-    parts = chunks.join(scan(chunks.mapInPandas(matrices, MATRIX)), ["key", "n"]).mapInPandas(traced, "key string, n int, part array<int>, shown string")
+    parts = chunks(False).join(scan(chunks(True).mapInPandas(matrices, MATRIX)), ["key", "n"]).mapInPandas(traced, f"key string, n int, part array<{narrow}>, shown string")
     joined = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "part", "shown"))).alias("parts"))
     back = [F.substring(F.array_join("parts.shown", ""), 2, 2**31 - 1).alias("decoded")] * decoded  # without the blank that encoding puts first
-    joined = joined.select(F.col("key").alias(key), F.flatten("parts.part").alias("ids"), *back)
-    return small.unionByName(large.join(joined, F.sha2("text", 256) == F.col(key)).select(*columns, *[f.name for f in added]))
+    joined = joined.select(F.col("key").alias(key), F.flatten("parts.part").cast("array<int>").alias("ids"), *back)
+    # the key is a column before the join, so that a caller who drops the text has it left out of the shuffle
+    return small.unionByName(large.withColumn(key, F.sha2("text", 256)).join(joined, key).select(*columns, *[f.name for f in added]))
 
 
 def decode(rows: DataFrame, model: bytes, many: int = GIANT) -> DataFrame:
@@ -405,5 +420,6 @@ def decode(rows: DataFrame, model: bytes, many: int = GIANT) -> DataFrame:
 def round_trip(docs: DataFrame, model: bytes, **options) -> DataFrame:
     """doc_id, n_tokens, ids_hash (xxhash64 of the ids), decoded_sha256 and same (the text came back; one that
     holds U+2581, which stands for a blank, comes back with a blank in its place) for each row of docs."""
-    done = encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, decoded=True, **options)
-    return done.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")).alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), F.coalesce(F.translate("text", BLANK, " ") == F.col("decoded"), F.lit(True)).alias("same"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2(F.translate("text", BLANK, " "), 256).alias("wanted"))  # giant texts meet their ids as digests
+    done = encode(rows, model, decoded=True, **options).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    return done.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids").cast("long")).alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "decoded_sha256", F.coalesce(F.col("wanted") == F.col("decoded_sha256"), F.lit(True)).alias("same"))

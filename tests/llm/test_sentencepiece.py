@@ -90,6 +90,22 @@ def test_groups_of_groups(spark, pieces, monkeypatch):
     assert got == {1: pieces.processor.encode(text), 2: pieces.processor.encode(text[::-1])}
 
 
+def test_a_chunks_ends_give_its_matrix(pieces):
+    r = random.Random(4)
+    shorter = 0
+    for own, kinds in ((pieces, ["tionheareds", "ab  c", "er ing", "日本é x", "aeiout"]), (sp.pieces_of(unigram()), ["abcdefgh", "abc é", "  a"])):
+        for n in range(150):
+            kind = r.choice(kinds) + " " * (n % 2)
+            text = "".join(r.choice(kind if r.random() < 0.95 else r.choice(kinds)) for _ in range(500)).replace(" ", sp.BLANK)
+            a = r.randrange(0, 150)
+            b = r.choice([len(text), r.randrange(a + 60, 450)])
+            left, body, right = text[max(0, a - sp.REACH) : a], text[a:b], text[b : b + sp.REACH]
+            ends = own.ends(left, body, right)
+            shorter += len(ends) < len(body)
+            assert own.matrix(left, ends, right).tolist() == own.matrix(left, body, right).tolist(), n
+    assert shorter > 100
+
+
 def test_product_is_associative():
     import numpy as np
 
@@ -114,3 +130,41 @@ def test_tables(spark, pieces, folder):
     assert sp.encode(docs.limit(0), MODEL).count() == 0
     rows = sp.round_trip(spark.read.parquet(f"{folder}/documents.parquet"), MODEL, chunk=1000, giant=4000).collect()
     assert len(rows) == 200 and all(x.same for x in rows)
+
+
+def shuffled(spark, make):
+    """Bytes that the stages of an action write for shuffles, and bytes that it leaves in the checkpoint folder."""
+    from corvine.llm.common import shared_folder
+
+    context, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def measured():
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size())), files.getContentSummary(root).getLength()
+
+    before = measured()
+    make()
+    return tuple(b - a for a, b in zip(before, measured(), strict=True))
+
+
+def test_giant_texts_take_little_disk(spark, tmp_path):
+    """Texts that don't compress: a giant text is shuffled once as chunks and once as what it decodes to, with two bytes an id, and no text is
+    kept in between."""
+    r = random.Random(8)
+    letters = "".join(map(chr, [*range(97, 123), *range(65, 91), 32, 32, 32]))
+    docs = spark.createDataFrame([(i, "".join(r.choice(letters) for _ in range(60000))) for i in range(8)], "doc_id long, text string").repartition(4)
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to be sent to all tasks
+    try:
+        written, kept = shuffled(spark, lambda: sp.round_trip(docs, MODEL).write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert written < 4 * 8 * 60000
+    assert kept < 8 * 60000 / 2
+    rows = sp.round_trip(docs, MODEL).collect()
+    assert len(rows) == 8 and all(x.same for x in rows)
