@@ -51,9 +51,9 @@ def contents(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, str
     The items are the stated query set: blocks of about `block` of them go to all tasks, one after the other, as a
     table of their pieces, in which each window of a document is looked up where the document is read.
     """
-    squeeze = lambda c: F.regexp_replace(c, "[\n ]", "")
+    squeeze = lambda c: F.replace(F.replace(c, F.lit("\n"), F.lit("")), F.lit(" "), F.lit(""))
     starts = F.sequence(F.lit(0), F.lit((upto - 1) // stride))
-    wanted = items.where(F.col(item_key).isNotNull()).select(item_key, F.substring(squeeze("text"), 1, upto).alias("t"))
+    wanted = items.where(F.col(item_key).isNotNull()).select(item_key, F.substring(squeeze(F.col("text")), 1, upto).alias("t"))
     pieces = wanted.select(item_key, F.explode(F.transform(starts, lambda i: F.substring("t", i * stride + 1, F.lit(stride)))).alias("piece")).where(F.length("piece") == stride).distinct()
     kinds = dict(docs.dtypes) | {f"item {c}": k for c, k in items.dtypes}
     schema = f"{doc_key} {kinds[doc_key]}, {item_key} {kinds[f'item {item_key}']}"
@@ -63,31 +63,61 @@ def contents(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, str
         for row in pieces.where(F.pmod(F.xxhash64(item_key), F.lit(parts)) == part).collect():
             table.setdefault(row["piece"], []).append(row[item_key])
         shared = docs.sparkSession.sparkContext.broadcast(table)
-        found.append(docs.select(doc_key, squeeze("text").alias("t")).mapInPandas(_holding(shared, doc_key, item_key, stride), schema))
+        found.append(docs.select(doc_key, squeeze(F.col("text")).alias("t")).mapInPandas(_holding(shared, doc_key, item_key, stride), schema))
     return reduce(DataFrame.union, found)
 
 
-def _holding(shared, doc_key: str, item_key: str, stride: int):
-    power = np.array([pow(0x9E3779B97F4A7C15, n, 2**64) for n in range(stride)], dtype=np.uint64)
+#: Of a window's number (32 bits) so many are looked at first.
+TOP_BITS = 20
+
+
+def window_numbers(text: str, width: int) -> np.ndarray:
+    """A number of 32 bits for each window of `width` characters, of the numbers of two windows that follow each other for twice the width at each step;
+    equal windows have equal numbers."""
+    level = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    number = max(0, len(level) - width + 1)
+    power = lambda n: np.uint32(pow(0x9E3779B1, n, 2**32))
+    out, done, size = np.zeros(number, dtype=np.uint32), 0, 1
+    while done < width:
+        if width & size:
+            out += level[done : done + number] * power(done)
+            done += size
+        level = level[:-size] + level[size:] * power(size)
+        size *= 2
+    return out
+
+
+def _together(ids, texts, characters: int = 1 << 16):
+    """Lists of ids and texts that follow each other, of about so many characters in all; null texts are left out."""
+    some_ids, some, size = [], [], 0
+    for i, t in zip(ids, texts, strict=True):
+        if t is not None:
+            some_ids.append(i)
+            some.append(t)
+            size += len(t)
+        if size >= characters:
+            yield some_ids, some
+            some_ids, some, size = [], [], 0
+    if some:
+        yield some_ids, some
 
-    def hashes(text: str) -> np.ndarray:
-        """Of each window of `stride` characters one number."""
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-        out = np.zeros(len(codes) - stride + 1, dtype=np.uint64)
-        for n in range(stride):
-            out += codes[n : n + len(out)] * power[n]
-        return out
 
+def _holding(shared, doc_key: str, item_key: str, stride: int):
     def run(batches):
         own = shared.value
-        known = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *(hashes(piece) for piece in own)]))
+        known = np.unique(np.concatenate([np.zeros(0, dtype=np.uint32), *(window_numbers(piece, stride) for piece in own)]))
+        some = np.zeros(1 << TOP_BITS, dtype=bool)  # most windows are told apart by their numbers' first bits
+        some[known >> (32 - TOP_BITS)] = True
         for batch in batches:
             rows = []
-            for d, t in zip(batch[doc_key], batch["t"], strict=True):
-                if len(known) and len(t or "") >= stride:
-                    own_hashes = hashes(t)
-                    near = np.flatnonzero(known[np.minimum(np.searchsorted(known, own_hashes), len(known) - 1)] == own_hashes)
-                    rows += [(d, i) for i in sorted({i for at in near.tolist() for i in own.get(t[at : at + stride], ())})]
+            for ids, texts in _together(batch[doc_key], batch["t"]) if len(known) else ():
+                text = "\n".join(texts)  # no piece holds a line feed, so none is found across two texts
+                numbers = window_numbers(text, stride)
+                near = np.flatnonzero(some.take(numbers >> (32 - TOP_BITS)))
+                near = near[known[np.minimum(np.searchsorted(known, numbers[near]), len(known) - 1)] == numbers[near]]
+                ends = np.cumsum([len(t) + 1 for t in texts])
+                met = {(n, i) for at, n in zip(near.tolist(), np.searchsorted(ends, near, "right").tolist(), strict=True) for i in own.get(text[at : at + stride], ())}
+                rows += [(ids[n], i) for n, i in sorted(met)]
             yield pd.DataFrame(rows, columns=[doc_key, item_key])
 
     return run

@@ -9,6 +9,7 @@ from corvine.operators import texts
 from corvine.operators.registry import query
 from corvine.plans.retrieval import BM25, COSINES, cosines, fused_sql, pools
 from corvine.plans.text import MATCHES
+from corvine.sources.folders import written
 
 #: Metrics from ranked (query_id, id, place) and relevant (query_id, id), by `groups`.
 METRICS = """once AS (SELECT {g} query_id, id, min(place) AS p FROM ranked GROUP BY ALL), first_places AS (SELECT {g} query_id, id, row_number() OVER (PARTITION BY {g} query_id ORDER BY p, id) AS place FROM once),
@@ -22,7 +23,7 @@ METRICS = """once AS (SELECT {g} query_id, id, min(place) AS p FROM ranked GROUP
 @query(f"""WITH {COSINES}, ranked AS (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM cosines QUALIFY place <= 20), relevant AS (SELECT label AS query_id, vec_id AS id FROM embeddings),
     {METRICS.format(g='', qg='', on='', groups='', ks='1, 3, 5, 10')}""")
 def retrieval_metrics_at_k(t):
-    ranked = r.best(cosines(t, 20), 20, key="vec_id", rank="place").select("query_id", F.col("vec_id").alias("id"), "place")
+    ranked = written(r.best(cosines(t, 20), 20, key="vec_id", rank="place").select("query_id", F.col("vec_id").alias("id"), "place"), "ranked")
     return e.metrics(e.at_k(ranked, t("embeddings").select(F.col("label").alias("query_id"), F.col("vec_id").alias("id")), [1, 3, 5, 10]))
 
 
@@ -38,11 +39,12 @@ def _sweep_sql():
 @query(_sweep_sql())
 def alpha_sweep(t):
     """Fusion weights, each measured against the documents that hold a piece of the item."""
-    relevant = texts.contents(t("documents"), t("benchmark"), "doc_id", "item_id").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
+    # the metrics read both tables several times: what they hold is looked for in the documents once
+    relevant = written(texts.contents(t("documents"), t("benchmark"), "doc_id", "item_id").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id")), "relevant")
     weights = t.spark.createDataFrame([(a,) for a in ALPHAS], "alpha double")
     # the pools are searched once; a question with a weight is a query of its own
     lexical, vector = (p.crossJoin(F.broadcast(weights)).withColumn("query_id", F.struct("query_id", "alpha")).drop("alpha") for p in pools(t, 10))
-    ranked = r.best(r.fuse(lexical, vector, "doc_id", 5, F.col("query_id.alpha")), 5, key="doc_id", rank="place").select("query_id", F.col("doc_id").alias("id"), "place")
+    ranked = written(r.best(r.fuse(lexical, vector, "doc_id", 5, F.col("query_id.alpha")), 5, key="doc_id", rank="place").select("query_id", F.col("doc_id").alias("id"), "place"), "ranked")
     wanted = relevant.crossJoin(F.broadcast(weights)).select(F.struct("query_id", "alpha").alias("query_id"), "id")
     return e.metrics(e.at_k(ranked, wanted, [3, 5]).withColumn("alpha", F.col("query_id.alpha")), "alpha")
 

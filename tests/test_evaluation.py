@@ -17,6 +17,16 @@ def test_at_k(spark):
     assert (row.n_queries, row.hit_rate, row.recall, row.mrr) == (4, 0.5, 0.375, 0.375)
 
 
+def test_sweep_searches_once(spark, folder):
+    """The metrics read rankings and relevant documents several times, but the documents aren't searched again each time."""
+    from corvine.operators import registry
+
+    registry.load()
+    for name in ("alpha_sweep", "retrieval_metrics_at_k"):
+        plan = registry.QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInPandas" not in plan and "MapInArrow" not in plan, name
+
+
 def test_average_precision(spark):
     rows = spark.createDataFrame([(1, 1, True), (1, 2, False), (1, 3, True), (2, 1, False)], "query_id int, place int, relevant boolean")
     assert {x.query_id: x.ap for x in e.average_precision(rows).collect()} == {1: round((1 + 2 / 3) / 3, 6), 2: 0.0}

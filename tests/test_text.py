@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +91,33 @@ def test_contents(spark):
     assert o.contents(docs, many, "doc_id", "item_id", block=20).count() == 50
 
 
+def test_contents_of_texts_that_are_searched_together(spark):
+    r = random.Random(6)
+    letters = "abé𝒳"
+    items = [(i, "".join(r.choice(letters) for _ in range(r.choice([29, 30, 45, 60, 130])))) for i in range(40)]
+    docs = []
+    for d in range(300):
+        item = r.choice(items)[1]
+        at = r.randrange(0, 40)
+        docs.append((d, r.choice([None, "", "a", item[:at], item[at:], f"{item[:at]} {item[at:at + 50]}", "".join(r.choice(letters) for _ in range(r.randrange(200))) + item[:61] + "\n"])))
+    docs += [(900, items[4][1][:15]), (901, items[4][1][15:30]), (902, "x" * 70000 + items[8][1][:30]), (902, items[9][1])]
+    pieces = {(i, t[:100][s : s + 30]) for i, t in items for s in range(0, 120, 30) if len(t[:100][s : s + 30]) == 30}
+    want = sorted((d, i) for d, i in {(n, i) for n, (_, t) in enumerate(docs) for i, p in pieces if p in (t or "").replace("\n", "").replace(" ", "")})
+    rows = [spark.createDataFrame(x, f"{k} long, text string").coalesce(1) for x, k in ((docs, "doc_id"), (items, "item_id"))]
+    assert sorted(tuple(x) for x in o.contents(*rows, "doc_id", "item_id").collect()) == sorted((docs[n][0], i) for n, i in want)
+    assert len(want) > 50
+
+
+@pytest.mark.parametrize("width", [1, 2, 5, 30, 32])
+def test_window_numbers(width):
+    text = "".join(random.Random(width).choice("ab") for _ in range(3000)) + "𝒳"
+    numbers = o.window_numbers(text, width)
+    windows = [text[i : i + width] for i in range(len(text) - width + 1)]
+    assert len(numbers) == len(windows)
+    assert len(set(zip(windows, numbers.tolist(), strict=True))) == len(set(windows)) == len(set(numbers.tolist()))
+    assert len(o.window_numbers("a" * (width - 1), width)) == 0
+
+
 def test_similar_pairs(spark):
     words = [f"w{i}" for i in range(60)]
     texts = [" ".join(words), " ".join(words[:58]), " ".join(words[:30]), " ".join(words), None, "a b"]
