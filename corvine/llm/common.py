@@ -40,6 +40,12 @@ def compact(frame: DataFrame, rows: int, share: int = 200_000, least: int = 8) -
     return frame.coalesce(max(least, -(-rows // share)))
 
 
+def merging(frame: DataFrame, rows: int, most: int = 1_600_000) -> DataFrame:
+    """A side of a join of about so many rows that is to be merged, not broadcast, where they are few: what iterates on few rows would else go through the driver
+    at each join, by one more stage with a task for each partition of the shuffle. Joins of many rows are left to the optimizer."""
+    return frame.hint("merge") if rows <= most else frame
+
+
 def fresh(frame: DataFrame, name: str) -> str:
     """The name, or one made of it, that no column of the frame has in any case."""
     taken = {c.lower() for c in frame.columns}
@@ -63,10 +69,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = compact(both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), rows)
+        large = compact(both.join(merging(lowest, rows), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), rows)
         down = compact(large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), rows)
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = compact(down.join(lowest, "a"), rows).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        small = compact(down.join(merging(lowest, rows), "a"), rows).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         edges = cut(compact(small.select("e.*").where("a <> b").distinct(), rows))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvine.llm.common import compact, components, cut, fresh, written
+from corvine.llm.common import compact, components, cut, fresh, merging, written
 
 SEED = 42
 #: Set bits of each byte value, least significant first.
@@ -137,8 +137,8 @@ SEGMENTS, VALUES = 5, 6
 _random = np.random.default_rng(2024)
 _XOR, _ODD, _FOLD = (_random.integers(0, 2**64, n, dtype=np.uint64) for n in (SEGMENTS * VALUES, SEGMENTS * VALUES, VALUES))
 _ODD, _FOLD, _NAME = _ODD | np.uint64(1), _FOLD | np.uint64(1), _random.integers(0, 2**64, (SEGMENTS, VALUES), dtype=np.uint64)
-#: Nodes of a block, rounds of stars before blocks, nodes that are broadcast at most (8 MB).
-BLOCK, ROUNDS, FEW = 1024, 4, 1_000_000
+#: Nodes of a block, rounds of stars before blocks, nodes that are broadcast at most (8 MB), pairs that are (1 MB).
+BLOCK, ROUNDS, FEW, PAIRS = 1024, 4, 1_000_000, 20_000
 
 
 def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
@@ -251,31 +251,30 @@ def similar(rows: DataFrame, similarity: float = 0.8, block: int = BLOCK, rounds
         further = labels.select(F.col("node").alias("part"), F.col("part").alias("lower"))
         labels = cut(labels.join(further, "part", "left").select("node", F.coalesce("lower", "part").alias("part")))
 
-    def apart(named: DataFrame) -> DataFrame:
+    def apart(named: DataFrame, few: Callable[[DataFrame], DataFrame] = lambda frame: frame, side: Callable[[DataFrame], DataFrame] = lambda frame: frame) -> DataFrame:
         """key, node, n, part, main, of the keys that have nodes of several parts; main: the largest of them."""
-        counted = named.groupBy("key", "part").agg(F.count("*").alias("size"))
+        counted = few(named.groupBy("key", "part").agg(F.count("*").alias("size")))
         mains = counted.groupBy("key").agg(F.max(F.struct("size", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("main.part").alias("main"))
-        return cut(named.select("key", "node", "n", "part").join(mains, "key"))
+        return cut(few(named.select("key", "node", "n", "part").join(side(mains), "key")))
 
     left = apart(keyed.join(labels, "node", "left").select("key", "node", "n", F.coalesce("part", "node").alias("part")))
-    if left.isEmpty():
+    if not (size := left.count()):
         return found
     held = written(texts(left.select("node").distinct()))
     for number in range(rounds):
-        size = left.count()
-        few = lambda frame: compact(frame, size)  # noqa: B023, E731
+        few, side = lambda frame: compact(frame, size), lambda frame: merging(frame, size)  # noqa: B023, E731
         left = few(left)
         inside, outside = left.where("part = main"), left.where("part <> main")
         middle = inside.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("h"), F.col("node").alias("other"), F.col("n").alias("m"))).alias("x")).select("key", "x.other", "x.m")
-        pairs = best(few(outside.join(middle, "key").where(near_size(F.col("n"), F.col("m"))).select("node", "other")), few)
-        new = few(compared(pairs, held, few))
+        pairs = best(few(outside.join(side(middle), "key").where(near_size(F.col("n"), F.col("m"))).select("node", "other")), few)
+        new = few(compared(F.broadcast(pairs) if size <= PAIRS else pairs, held, few))
         found = found.union(new)
         # each part takes the least label that it was linked to
-        part_of = left.select("node", "part").distinct()
-        ends = new.join(part_of.toDF("a", "p"), "a").join(part_of.toDF("b", "q"), "b").select("p", "q")
+        part_of = few(left.select("node", "part").distinct())
+        ends = few(new.join(side(part_of.toDF("a", "p")), "a")).join(side(part_of.toDF("b", "q")), "b").select("p", "q")
         lower = few(ends.union(ends.select("q", "p")).toDF("part", "q")).groupBy("part").agg(F.min("q").alias("lower")).where("lower < part")
-        left = apart(few(left.drop("main").join(lower, "part", "left")).select("key", "node", "n", F.coalesce("lower", "part").alias("part")))
-        if left.isEmpty():
+        left = apart(few(left.drop("main").join(side(lower), "part", "left")).select("key", "node", "n", F.coalesce("lower", "part").alias("part")), few, side)
+        if not (size := left.count()):
             return found
     # Part against part: blocks of the largest part (kind 0) meet blocks of all the rest (kind 1), and these each other.
     kind = F.when(F.col("part") == F.col("main"), 0).otherwise(1).alias("kind")

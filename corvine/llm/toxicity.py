@@ -239,7 +239,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_words:
     term, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), local.column("n").combine_chunks().flatten().to_numpy(zero_copy_only=False) if local.num_rows else np.zeros(0, dtype=np.int32)
     terms = {w: t for t, w in enumerate(coded.dictionary.to_pylist())}
     lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if local.num_rows else np.zeros(0, dtype=np.int64)
-    entry, toxic = np.repeat(np.arange(len(lengths)), lengths), local.column("toxic").to_numpy().astype(np.int64)
+    entry, toxic, ids = np.repeat(np.arange(len(lengths)), lengths), local.column("toxic").to_numpy().astype(np.int64), local.column("doc_id").to_numpy().astype(np.int64)
+    n = np.array(n)  # a copy: the columns are not needed any more, and Arrow keeps their memory else
+    del local, lists, coded
+    pa.default_memory_pool().release_unused()
 
     known = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
 
@@ -260,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_words:
     order = np.lexsort((term, entry))
     weight = weight / np.sqrt(np.bincount(entry, weight * weight, minlength=len(lengths)))[entry]
     starts = np.concatenate([[0], np.cumsum(lengths)])
-    model = Model(terms, weight_of, starts, term[order], weight[order], toxic, local.column("doc_id").to_numpy().astype(np.int64))
+    model = Model(terms, weight_of, starts, term[order], weight[order], toxic, ids)
     if not 0 < toxic.sum() < len(toxic):
         return model
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -62,6 +62,30 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def tasks_of(spark, run):
+    """What run() gives, and the number of tasks that it took on shuffles of 61 partitions."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    context, group = spark.sparkContext, f"tasks-{random.random()}"
+    try:
+        for k, v in zip(held, ("61", "false"), strict=True):
+            spark.conf.set(k, v)
+        context.setJobGroup(group, "counted")
+        out, track = run(), context.statusTracker()
+        stages = {s for job in track.getJobIdsForGroup(group) for s in track.getJobInfo(job).stageIds}
+        return out, sum(info.numCompletedTasks for s in stages if (info := track.getStageInfo(s)))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    linked = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)]
+    got, tasks = tasks_of(spark, lambda: {r.node: r.component for r in components(spark.createDataFrame(linked, "a long, b long")).collect()})
+    assert got == brute_components({n for pair in linked for n in pair}, linked)
+    assert tasks < 1000
+
+
 def test_near_duplicates_on_odd_rows(spark):
     base = " ".join(f"w{i}" for i in range(400))
     rows = [(5, base, "x"), (3, base.replace("w200 ", "other "), None), (9, base, "x"), (9, base, "x"), (1, None, None), (2, "", "y"), (None, base, None), (4, "short text here now", None), (None, "all alone in this", None)]
