@@ -137,8 +137,8 @@ SEGMENTS, VALUES = 5, 6
 _random = np.random.default_rng(2024)
 _XOR, _ODD, _FOLD = (_random.integers(0, 2**64, n, dtype=np.uint64) for n in (SEGMENTS * VALUES, SEGMENTS * VALUES, VALUES))
 _ODD, _FOLD, _NAME = _ODD | np.uint64(1), _FOLD | np.uint64(1), _random.integers(0, 2**64, (SEGMENTS, VALUES), dtype=np.uint64)
-#: Nodes of a block, rounds of stars before blocks, nodes that are broadcast at most (8 MB), pairs that are (1 MB).
-BLOCK, ROUNDS, FEW, PAIRS = 1024, 4, 1_000_000, 20_000
+#: Nodes of a block, rounds of stars before blocks, nodes that are broadcast at most (8 MB), pairs that are (1 MB), nodes of keys that need no round.
+BLOCK, ROUNDS, FEW, PAIRS, REST = 1024, 4, 1_000_000, 20_000, 4096
 
 
 def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
@@ -213,14 +213,15 @@ def linked_in_block(part: pd.DataFrame, similarity: float) -> list[tuple[int, in
     return out
 
 
-def similar(rows: DataFrame, similarity: float = 0.8, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+def similar(rows: DataFrame, similarity: float = 0.8, block: int = BLOCK, rounds: int = ROUNDS, rest: int = REST) -> DataFrame:
     """Links a, b between nodes of rows (as _signed gives them): enough of them to join all nodes that a chain of pairs joins
     that share a key and have a Jaccard similarity of `similarity` at least.
 
     First every node is compared with one other: of the least nodes of its keys that with which it shares most. Then come rounds of stars: in each key whose
     nodes aren't all joined yet, those outside of its largest part are compared with one node of that part, another one in each round; of a group of
     near copies each round leaves a fraction. What is still apart in a key is compared in full, part against part, in blocks of `block`.
-    Neither parameter changes which nodes are joined: two nodes of a key that are left uncompared are joined already.
+    Rounds end when no more than `rest` nodes (of each key) are apart: each round is some twenty stages, which cost the driver's memory more than so few rows' blocks cost the tasks.
+    No parameter changes which nodes are joined: two nodes of a key that are left uncompared are joined already.
     """
     keyed = cut(rows.select("node", "n", F.explode("keys").alias("key")).distinct())
     least = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.count("*").alias("number")).where("number > 1").select("key", "least")
@@ -262,6 +263,8 @@ def similar(rows: DataFrame, similarity: float = 0.8, block: int = BLOCK, rounds
         return found
     held = written(texts(left.select("node").distinct()))
     for number in range(rounds):
+        if size <= rest:
+            break
         few, side = lambda frame: compact(frame, size), lambda frame: merging(frame, size)  # noqa: B023, E731
         left = few(left)
         inside, outside = left.where("part = main"), left.where("part <> main")

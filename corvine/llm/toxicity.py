@@ -25,7 +25,9 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +65,14 @@ class Model:
     curve: tuple[np.ndarray, np.ndarray] | None = None  # votes and the probabilities they stand for
 
     def __getstate__(self) -> dict:
-        return {n: v for n, v in self.__dict__.items() if n not in ("index", "names")}  # made anew where it is needed
+        return {n: v for n, v in self.__dict__.items() if n not in ("index", "names", "sent", "curve")}  # made anew where it is needed; the curve is sent by itself
+
+    def shared(self, context: SparkContext) -> Broadcast:
+        """The broadcast model without its curve: sent once, for learning the curve and for scoring."""
+        sent = self.__dict__.get("sent")
+        if sent is None or sent[0] is not context:
+            sent = self.__dict__["sent"] = (context, context.broadcast(self))
+        return sent[1]
 
     @property
     def base(self) -> float:
@@ -236,15 +245,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_words:
     local = once.select("doc_id", "toxic", "word", "n").toArrow().sort_by("doc_id")
     lists = local.column("word").combine_chunks() if local.num_rows else pa.array([], pa.list_(pa.string()))
     coded = lists.flatten().dictionary_encode()
+    dictionary = coded.dictionary
     term, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), local.column("n").combine_chunks().flatten().to_numpy(zero_copy_only=False) if local.num_rows else np.zeros(0, dtype=np.int32)
-    terms = {w: t for t, w in enumerate(coded.dictionary.to_pylist())}
     lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if local.num_rows else np.zeros(0, dtype=np.int64)
     entry, toxic, ids = np.repeat(np.arange(len(lengths)), lengths), local.column("toxic").to_numpy().astype(np.int64), local.column("doc_id").to_numpy().astype(np.int64)
     n = np.array(n)  # a copy: the columns are not needed any more, and Arrow keeps their memory else
     del local, lists, coded
     pa.default_memory_pool().release_unused()
 
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
+    known = docs.sparkSession.sparkContext.broadcast(frozenset(dictionary.to_pylist()))
 
     def holding(batches):  # partial counts of each task
         total, number = Counter(), 0
@@ -255,18 +264,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_words:
         yield pa.RecordBatch.from_arrays([pa.array([*total, ""], pa.string()), pa.array([*total.values(), number], pa.int64())], names=["word", "n"])
 
     df = docs.select("text").mapInArrow(holding, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    df = dict(zip(df.column("word").to_pylist(), df.column("n").to_pylist(), strict=True))
-    known.unpersist()
-    idf = np.array([np.log((df.get("", 0) + 1) / (df.get(w, 0) + 1)) for w in terms]) + 0.1
-    weight_of = idf * factors(term, entry, toxic, len(terms))
+    known.destroy()  # the driver's copy as well
+    # The counts stay columns: one Python object for each word and count would be several times as large.
+    number, place = df.column("n").to_numpy(), pc.index_in(df.column("word").cast(dictionary.type), value_set=dictionary)
+    own = place.is_valid().to_numpy()
+    often = np.zeros(len(dictionary), dtype=np.int64)
+    often[place.drop_null().to_numpy()] = number[own]
+    idf = np.log((number[~own].sum() + 1) / (often + 1)) + 0.1  # what is no term is the empty word, which stands for all documents
+    del df, place, own, number, often
+    weight_of = idf * factors(term, entry, toxic, len(dictionary))
     weight = (1 + np.log(n)) * weight_of[term]
     order = np.lexsort((term, entry))
     weight = weight / np.sqrt(np.bincount(entry, weight * weight, minlength=len(lengths)))[entry]
     starts = np.concatenate([[0], np.cumsum(lengths)])
-    model = Model(terms, weight_of, starts, term[order], weight[order], toxic, ids)
+    term, weight = term[order], weight[order]
+    del order, entry, n
+    model = Model({w: t for t, w in enumerate(dictionary.to_pylist())}, weight_of, starts, term, weight, toxic, ids)
+    del dictionary
+    pa.default_memory_pool().release_unused()
     if not 0 < toxic.sum() < len(toxic):
         return model
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs.sparkSession.sparkContext)
 
     def left_out(parts):  # the examples' votes without themselves
         own = shared.value
@@ -278,7 +296,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_words:
 
     tasks = max(1, len(toxic) // 128)
     own = docs.sparkSession.range(0, len(toxic), 1, tasks).mapInPandas(left_out, "id long, votes double").toPandas().sort_values("id")
-    shared.unpersist()
     model.curve = isotonic(own["votes"].to_numpy(), toxic, model.base)
     return model
 
@@ -286,10 +303,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_words:
 def score(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
     """docs with a struct column added (replacing one of its name): score, nearest (doc_ids of up to three examples) and evidence
     (words of the text that led there). Null and empty texts have no neighbours; the base rate scores them."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, curve = model.shared(docs.sparkSession.sparkContext), model.curve
 
     @F.pandas_udf("score double, nearest array<long>, evidence array<string>")
     def scored(texts: pd.Series) -> pd.DataFrame:
+        shared.value.curve = curve
         return pd.DataFrame(shared.value.scores(texts.tolist()), columns=["score", "nearest", "evidence"])
 
     return docs.withColumn(column, scored("text"))

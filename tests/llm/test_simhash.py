@@ -169,6 +169,18 @@ def test_links_of_pairs_that_share_a_key(spark, block, rounds):
     assert rounds < 4 or links.count() < 2 * len(ids)  # not all pairs
 
 
+def test_rounds_only_where_much_is_left(spark, monkeypatch):
+    """What is left of few texts goes to blocks at once: no round (and its stages) for it. What is joined is the same as by rounds to the end."""
+    rows = simhash._signed(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(family_texts(random.Random(8)))], "doc_id long, text string"), 5)
+    asked, merging = [], simhash.merging
+    monkeypatch.setattr(simhash, "merging", lambda frame, size: asked.append(size) or merging(frame, size))
+    joined = lambda links: sorted(map(tuple, components(links).collect()))
+    at_once = joined(simhash.similar(rows))
+    assert not asked
+    assert joined(simhash.similar(rows, rest=0)) == at_once
+    assert asked
+
+
 @pytest.mark.parametrize(("block", "rounds"), [(256, 4), (8, 0)])
 def test_similar_texts(spark, block, rounds):
     texts = family_texts(random.Random(8))

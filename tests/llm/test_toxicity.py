@@ -132,6 +132,19 @@ def test_only_copies_count_once(spark):
     assert set(model.terms) == {w for words, _ in learnt for w in words}
 
 
+def test_model_is_sent_once(spark, monkeypatch):
+    """Learning the curve and scoring share one broadcast; the words that are counted are let go on the driver, too."""
+    rows = [(i, f"text{i} of several words " + ("fool" if i % 3 == 0 else "nice")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    sent, broadcast = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(broadcast(value)) or sent[-1])
+    model = tx.fit(docs, labels)
+    got = {r.doc_id: r.toxicity.score for r in tx.score(docs, model).collect()}
+    assert len(sent) == 2 and not sent[0]._jbroadcast.isValid() and sent[1]._jbroadcast.isValid()
+    assert model.curve is not None and got == {i: score for (i, _), (score, _, _) in zip(rows, model.scores([t for _, t in rows]), strict=True)}
+
+
 def test_bounded_sample(spark):
     rows = [(i, f"text{i} of several words " + ("fool" if i % 3 == 0 else "nice")) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
