@@ -220,7 +220,7 @@ def similar(rows: DataFrame, similarity: float = 0.8, block: int = BLOCK, rounds
     First every node is compared with one other: of the least nodes of its keys that with which it shares most. Then come rounds of stars: in each key whose
     nodes aren't all joined yet, those outside of its largest part are compared with one node of that part, another one in each round; of a group of
     near copies each round leaves a fraction. What is still apart in a key is compared in full, part against part, in blocks of `block`.
-    Rounds end when no more than `rest` nodes (of each key) are apart: each round is some twenty stages, which cost the driver's memory more than so few rows' blocks cost the tasks.
+    Rounds end when no more than `rest` nodes (of each key) are apart: each round is many stages, which the driver's memory pays for, and the blocks of so few rows are little work.
     No parameter changes which nodes are joined: two nodes of a key that are left uncompared are joined already.
     """
     keyed = cut(rows.select("node", "n", F.explode("keys").alias("key")).distinct())
