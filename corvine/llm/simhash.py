@@ -73,9 +73,10 @@ def _keys(value: Column, bits: int, lead: Column) -> Column:
 
 
 def _met(index: DataFrame, bits: int) -> DataFrame:
-    """Verified links a < b among the rows of an index of key, side, fp."""
+    """Verified links a < b among the rows of an index of key, side, fp. Its sides are merged: Spark sizes what was exploded as if it were not, and would
+    send the whole index through the driver where the fingerprints alone are small enough to broadcast."""
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits
-    x, y = index.alias("x"), index.alias("y")
+    x, y = index.hint("merge").alias("x"), index.hint("merge").alias("y")
     same = x.where("x.side = 0").join(y.where("y.side = 0"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & near)
     apart = x.where("x.side = 1").join(y.where("y.side = 2"), (F.col("x.key") == F.col("y.key")) & near)
     return same.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).union(apart.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")))
@@ -105,7 +106,7 @@ def links(distinct: DataFrame, bits: int = 3, cell: int = 2000) -> DataFrame:
         # Pairs with equal or one-bit-apart first segments, dealt by quarter of the other segment as well.
         first = dense.select("fp", "other", F.explode(_keys(F.col("own"), 32, F.col("part"))).alias("f")).select("fp", "f.key", F.col("f.side").alias("first"), F.explode(F.array(F.struct(F.lit(0).cast("long").alias("quarter"), F.col("other").bitwiseAND(F.lit(0xFFFF)).alias("piece")), F.struct(F.lit(1).cast("long").alias("quarter"), F.shiftrightunsigned("other", 16).alias("piece")))).alias("q"))
         fine = first.select("fp", "first", F.explode(_keys(F.col("q.piece"), 16, F.col("key") * 2 + F.col("q.quarter"))).alias("e")).select("fp", "first", "e.key", "e.side")
-        x, y = fine.alias("x"), fine.alias("y")
+        x, y = fine.hint("merge").alias("x"), fine.hint("merge").alias("y")  # see _met
         meets = (F.col("x.key") == F.col("y.key")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= bits)
         for left, right, unordered in ((0, 0, True), (1, 2, False)):
             a, b = x.where(f"x.first = {left}"), y.where(f"y.first = {right}")

@@ -53,6 +53,15 @@ def test_links_lose_none(spark, cell):
     assert found == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
 
 
+@pytest.mark.parametrize("cell", [2000, 1])
+def test_index_is_not_broadcast(spark, cell):
+    """Fingerprints few enough to broadcast become 66 index entries each, and more where a segment is refined."""
+    found = simhash.links(spark.createDataFrame([(f,) for f in (0, 1, 3, 2**40)], "fp long"), 3, cell)
+    assert {(x.a, x.b) for x in found.collect()} == {(0, 1), (0, 3), (1, 3), (0, 2**40), (1, 2**40), (3, 2**40)}
+    met = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "bit_count" in line and "Join" in line]
+    assert met and not [line for line in met if "Broadcast" in line]
+
+
 def test_components(spark):
     r = random.Random(1)
     linked = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(1, 50)]
