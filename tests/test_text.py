@@ -25,6 +25,20 @@ def test_clean_document(spark):
     assert one(spark, None, f.clean_document(F.col("t"))) == ""
 
 
+def test_gate_looks_at_a_text_once(spark):
+    rows = spark.createDataFrame([("x" * 30,), ("-" * 30,)], "t string").where(f.worth_indexing(F.col("t")))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and [x.t for x in rows.collect()] == ["x" * 30]
+
+
+def test_strip_knows_the_same_characters(spark):
+    """What is trimmed is what the pattern of white space matches, of all characters of the basic plane."""
+    signs = [(c + "a " + c + " b" + c,) for c in map(chr, range(0x10000)) if not 0xD800 <= ord(c) < 0xE000]
+    rows = spark.createDataFrame([*signs, ("",), (None,), (" \n\u3000",)], "t string")
+    assert not rows.where(~f.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", rf"^[{f.SPACE}]+|[{f.SPACE}]+$", ""))).count()
+    assert "regexp" not in rows.select(f.strip(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize(("text", "good"), [("Enough letters, surely more than twenty.", True), ("short", False), ("...///---***+++===((())) ab", False), (None, False), ("　　" + "字" * 20 + "　", True)])
 def test_worth_indexing(spark, text, good):
     assert one(spark, text, f.worth_indexing(F.col("t"))) is good
