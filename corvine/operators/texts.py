@@ -1,12 +1,18 @@
 """Operators over tables of texts: copies, similar pairs, contents."""
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvine.sources.folders import written
+
 
 def exact_copies(rows: DataFrame, key: str, text: str) -> DataFrame:
     """first_id, n_copies, last_id of each text that more than one row has; hashes are shuffled, not texts."""
@@ -22,25 +28,113 @@ def shingles(rows: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return rows.select(key, tokens.alias("w")).select(key, F.array_distinct(hashes).alias("h")).select(key, F.size("h").alias("n"), F.explode("h").alias("h"))
 
 
+#: Shingles that are met at once where their numbers are looked at, and shingles at most whose numbers go to all tasks (16 MB).
+AT_ONCE, FREQUENT = 1 << 21, 1_000_000
+
+
+class _Words(dict):
+    """The hash of each word, looked up; forgotten where there are too many words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = number = xxhash.xxh64_intdigest(word)
+        return number
+
+
+def _shingled(texts: Iterator[str | None], words: int) -> Iterator[np.ndarray]:
+    """The distinct hashes of each text's shingles, rising: sums of their words' hashes by odd random factors. Texts are in lower case, and cut at ASCII white space."""
+    known, factor = _Words(), np.random.default_rng(42).integers(0, 2**64, words, dtype=np.uint64) | np.uint64(1)
+    for text in texts:
+        tokens = (text or "").encode("utf-8", "surrogatepass").split()
+        number = max(0, len(tokens) - words + 1)
+        each = np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+        sums = np.zeros(number, dtype=np.uint64)
+        for place in range(words if number else 0):
+            sums += each[place : place + number] * factor[place]
+        sums = (sums ^ (sums >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)  # mixed: they are ordered by
+        yield np.unique(sums ^ (sums >> np.uint64(29)))
+
+
+def _frequent(words: int):
+    """h, count of the shingles that several of some texts read together have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def counted() -> pa.RecordBatch:
+            h, number = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[number > 1].view(np.int64)), pa.array(number[number > 1])], names=["h", "count"])
+
+        for batch in batches:
+            for own in _shingled((t.as_py() for t in batch.column("t")), words):
+                held.append(own)
+                size += len(own)
+                if size >= AT_ONCE:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+
+    return run
+
+
+def _sets(words: int, named: list[str], shared=None, least: float = 0.0):
+    """The named columns, n (number of distinct shingles) and s: the first n - ceil(least n) + 1 of them, those that `shared` doesn't know
+    by their hashes, before the others by their numbers; without shared all, by their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, number = shared.value if shared else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+
+        def first(own: np.ndarray) -> np.ndarray:
+            length = len(own) - math.ceil(least * len(own) - 1e-9) + 1 if len(own) else 0
+            if len(h):
+                at = np.minimum(np.searchsorted(h, own), len(h) - 1)
+                own = own[np.argsort(np.where(h[at] == own, number[at], 0), kind="stable")]
+            return own[:length]
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = list(_shingled(part.column("t").to_pylist(), words))
+                s = pa.array([(first(own) if shared else own).view(np.int64) for own in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*map(part.column, named), pa.array([len(own) for own in found], pa.int32()), s], names=[*named, "n", "s"])
+
+    return run
+
+
 def similar_pairs(rows: DataFrame, key: str, text: str, words: int = 5, least: float = 0.8) -> DataFrame:
     """a < b, similarity of distinct texts (each named by its least key) whose shingle sets have Jaccard similarity `least` or more.
 
-    Prefix filter: with shingles ordered from rare to frequent, two sets that similar share one of the first
-    n - ceil(least n) + 1 of each. Only these prefixes are joined, and only pairs of similar sizes; then the
-    whole sets of the candidates are compared. A shingle of one text only is first in that order and in no other set: it counts
-    in n and goes no further.
+    Prefix filter: in whatever order shingles are, if it is one for all texts, two sets that similar share one of the first
+    n - ceil(least n) + 1 of each. Only these prefixes are shuffled and joined, and only pairs of similar sizes; then the
+    whole sets of the candidates are made from their texts and compared. The order is that of the shingles' hashes, behind which come, by their numbers, those that many texts have:
+    a first reading counts what comes several times in some texts read together, which needs no shuffle of shingles. Numbers that are too small make more
+    candidates, never other pairs. A shingle that only one prefix has goes no further.
     """
-    once = rows.groupBy(F.sha2(text, 256).alias("__h")).agg(F.min(key).alias("id"), F.first(text).alias("text")).select("id", "text")
-    found = shingles(once, "id", "text", words)
-    frequency = found.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    sets = found.join(frequency, "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s")).select("id", F.col("s.h").alias("s"), "n")
-    # of the first n - ceil(least n) + 1, n - size(s) are in no other text
-    length = F.greatest(F.lit(0), F.size("s") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1)
-    prefix = sets.select("id", "n", F.explode(F.slice("s", F.lit(1), length)).alias("h"))
-    x, y = prefix.alias("x"), prefix.alias("y")
+    spark, kind = rows.sparkSession, dict(rows.dtypes)[key]
+    texts = rows.select(F.col(key).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.lower(text).alias("t"))
+    counted = texts.select("t").mapInArrow(_frequent(words), "h long, count long").groupBy("h").agg(F.sum("count").alias("count")).where("count > 8")
+    often = counted.orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()
+    h, number = often.column("h").to_numpy().view(np.uint64), often.column("count").to_numpy()
+    shared = spark.sparkContext.broadcast((h[order := np.argsort(h)], number[order]))
+
+    named = f"id {kind}, digest binary, n int, s array<long>"
+    first = texts.mapInArrow(_sets(words, ["id", "digest"], shared, least), named)
+    # one row of each text; those of null texts and of too few words have no shingle
+    once = written(first.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("s").alias("s")).where("id IS NOT NULL AND n > 0"), "prefixes")
+    prefix = once.select("id", "n", F.explode("s").alias("h")).withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
+    x, y = prefix.hint("merge").alias("x"), prefix.hint("merge").alias("y")
     near = (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.n") >= F.col("y.n") * least - 1e-9) & (F.col("y.n") >= F.col("x.n") * least - 1e-9)
-    pairs = x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    met = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb")), "b")
+    held = x.join(y, near).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("m"), F.col("y.n").alias("n")).agg(F.count("*").alias("both"))
+    # of one of two prefixes, that which ends first, all common shingles are in the other: what is not among them is behind that prefix
+    behind = lambda n: F.ceil(F.lit(least) * F.col(n) - 1e-9) - 1
+    pairs = held.where(F.col("both") + F.greatest(behind("m"), behind("n")) >= least / (1 + least) * (F.col("m") + F.col("n")) - 1e-6).select("a", "b")
+
+    asked = once.select("id", "digest").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    sets = texts.join(asked, ["id", "digest"], "left_semi").select("id", "t").mapInArrow(_sets(words, ["id"]), f"id {kind}, n int, s array<long>").groupBy("id").agg(F.first("n").alias("n"), F.first("s").alias("s"))
+    met = pairs.join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return met.select("a", "b", (common / (F.col("na") + F.col("nb") - common)).alias("similarity")).where(F.col("similarity") >= least)
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -146,3 +147,29 @@ def test_similar_pairs_lone_shingles(spark):
     found = o.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text")
     assert "df#" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "> 1)" in plan
     assert [(x.a, x.b, round(x.similarity, 6)) for x in found.collect()] == [(0, 1, round(56 / 57, 6))]
+
+
+def test_similar_pairs_shuffle_prefixes_only(spark, monkeypatch):
+    """Of a text's shingles only the first that the filter needs are kept, those that many texts have behind the others; pairs are those of all sets."""
+    r, kept = random.Random(3), []
+    monkeypatch.setattr(o, "written", lambda frame, name: kept.append(frame) or frame)
+    common = "this line is in very many of the texts"
+    texts = [f"{common} " * r.randrange(2) + " ".join(f"w{r.randrange(9)}" for _ in range(r.randrange(70))) for _ in range(60)]
+    for t in texts[:20]:
+        words = t.split()
+        for _ in range(2):
+            words[r.randrange(len(words)) if words else 0 :] = [*words[r.randrange(len(words)) :][:60], "end"] if words else ["end"]
+        texts += [" ".join(words), f"{t} end", f"Start\t{t}\nend"]
+    texts += ["ünë é \x0b b c d e f\x1cg", "ÜNË É b c d e f\x1cg", "　a b c d e", None, ""]
+    found = o.similar_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text")
+
+    def grams(t):
+        w = [x for x in (t or "").lower().replace("\t", " ").replace("\n", " ").replace("\x0b", " ").split(" ") if x]
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = {texts.index(t): grams(t) for t in texts if grams(t)}
+    want = {(a, b): round(len(x & y) / len(x | y), 9) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) >= 0.8 * len(x | y) - 1e-12}
+    assert len(want) > 20 and {(x.a, x.b): round(x.similarity, 9) for x in found.collect()} == want
+    rows = kept[0].collect()
+    assert {x.id: x.n for x in rows} == {i: len(s) for i, s in sets.items()}
+    assert all(len(x.s) == x.n - math.ceil(0.8 * x.n - 1e-9) + 1 for x in rows)
