@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from corvine.operators import access, context, folds, graph
@@ -137,3 +140,24 @@ def test_visible_shuffles_no_pairs(spark):
         assert len(got) == len(set(got)) and set(got) == wanted
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "min(way" not in plan
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_pairs_of_one_organization_are_only_listed(spark, block):
+    """Of resources with one organization no pair with a user is looked at: ids go out as they are, or without what the user owns."""
+    r = random.Random(11)
+    users = [(u, u % 5 == 0) for u in range(1, 16)]
+    members = [(u, f"o{o}") for u, _ in users for o in range(4) if r.random() < 0.4]
+    owned = [(x, r.randrange(1, 19)) for x in range(40) for _ in range(1 + x % 3)]  # up to three owners, one organization
+    resources = [(x, o, f"o{x % 4}") for x, o in owned] + [(100 + x, 3, f"o{o}") for x in range(6) for o in (x % 4, (x + 1) % 4)] + [(200, None, None), (None, 4, "o1")]
+    frames = spark.createDataFrame(resources, "resource_id long, owner_id long, organization_id string"), spark.createDataFrame(users, "user_id long, is_admin boolean"), spark.createDataFrame(members, "user_id long, organization_id string")
+    found = access.visible(*frames, block=block)
+    plain, admins = [u for u, a in users if not a], [u for u, a in users if a]
+    want = {(u, None, "admin") for u in admins}
+    for x in {x for x, _, _ in resources}:
+        owners, organizations = {o for i, o, _ in resources if i == x}, {g for i, _, g in resources if i == x}
+        want |= {(u, x, "owner" if u in owners else "organization") for u in plain if u in owners or organizations & {g for m, g in members if m == u}}
+    rows = [tuple(x) for x in found.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert any("Generate explode(seen" in line for line in plan) and sum("array_intersect" in line for line in plan) == 1
